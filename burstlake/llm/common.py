@@ -75,3 +75,41 @@ def unused_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in have:
         wish = f"_{wish}"
     return wish
+
+
+def cut_points(df: DataFrame, key: str, parts: int) -> list[int]:
+    """At most ``parts`` values of the long column ``key`` that occur in df, rising, that cut it into near-equal runs.
+
+    The list is bounded by ``parts``, whatever the number of rows.
+    """
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    got = df.agg(F.percentile_approx(key, shares, 20 * max(parts, 500)).alias("p")).first()["p"]
+    return sorted(set(got or []))
+
+
+def _counted(value: Column, points: list[int], strict: bool) -> Column:
+    if not points:
+        return F.lit(0)
+    step = max(1, int(len(points) ** 0.5))
+    blocks = [points[i : i + step] for i in range(0, len(points), step)]
+    longs = lambda xs: F.expr("array(" + ",".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1)" for x in xs) + ")")
+    passed = lambda x: x < value if strict else x <= value
+    heads = longs([b[0] for b in blocks])
+    block = F.size(F.filter(heads, passed))
+    within = F.size(F.filter(F.get(F.array(*map(longs, blocks)), block - 1), passed))
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + within)
+
+
+def count_at_or_below(value: Column, points: list[int]) -> Column:
+    """How many of the sorted points are <= value, looked up in two levels so that it takes about sqrt(n) steps."""
+    return _counted(value, points, False)
+
+
+def count_below(value: Column, points: list[int]) -> Column:
+    """How many of the sorted points are < value."""
+    return _counted(value, points, True)
+
+
+def parts_for(spark: SparkSession, rows: int, rows_per_part: int = 20_000, most: int = 20_000) -> int:
+    """Partitions for a pass over whole texts: the session's number, more for many rows."""
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_part)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import fingerprints, mixing, quality, sharding, tokenfiles, toxicity
 from .common import documents
 
 
@@ -17,11 +17,28 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_shards(docs, 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels)
+
+
 def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.divergence_rules(documents(spark, sf_dir))
     return got.select("doc_id", *quality.FEATURES, "base_failed", "kept")
 
 
+def op6_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.successive_fingerprints(documents(spark, sf_dir))
+
+
+def op8_dictionary_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    if tokenizer_file is None:
+        import public_tokenizers
+
+        tokenizer_file = public_tokenizers.path("word_bpe_49k.json")
+    return tokenfiles.token_files(documents(spark, sf_dir), tokenizer_file)
+
+
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.sampled_copies(documents(spark, sf_dir))
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -29,7 +46,10 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_divergence_rules": op3_divergence_rules,
+    "op6_paragraph_sketches": op6_paragraph_sketches,
+    "op8_dictionary_token_files": op8_dictionary_token_files,
     "op9_systematic_mix": op9_systematic_mix,
 }
 ORACLES: dict[str, str] = {}
