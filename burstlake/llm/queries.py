@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality, sharding, tokenfiles, toxicity
-from .common import documents
+from . import fingerprints, mixing, quality, sentences, sharding, substrings, tokenfiles, toxicity
+from .common import documents, utf8_bytes
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *quality.FEATURES, "base_failed", "kept")
 
 
+def op4_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.suffix_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    return got.select(
+        "doc_id", utf8_bytes(F.col("text")).alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op6_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.successive_fingerprints(documents(spark, sf_dir))
 
@@ -44,12 +53,19 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sentences.span_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return got.select("doc_id", "n_sentences", "n_removed", "removed_chars", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_divergence_rules": op3_divergence_rules,
+    "op4_prefix_doubling": op4_prefix_doubling,
     "op6_paragraph_sketches": op6_paragraph_sketches,
     "op8_dictionary_token_files": op8_dictionary_token_files,
     "op9_systematic_mix": op9_systematic_mix,
+    "op10_sentence_spans": op10_sentence_spans,
 }
 ORACLES: dict[str, str] = {}
