@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality, sentences, sharding, substrings, tokenfiles, toxicity
+from . import fingerprints, mixing, packing, quality, sentences, sharding, substrings, tokenfiles, toxicity
 from .common import documents, utf8_bytes
 
 
@@ -40,6 +40,10 @@ def op6_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.successive_fingerprints(documents(spark, sf_dir))
 
 
+def op7_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
 def op8_dictionary_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
     if tokenizer_file is None:
         import public_tokenizers
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_divergence_rules": op3_divergence_rules,
     "op4_prefix_doubling": op4_prefix_doubling,
     "op6_paragraph_sketches": op6_paragraph_sketches,
+    "op7_conflict_best_fit": op7_conflict_best_fit,
     "op8_dictionary_token_files": op8_dictionary_token_files,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_sentence_spans": op10_sentence_spans,
