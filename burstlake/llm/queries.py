@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, sentences, sharding, substrings, tokenfiles, toxicity
+from . import fingerprints, mixing, nearjoin, packing, quality, sentences, sharding, substrings, tokenfiles, toxicity
 from .common import documents, utf8_bytes
 
 
@@ -36,6 +36,10 @@ def op4_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_join(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "copy_of", "n_links", "near_of")
+
+
 def op6_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.successive_fingerprints(documents(spark, sf_dir))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_divergence_rules": op3_divergence_rules,
     "op4_prefix_doubling": op4_prefix_doubling,
+    "op5_lsh_forest_join": op5_lsh_forest_join,
     "op6_paragraph_sketches": op6_paragraph_sketches,
     "op7_conflict_best_fit": op7_conflict_best_fit,
     "op8_dictionary_token_files": op8_dictionary_token_files,
