@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints, mixing, nearjoin, packing, quality, sentences, sharding, substrings, tokenfiles, toxicity
 from .common import documents, utf8_bytes
+from .oracles import ORACLES
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_systematic_mix": op9_systematic_mix,
     "op10_sentence_spans": op10_sentence_spans,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
