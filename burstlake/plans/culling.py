@@ -175,17 +175,25 @@ def smooth(x: str, low: float, high: float) -> str:
     return f"({t} * {t} * (3.0 - 2.0 * {t}))"
 
 
-def scored(d: Dialect, weights: str = "") -> str:
-    """features with relative sharpness, spreads, weights and score.  Failed shots have no part in any of them."""
+def scored(d: Dialect, source: str | None = None, weights: tuple[float, float, float] | None = None) -> str:
+    """features with relative sharpness, spreads, weights and score.  Failed shots have no part in any of them.
+
+    source: a table or query with the columns of features; weights: fixed ones of aesthetic, sharpness and exposure.
+    """
+    source = source or f"({features(d)})"
     w = "OVER (PARTITION BY folder, slot)"
     sound = lambda x: f"CASE WHEN NOT failed THEN {x} END"
     ratio = "greatest(0.0, sharpness / best)"
     norm = f"CASE WHEN failed THEN NULL WHEN best <= 1e-9 THEN 1.0 WHEN {ratio} >= 0.92 THEN 1.0 WHEN {ratio} <= 0.75 THEN 0.0 ELSE {smooth(ratio, 0.75, 0.92)} END"
-    one = f"SELECT *, max({sound('sharpness')}) {w} AS best, min({sound('sharpness')}) {w} AS worst, max({sound('exposure')}) {w} - min({sound('exposure')}) {w} AS exposure_spread FROM ({features(d)})"
+    one = f"SELECT *, max({sound('sharpness')}) {w} AS best, min({sound('sharpness')}) {w} AS worst, max({sound('exposure')}) {w} - min({sound('exposure')}) {w} AS exposure_spread FROM {source}"
     two = f"SELECT *, {norm} AS norm_sharp, CASE WHEN best <= 1e-9 THEN 0.0 ELSE greatest(0.0, 1.0 - greatest(0.0, worst / best)) END AS sharpness_spread FROM ({one})"
     three = f"SELECT *, 0.25 + 0.15 * {smooth('sharpness_spread', 0.08, 0.25)} AS ws0, 0.05 + 0.20 * {smooth('exposure_spread', 0.03, 0.15)} AS we0 FROM ({two})"
     over = "(ws0 + we0 > 0.55)"
     four = f"SELECT *, CASE WHEN {over} THEN ws0 * (0.55 / (ws0 + we0)) ELSE ws0 END AS w_sharp, CASE WHEN {over} THEN we0 * (0.55 / (ws0 + we0)) ELSE we0 END AS w_exp, CASE WHEN {over} THEN 0.45 ELSE 1.0 - (ws0 + we0) END AS w_aes FROM ({three})"
+    if weights:
+        total = sum(weights)
+        fixed = ", ".join(f"CAST({w / total!r} AS DOUBLE) AS {n}" for w, n in zip(weights, ("w_aes", "w_sharp", "w_exp"), strict=True))
+        four = f"SELECT *, {fixed} FROM ({three})"
     return f"SELECT *, CASE WHEN NOT failed THEN aesthetic * w_aes + norm_sharp * w_sharp + exposure * w_exp END AS score FROM ({four})"
 
 
@@ -216,14 +224,14 @@ def custom_weights_normalised(d: Dialect) -> str:
     return f"SELECT l_orderkey, l_linenumber, l_partkey, {one(a)} AS aesthetic, {one(b)} AS sharpness, {one(c)} AS exposure FROM lineitem"
 
 
-def ranked(d: Dialect, keep: int = 2, action: str = "keep") -> str:
+def ranked(d: Dialect, keep: int = 2, action: str = "keep", source: str | None = None, weights: tuple[float, float, float] | None = None) -> str:
     """scored with ranks, what is kept, the margin at the boundary and the category of each shot."""
     g = "PARTITION BY folder, slot"
     fit = "NOT failed AND NOT severe_blur AND NOT eye_defect"
     one = f"""SELECT *, CASE WHEN NOT failed THEN row_number() OVER ({g}, failed ORDER BY score DESC, captured_at, shot_id) END AS rnk,
         CASE WHEN {fit} THEN row_number() OVER ({g}, {fit} ORDER BY score DESC, captured_at, shot_id) END AS fit_rnk,
         coalesce(min(CASE WHEN NOT failed THEN CASE WHEN severe_blur THEN 1 ELSE 0 END END) OVER ({g}), 0) = 1 AS all_blurry,
-        sum(CASE WHEN {fit} THEN 1 ELSE 0 END) OVER ({g}) AS fits, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER ({g}) AS errors FROM ({scored(d)})"""
+        sum(CASE WHEN {fit} THEN 1 ELSE 0 END) OVER ({g}) AS fits, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER ({g}) AS errors FROM ({scored(d, source, weights)})"""
     n = f"CASE WHEN all_blurry THEN {0 if action == 'reject' else 1} ELSE least({keep}, fits) END"
     two = f"SELECT *, CAST({n} AS INT) AS keep_n, CASE WHEN all_blurry THEN rnk ELSE fit_rnk END AS place FROM ({one})"
     edge = lambda k: f"max(CASE WHEN place = keep_n + {k} THEN score END) OVER ({g})"
