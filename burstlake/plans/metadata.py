@@ -259,3 +259,43 @@ def fuzzy_best_match(d: Dialect) -> str:
     two = f"SELECT name, make, id, CASE WHEN m = 0 THEN 0.0 ELSE 0.78 * m + 0.22 * k END AS score FROM ({one})"
     best = f"SELECT *, row_number() OVER (PARTITION BY name, make ORDER BY score DESC, id) AS n FROM ({two})"
     return f"SELECT name, make, CASE WHEN score >= 0.34 THEN id END AS entry, round(CASE WHEN score >= 0.34 THEN score END, 6) AS score FROM ({best}) WHERE n = 1"
+
+
+@catalog.add
+def fixed_profile_case(d: Dialect) -> str:
+    """A fixed profile for exactly one body comes before any matching; bodies without one go on to it."""
+    return "SELECT p_partkey, CASE WHEN p_brand = 'Brand#3' AND lower(trim(p_name)) = 'small ring' THEN 'fixed' WHEN p_brand = 'Brand#3' THEN 'body_mismatch' ELSE 'match' END AS route FROM part"
+
+
+@catalog.add
+def row_limit_guard(d: Dialect) -> str:
+    """Requests by size: none, too many, or accepted."""
+    return "SELECT o_custkey, count(*) AS asked, CASE WHEN count(*) > 12 THEN 'too_many' ELSE 'accepted' END AS verdict FROM orders GROUP BY o_custkey"
+
+
+@catalog.add
+def blendshape_map(d: Dialect) -> str:
+    """Name and score pairs of a face; unnamed ones drop out, and the larger blink of both eyes counts."""
+    return "SELECT l_orderkey AS face, count(*) AS named, round(max(CASE WHEN l_returnflag = 'A' THEN l_discount END), 6) AS left_blink, round(max(CASE WHEN l_returnflag = 'R' THEN l_discount END), 6) AS right_blink, round(max(CASE WHEN l_returnflag IN ('A', 'R') THEN l_discount END), 6) AS blink FROM lineitem WHERE l_linestatus <> '' GROUP BY l_orderkey"
+
+
+@catalog.add
+def tone_curve_parse(d: Dialect) -> str:
+    """Points "x, y" of a curve: how many are sound, and the first and last output."""
+    raw = "concat(CAST(p_size AS VARCHAR(9)), ', ', CAST(p_size * 3 AS VARCHAR(9)), '; 255, 255')"
+    n = d.all("raw", "[0-9]+")
+    one = f"SELECT p_partkey, {n} AS n FROM (SELECT p_partkey, {raw} AS raw FROM part)"
+    return f"SELECT p_partkey, CAST({d.size('n')} AS INT) AS numbers, CAST({d.at('n', '1')} AS INT) AS first_out, CAST({d.at('n', '3')} AS INT) AS last_out FROM ({one})"
+
+
+@catalog.add
+def preview_fallback_chain(d: Dialect) -> str:
+    """The first preview that is there: embedded thumbnail, half-size decode, ordinary decode; and which."""
+    src = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS thumb, CASE WHEN p_partkey % 2 = 0 THEN p_size * 2 END AS half, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 4 END AS whole FROM part"
+    return f"SELECT p_partkey, coalesce(thumb, half, whole) AS edge, CASE WHEN thumb IS NOT NULL THEN 'thumb' WHEN half IS NOT NULL THEN 'half' WHEN whole IS NOT NULL THEN 'whole' ELSE 'none' END AS origin FROM ({src})"
+
+
+@catalog.add
+def source_identity(d: Dialect) -> str:
+    """Path, size and time in microseconds: the key under which anything made from a file is kept."""
+    return f"SELECT o_orderkey, concat(o_orderpriority, '/', CAST(o_orderkey AS VARCHAR(20))) AS path, CAST(floor(o_totalprice) AS BIGINT) AS size, {d.micros('o_orderdate')} AS modified_us FROM orders"

@@ -307,3 +307,134 @@ def nonlocal_gate(d: Dialect) -> str:
     """Whether an image may use the costly path, and the first reason why not."""
     one = f"SELECT shot_id, count(*) AS n, avg(CASE WHEN greatest(r, g, b) > 0.98 THEN 1.0 ELSE 0.0 END) AS clipped, stddev_pop({LUMA}) AS spread FROM ({rgb(d)}) GROUP BY shot_id"
     return f"SELECT shot_id, CASE WHEN shot_id % 13 = 0 THEN 'disabled' WHEN n < 64 THEN 'too_small' WHEN clipped > 0.02 THEN 'clipped' WHEN spread < 0.12 THEN 'flat' ELSE 'eligible' END AS reason FROM ({one})"
+
+
+def mean3(v: str, part: str, order: str) -> str:
+    """Mean of a value and its two neighbours along one axis, mirrored at the border."""
+    w = f"OVER (PARTITION BY {part} ORDER BY {order})"
+    return f"((coalesce(lag({v}) {w}, lead({v}) {w}) + {v} + coalesce(lead({v}) {w}, lag({v}) {w})) / 3.0)"
+
+
+def box3(source: str, keys: str, values: list[str]) -> str:
+    """3 x 3 means of several columns with window functions: along rows, then along columns."""
+    rows = f"SELECT {keys}, x, y, {', '.join(f'{mean3(v, keys + ", y", "x")} AS {v}' for v in values)} FROM ({source})"
+    return f"SELECT {keys}, x, y, {', '.join(f'{mean3(v, keys + ", x", "y")} AS {v}' for v in values)} FROM ({rows})"
+
+
+@catalog.add
+def guided_coefficients(d: Dialect) -> str:
+    """Slope and intercept of the gray guided filter (3 x 3, epsilon 0.002), smoothed once more."""
+    src = f"SELECT shot_id, x, y, {LUMA} AS i, r AS p, {LUMA} * {LUMA} AS ii, {LUMA} * r AS ip FROM ({rgb(d)})"
+    fit = f"SELECT shot_id, x, y, (ip - i * p) / greatest(ii - i * i + 0.002, 1e-7) AS a, i, p FROM ({box3(src, 'shot_id', ['i', 'p', 'ii', 'ip'])})"
+    both = f"SELECT shot_id, x, y, a, p - a * i AS b FROM ({fit})"
+    return f"SELECT shot_id, x, y, round(a, 5) + 0.0 AS slope, round(b, 5) + 0.0 AS intercept FROM ({box3(both, 'shot_id', ['a', 'b'])})"
+
+
+@catalog.add
+def gaussian_axis_blur(d: Dialect) -> str:
+    """A three-tap Gaussian along rows and columns, mirrored at the border."""
+    k = "0.274068619061197"
+    tap = lambda v, part, order: f"({k} * coalesce(lag({v}) OVER (PARTITION BY {part} ORDER BY {order}), lead({v}) OVER (PARTITION BY {part} ORDER BY {order})) + (1.0 - 2.0 * {k}) * {v} + {k} * coalesce(lead({v}) OVER (PARTITION BY {part} ORDER BY {order}), lag({v}) OVER (PARTITION BY {part} ORDER BY {order})))"
+    one = f"SELECT shot_id, x, y, {tap('g', 'shot_id, y', 'x')} AS g FROM ({rgb(d)})"
+    return f"SELECT shot_id, x, y, round({tap('g', 'shot_id, x', 'y')}, 6) AS g FROM ({one})"
+
+
+@catalog.add
+def broad_airlight(d: Dialect) -> str:
+    """99th percentile of the dark channel after a 3 x 3 minimum, and the median colour of the pixels that reach it."""
+    least3 = lambda v, part, order: f"least({v}, coalesce(lag({v}) OVER (PARTITION BY {part} ORDER BY {order}), {v}), coalesce(lead({v}) OVER (PARTITION BY {part} ORDER BY {order}), {v}))"
+    rows = f"SELECT shot_id, x, y, r, g, b, {least3('least(r, g, b)', 'shot_id, y', 'x')} AS m FROM ({rgb(d)})"
+    dark = f"SELECT shot_id, r, g, b, {least3('m', 'shot_id, x', 'y')} AS dark FROM ({rows})"
+    top = f"SELECT shot_id AS s, {d.percentile('dark', 0.99)} AS p99 FROM ({dark}) GROUP BY shot_id"
+    out = ", ".join(f"round({d.percentile(c, 0.5)}, 6) AS {c}" for c in "rgb")
+    return f"SELECT shot_id, round(max(p99), 6) AS p99, {out} FROM ({dark}) q JOIN ({top}) t ON q.shot_id = t.s WHERE dark >= p99 GROUP BY shot_id"
+
+
+@catalog.add
+def skyline_rows(d: Dialect) -> str:
+    """For each column the first row where the two rows above are brighter than the two from there on by 0.15."""
+    mean = lambda a, b: f"avg({LUMA}) OVER (PARTITION BY shot_id, x ORDER BY y ROWS BETWEEN {a} AND {b})"
+    one = f"SELECT shot_id, x, y, {mean('2 PRECEDING', '1 PRECEDING')} AS above, {mean('CURRENT ROW', '1 FOLLOWING')} AS below FROM ({rgb(d)})"
+    return f"SELECT shot_id, x, coalesce(min(CASE WHEN y >= 2 AND above - below > 0.15 THEN y END), 8) AS skyline FROM ({one}) GROUP BY shot_id, x"
+
+
+@catalog.add
+def gain_map_bilinear(d: Dialect) -> str:
+    """A 3 x 3 gain grid read bilinearly at each pixel, with a shoulder above 0.9."""
+    grid = lambda i, j: f"(1.0 + 0.05 * (({i}) - 1) * (({i}) - 1) + 0.04 * ({j}))"
+    one = f"SELECT shot_id, x, y, r, x * 2 / 7.0 AS gx, y * 2 / 7.0 AS gy FROM ({rgb(d)})"
+    two = f"SELECT *, least(1, CAST(floor(gx) AS INT)) AS ix, least(1, CAST(floor(gy) AS INT)) AS iy FROM ({one})"
+    fx, fy = "(gx - ix)", "(gy - iy)"
+    gain = f"({grid('ix', 'iy')} * (1.0 - {fx}) * (1.0 - {fy}) + {grid('ix + 1', 'iy')} * {fx} * (1.0 - {fy}) + {grid('ix', 'iy + 1')} * (1.0 - {fx}) * {fy} + {grid('ix + 1', 'iy + 1')} * {fx} * {fy})"
+    three = f"SELECT shot_id, x, y, r * {gain} AS v FROM ({two})"
+    return f"SELECT shot_id, x, y, round(CASE WHEN v <= 0.9 THEN v ELSE 0.9 + 0.1 * (1.0 - exp(-(v - 0.9) / 0.1)) END, 6) AS v FROM ({three})"
+
+
+@catalog.add
+def warp_rectilinear(d: Dialect) -> str:
+    """Radial and tangential distortion around the centre: source coordinates, then four mirrored corners."""
+    one = f"SELECT shot_id, gray, x, y, (x - 3.5) / 4.95 AS u, (y - 3.5) / 4.95 AS v FROM (SELECT shot_id, gray, CAST(p % 8 AS INT) AS x, CAST({d.div('p', '8')} AS INT) AS y FROM ({photos(d)}) {d.series(64, 'p')})"
+    two = f"SELECT *, u * u + v * v AS q FROM ({one})"
+    f = "(1.0 + 0.03 * q - 0.01 * q * q + 0.002 * q * q * q)"
+    three = f"SELECT shot_id, gray, x, y, 3.5 + 4.95 * (u * {f} + 2.0 * 0.004 * u * v + 0.003 * (q + 2.0 * u * u)) AS sx, 3.5 + 4.95 * (v * {f} + 2.0 * 0.003 * u * v + 0.004 * (q + 2.0 * v * v)) AS sy FROM ({two})"
+    four = f"SELECT *, CAST(floor(sx) AS INT) AS ix, CAST(floor(sy) AS INT) AS iy FROM ({three})"
+    g = lambda dx, dy: d.at("gray", f"8 * {reflected(f'(iy + {dy})', '8')} + {reflected(f'(ix + {dx})', '8')}")
+    fx, fy = "(sx - ix)", "(sy - iy)"
+    v = f"{g(0, 0)} * (1.0 - {fx}) * (1.0 - {fy}) + {g(1, 0)} * {fx} * (1.0 - {fy}) + {g(0, 1)} * (1.0 - {fx}) * {fy} + {g(1, 1)} * {fx} * {fy}"
+    return f"SELECT shot_id, x, y, round({v}, 5) AS value FROM ({four})"
+
+
+@catalog.add
+def display_exposure(d: Dialect) -> str:
+    """Half a stop in linear light on display values."""
+    lin = lambda c: f"(CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE pow(({c} + 0.055) / 1.055, 2.4) END)"
+    up = lambda c: f"({lin(c)} * pow(CAST(2 AS DOUBLE), 0.5))"
+    out = lambda c: f"round(CASE WHEN {up(c)} <= 0.0031308 THEN {up(c)} * 12.92 ELSE 1.055 * pow({up(c)}, 1.0 / 2.4) - 0.055 END, 6) AS {c}"
+    return f"SELECT shot_id, x, y, {', '.join(map(out, 'rgb'))} FROM ({rgb(d)})"
+
+
+@catalog.add
+def luma_preserving_adjust(d: Dialect) -> str:
+    """A new luma with the old colour: channels keep their distance to luma, cut back where one would leave the range."""
+    one = f"SELECT *, {LUMA} AS l, pow({LUMA}, 0.8) AS t FROM ({rgb(d)})"
+    room = lambda c: f"CASE WHEN {c} - l > 1e-7 THEN (1.0 - t) / ({c} - l) WHEN {c} - l < -1e-7 THEN t / (l - {c}) ELSE 1.0 END"
+    two = f"SELECT *, least(1.0, {', '.join(room(c) for c in 'rgb')}) AS k FROM ({one})"
+    return f"SELECT shot_id, x, y, {', '.join(f'round(t + ({c} - l) * k, 5) AS {c}' for c in 'rgb')} FROM ({two})"
+
+
+@catalog.add
+def cct_estimate(d: Dialect) -> str:
+    """Correlated colour temperature of each photo's mean chromaticity, by McCamy's cubic."""
+    xyz = f"SELECT shot_id, avg(0.4124 * r + 0.3576 * g + 0.1805 * b) AS cx, avg(0.2126 * r + 0.7152 * g + 0.0722 * b) AS cy, avg(0.0193 * r + 0.1192 * g + 0.9505 * b) AS cz FROM ({rgb(d)}) GROUP BY shot_id"
+    n = f"SELECT shot_id, (cx / (cx + cy + cz) - 0.3320) / (0.1858 - cy / (cx + cy + cz)) AS n FROM ({xyz})"
+    return f"SELECT shot_id, round(449.0 * n * n * n + 3525.0 * n * n + 6823.3 * n + 5520.33, 3) AS kelvin FROM ({n})"
+
+
+@catalog.add
+def physical_pixels(d: Dialect) -> str:
+    """Haze inversion of single pixels with a bounded dark side and a highlight shoulder (fixed parameters, air 0.9)."""
+    air, keep, strength = "0.9", 0.10 + 0.45 * 0.5 + 0.10 * 0.4, "0.7"
+    src = f"SELECT shot_id, x, y, r, g, b, {LUMA} AS l, {clip('1.0 - 0.5 * least(r, g, b)', '0.3')} AS t FROM ({rgb(d)})"
+    def recovered(c: str) -> str:
+        deficit = f"greatest({air} - {c}, 0.0)"
+        loss = f"((1.0 / t - 1.0) * {deficit} * {deficit} / ({deficit} + 0.0225 + 1e-8))"
+        budget = f"({1 - keep:.6f} * {c} * {c} / ({c} + 0.108 + 1e-8) * {strength})"
+        part = f"({loss} / greatest({budget}, 1e-8))"
+        bounded = f"(CASE WHEN {part} <= 0.5 THEN {part} ELSE 1.0 - 0.5 * exp(-2.0 * greatest({part} - 0.5, 0.0)) END)"
+        lift = f"({air} + ({c} - {air}) / (t + (1.0 - t) * greatest({c} - {air}, 0.0) / 0.1))"
+        return f"CASE WHEN {c} < {air} THEN {c} - {budget} * {bounded} ELSE {lift} END AS {c}1"
+
+    one = f"SELECT *, {', '.join(map(recovered, 'rgb'))} FROM ({src})"
+    two = f"SELECT *, 0.2126 * r1 + 0.7152 * g1 + 0.0722 * b1 AS l1, sqrt((r - l) * (r - l) + (g - l) * (g - l) + (b - l) * (b - l)) AS chroma FROM ({one})"
+    three = f"SELECT *, 0.7 * (0.28 + 0.72 * 0.5) * {smooth('chroma', 0.005, 0.08)} AS w FROM ({two})"
+    out = ", ".join(f"round({clip(f'{c}1 * w + {c} * (l1 / greatest(l, 1e-6)) * (1.0 - w)')}, 5) AS {c}" for c in "rgb")
+    return f"SELECT shot_id, x, y, {out} FROM ({three})"
+
+
+@catalog.add
+def orientation_permute(d: Dialect) -> str:
+    """Pixels where a viewer sees them: orientation 2 to 8 as an index permutation."""
+    o = "(shot_id % 8 + 1)"
+    nx = f"CASE {o} WHEN 2 THEN 7 - x WHEN 3 THEN 7 - x WHEN 5 THEN y WHEN 6 THEN 7 - y WHEN 7 THEN 7 - y WHEN 8 THEN y ELSE x END"
+    ny = f"CASE {o} WHEN 3 THEN 7 - y WHEN 4 THEN 7 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 7 - x WHEN 8 THEN 7 - x ELSE y END"
+    return f"SELECT shot_id, {nx} AS x, {ny} AS y, round(r, 6) AS v FROM ({rgb(d)})"
