@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,11 +64,15 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver notice unreachable shuffles now, so that their files go before the next ones come."""
-    import gc
+    """Let the driver notice unreachable shuffles now, so that their files go before the next ones come.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The first collection lets go of what Python held, the second finds the shuffles; the cleaner works beside.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def unused_name(df: DataFrame, wish: str) -> str:

@@ -8,10 +8,12 @@ have equal names everywhere and ranks need no lookup across tasks.  Spark sorts
    smallest name.  Neighbouring strings mostly share their anchor, so one row stands for a run of positions: the
    pair (name at the anchor, name of the whole run's bytes).  Sorted by that pair, equal runs meet and all but
    those of the smallest document are settled as repeats; a run whose anchor name is unique is dropped.
-2. Length 50.  Runs that share only their anchor are laid out position by position as pairs (name32 at p,
-   name32 at p + 18), sorted again, and settled by the smallest document.
+2. Length 50.  Runs that share only their anchor are sorted by its name and document with their bytes, and each of
+   their 50-byte strings is settled by the smallest document.  The runs of an anchor that more than ``GROUP`` runs
+   share are instead laid out position by position as pairs (name32 at p, name32 at p + 18), so that no anchor has
+   to fit in one task; the pairs are sorted and settled like those of the first round.
 
-Equality thus rests on 128 bits of independent names.  Each task settles repeats among its own rows first and
+Equality rests on 128 bits of independent names, or on the bytes themselves.  Each task settles repeats among its own rows first and
 passes on only those of its smallest document, so a passage held by a third of all documents reaches a task
 about once per task.  Covered runs are removed from the texts in one last pass.
 
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_scratch, free_shuffles, materialise, parts_for
+from .common import free_shuffles, materialise, parts_for
 
-LENGTH, ANCHOR, CHUNK_BYTES, CHUNK_ROWS = 50, 16, 1 << 18, 1_500_000
+LENGTH, ANCHOR, CHUNK_BYTES, CHUNK_ROWS, GROUP = 50, 16, 1 << 18, 1_500_000, 20_000
 LAST = (1 << 63) - 1
 TAG_BITS, START_BITS, RUN_BITS = 27, 30, 6
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -142,9 +145,34 @@ class _Gather:
         if self.n and self.n >= least:
             rows, covered = _settled([np.concatenate(x) for x in zip(*self.parts, strict=True)])
             self.parts, self.n = [], 0
-            kind = np.where(covered, COVERED, OPEN)
-            for i in range(0, len(kind), 250_000):
-                yield _batch([x[i : i + 250_000] for x in rows], kind[i : i + 250_000])
+            doc, place = _merged(rows[2][covered], rows[3][covered])
+            # Settled rows only need to be spread evenly.
+            yield from _batches([pair_names(doc.view(np.uint64), place.view(np.uint64)), np.zeros_like(place), doc, place], COVERED)
+            yield from _batches([x[~covered] for x in rows], OPEN)
+
+
+def _merged(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of positions with neighbours of one text joined, as long as a packed run can be."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    size = (place & ((1 << RUN_BITS) - 1)) + 1
+    start = place >> RUN_BITS  # with the tag above it
+    apart = np.ones(len(doc), bool)
+    apart[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + size[:-1])
+    begin = np.flatnonzero(apart)
+    total = np.add.reduceat(size, begin) if len(begin) else size
+    pieces = -(-total // (1 << RUN_BITS))
+    which = np.repeat(np.arange(len(begin)), pieces)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    offset = nth << RUN_BITS
+    length = np.minimum(1 << RUN_BITS, total[which] - offset)
+    return doc[begin][which], ((start[begin][which] + offset) << RUN_BITS) | (length - 1)
+
+
+def _batches(rows: list[np.ndarray], kind: int, most: int = 250_000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows[0]), most):
+        part = [x[i : i + most] for x in rows]
+        yield _batch(part, np.full(len(part[0]), kind))
 
 
 def _anchored(length: int):
@@ -179,12 +207,16 @@ def _anchored(length: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (k1, k2, doc): COVERED rows, and as SHARED the first document's rows of each pair whose k1
+    """Over rows sorted by (k1, k2, doc): COVERED rows as they are met or found, and as SHARED the first document's rows of each pair whose k1
     other pairs of other documents share.  Holds at most one document's rows of one k1."""
     last_pair, least, known = None, 0, None
     held = [np.zeros(0, np.int64)] * 4
     for batch in batches:
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        done = batch.column(4).to_numpy(zero_copy_only=False) == COVERED
+        if done.any():
+            yield from _batches([x[done] for x in rows], COVERED)
+            rows = [x[~done] for x in rows]
         k1, k2, doc, _ = rows
         if not len(k1):
             continue
@@ -198,7 +230,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_pair, least = (k1[-1], k2[-1]), smallest[-1]
         covered = doc > smallest
         if covered.any():
-            yield _batch([x[covered] for x in rows], np.full(covered.sum(), COVERED))
+            gone, place = _merged(doc[covered], rows[3][covered])
+            yield from _batches([gone, place, gone, place], COVERED)
         mine = [np.concatenate([h, x[~covered]]) for h, x in zip(held, rows, strict=True)]
         held = [x[:0] for x in mine]
         if not len(mine[0]):
@@ -216,19 +249,79 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [x[edge[-1] :] for x in mine]
 
 
+WIDE = "k1 long, k2 long, doc long, place long, kind byte, context binary"
+
+
 def _laid_out(length: int):
+    """Of each text the bytes of its runs, or the positions of runs that are marked as crowded."""
+
+    def wide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], names=[*batch.schema.names, "context"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Gather()
         for batch in batches:
-            places = batch.column(3)
-            for i, (doc, tag, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                n32 = doubled(np.frombuffer(body.as_py(), np.uint8), 32)[32]
-                place = places[i].values.to_numpy(zero_copy_only=False)
-                start, n = (place >> RUN_BITS) & ((1 << START_BITS) - 1), (place & ((1 << RUN_BITS) - 1)) + 1
-                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.add(n32[at], n32[at + length - 32], np.full(len(at), doc), _placed(tag, at, 1))
-                yield from out.flush(CHUNK_ROWS)
-        yield from out.flush(1)
+            rows: list[tuple] = []
+            for doc, tag, body, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                crowded = np.array([m["place"] for m in marks if m["crowded"]], np.int64)
+                if len(crowded):
+                    n32 = doubled(np.frombuffer(body, np.uint8), 32)[32]
+                    start, n = _unpacked(crowded)
+                    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    out.add(n32[at], n32[at + length - 32], np.full(len(at), doc), _placed(tag, at, 1))
+                    yield from map(wide, out.flush(CHUNK_ROWS))
+                for m in marks:
+                    if not m["crowded"]:
+                        start, n = _unpacked(m["place"])
+                        rows.append((m["k1"], 0, doc, m["place"], OPEN, body[start : start + n + length - 1]))
+            if rows:
+                types = (*[pa.int64()] * 4, pa.int8(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*_names(ROWS), "context"])
+        yield from map(wide, out.flush(1))
+
+    return run
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(",")]
+
+
+def _unpacked(place):
+    """(start, positions) of packed runs."""
+    return (place >> RUN_BITS) & ((1 << START_BITS) - 1), (place & ((1 << RUN_BITS) - 1)) + 1
+
+
+def _met_again(length: int):
+    """Over rows sorted by (k1, k2, doc): the covered runs of positions, from bytes where there are any, else from names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.RecordBatch] = []
+
+        def plain() -> Iterator[pa.RecordBatch]:
+            anchor, first = None, {}  # of one anchor: the smallest document of each string
+            for batch in batches:
+                whole = batch.column(5).is_valid()
+                part = batch.filter(whole)
+                docs, places = [], []
+                for k1, doc, place, context in zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 5)), strict=True):
+                    if k1 != anchor:
+                        anchor, first = k1, {}
+                    for p in range(len(context) - length + 1):
+                        if first.setdefault(context[p : p + length], doc) < doc:
+                            docs.append(doc)
+                            places.append((((place >> RUN_BITS) + p) << RUN_BITS))
+                if docs:
+                    doc, place = _merged(np.array(docs, np.int64), np.array(places, np.int64))
+                    ready.extend(_batches([doc, place, doc, place], COVERED))
+                names = batch.filter(pc.invert(whole))
+                if names.num_rows:
+                    yield pa.RecordBatch.from_arrays(names.columns[:5], names=_names(ROWS))
+
+        for done in _met(plain()):
+            yield done
+            yield from ready
+            ready.clear()
+        yield from ready
 
     return run
 
@@ -237,39 +330,37 @@ def _keyed(df: DataFrame, text: str, row_id: str) -> DataFrame:
     return df.withColumns({"_doc": F.coalesce(F.col(row_id).cast("long"), F.lit(LAST)), "_tag": tag_of(F.col(text)).cast("long")})
 
 
-def _by_text(rows: DataFrame) -> DataFrame:
+def _by_text(rows: DataFrame, what: Column | str = "place") -> DataFrame:
     tag = F.shiftrightunsigned("place", START_BITS + RUN_BITS)
-    return rows.groupBy(F.col("doc").alias("_d"), tag.alias("_t")).agg(F.collect_list("place").alias("_places"))
+    return rows.groupBy(F.col("doc").alias("_d"), tag.alias("_t")).agg(F.collect_list(what).alias("_places"))
 
 
-def covered_runs(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def covered_runs(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(doc, place): all runs of positions whose ``length``-byte strings also start in a document with a smaller id."""
     if not 32 <= length <= 64:
         raise ValueError("length must be 32 to 64 bytes")
     spark = df.sparkSession
     texts = _keyed(df.where(F.col(text).isNotNull()), text, row_id).select("_doc", "_tag", F.col(text).cast("binary").alias("_bytes"))
     parts = parts_for(spark, 4 * df.count())
-    runs, runs_at = materialise(texts.mapInArrow(_anchored(length), ROWS), "runs")
-    met = runs.where(F.col("kind") == OPEN).drop("kind").repartition(parts, "k1").sortWithinPartitions("k1", "k2", "doc")
-    met, met_at = materialise(met.mapInArrow(_met, ROWS), "runs-met")
-    settled, settled_at = materialise(runs.where(F.col("kind") == COVERED).select("doc", "place").unionAll(met.where(F.col("kind") == COVERED).select("doc", "place")), "runs-covered")
-    drop_scratch(spark, runs_at)
-    free_shuffles(spark)
-    shared = _by_text(met.where(F.col("kind") == SHARED))
-    wide = texts.join(shared, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t"))).select("_doc", "_tag", "_bytes", "_places")
-    places, places_at = materialise(wide.mapInArrow(_laid_out(length), ROWS), "places")
-    drop_scratch(spark, met_at)
+    order = ("k1", "k2", "doc")
+    met = texts.mapInArrow(_anchored(length), ROWS).repartition(parts, "k1").sortWithinPartitions(*order).mapInArrow(_met, ROWS)
+    met, _ = materialise(met.select("k1", "doc", "place", "kind"), "runs-met")
     free_shuffles(spark)
-    final = places.where(F.col("kind") == OPEN).drop("kind").repartition(parts, "k1").sortWithinPartitions("k1", "k2", "doc")
-    final, _ = materialise(final.mapInArrow(_met, ROWS).where(F.col("kind") == COVERED).select("doc", "place").unionAll(places.where(F.col("kind") == COVERED).select("doc", "place")), "places-covered")
-    drop_scratch(spark, places_at)
+    shared = met.where(F.col("kind") == SHARED)
+    crowds = shared.groupBy(F.col("k1").alias("crowd")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("crowd")
+    marked = shared.join(crowds, F.col("k1") == F.col("crowd"), "left").select("doc", "place", "k1", F.col("crowd").isNotNull().alias("crowded"))
+    marked = _by_text(marked, F.struct("place", "k1", "crowded"))
+    wide = texts.join(marked, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t"))).select("_doc", "_tag", "_bytes", "_places")
+    final = wide.mapInArrow(_laid_out(length), WIDE).repartition(parts, "k1").sortWithinPartitions(*order).mapInArrow(_met_again(length), ROWS)
+    final, _ = materialise(final.where(F.col("kind") == COVERED).select("doc", "place"), "places-met")
     free_shuffles(spark)
-    return settled.unionAll(final)
+    return met.where(F.col("kind") == COVERED).select("doc", "place").unionAll(final)
 
 
 def spans(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal covered byte spans from packed runs."""
-    start, n = (places >> RUN_BITS) & ((1 << START_BITS) - 1), (places & ((1 << RUN_BITS) - 1)) + length
+    start, n = _unpacked(places)
+    n = n + length - 1
     order = np.argsort(start)
     out: list[list[int]] = []
     for a, b in zip(start[order].tolist(), (start + n)[order].tolist(), strict=True):
@@ -280,9 +371,9 @@ def spans(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def suffix_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """df with kept_bytes (what is left of the text) and removed (array of byte spans) added."""
-    marks = _by_text(covered_runs(df, text, row_id, length))
+    marks = _by_text(covered_runs(df, text, row_id, length, group))
     own = [c for c in df.columns if c not in ("kept_bytes", "removed")]
     joined = _keyed(df.select(*own), text, row_id).join(marks, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left")
     joined = joined.select(*own, F.col(text).cast("binary").alias("_bytes"), "_places")
