@@ -3,7 +3,7 @@
 A text is a set of paragraph digests (line by line; a long line is cut after sentence ends; the n-th repetition
 of a paragraph has a digest of its own).  Each digest is added to three cells of a sketch.  Two sketches of one
 size subtract cell by cell, what they share cancels, and peeling cells that hold one digest recovers the
-differing paragraphs.  If peeling gets stuck both sides are sketched again with twice the cells, until it ends;
+differing paragraphs.  If peeling gets stuck both sides are sketched again with four times the cells, until it ends;
 the cells a sketch needs follow the difference, not the text.
 
 Defined results: null counts as empty; two empty texts are alike (1.0), an empty and a non-empty one are not (0.0);
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import count_at_or_below, count_below, cut_points, parts_for
 
-CELLS, LONG_LINE = 12, 240
+CELLS, GROWTH, LONG_LINE = 12, 4, 240
 SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+")
 LEAST = -(1 << 63)
 
@@ -46,8 +46,8 @@ def digests(text: str) -> list[int]:
     out = []
     for p in paragraphs(text):
         n = seen[p] = seen.get(p, -1) + 1
-        out.append(xxhash.xxh3_64_intdigest(p.encode(), n))
-    return out
+        out.append(xxhash.xxh3_64_intdigest(f"{p}\0{n}" if n else p))
+    return out if len(set(out)) == len(out) else list(dict.fromkeys(out))
 
 
 class Sketch:
@@ -84,32 +84,37 @@ class Sketch:
             n, d = counts[i], keys[i]
             if n not in (1, -1) or checks[i] != (c := _check(d)):
                 continue
+            at = (d % third, third + (d >> 21) % third, 2 * third + (d >> 42) % third)
+            if i not in at:  # several digests that look like one
+                continue
             (left if n == 1 else right).append(d)
-            for j in (d % third, third + (d >> 21) % third, 2 * third + (d >> 42) % third):
+            if len(left) + len(right) > self.cells:  # more than any sketch of this size can give back
+                return None
+            for j in at:
                 counts[j] -= n
                 keys[j] ^= d
                 checks[j] ^= c
                 if counts[j] in (1, -1):
                     todo.append(j)
-        return None if any(counts) or any(keys) else (left, right)
+        return None if any(counts) or any(keys) or any(checks) else (left, right)
 
     def text(self) -> str:
         """The sketch as text: number of digests, then count, digest and check of each cell."""
         cells = zip(self.counts, self.keys, self.checks, strict=True)
-        packed = struct.pack("<I", self.n) + b"".join(struct.pack("<HQH", n & 0xFFFF, d, c) for n, d, c in cells)
+        packed = struct.pack("<I", self.n) + b"".join(struct.pack("<IQI", n & 0xFFFFFFFF, d, c) for n, d, c in cells)
         return base64.b64encode(packed).decode()
 
 
 def _check(d: int) -> int:
-    return ((d ^ (d >> 29)) * 0x9E3779B97F4A7C15 >> 48) & 0xFFFF
+    return ((d ^ (d >> 29)) * 0x9E3779B97F4A7C15 >> 32) & 0xFFFFFFFF
 
 
 def difference(a: list[int], b: list[int], cells: int = CELLS) -> tuple[list[int], list[int]]:
-    """The digests on one side only, by subtracting and peeling sketches that double until they can be peeled."""
+    """The digests on one side only, by subtracting and peeling sketches that grow until they can be peeled."""
     while abs(len(a) - len(b)) > cells:  # more than any sketch of that size can give back
-        cells *= 2
+        cells *= GROWTH
     while (got := Sketch(a, cells).minus(Sketch(b, cells)).peel()) is None:
-        cells *= 2
+        cells *= GROWTH
     return got
 
 
