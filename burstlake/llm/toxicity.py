@@ -13,6 +13,7 @@ labels of both kinds the score is the share of toxic labels (0 without labels).
 
 from __future__ import annotations
 
+import ast
 import math
 import re
 from collections import Counter
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_scratch, materialise
+
 FOLDS, MAX_ROWS, MAX_FEATURES, LEAST_DOCS = 5, 12_000, 4_000, 4
 PREFIXES = (4, 5, 6, 7)
 #: Identity terms that may stand in for each other.
@@ -64,55 +67,48 @@ def swaps(text: str) -> Iterator[tuple[set[str], set[str]]]:
                     yield have, (have - {term}) | {other}
 
 
-def _select(rows: list[tuple[set[str], int]], most: int) -> list[str]:
-    by = (Counter(), Counter())
-    for feats, label in rows:
-        by[label].update(feats)
-    n1 = sum(label for _, label in rows)
-    n0 = len(rows) - n1
-    odds = {}
-    for f in by[0].keys() | by[1].keys():
-        a, b = by[1][f], by[0][f]
-        if a + b >= LEAST_DOCS:
-            odds[f] = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-    # By how surely the odds differ from even: log odds over their rough standard error.
-    sure = {f: abs(v) / math.sqrt(1 / (by[1][f] + 0.5) + 1 / (by[0][f] + 0.5)) for f, v in odds.items()}
-    return sorted(sorted(sure), key=lambda f: -sure[f])[:most]
-
-
-def fit(
-    samples: list[tuple[str, int]], counterfactual: float = 5.0, ridge: float = 0.003, steps: int = 400, most: int = MAX_FEATURES
+def surety(pos: int, neg: int, n1: int, n0: int) -> float:
+    """How surely the odds of a feature differ from even: its log odds over their rough standard error."""
+    odds = math.log((pos + 0.5) / (n1 + 1)) - math.log((neg + 0.5) / (n0 + 1))
+    return abs(odds) / math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+
+
+def with_identity(names: list[str]) -> list[str]:
+    return names + sorted({f for term in GROUP_OF for f in word_features(term)} - set(names))
+
+
+def encode(text: str, at: dict[str, int]) -> tuple[list[int], list[tuple[tuple[int, ...], tuple[int, ...]]]]:
+    """The chosen features of a text, and for each swap in it those that go and those that come."""
+    words = tokens(text)
+    pairs = []
+    if not GROUP_OF.keys().isdisjoint(words):
+        for a, b in swaps(text):
+            x, z = text_features(a), text_features(b)
+            pairs.append(tuple(tuple(sorted(at[f] for f in s if f in at)) for s in (x - z, z - x)))
+    return sorted(at[f] for f in text_features(words) if f in at), pairs
+
+
+def train(
+    names: list[str], rows: list[list[int]], labels: list[int], pairs: Counter, counterfactual: float = 5.0, ridge: float = 3e-5, steps: int = 400
 ) -> tuple[dict[str, float], float]:
-    """(weights, bias) from (text, label) pairs."""
-    n1 = sum(label for _, label in samples)
-    if not 0 < n1 < len(samples):
-        share = n1 / len(samples) if samples else 0.0
+    """(weights, bias) of a logistic model by Adam on the full batch."""
+    n1 = sum(labels)
+    if not 0 < n1 < len(labels):
+        share = n1 / len(labels) if labels else 0.0
         return {}, math.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    rows = [(text_features(tokens(t)), label) for t, label in samples]
-    names = _select(rows, most)
-    names += sorted({f for term in GROUP_OF for f in word_features(term)} - set(names))
-    at = {f: i for i, f in enumerate(names)}
-    y = np.array([label for _, label in rows], float)
-    sparse = [sorted(at[f] for f in feats if f in at) for feats, _ in rows]
-    r = np.repeat(np.arange(len(rows)), [len(x) for x in sparse])
-    c = np.fromiter((j for x in sparse for j in x), np.int64, len(r))
-    pairs: Counter = Counter()
-    for text, _ in samples:
-        if not GROUP_OF.keys().isdisjoint(tokens(text)):
-            for a, b in swaps(text):
-                x, z = text_features(a), text_features(b)
-                gone, come = (tuple(sorted(at[f] for f in s if f in at)) for s in (x - z, z - x))
-                pairs[(gone, come)] += 1
+    y = np.array(labels, float)
+    r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    c = np.fromiter((j for x in rows for j in x), np.int64, len(r))
     weight = np.array(list(pairs.values()), float) / max(1, sum(pairs.values()))
     pr = np.array([i for i, (g, k) in enumerate(pairs) for _ in (*g, *k)], np.int64)
     pc = np.array([j for g, k in pairs for j in (*g, *k)], np.int64)
     ps = np.array([s for g, k in pairs for s in [-1.0] * len(g) + [1.0] * len(k)], float)
     w, b = np.zeros(len(names)), math.log(n1 / (len(rows) - n1))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    for step in range(1, steps + 1):  # Adam on the full batch
+    for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c], len(rows)) + b, -40, 40)))
         e = (p - y) / len(rows)
-        g = np.bincount(c, e[r], len(names)) + ridge * w / len(names) * 10
+        g = np.bincount(c, e[r], len(names)) + ridge * w
         if len(pr):
             change = np.bincount(pr, w[pc] * ps, len(weight))
             g += counterfactual * 2 * np.bincount(pc, (weight * change)[pr] * ps, len(names))
@@ -123,6 +119,65 @@ def fit(
     return {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, float(b)
 
 
+def fit(samples: list[tuple[str, int]], most: int = MAX_FEATURES, **how) -> tuple[dict[str, float], float]:
+    """(weights, bias) from (text, label) pairs that fit in memory."""
+    counts: dict[str, list[int]] = {}
+    for text, label in samples:
+        for f in text_features(tokens(text)):
+            counts.setdefault(f, [0, 0])[label] += 1
+    n1 = sum(label for _, label in samples)
+    kept = {f: surety(n[1], n[0], n1, len(samples) - n1) for f, n in counts.items() if sum(n) >= LEAST_DOCS}
+    names = with_identity(sorted(kept, key=lambda f: (-kept[f], f))[:most])
+    at = {f: i for i, f in enumerate(names)}
+    coded = [encode(t, at) for t, _ in samples]
+    return train(names, [x for x, _ in coded], [label for _, label in samples], Counter(p for _, ps in coded for p in ps), **how)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: dict[str, list[int]] = {}
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for f in text_features(tokens(text or "")):
+                counts.setdefault(f, [0, 0])[label] += 1
+        cols = [pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in (1, 0))]
+        yield pa.RecordBatch.from_arrays(cols, names=["feature", "pos", "neg"])
+
+
+def fit_sample(sample: DataFrame, most: int = MAX_FEATURES, **how) -> tuple[dict[str, float], float]:
+    """(weights, bias) from a table (text, label): features are counted and chosen by Spark, texts stay there.
+
+    The driver gets ``most`` feature names and, for each row of the bounded sample, the numbers of those it has.
+    """
+    n = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
+    n1, n0 = n["pos"], n["n"] - n["pos"]
+    if not n1 or not n0:
+        return train([], [[]] * n["n"], [1] * n1 + [0] * n0, Counter())
+    counts = sample.select("text", "label").mapInArrow(_counted, "feature string, pos long, neg long")
+    counts = counts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DOCS)
+    odds = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))
+    sure = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    names = with_identity([r["feature"] for r in counts.orderBy(F.desc(sure), "feature").limit(most).collect()])
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(names)}
+        for batch in batches:
+            got = [encode(t or "", at) for t in batch.column(0).to_pylist()]
+            flat = [np.array(x, np.int32).tobytes() for x, _ in got]
+            pairs = [repr(Counter(p).most_common()) for _, p in got]
+            cols = [batch.column(1), pa.array(flat, pa.binary()), pa.array(pairs, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["label", "feats", "pairs"])
+
+    rows = sample.select("text", "label").mapInArrow(coded, "label int, feats binary, pairs string").collect()
+    pairs: Counter = Counter()
+    for r in rows:
+        if r["pairs"] != "[]":
+            for pair, k in ast.literal_eval(r["pairs"]):
+                pairs[pair] += k
+    rows.sort(key=lambda r: (bytes(r["feats"]), r["label"]))
+    pairs = Counter(dict(sorted(pairs.items())))
+    return train(names, [np.frombuffer(r["feats"], np.int32).tolist() for r in rows], [r["label"] for r in rows], pairs, **how)
+
+
 class Scorer:
     """Scores texts with a fitted model; remembers a bounded number of words and the features they bring."""
 
@@ -157,10 +212,10 @@ def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", row_id:
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     docs = df.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
-    # At most max_rows pairs of numbers are broadcast, and their texts come to the driver.
-    train = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").toArrow().to_pylist()
-    train.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    shared = spark.sparkContext.broadcast(fit([(r["text"] or "", r["_label"]) for r in train], **how))
+    # At most max_rows pairs of numbers are broadcast.
+    sample, path = materialise(docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("_label").alias("label")), "labelled")
+    shared = spark.sparkContext.broadcast(fit_sample(sample, **how))
+    drop_scratch(spark, path)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
