@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -125,31 +124,63 @@ def _owned(a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
     return out
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the unit's two blocks; the same one twice if it is a block with itself."""
-    i, j, block = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["block"].to_numpy()
-    return np.flatnonzero(block == i), np.flatnonzero(block == j)
-
-
-def _unit_pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), TREES)
-    left, right = _sides(pdf)
-    own = _owned(keys[left], keys[right], int(pdf["tree"].iloc[0]))
-    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-        own = np.triu(own, 1)
-    return left, right, own
-
-
-def _with_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a unit that own at least one pair."""
-    left, right, own = _unit_pairs(pdf)
-    busy = np.zeros(len(pdf), bool)
-    busy[left[own.any(axis=1)]] = True
-    busy[right[own.any(axis=0)]] = True
-    return pdf[busy]
+class Rows:
+    """The columns of a batch of rows (keys, tree, block, i, j, doc, and text if there) and where its units begin."""
+
+    def __init__(self, table: pa.Table) -> None:
+        col = lambda n: table.column(n).combine_chunks()
+        self.keys = np.frombuffer(b"".join(col("keys").to_pylist()), np.int64).reshape(-1, TREES)
+        self.tree, self.block, self.i, self.j, self.doc = (col(n).to_numpy(zero_copy_only=False) for n in ("tree", "block", "i", "j", "doc"))
+        self.text = col("text").to_pylist() if "text" in table.column_names else None
+        key = np.frombuffer(b"".join(col("key").to_pylist()), np.int64)
+        new = np.zeros(len(key), bool)
+        for x in (self.tree, key, self.i, self.j):
+            new[1:] |= x[1:] != x[:-1]
+        self.starts = [0, *np.flatnonzero(new).tolist()]
+
+    def sides(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of a unit's two blocks; the same one twice if it is a block with itself."""
+        block = self.block[a:b]
+        return a + np.flatnonzero(block == self.i[a]), a + np.flatnonzero(block == self.j[a])
+
+    def pairs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left rows, right rows, which of their pairs the unit owns)."""
+        left, right = self.sides(a, b)
+        own = _owned(self.keys[left], self.keys[right], int(self.tree[a]))
+        return left, right, np.triu(own, 1) if self.i[a] == self.j[a] else own
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Rows, list[tuple[int, int]]]]:
+    """Rows sorted by unit, cut so that no unit is split: what is open at a batch's end waits for the next one."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        if table.num_rows:
+            rows = Rows(table)
+            last = rows.starts[-1]
+            yield table, rows, list(zip(rows.starts, rows.starts[1:], strict=False))
+            rest = table.slice(last)
+    if rest is not None:
+        yield rest, Rows(rest), [(0, rest.num_rows)]
+
+
+def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of units that have a part in a pair their unit owns."""
+    for table, rows, units in _whole_units(batches):
+        busy = np.zeros(table.num_rows, bool)
+        for a, b in units:
+            if b - a == 2 and rows.i[a] == rows.j[a]:
+                same = rows.keys[a] == rows.keys[a + 1]
+                busy[a:b] = same.argmax() == rows.tree[a]
+                continue
+            left, right, own = rows.pairs(a, b)
+            busy[left[own.any(axis=1)]] = True
+            busy[right[own.any(axis=0)]] = True
+        yield from table.filter(pa.array(busy)).to_batches()
 
 
-def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _shared(sets: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Numbers of shared runs of all left-right pairs, by products of 0/1 matrices over slices of the runs in both."""
     used = sorted({*left.tolist(), *right.tolist()})
     flat = np.concatenate([sets[k] for k in used])
@@ -171,14 +202,10 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 
 def _verified(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shingler = Shingler()
-        left, right, own = _unit_pairs(pdf)
-        docs = pdf["doc"].to_numpy()
-        sets = [shingler.runs(shingler.words(t)) for t in pdf["text"]]
-        size = np.array([len(s) for s in sets])
-        links = np.zeros(len(pdf), np.int64)
-        parent = list(range(len(pdf)))
+    def unit(rows: Rows, a: int, b: int, shingler: Shingler) -> tuple[list[int], list[int], list[int]]:
+        left, right, own = rows.pairs(a, b)
+        sets = {k: shingler.runs(shingler.words(rows.text[k])) for k in range(a, b)}
+        links, parent = dict.fromkeys(range(a, b), 0), list(range(b - a))
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -187,29 +214,38 @@ def _verified(threshold: float):
             return x
 
         if own.sum() > 8:
+            size = lambda side: np.array([len(sets[k]) for k in side])
             both = _shared(sets, left, right)
-            ok = own & (both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-6)
-            pairs = np.argwhere(ok)
+            found = np.argwhere(own & (both >= threshold * (size(left)[:, None] + size(right)[None, :] - both) - 1e-6))
         else:
-            pairs = []
-            for a, b in np.argwhere(own):
-                x, y = sets[left[a]], sets[right[b]]
+            found = []
+            for i, j in np.argwhere(own):
+                x, y = sets[left[i]], sets[right[j]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-                    pairs.append((a, b))
-        for a, b in pairs:
-            x, y = left[a], right[b]
-            if docs[x] == docs[y]:
+                    found.append((i, j))
+        for i, j in found:
+            x, y = int(left[i]), int(right[j])
+            if rows.doc[x] == rows.doc[y]:
                 continue
             links[x] += 1
             links[y] += 1
-            p, q = root(x), root(y)
+            p, q = root(x - a), root(y - a)
             if p != q:
-                if docs[p] > docs[q]:
+                if rows.doc[a + p] > rows.doc[a + q]:
                     p, q = q, p
                 parent[q] = p
-        near = np.flatnonzero(links)
-        return pd.DataFrame({"doc": docs[near], "links": links[near], "root": docs[[root(x) for x in near]] if len(near) else docs[:0]})
+        near = [k for k, n in links.items() if n]
+        return [int(rows.doc[k]) for k in near], [links[k] for k in near], [int(rows.doc[a + root(k - a)]) for k in near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for _, rows, units in _whole_units(batches):
+            out: tuple[list[int], ...] = ([], [], [])
+            for a, b in units:
+                for x, y in zip(out, unit(rows, a, b, shingler), strict=True):
+                    x.extend(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc", "links", "root"])
 
     return run
 
@@ -272,7 +308,7 @@ def near_classes(df: DataFrame, text: str = "text", row_id: str = "doc_id", thre
     unit = ["tree", "key", "i", "j"]
     units = busy.select("doc", "tag", "keys", "tree", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     shape = "doc long, tag long, keys binary, tree int, key binary, block int, i int, j int"
-    units, units_at = materialise(units.groupBy(*unit).applyInPandas(_with_pairs, shape), "units")
+    units, units_at = materialise(units.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_with_pairs, shape), "units")
     free_shuffles(spark)
 
     # Only now do texts move, and only those of representatives that own a pair.
@@ -280,7 +316,8 @@ def near_classes(df: DataFrame, text: str = "text", row_id: str = "doc_id", thre
     dealt = dealt.groupBy("d", "g").agg(F.collect_list("u").alias("us"))
     texts = texts.dropDuplicates(["doc", "tag"]) if _repeats(texts) else texts
     met = texts.join(dealt, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("g"))).select("doc", "text", F.explode("us").alias("u"))
-    met = met.select("doc", "text", "u.*").groupBy(*unit).applyInPandas(_verified(threshold), "doc long, links long, root long")
+    met = met.select("doc", "text", "u.*").repartition(parts, *unit).sortWithinPartitions(*unit)
+    met = met.mapInArrow(_verified(threshold), "doc long, links long, root long")
     found, found_at = materialise(met, "links")
     drop_scratch(spark, units_at)
     free_shuffles(spark)
