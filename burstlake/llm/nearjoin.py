@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, free_shuffles, materialise, parts_for
@@ -334,12 +335,25 @@ def _repeats(texts: DataFrame) -> bool:
     return not texts.groupBy("doc", "tag").count().where("count > 1").isEmpty()
 
 
-def near_join(df: DataFrame, text: str = "text", row_id: str = "doc_id", **how) -> DataFrame:
-    """df with copy_of, n_links and near_of (the row's own id and 0 where a text matches nothing); clashes are replaced."""
+def _joined(df: DataFrame, text: str, row_id: str, **how) -> DataFrame:
+    """df with its keys _d and _t, copy_of, n_links and near_of; one exchange of df, by the keys."""
     names = ("copy_of", "n_links", "near_of")
     own = [c for c in df.columns if c not in names]
     got = near_classes(df, text, row_id, **how).dropDuplicates(["doc", "tag"]).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), *names)
+    free_shuffles(df.sparkSession)
     keyed = df.select(*own, F.coalesce(F.col(row_id).cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_t"))
     joined = keyed.join(got, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_tag")), "left")
-    own_id = F.col("_d")
-    return joined.select(*own, F.coalesce("copy_of", own_id).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("near_of", own_id).alias("near_of"))
+    links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return joined.select(*own, "_d", "_t", F.coalesce("copy_of", "_d").alias("copy_of"), links, F.coalesce("near_of", "_d").alias("near_of"))
+
+
+def near_join(df: DataFrame, text: str = "text", row_id: str = "doc_id", **how) -> DataFrame:
+    """df with copy_of, n_links and near_of (the row's own id and 0 where a text matches nothing); clashes are replaced."""
+    return _joined(df, text, row_id, **how).drop("_d", "_t")
+
+
+def one_of_each(df: DataFrame, text: str = "text", row_id: str = "doc_id", **how) -> DataFrame:
+    """The row of smallest id of each group of linked texts, once if it is repeated; rows without an id all stay."""
+    nth = F.row_number().over(W.partitionBy("_d", "_t").orderBy("_t"))
+    first = _joined(df, text, row_id, **how).withColumn("_n", nth)
+    return first.where(F.col(row_id).isNull() | ((F.col("_d") == F.col("near_of")) & (F.col("_n") == 1))).select(*df.columns)
