@@ -22,10 +22,8 @@ def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies (and one row of each repeated row)."""
-    near = nearjoin.near_join(docs.select(*COLUMNS))
-    first = near.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("near_of")))
-    return first.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """The document of smallest id of each group of near copies, once if its row is repeated."""
+    return nearjoin.one_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
