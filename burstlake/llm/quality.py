@@ -31,7 +31,8 @@ COMMON = {
 }
 WIDTH = 8
 CHAR_GUARD, WORD_GUARD = 200, 60
-CHAR_LIMIT, WORD_LIMIT = 0.32, 0.40
+#: Eight words that hold 13 to 14 % of a language's words put a text with none of them 0.266 to 0.275 from its reference.
+CHAR_LIMIT, WORD_LIMIT = 0.32, 0.25
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

@@ -128,6 +128,17 @@ def test_quality_rejects_another_distribution(spark, rng, empty):
     assert quality.divergence_rules(empty).count() == 0
 
 
+def test_quality_rejects_a_text_without_common_words(spark, rng):
+    plain = [words(rng, 140).split() for _ in range(61)]
+    for w in plain[:60]:
+        w[::7] = [rng.choice(quality.COMMON["en"]) for _ in w[::7]]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "a", 0) for i, w in enumerate(plain)], SCHEMA)
+    got = quality.divergence_rules(docs).toPandas().set_index("doc_id")
+    assert got["kept"].loc[list(range(60))].all() and not got["kept"].loc[60]
+    assert not got["base_failed"].loc[60] and got["char_distance"].loc[60] < quality.CHAR_LIMIT
+    assert quality.divergence_rules(docs, word_limit=0.40).where("kept").count() == 61
+
+
 def test_js_distance(spark):
     row = spark.range(1).select(quality.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("far"), quality.js_distance(F.array(F.lit(0.3), F.lit(0.7)), F.array(F.lit(0.3), F.lit(0.7))).alias("same")).first()
     assert abs(row["far"] - 1) < 1e-12 and row["same"] == 0
