@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SPAN, MIN_WORDS, CHUNK = 2, 20, 1_000_000
+SPAN, MIN_WORDS, CHUNK = 2, 10, 1_000_000
 #: Where a new sentence starts: after an end mark and white space, after a line break, or at a capitalised word.
 STARTS = re.compile(r"(?:(?<=[.!?])[ \t\n\x0b\x0c\r]+|\n+|(?<=[ \t\x0b\x0c\r])(?=[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ ]))")
 LAST = (1 << 63) - 1

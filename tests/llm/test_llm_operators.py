@@ -442,6 +442,15 @@ def test_span_dedup(spark, rng, mess, empty):
     assert all("".join(sentences.sentences(t)) == t for t in texts if t)
 
 
+def test_span_dedup_of_a_passage_cut_mid_sentence(spark, rng):
+    whole = f"{words(rng, 10).capitalize()}. Ends here. "
+    passage = f"{words(rng, 30)}. {whole}Then {words(rng, 29)}"
+    docs = frame(spark, [f"{words(rng, 9).capitalize()} {passage} {words(rng, 9)}." for _ in range(3)])
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["text"] for r in sentences.span_dedup(docs).collect()}
+    assert got == {0: before[0], **{i: before[i].replace(whole, "") for i in (1, 2)}}
+
+
 # ---- pipeline ----
 
 
