@@ -2,16 +2,16 @@
 
 A text is cut after sentence ends and line breaks and before a capitalised word (a passage pasted into a sentence
 starts there); every character belongs to exactly one piece, so what is kept is a plain concatenation.  From each
-sentence on, the run of the fewest sentences, ``span`` at least, with ``min_words`` words is named by a 128-bit hash
-of its words.  The first place (by doc_id, then place) of a run stays, and every sentence covered by any later
-place of it is removed.
+sentence on, and back from each, the run of the fewest sentences, ``span`` at least, with ``min_words`` words is
+named by a 128-bit hash of its words; together these cover every longer run that repeats.  The first place (by
+doc_id, then place) of a run stays, and every sentence covered by any later place of it is removed.
 
 Each task settles what repeats among its own rows and passes on one place of each run, so a run that a third of
 all documents hold meets in one task at most once per task.
 
 Defined results: null texts have no sentences and stay null, empty texts stay empty; rows of one doc_id are told
 apart and ordered by their text, and full repetitions of a row are treated like that row; null ids come last;
-a run that reaches the end of a text short of ``min_words`` is not named; clashing columns are carried.
+a text short of ``min_words`` or ``span`` has no run; clashing columns are carried.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(pieces: list[str], span: int, min_words: int) -> list[tuple[int, int, int]]:
-    """(first sentence, number of sentences, 128-bit name) of the run that starts at each sentence."""
+    """(first sentence, number of sentences, 128-bit name) of the shortest runs that start and that end at each sentence."""
     words = [p.split() for p in pieces]
     counts = [len(w) for w in words]
     joined = [" ".join(w) for w in words]
-    out, end, total = [], 0, 0
+    found, end, total = set(), 0, 0
     for i in range(len(pieces)):
         while end < len(pieces) and (end - i < span or total < min_words):
             total += counts[end]
@@ -53,9 +53,18 @@ def runs(pieces: list[str], span: int, min_words: int) -> list[tuple[int, int, i
         if end - i < span or total < min_words:
             break
         if counts[i]:
-            out.append((i, end - i, xxhash.xxh3_128_intdigest(" ".join(joined[i:end]))))
+            found.add((i, end))
         total -= counts[i]
-    return out
+    start, total = len(pieces), 0
+    for end in range(len(pieces), 0, -1):
+        while start > 0 and (end - start < span or total < min_words or not counts[start]):
+            start -= 1
+            total += counts[start]
+        if end - start < span or total < min_words or not counts[start]:
+            break
+        found.add((start, end))
+        total -= counts[end - 1]
+    return [(i, end - i, xxhash.xxh3_128_intdigest(" ".join(joined[i:end]))) for i, end in sorted(found)]
 
 
 def tag_of(text: Column) -> Column:

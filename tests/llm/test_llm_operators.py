@@ -451,6 +451,35 @@ def test_span_dedup_of_a_passage_cut_mid_sentence(spark, rng):
     assert got == {0: before[0], **{i: before[i].replace(whole, "") for i in (1, 2)}}
 
 
+def brute_all_runs(texts, span, min_words):
+    """Kept texts if every run of ``span`` sentences or more with ``min_words`` words or more is named."""
+    first, places = {}, []
+    for doc, text in enumerate(texts):
+        pieces = [p.split() for p in sentences.sentences(text)]
+        for i in range(len(pieces)):
+            for k in range(i + span, len(pieces) + 1):
+                run = [w for p in pieces[i:k] for w in p]
+                if pieces[i] and len(run) >= min_words:
+                    places.append((doc, i, k, " ".join(run)))
+                    first.setdefault(" ".join(run), (doc, i))
+    gone = {(doc, j) for doc, i, k, name in places if first[name] != (doc, i) for j in range(i, k)}
+    return ["".join(p for j, p in enumerate(sentences.sentences(t)) if (doc, j) not in gone) for doc, t in enumerate(texts)]
+
+
+def test_span_dedup_covers_all_runs(spark, rng):
+    piece = lambda n: words(rng, n).capitalize() + ". "
+    tail = piece(25) + piece(15) + piece(3)
+    pool = [piece(rng.choice([1, 3, 6, 15, 25])) for _ in range(40)]
+    texts = [piece(30) + tail + piece(30), piece(30) + tail + piece(30), piece(30) + tail.strip()]
+    for _ in range(80):
+        a = rng.randrange(35)
+        texts.append("".join([*(piece(rng.randint(1, 20)) for _ in range(rng.randint(0, 2))), *pool[a : a + rng.randint(1, 5)], *(piece(8) for _ in range(rng.randint(0, 2)))]))
+    want = brute_all_runs(texts, 2, 20)
+    assert all(p not in want[i] for i in (1, 2) for p in sentences.sentences(tail.strip()))
+    got = {r["doc_id"]: r["text"] for r in sentences.span_dedup(frame(spark, texts), span=2, min_words=20).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ---- pipeline ----
 
 
