@@ -75,3 +75,18 @@ def test_registry(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 100
     assert entry.entry(spark).count() > 0
+
+
+def test_box_filter_reads_every_image(spark, sf_dir):
+    import __spark_entry__ as entry
+    from burstlake.plans.dialect import SPARK
+    from burstlake.plans.views import rgb
+
+    got = entry.queries()["box_filter_reflect"](spark, sf_dir).toPandas()
+    planes = {}
+    for r in spark.sql(rgb(SPARK)).collect():
+        planes.setdefault(r["shot_id"], np.zeros((8, 8)))[r["y"], r["x"]] = 0.2126 * r["r"] + 0.7152 * r["g"] + 0.0722 * r["b"]
+    assert len(got) == 64 * len(planes) and set(got["shot_id"]) == set(planes)
+    wide = {k: np.pad(v, 1, mode="reflect") for k, v in planes.items()}
+    want = [wide[s][y : y + 3, x : x + 3].mean() for s, x, y in zip(got["shot_id"], got["x"], got["y"], strict=True)]
+    assert np.allclose(got["mean"], want, atol=1e-6)
