@@ -101,10 +101,10 @@ def curves(points: DataFrame) -> DataFrame:
     return points.groupBy("folder").applyInPandas(one, "folder int, knot int, x double, y double")
 
 
-def train_head(samples: DataFrame, hidden: int = 32, steps: int = 200, rate: float = 0.01, seed: int = 42) -> DataFrame:
+def train_head(samples: DataFrame, hidden: int = 256, steps: int = 200, rate: float = 0.01, seed: int = 42) -> DataFrame:
     """step, loss of a two-layer ReLU head with softmax loss and Adam on labelled vectors (embedding, label 0 or 1).
 
-    Exactness of one sequence of steps needs one group; samples are the bounded set of labelled photos.
+    Exactness of one sequence of steps needs one group: all samples are in the memory of one task.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -87,5 +87,5 @@ def curve_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("int").alias("label"))
+    got = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("int").alias("label"))
     return iterative.train_head(got)

@@ -90,3 +90,18 @@ def test_box_filter_reads_every_image(spark, sf_dir):
     wide = {k: np.pad(v, 1, mode="reflect") for k, v in planes.items()}
     want = [wide[s][y : y + 3, x : x + 3].mean() for s, x, y in zip(got["shot_id"], got["x"], got["y"], strict=True)]
     assert np.allclose(got["mean"], want, atol=1e-6)
+
+
+def test_training_reads_every_labelled_vector(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 8)], None if i == 9 else i % 10) for i in range(41)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["mlp_train"](spark, str(tmp_path)).collect()
+    x, y = np.array([r[1] for r in rows if r[2] is not None]), np.array([int(r[2] < 5) for r in rows if r[2] is not None])
+    draw = np.random.default_rng(42)
+    a, b = draw.normal(0, 8**-0.5, (8, 256)), draw.normal(0, 256**-0.5, (256, 2))
+    z = np.maximum(x.astype(np.float32) @ a, 0) @ b
+    first = -(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(y)), y].mean()
+    assert got[0]["step"] == 1 and abs(got[0]["loss"] - first) < 2e-4 and got[-1]["loss"] < got[0]["loss"]
