@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What str.split() takes for white space beside these.
+ODD_SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,53 +40,96 @@ def md5_60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text in order, in Python; str.split() is the faster way where it cuts at the same places."""
+    return WORD.findall(text) if any(c in text for c in ODD_SPACES) else text.split()
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is set only where none is named."""
+    """The shared folder of spark.checkpoint.dir.
+
+    Where it is unset a temporary folder serves a session in one process; on a cluster that would be another
+    folder on each machine, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="burstlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Scratch tables and folders that were made and not yet deleted.
+_live: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/burstlake/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/burstlake/{name}-{uuid.uuid4().hex}"
+    _live.add(path)
+    return path
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark's own policy for what runs inside: the shuffle files of a job go when the job has ended."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: lineage is cut and nothing depends on one executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _delete(context: SparkContext, path: str) -> None:
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    _live.discard(path)
+
+
 def drop_scratch(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more, through the file system that holds them."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark.sparkContext, path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver notice unreachable shuffles now, so that their files go before the next ones come.
+def clear_scratch() -> None:
+    """Delete all scratch tables of this process.  Results that are not written yet may read them: call it last.
 
-    The first collection lets go of what Python held, the second finds the shuffles; the cleaner works beside.
+    It runs by itself when the driver ends with its session still open.
     """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def unused_name(df: DataFrame, wish: str) -> str:
-    """A column name that does not clash with df's."""
-    have = {c.lower() for c in df.columns}
-    while wish.lower() in have:
-        wish = f"_{wish}"
-    return wish
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        for path in sorted(_live):
+            _delete(context, path)
+
+
+atexit.register(clear_scratch)
+
+
+def own_columns(df: DataFrame, *added: str) -> list[str]:
+    """The columns of df but those that the named ones replace; names are compared as Spark compares them."""
+    gone = {c.lower() for c in added}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def boxed(df: DataFrame, columns: list[str], **keys: Column) -> DataFrame:
+    """A struct ``row`` of these columns beside the given ones, so that no name of df can clash with them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(None).cast("int").alias("none"))
+    return df.select(row.alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
+def unboxed(columns: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in columns]
 
 
 def cut_points(df: DataFrame, key: str, parts: int) -> list[int]:
