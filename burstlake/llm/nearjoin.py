@@ -1,39 +1,45 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
 
-Each text is the set of its runs of five lower-cased words.  Equal word sequences are one class with the smallest
-id as representative; only representatives are joined.  A representative has ``TREES`` labels of ``DEPTH`` MinHash
-values each; a tree is the sorted list of one label of all texts, and texts with a common label prefix are
-neighbours in it.  The matched prefix is shortened from the full depth until pairs at the threshold meet in some
-tree with at least the target recall (1 - (1 - s^d)^TREES).
-
-Neighbours of one prefix form a bucket.  A pair may share buckets in several trees; it belongs to the first, which
-both sides' labels tell without any exchange.  Buckets are dealt in blocks: a bucket of more than ``BLOCK`` texts is
-cut by a hash and each pair of its blocks is one unit of work, so no group has to fit in one task.  Units learn first
-from the labels alone whether they own any pair; only texts that have one go on to exact verification, where all
-owned pairs of a unit are compared (shared runs of a large unit are counted by matrix products).  Units return the
-number of links of each text and a spanning set of links, never the pairs.  Classes of linked texts come from
-contracting those links in rounds of distributed hooking and pointer jumping.
-
-Defined results: null and empty texts, and texts without a word, match nothing; texts of one to four words are one
-run as a whole; copies share their representative's links; rows of one id are one document with all of their
-texts (its links are those of any of them); null ids are the largest id.
+Each text is the set of its runs of five lower-cased words.  Equal word sequences are one class with the row of
+smallest id as representative; only representatives are joined.  A representative has ``TREES`` labels of ``DEPTH``
+MinHash values each.  A tree of the forest is the prefix trie of one label of all representatives; Spark groups the
+labels by their prefix of d values, so one grouping is one level of all tries.
+
+The matched prefix starts at the full depth and is shortened level by level.  A level takes the trie nodes that
+have more than one child (at the first level: more than one label); the pairs that meet there for the first time,
+in this tree and on this level, are verified.  After each level the recall is measured on the pairs found so far:
+a pair of similarity s was found with probability p = 1 - (1 - s^d)^TREES, so the found pairs stand for the sum of
+their 1 / p.  Shortening ends when found / that sum reaches the target recall, or at the depth that gives it
+to every pair at the threshold.
+
+Members of a node are dealt in blocks: a node of more than ``BLOCK`` texts, or of very long ones, is cut by a hash and
+each pair of its blocks is one unit of work, so no group has to fit in one task.  Units learn first from the labels
+alone whether they own any pair; only texts that have one go on to exact verification in integers, where all owned
+pairs of a unit are compared.  Units return the number of links of each text and a spanning set of links, never the
+pairs.  Classes of linked texts come from contracting those links in rounds of distributed hooking and pointer jumping.
+
+Defined results: null and empty texts, and texts without a word, match nothing and are their own representative;
+texts of one to four words are one run as a whole; copies share their representative's links; rows of one id with
+different texts are different texts; rows without an id link like others and come after them, so a representative
+has no id only where none of its group has one; columns that clash with the added ones are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, free_shuffles, materialise, parts_for
+from .common import boxed, drop_scratch, materialise, own_columns, parts_for, split_words, unboxed
 
-WORDS, THRESHOLD, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 20, 6, 0.9999, 512
-LAST = (1 << 63) - 1
+WORDS, THRESHOLD, TREES, DEPTH, RECALL, BLOCK, BLOCK_RUNS = 5, 0.8, 20, 6, 0.9999, 512, 2_000_000
+BINS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(5)
 MULTIPLIERS = _rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,7 +63,7 @@ class Shingler:
         return got
 
     def words(self, text: str) -> np.ndarray:
-        split = text.lower().split()
+        split = split_words(text.lower())
         return np.fromiter(map(self._word, split), np.uint64, len(split))
 
     @staticmethod
@@ -75,110 +81,127 @@ class Shingler:
         return np.unique(h)
 
 
-def signature(runs: np.ndarray) -> np.ndarray:
-    """TREES x DEPTH MinHash values, computed over blocks so that long texts need no more memory."""
+def label(runs: np.ndarray) -> np.ndarray:
+    """TREES x DEPTH MinHash values of 16 bits, computed over blocks so that long texts need no more memory."""
     best = np.full(len(MULTIPLIERS), (1 << 64) - 1, np.uint64)
     for i in range(0, len(runs), 512):
         h = np.multiply.outer(MULTIPLIERS, runs[i : i + 512])
         h += OFFSETS[:, None]
         np.minimum(best, h.min(axis=1), out=best)
-    return (best >> np.uint64(32)).reshape(TREES, DEPTH)
+    # The high bits of a minimum are small for many runs; a multiplication spreads all bits.
+    return ((best * MIX) >> np.uint64(48)).astype("<u2").reshape(TREES, DEPTH)
 
 
-def matched_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs of the threshold still meet with the target recall."""
+def meets(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
+    """How likely a pair of that similarity shares a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def last_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix at which even pairs at the threshold meet with the target recall."""
     depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
+    while depth > 1 and meets(threshold, depth) < recall:
         depth -= 1
     return depth
 
 
-def prefix_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    h = np.arange(TREES, dtype=np.uint64) + np.uint64(1)
+def measured_recall(found: dict[int, int], depth: int, threshold: float) -> float | None:
+    """The share of all pairs that those found down to ``depth`` are, from their numbers by similarity bin."""
+    n = sum(found.values())
+    low = {k: threshold + (1 - threshold) * k / BINS for k in found}
+    return n / sum(v / meets(low[k], depth) for k, v in found.items()) if n else None
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler()
+    for batch in batches:
+        names, labels, sizes = [], [], []
+        for text in batch.column(3).to_pylist():
+            words = shingler.words(text)
+            runs = shingler.runs(words)
+            names.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
+            labels.append(label(runs).tobytes() if len(words) else None)
+            sizes.append(len(runs))
+        cols = [*batch.columns[:3], pa.array(names, pa.binary()), pa.array(labels, pa.binary()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["none", "doc", "tag", "name", "label", "runs"])
+
+
+def _prefix_names(labels: np.ndarray, depth: int) -> np.ndarray:
+    """One 64-bit name for each text and tree of the label's first ``depth`` values."""
+    h = np.zeros(labels.shape[:2], np.uint64)
     for k in range(depth):
         h *= MIX
         h ^= h >> np.uint64(31)
-        h += sig[:, k]
-    return (h * MIX).view(np.int64)
-
-
-def _labels(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            names, keys = [], []
-            for text in batch.column(2).to_pylist():
-                words = shingler.words(text)
-                names.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
-                keys.append(prefix_keys(signature(shingler.runs(words)), depth).tobytes() if len(words) else None)
-            cols = [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "name", "keys"])
-
-    return run
-
-
-def _owned(a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
-    """Which pairs (row of a, row of b) meet in ``tree`` and in none before."""
-    out = a[:, tree][:, None] == b[:, tree][None, :]
-    for t in range(tree):
-        out &= a[:, t][:, None] != b[:, t][None, :]
-    return out
+        h += labels[:, :, k].astype(np.uint64) + np.uint64(1)
+    return h
 
 
 class Rows:
-    """The columns of a batch of rows (keys, tree, block, i, j, doc, and text if there) and where its units begin."""
+    """The columns of a batch of rows (label, tree, block, i, j, name, and text if there) and where its units begin."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, depth: int) -> None:
         col = lambda n: table.column(n).combine_chunks()
-        self.keys = np.frombuffer(b"".join(col("keys").to_pylist()), np.int64).reshape(-1, TREES)
-        self.tree, self.block, self.i, self.j, self.doc = (col(n).to_numpy(zero_copy_only=False) for n in ("tree", "block", "i", "j", "doc"))
+        labels = np.frombuffer(b"".join(col("label").to_pylist()), "<u2").reshape(-1, TREES, DEPTH)
+        self.keys = _prefix_names(labels, depth)
+        self.deeper = _prefix_names(labels, depth + 1) if depth < DEPTH else None
+        self.tree, self.block, self.i, self.j = (col(n).to_numpy(zero_copy_only=False) for n in ("tree", "block", "i", "j"))
+        self.name = col("name").to_pylist()
         self.text = col("text").to_pylist() if "text" in table.column_names else None
-        key = np.frombuffer(b"".join(col("key").to_pylist()), np.int64)
+        key = np.frombuffer(b"".join(col("key").to_pylist()), "<u2").reshape(-1, depth)
         new = np.zeros(len(key), bool)
-        for x in (self.tree, key, self.i, self.j):
+        new[1:] = (key[1:] != key[:-1]).any(axis=1)
+        for x in (self.tree, self.i, self.j):
             new[1:] |= x[1:] != x[:-1]
         self.starts = [0, *np.flatnonzero(new).tolist()]
 
-    def sides(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of a unit's two blocks; the same one twice if it is a block with itself."""
-        block = self.block[a:b]
-        return a + np.flatnonzero(block == self.i[a]), a + np.flatnonzero(block == self.j[a])
-
     def pairs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(left rows, right rows, which of their pairs the unit owns)."""
-        left, right = self.sides(a, b)
-        own = _owned(self.keys[left], self.keys[right], int(self.tree[a]))
-        return left, right, np.triu(own, 1) if self.i[a] == self.j[a] else own
+        """(left rows, right rows, which of their pairs the unit owns): those that meet in its tree, in none before it and nowhere deeper."""
+        block = self.block[a:b]
+        left, right = a + np.flatnonzero(block == self.i[a]), a + np.flatnonzero(block == self.j[a])
+        tree = int(self.tree[a])
+        own = np.ones((len(left), len(right)), bool)
+        if self.i[a] == self.j[a]:
+            own = np.triu(own, 1)
+        if self.deeper is not None:
+            own &= self.deeper[left, tree][:, None] != self.deeper[right, tree][None, :]
+        for t in range(TREES):
+            if not own.any():
+                break
+            if t < tree:
+                own &= self.keys[left, t][:, None] != self.keys[right, t][None, :]
+            elif self.deeper is not None:
+                own &= self.deeper[left, t][:, None] != self.deeper[right, t][None, :]
+        return left, right, own
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Rows, list[tuple[int, int]]]]:
+def _whole_units(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[pa.Table, Rows, list[tuple[int, int]]]]:
     """Rows sorted by unit, cut so that no unit is split: what is open at a batch's end waits for the next one."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]) if rest is not None else table
         if table.num_rows:
-            rows = Rows(table)
+            rows = Rows(table, depth)
             last = rows.starts[-1]
             yield table, rows, list(zip(rows.starts, rows.starts[1:], strict=False))
             rest = table.slice(last)
     if rest is not None:
-        yield rest, Rows(rest), [(0, rest.num_rows)]
+        yield rest, Rows(rest, depth), [(0, rest.num_rows)]
 
 
-def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_pairs(depth: int):
     """The rows of units that have a part in a pair their unit owns."""
-    for table, rows, units in _whole_units(batches):
-        busy = np.zeros(table.num_rows, bool)
-        for a, b in units:
-            if b - a == 2 and rows.i[a] == rows.j[a]:
-                same = rows.keys[a] == rows.keys[a + 1]
-                busy[a:b] = same.argmax() == rows.tree[a]
-                continue
-            left, right, own = rows.pairs(a, b)
-            busy[left[own.any(axis=1)]] = True
-            busy[right[own.any(axis=0)]] = True
-        yield from table.filter(pa.array(busy)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, rows, units in _whole_units(batches, depth):
+            busy = np.zeros(table.num_rows, bool)
+            for a, b in units:
+                left, right, own = rows.pairs(a, b)
+                busy[left[own.any(axis=1)]] = True
+                busy[right[own.any(axis=0)]] = True
+            yield from table.filter(pa.array(busy)).to_batches()
+
+    return run
 
 
 def _shared(sets: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -191,19 +214,21 @@ def _shared(sets: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) ->
     owner, column = owner[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
     row = {k: n for n, k in enumerate(used)}
     a, b = ([row[k] for k in side.tolist()] for side in (left, right))
-    total = np.zeros((len(left), len(right)), np.float32)
+    total = np.zeros((len(left), len(right)), np.int64)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     for lo in range(0, int(common.sum()), 4096):
         s, e = np.searchsorted(column, (lo, lo + 4096))
-        m = np.zeros((len(used), 4096), np.float32)
+        m = np.zeros((len(used), 4096), np.float32)  # sums of at most 4,096 ones are exact
         m[owner[s:e], column[s:e] - lo] = 1
-        total += m[a] @ m[b].T
+        total += (m[a] @ m[b].T).astype(np.int64)
     return total
 
 
-def _verified(threshold: float):
-    def unit(rows: Rows, a: int, b: int, shingler: Shingler) -> tuple[list[int], list[int], list[int]]:
+def _verified(depth: int, threshold: float):
+    least = Fraction(str(threshold))
+
+    def unit(rows: Rows, a: int, b: int, shingler: Shingler, bins: np.ndarray) -> tuple[list[bytes], list[int], list[bytes]]:
         left, right, own = rows.pairs(a, b)
         sets = {k: shingler.runs(shingler.words(rows.text[k])) for k in range(a, b)}
         links, parent = dict.fromkeys(range(a, b), 0), list(range(b - a))
@@ -214,39 +239,39 @@ def _verified(threshold: float):
                 x = parent[x]
             return x
 
-        if own.sum() > 8:
-            size = lambda side: np.array([len(sets[k]) for k in side])
-            both = _shared(sets, left, right)
-            found = np.argwhere(own & (both >= threshold * (size(left)[:, None] + size(right)[None, :] - both) - 1e-6))
+        at = np.argwhere(own)
+        if len(at) > 8:
+            both = _shared(sets, left, right)[own]
         else:
-            found = []
-            for i, j in np.argwhere(own):
-                x, y = sets[left[i]], sets[right[j]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-                    found.append((i, j))
-        for i, j in found:
+            both = np.array([len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True)) for i, j in at], np.int64)
+        size = lambda side: np.array([len(sets[k]) for k in side], np.int64)
+        either = size(left[at[:, 0]]) + size(right[at[:, 1]]) - both if len(at) else both
+        near = least.denominator * both >= least.numerator * either
+        share = (both[near] / either[near] - threshold) / (1 - threshold) if threshold < 1 else both[near]
+        bins += np.bincount(np.clip((share * BINS).astype(np.int64), 0, BINS), minlength=BINS + 1)
+        for i, j in at[near]:
             x, y = int(left[i]), int(right[j])
-            if rows.doc[x] == rows.doc[y]:
-                continue
             links[x] += 1
             links[y] += 1
             p, q = root(x - a), root(y - a)
             if p != q:
-                if rows.doc[a + p] > rows.doc[a + q]:
-                    p, q = q, p
-                parent[q] = p
-        near = [k for k, n in links.items() if n]
-        return [int(rows.doc[k]) for k in near], [links[k] for k in near], [int(rows.doc[a + root(k - a)]) for k in near]
+                parent[max(p, q)] = min(p, q)
+        got = [k for k, n in links.items() if n]
+        return [rows.name[k] for k in got], [links[k] for k in got], [rows.name[a + root(k - a)] for k in got]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for _, rows, units in _whole_units(batches):
-            out: tuple[list[int], ...] = ([], [], [])
+        shingler, bins = Shingler(), np.zeros(BINS + 1, np.int64)
+        for _, rows, units in _whole_units(batches, depth):
+            out: tuple[list, ...] = ([], [], [])
             for a, b in units:
-                for x, y in zip(out, unit(rows, a, b, shingler), strict=True):
+                for x, y in zip(out, unit(rows, a, b, shingler, bins), strict=True):
                     x.extend(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc", "links", "root"])
+            yield batch_of(*out, [None] * len(out[0]))
+        yield batch_of([None], [None], [None], [bins.tolist()])
+
+    def batch_of(*columns: list) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["name", "links", "root", "bins"])
 
     return run
 
@@ -279,81 +304,105 @@ def components(edges: DataFrame) -> DataFrame:
         new_nodes, new_nodes_at = materialise(nodes.join(a, F.col("root") == F.col("xa"), "left").select("node", F.coalesce("pa", "root").alias("root")), "nodes")
         drop_scratch(spark, at, hooks_at, nodes_at)
         edges, at, nodes, nodes_at = new_edges, new_at, new_nodes, new_nodes_at
+    drop_scratch(spark, at)
     return nodes
 
 
-def near_classes(df: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc, tag, copy_of, n_links, near_of): one row per id and text of df that has a word.
-
-    doc is the id (the largest one for null), tag some bits of the text's hash, copy_of the smallest id with the same
-    words, n_links the number of other such ids within the threshold, near_of the smallest id that links connect to it.
-    """
-    spark = df.sparkSession
-    key = F.coalesce(F.col(row_id).cast("long"), F.lit(LAST))
-    texts = df.where(F.col(text).isNotNull()).select(key.alias("doc"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
-    shape = "doc long, tag long, name binary, keys binary"
-    rows, _ = materialise(texts.mapInArrow(_labels(matched_depth(threshold, recall)), shape).where("name IS NOT NULL"), "labels")
-    parts = parts_for(spark, 4 * rows.count())
-    first = F.min(F.struct("doc", "tag", "keys")).alias("r")
-    reps, _ = materialise(rows.groupBy("name").agg(first).select("name", "r.*"), "classes")
-
-    label = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("keys", t * 8 + 1, F.lit(8))))
-    placed = reps.select("doc", "tag", label.alias("tree", "key"))
-    crowd = placed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowd = crowd.select(F.col("tree").alias("t"), F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    busy = placed.join(crowd, (F.col("tree") == F.col("t")) & (F.col("key") == F.col("k"))).select("doc", "tag", "tree", "key", "blocks")
-    labels = reps.select(F.col("doc").alias("d"), F.col("tag").alias("g"), "keys")
-    busy = busy.join(labels, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("g"))).drop("d", "g")
-    block = F.pmod(F.xxhash64("doc", "tag", F.lit("block")), F.col("blocks")).cast("int")
-    busy = busy.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _level(reps: DataFrame, texts: DataFrame, depth: int, threshold: float, parts: int) -> tuple[DataFrame, str]:
+    """Links (name, links, root, bins) of the pairs that first meet at prefixes of ``depth`` values."""
+    part = lambda n: F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("label", t * (2 * DEPTH) + 1, F.lit(2 * n)))
+    placed = reps.select("name", "runs", F.posexplode(F.arrays_zip(part(depth).alias("key"), part(min(DEPTH, depth + 1)).alias("child"))).alias("tree", "p"))
+    placed = placed.select("name", "runs", "tree", "p.key", "p.child")
+    nodes = placed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("all"), (F.min("child") != F.max("child")).alias("forks"))
+    nodes = nodes.where("n > 1" if depth == DEPTH else "forks")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_RUNS)).cast("int")
+    nodes = nodes.select(F.col("tree").alias("t"), F.col("key").alias("k"), blocks.alias("blocks"))
+    busy = placed.join(nodes, (F.col("tree") == F.col("t")) & (F.col("key") == F.col("k"))).select(F.col("name").alias("m"), "tree", "key", "blocks")
+    busy = busy.join(reps.select("name", "doc", "none", "tag", "label"), F.col("m") == F.col("name")).drop("m")
+    busy = busy.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = ["tree", "key", "i", "j"]
-    units = busy.select("doc", "tag", "keys", "tree", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    shape = "doc long, tag long, keys binary, tree int, key binary, block int, i int, j int"
-    units, units_at = materialise(units.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_with_pairs, shape), "units")
-    free_shuffles(spark)
+    units = busy.select("none", "doc", "tag", "name", "label", "tree", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    shape = "none boolean, doc long, tag long, name binary, label binary, tree int, key binary, block int, i int, j int"
+    units, units_at = materialise(units.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_with_pairs(depth), shape), "units")
 
     # Only now do texts move, and only those of representatives that own a pair.
-    dealt = units.select(F.struct("keys", "tree", "key", "block", "i", "j").alias("u"), F.col("doc").alias("d"), F.col("tag").alias("g"))
-    dealt = dealt.groupBy("d", "g").agg(F.collect_list("u").alias("us"))
-    texts = texts.dropDuplicates(["doc", "tag"]) if _repeats(texts) else texts
-    met = texts.join(dealt, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("g"))).select("doc", "text", F.explode("us").alias("u"))
-    met = met.select("doc", "text", "u.*").repartition(parts, *unit).sortWithinPartitions(*unit)
-    met = met.mapInArrow(_verified(threshold), "doc long, links long, root long")
-    found, found_at = materialise(met, "links")
-    drop_scratch(spark, units_at)
-    free_shuffles(spark)
+    dealt = units.select(F.struct("name", "label", "tree", "key", "block", "i", "j").alias("u"), F.col("none").alias("e"), F.col("doc").alias("d"), F.col("tag").alias("g"))
+    dealt = dealt.groupBy("e", "d", "g").agg(F.collect_list("u").alias("us"))
+    met = texts.join(dealt, _same("none", "doc", "tag", "e", "d", "g")).select("text", F.explode("us").alias("u"))
+    met = met.select("text", "u.*").repartition(parts, *unit).sortWithinPartitions(*unit)
+    found, found_at = materialise(met.mapInArrow(_verified(depth, threshold), "name binary, links long, root binary, bins array<long>"), "links")
+    drop_scratch(reps.sparkSession, units_at)
+    return found, found_at
+
+
+def _same(a: str, b: str, c: str, x: str, y: str, z: str) -> Column:
+    return (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)) & (F.col(c) == F.col(z))
+
 
-    links = found.groupBy("doc").agg(F.sum("links").alias("n_links")).select(F.col("doc").alias("l"), "n_links")
-    near = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")))
-    out = rows.select("doc", "tag", "name").join(reps.select(F.col("name").alias("rn"), F.col("doc").alias("copy_of")), F.col("name") == F.col("rn"))
-    out = out.join(links, F.col("copy_of") == F.col("l"), "left").join(near, F.col("copy_of") == F.col("node"), "left")
-    return out.select("doc", "tag", "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "copy_of").alias("near_of"))
+def _keys(row_id: Column, text: Column) -> dict[str, Column]:
+    """How a row is known inside: whether it has no id, its id, and some bits of its text's hash."""
+    return {"none": row_id.isNull(), "doc": F.coalesce(row_id.cast("long"), F.lit(0)), "tag": F.xxhash64(text)}
 
 
-def _repeats(texts: DataFrame) -> bool:
-    """Does any row occur twice?"""
-    return not texts.groupBy("doc", "tag").count().where("count > 1").isEmpty()
+def near_classes(df: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per id and text of df that has a word: its keys (none, doc, tag), and of its group
+    rep (those keys of the first row with the same words), n_links (number of other such texts within the threshold)
+    and near (the keys of the first row that links connect to it)."""
+    spark = df.sparkSession
+    keys = _keys(F.col(row_id), F.col(text))
+    texts = df.where(F.col(text).isNotNull()).select(*[v.alias(k) for k, v in keys.items()], F.col(text).alias("text"))
+    shape = "none boolean, doc long, tag long, name binary, label binary, runs long"
+    rows, _ = materialise(texts.mapInArrow(_labels, shape).where("name IS NOT NULL"), "labels")
+    parts = parts_for(spark, 4 * rows.count())
+    reps, _ = materialise(rows.groupBy("name").agg(F.min(F.struct("none", "doc", "tag", "label", "runs")).alias("r")).select("name", "r.*"), "classes")
+    if not texts.groupBy("none", "doc", "tag").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["none", "doc", "tag"])
+
+    found, bins, depth = [], {}, DEPTH
+    while True:
+        found.append(_level(reps, texts, depth, threshold, parts)[0])
+        for r in found[-1].where("bins IS NOT NULL").select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect():
+            bins[r["k"]] = bins.get(r["k"], 0) + r["n"]  # at most BINS + 1 rows
+        got = measured_recall(bins, depth, threshold)
+        if depth <= last_depth(threshold, recall) or (got is not None and got >= recall):
+            break
+        depth -= 1
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionAll(more)
+    links = links.where("name IS NOT NULL")
+
+    keys = F.struct("none", "doc", "tag")
+    near = components(links.select(F.col("name").alias("a"), F.col("root").alias("b")))
+    linked = near.join(reps.select(F.col("name").alias("rn"), keys.alias("rep")), F.col("node") == F.col("rn")).select("node", "root", "rep")
+    first = linked.groupBy(F.col("root").alias("r0")).agg(F.min("rep").alias("near"))
+    count = links.groupBy("name").agg(F.sum("links").alias("n_links")).withColumnRenamed("name", "l")
+    linked = linked.join(first, F.col("root") == F.col("r0")).join(count, F.col("node") == F.col("l")).select("node", "near", "n_links")
+    classes = reps.select(F.col("name").alias("cn"), keys.alias("rep")).join(linked, F.col("cn") == F.col("node"), "left")
+    classes = classes.select("cn", "rep", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("near", "rep").alias("near"))
+    return rows.join(classes, F.col("name") == F.col("cn")).select("none", "doc", "tag", "rep", "n_links", "near")
 
 
 def _joined(df: DataFrame, text: str, row_id: str, **how) -> DataFrame:
-    """df with its keys _d and _t, copy_of, n_links and near_of; one exchange of df, by the keys."""
-    names = ("copy_of", "n_links", "near_of")
-    own = [c for c in df.columns if c not in names]
-    got = near_classes(df, text, row_id, **how).dropDuplicates(["doc", "tag"]).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), *names)
-    free_shuffles(df.sparkSession)
-    keyed = df.select(*own, F.coalesce(F.col(row_id).cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_t"))
-    joined = keyed.join(got, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_tag")), "left")
-    links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    return joined.select(*own, "_d", "_t", F.coalesce("copy_of", "_d").alias("copy_of"), links, F.coalesce("near_of", "_d").alias("near_of"))
+    """(row, none, doc, tag, rep, n_links, near) for each row of df, the last three null where a text matches nothing; one
+    exchange of df, by the keys."""
+    got = near_classes(df, text, row_id, **how).dropDuplicates(["none", "doc", "tag"])
+    got = got.select(F.col("none").alias("e"), F.col("doc").alias("d"), F.col("tag").alias("g"), "rep", "n_links", "near")
+    keyed = boxed(df, df.columns, **_keys(F.col(row_id), F.col(text)))
+    return keyed.join(got, _same("none", "doc", "tag", "e", "d", "g"), "left").drop("e", "d", "g")
 
 
 def near_join(df: DataFrame, text: str = "text", row_id: str = "doc_id", **how) -> DataFrame:
-    """df with copy_of, n_links and near_of (the row's own id and 0 where a text matches nothing); clashes are replaced."""
-    return _joined(df, text, row_id, **how).drop("_d", "_t")
+    """df with copy_of and near_of (an id; the row's own where a text matches nothing) and n_links."""
+    own = own_columns(df, "copy_of", "n_links", "near_of")
+    id_of = lambda c: F.when(F.col(c).isNull(), F.col("row").getField(row_id).cast("long")).when(~F.col(c)["none"], F.col(c)["doc"])
+    joined = _joined(df, text, row_id, **how)
+    return joined.select(*unboxed(own), id_of("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), id_of("near").alias("near_of"))
 
 
 def one_of_each(df: DataFrame, text: str = "text", row_id: str = "doc_id", **how) -> DataFrame:
-    """The row of smallest id of each group of linked texts, once if it is repeated; rows without an id all stay."""
-    nth = F.row_number().over(W.partitionBy("_d", "_t").orderBy("_t"))
-    first = _joined(df, text, row_id, **how).withColumn("_n", nth)
-    return first.where(F.col(row_id).isNull() | ((F.col("_d") == F.col("near_of")) & (F.col("_n") == 1))).select(*df.columns)
+    """The first row of each group of linked texts (smallest id, rows without one last), once if it is repeated; texts without a word all stay."""
+    joined = _joined(df, text, row_id, **how)
+    nth = F.row_number().over(W.partitionBy("none", "doc", "tag").orderBy("tag"))
+    first = F.struct("none", "doc", "tag") == F.col("near")
+    return joined.where(F.col("near").isNull() | first).withColumn("nth", nth).where("near IS NULL OR nth = 1").select(*unboxed(df.columns))
