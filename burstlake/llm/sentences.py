@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans: runs of consecutive sentences that an earlier document or place has.
 
-A text is cut after sentence ends and line breaks and before a capitalised word (a passage pasted into a sentence
-starts there); every character belongs to exactly one piece, so what is kept is a plain concatenation.  From each
+A sentence ends after an end mark with white space behind it, and after a line break; it takes that white space
+with it, so every character belongs to exactly one sentence and what is kept is a plain concatenation.  From each
 sentence on, and back from each, the run of the fewest sentences, ``span`` at least, with ``min_words`` words is
 named by a 128-bit hash of its words; together these cover every longer run that repeats.  The first place (by
 doc_id, then place) of a run stays, and every sentence covered by any later place of it is removed.
@@ -10,8 +10,9 @@ Each task settles what repeats among its own rows and passes on one place of eac
 all documents hold meets in one task at most once per task.
 
 Defined results: null texts have no sentences and stay null, empty texts stay empty; rows of one doc_id are told
-apart and ordered by their text, and full repetitions of a row are treated like that row; null ids come last;
-a text short of ``min_words`` or ``span`` has no run; clashing columns are carried.
+apart and ordered by their text, and full repetitions of a row are treated like that row; rows without an id come
+last; a text short of ``min_words`` or ``span`` has no run; columns of the input may have any name, those that
+clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -25,24 +26,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise
+from .common import boxed, materialise, own_columns, split_words
 
 SPAN, MIN_WORDS, CHUNK = 2, 10, 1_000_000
-#: Where a new sentence starts: after an end mark and white space, after a line break, or at a capitalised word.
-STARTS = re.compile(r"(?:(?<=[.!?])[ \t\n\x0b\x0c\r]+|\n+|(?<=[ \t\x0b\x0c\r])(?=[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ ]))")
+#: What ends a sentence.
+END = r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*"
+_END = re.compile(END)
 LAST = (1 << 63) - 1
 
 
 def sentences(text: str) -> list[str]:
     """Pieces that together are the text."""
-    cuts = [m.end() for m in STARTS.finditer(text)]
+    cuts = [m.end() for m in _END.finditer(text)]
     return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if a < b]
 
 
 def runs(pieces: list[str], span: int, min_words: int) -> list[tuple[int, int, int]]:
     """(first sentence, number of sentences, 128-bit name) of the shortest runs that start and that end at each sentence."""
-    words = [p.split() for p in pieces]
+    words = [split_words(p) for p in pieces]
     counts = [len(w) for w in words]
     joined = [" ".join(w) for w in words]
     found, end, total = set(), 0, 0
@@ -117,21 +120,21 @@ def repeated_runs(df: DataFrame, text: str, row_id: str, span: int, min_words: i
 
 
 def span_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """df with ``text`` cut and ``n_sentences, n_removed, removed_chars`` added (replaced on a clash)."""
+    """df with ``text`` cut and ``n_sentences, n_removed, removed_chars`` added."""
     later = repeated_runs(df, text, row_id, span, min_words)
-    marks = later.groupBy("doc", F.shiftright("place", 32).alias("tag")).agg(
+    marks = later.groupBy(F.col("doc").alias("d"), F.shiftright("place", 32).alias("t")).agg(
         F.collect_list(F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), "n")).alias("marks")
-    ).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "marks")
+    )
     names = ("n_sentences", "n_removed", "removed_chars")
-    own = [c for c in df.columns if c not in names]
-    keyed = df.select(*own, F.coalesce(F.col(row_id).cast("long"), F.lit(LAST)).alias("_d"), tag_of(F.col(text)).alias("_t"))
-    joined = keyed.join(marks, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_tag")), "left").select(*own, F.col("marks").alias("_marks"))
-    at, width = own.index(text), len(own)
+    own = own_columns(df, *names)
+    rest = [c for c in own if c.lower() != text.lower()]
+    keyed = boxed(df, rest, doc=F.coalesce(F.col(row_id).cast("long"), F.lit(LAST)), tag=tag_of(F.col(text)), body=F.col(text))
+    joined = keyed.join(marks, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), "left").select("row", "body", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, counts, gone, lost = [], [], [], []
-            for body, marks in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
+            for body, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 pieces = sentences(body or "")
                 drop = {i for m in marks or () for i in range(m["first"], m["first"] + m["n"])}
                 kept = body if not drop else "".join(p for i, p in enumerate(pieces) if i not in drop)
@@ -139,11 +142,9 @@ def span_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", span:
                 counts.append(len(pieces))
                 gone.append(len(drop))
                 lost.append(len(body or "") - len(kept or ""))
-            cols = [batch.column(i) if i != at else pa.array(bodies, pa.string()) for i in range(width)]
-            cols += [pa.array(x, pa.int64()) for x in (counts, gone, lost)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*own, *names])
-
-    schema = df.select(*own).schema
-    for n in names:
-        schema = schema.add(n, "long")
-    return joined.mapInArrow(cut, schema)
+            cols = [batch.column(0), pa.array(bodies, pa.string()), *(pa.array(x, pa.int64()) for x in (counts, gone, lost))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "body", *names])
+
+    schema = T.StructType([joined.schema["row"], T.StructField("body", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)])
+    done = joined.mapInArrow(cut, schema)
+    return done.select(*[F.col("row").getField(c).alias(c) if c in rest else F.col("body").alias(c) for c in own], *names)
