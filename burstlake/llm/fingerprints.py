@@ -1,13 +1,19 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is a set of paragraph digests (line by line; a long line is cut after sentence ends; the n-th repetition
-of a paragraph has a digest of its own).  Each digest is added to three cells of a sketch.  Two sketches of one
-size subtract cell by cell, what they share cancels, and peeling cells that hold one digest recovers the
-differing paragraphs.  If peeling gets stuck both sides are sketched again with four times the cells, until it ends;
-the cells a sketch needs follow the difference, not the text.
-
-Defined results: null counts as empty; two empty texts are alike (1.0), an empty and a non-empty one are not (0.0);
-rows of one doc_id are ordered by their text; a null doc_id is the smallest; one document is its own successor.
+A text is cut into paragraphs that together are the text: lines with their line break, and long lines after each
+sentence end and the blanks behind it.  The n-th repetition of a paragraph has a digest of its own.  Each digest is
+added to three cells of a sketch (number, xor of digests, xor of checks).  A sketch has 12 * 2^k cells: it is made
+larger until it can be peeled by itself, so a fingerprint always gives back all digests of its text.
+
+The cell of a digest is its hash modulo a third of the cells, so folding the two halves of each third of a sketch
+gives the sketch of half the size.  Two fingerprints are compared from their strings alone: both are folded to a small
+common size and subtracted, what they share cancels, and peeling recovers the paragraphs that differ.  If
+peeling gets stuck the sizes grow to the larger of both (a smaller fingerprint is peeled by itself and sketched anew);
+what even those cannot tell apart is told by peeling each by itself.
+
+Defined results: null counts as empty; two empty texts are alike (1.0), an empty and any other text are not (0.0);
+rows of one doc_id are ordered by their text; rows without an id come last in descending order; one document is its own
+successor; input columns of any other name are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,16 +31,21 @@ from pyspark.sql import functions as F
 
 from .common import count_at_or_below, count_below, cut_points, parts_for
 
-CELLS, GROWTH, LONG_LINE = 12, 4, 240
+CELLS, GROWTH, LONG_LINE = 12, 2, 240
 SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+")
 LEAST = -(1 << 63)
+CELL = struct.Struct("<IQI")
 
 
 def paragraphs(text: str) -> list[str]:
+    """Pieces that together are the text."""
+    lines = [x + "\n" for x in text.split("\n")]
+    lines[-1] = lines[-1][:-1]
     out = []
-    for line in text.split("\n"):
+    for line in lines:
         if len(line) > LONG_LINE:
-            out += [x for x in SENTENCE_END.split(line) if x]
+            cuts = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)]
+            out += [line[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
         elif line:
             out.append(line)
     return out
@@ -50,14 +61,17 @@ def digests(text: str) -> list[int]:
     return out if len(set(out)) == len(out) else list(dict.fromkeys(out))
 
 
+def _check(d: int) -> int:
+    return ((d ^ (d >> 29)) * 0x9E3779B97F4A7C15 >> 32) & 0xFFFFFFFF
+
+
 class Sketch:
     """Cells of (count, xor of digests, xor of checks); three sub-tables, one cell of each per digest."""
 
-    __slots__ = ("cells", "checks", "counts", "keys", "n")
+    __slots__ = ("cells", "checks", "counts", "keys")
 
     def __init__(self, items: list[int], cells: int = CELLS) -> None:
         third = cells // 3
-        self.cells, self.n = cells, len(items)
         counts, keys, checks = [0] * cells, [0] * cells, [0] * cells
         for d in items:
             c = _check(d)
@@ -65,15 +79,36 @@ class Sketch:
                 counts[i] += 1
                 keys[i] ^= d
                 checks[i] ^= c
-        self.counts, self.keys, self.checks = counts, keys, checks
+        self.cells, self.counts, self.keys, self.checks = cells, counts, keys, checks
 
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch([], self.cells)
-        out.counts = [a - b for a, b in zip(self.counts, other.counts, strict=True)]
-        out.keys = [a ^ b for a, b in zip(self.keys, other.keys, strict=True)]
-        out.checks = [a ^ b for a, b in zip(self.checks, other.checks, strict=True)]
+    @classmethod
+    def of(cls, counts: list[int], keys: list[int], checks: list[int]) -> Sketch:
+        out = cls.__new__(cls)
+        out.cells, out.counts, out.keys, out.checks = len(counts), counts, keys, checks
         return out
 
+    def folded(self, cells: int) -> Sketch:
+        """The sketch of the same digests with so many cells, this number over a power of two."""
+        counts, keys, checks = self.counts, self.keys, self.checks
+        while len(counts) > cells:
+            half = len(counts) // 6
+            both = [(i, i + half) for t in range(0, len(counts), 2 * half) for i in range(t, t + half)]
+            counts = [counts[i] + counts[j] for i, j in both]
+            keys = [keys[i] ^ keys[j] for i, j in both]
+            checks = [checks[i] ^ checks[j] for i, j in both]
+        return Sketch.of(counts, keys, checks)
+
+    def minus(self, other: Sketch) -> Sketch:
+        return Sketch.of(
+            [a - b for a, b in zip(self.counts, other.counts, strict=True)],
+            [a ^ b for a, b in zip(self.keys, other.keys, strict=True)],
+            [a ^ b for a, b in zip(self.checks, other.checks, strict=True)],
+        )
+
+    def size(self) -> int:
+        """Number of digests; of a difference, those on the left less those on the right."""
+        return sum(self.counts) // 3
+
     def peel(self) -> tuple[list[int], list[int]] | None:
         """(digests only in the left text, only in the right one), or None if cells remain."""
         third, left, right = self.cells // 3, [], []
@@ -99,32 +134,59 @@ class Sketch:
         return None if any(counts) or any(keys) or any(checks) else (left, right)
 
     def text(self) -> str:
-        """The sketch as text: number of digests, then count, digest and check of each cell."""
-        cells = zip(self.counts, self.keys, self.checks, strict=True)
-        packed = struct.pack("<I", self.n) + b"".join(struct.pack("<IQI", n & 0xFFFFFFFF, d, c) for n, d, c in cells)
-        return base64.b64encode(packed).decode()
-
+        """The sketch as text: count, digest and check of each cell."""
+        return base64.b64encode(b"".join(map(CELL.pack, self.counts, self.keys, self.checks))).decode()
 
-def _check(d: int) -> int:
-    return ((d ^ (d >> 29)) * 0x9E3779B97F4A7C15 >> 32) & 0xFFFFFFFF
+    @classmethod
+    def read(cls, text: str) -> Sketch:
+        cells = list(CELL.iter_unpack(base64.b64decode(text)))
+        return cls.of(*([c[k] for c in cells] for k in range(3)))
 
 
-def difference(a: list[int], b: list[int], cells: int = CELLS) -> tuple[list[int], list[int]]:
-    """The digests on one side only, by subtracting and peeling sketches that grow until they can be peeled."""
-    while abs(len(a) - len(b)) > cells:  # more than any sketch of that size can give back
+def sketch(items: list[int]) -> Sketch:
+    """The smallest sketch of a text's digests, of 12 * 2^k cells, that can be peeled by itself."""
+    cells = CELLS
+    while cells < len(items):
         cells *= GROWTH
-    while (got := Sketch(a, cells).minus(Sketch(b, cells)).peel()) is None:
+    while (got := Sketch(items, cells)).peel() is None:
         cells *= GROWTH
     return got
 
 
-def likeness(a: list[int], b: list[int]) -> float:
+def difference(a: Sketch, b: Sketch) -> tuple[int, int]:
+    """How many digests only a has, and only b, by subtracting and peeling at growing sizes."""
+    small, large = sorted((a.cells, b.cells))
+    least = abs(a.size() - b.size())
+    cells = CELLS
+    while cells < small and cells < least:
+        cells *= GROWTH
+    while cells < small:
+        if (got := a.folded(cells).minus(b.folded(cells)).peel()) is not None:
+            return len(got[0]), len(got[1])
+        cells *= GROWTH * GROWTH
+    if (got := a.folded(small).minus(b.folded(small)).peel()) is not None:
+        return len(got[0]), len(got[1])
+    x, y = (set(s.peel()[0]) for s in (a, b))
+    if small < large and (got := Sketch(list(x), large).minus(Sketch(list(y), large)).peel()) is not None:
+        return len(got[0]), len(got[1])
+    return len(x - y), len(y - x)
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
     """Shared share of all distinct digests of both."""
-    if not a and not b:
+    na, nb = a.size(), b.size()
+    if not na or not nb:
+        return float(na == nb)
+    if a.cells == b.cells and a.keys == b.keys and a.counts == b.counts and a.checks == b.checks:
         return 1.0
     left, right = difference(a, b)
-    shared = len(a) - len(left)
-    return shared / (shared + len(left) + len(right))
+    shared = na - left
+    return shared / (shared + left + right)
+
+
+def likeness_of(fingerprint: str, other: str) -> float:
+    """The likeness of two fingerprints as they are stored."""
+    return likeness(Sketch.read(fingerprint), Sketch.read(other))
 
 
 SCHEMA = pa.schema([
@@ -148,13 +210,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for part, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             text = text or ""
-            now = digests(text)
+            now = sketch(digests(text))
             if held and held[0] == part:
                 _, last_id, last, had = held
                 edited = edit(last, text)
-                new = digests(edited)
+                new = sketch(digests(edited))
                 sha = hashlib.sha256(edited.encode()).hexdigest()
-                out.append((last_id, len(last), sha, Sketch(had).text(), Sketch(new).text(), likeness(had, new), likeness(had, now)))
+                out.append((last_id, len(last), sha, had.text(), new.text(), likeness(had, new), likeness(had, now)))
             held = (part, doc_id, text, now)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
@@ -164,7 +226,8 @@ def successive_fingerprints(df: DataFrame, text: str = "text", row_id: str = "do
     """One row per document: its sketch, that of its edited text, and how near it is to that and to the next document.
 
     Documents go in runs of descending id to partitions of bounded size; the first document of each run is
-    also the look-ahead row of the run before, so one exchange of the texts is enough.
+    also the look-ahead row of the run before, so one exchange of the texts is enough.  Rows of one id are one run, and so
+    are those without an id; a run is streamed and never held.
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(row_id).cast("long"), F.lit(LEAST)).alias("_key"), F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -180,7 +243,8 @@ def successive_fingerprints(df: DataFrame, text: str = "text", row_id: str = "do
     # The first document of all follows the last one, which is in the last run.
     before = F.struct(F.lit(1).alias("look"), F.when(run == 1, F.lit(max(1, len(points)))).otherwise(run - 1).alias("run"))
     placed = rows.withColumn("_at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
-    placed = placed.repartition(parts_for(spark, n), F.col("_at.run"))
+    # Runs are dealt by their number, not by its hash, so that no task gets several while another has none.
+    placed = placed.repartitionById(max(1, len(points)), (F.col("_at.run") - 1).cast("int"))
     placed = placed.sortWithinPartitions(F.col("_at.run"), F.col("_at.look"), F.desc("_key"), F.col("text").asc_nulls_first())
     done = placed.select("_at.run", F.col("_at.look").alias("look"), "doc_id", "text")
     return done.mapInArrow(_with_look_ahead, SPARK_SCHEMA)
