@@ -7,11 +7,16 @@ A file holds the documents of one run of ascending ids::
 The footer is (index offset u64, documents u32, bytes per id u8, sha256 of the dictionary 32 bytes, b"BLIDSEND").
 A reader seeks to the footer, then to one frame, so a short document costs one small read; a file whose
 dictionary hash differs from the given dictionary is refused.  ``dictionary.zdict`` and ``manifest.json`` (ids
-before each file) lie beside the files.  A file is written under a temporary name and renamed, and depends only
-on its rows, so a task that runs again leaves the same file.
+before each file) lie beside the files.  A run goes on in a new file after ``FILE_BYTES``, so files stay small
+whatever the table.  A file is written under a temporary name and renamed, and depends only on its rows, so a task
+that runs again leaves the same file.
+
+The dictionary is trained by executors' samples: at most ``SAMPLE_DOCS`` documents, chosen by a hash of the id, and of
+each long one at most ``SAMPLE_PIECES`` pieces of ``PIECE_BYTES`` of its ids, evenly spread over the whole document.
 
 Defined results: null counts as empty; a document without tokens still has its end id; rows of one id are
-ordered by their text; null ids come first; an empty table gives no files and no rows.
+ordered by their ids; rows without an id come first, as one run; an empty table gives no files and no rows; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,88 +36,87 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_at_or_below, cut_points, parts_for, scratch_path
+from .common import count_at_or_below, cut_points, parts_for, scratch_path, split_words
 
 MAGIC, END_MAGIC = b"BLIDS1\0\0", b"BLIDSEND"
 INDEX, FOOTER = "<qBQII", "<QIB32s8s"
 INDEX_SIZE, FOOTER_SIZE = struct.calcsize(INDEX), struct.calcsize(FOOTER)
 END_ID, SAMPLE_DOCS, DICT_BYTES, LEVEL = 2, 1_000, 65_536, 3
+SAMPLE_PIECES, PIECE_BYTES, FILE_BYTES = 8, 2_048, 1 << 28
 LEAST = -(1 << 63)
 
-WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-#: White space beyond ASCII, and controls that str.split() but not every tokenizer takes for it.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Words of precomposed Western letters with closing punctuation: their normal form is the lower-cased word itself.
-PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-ins that byte-level models use for the 256 bytes."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in keep]
-    return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
 
-class WordEncoder:
-    """Ids of a text, word by word: the tokenizer splits at white space, so words can be encoded once and kept.
+class Encoder:
+    """Ids of whole texts by the tokenizers library.
 
-    Two bounded memories: whole words as they stand, and lower-cased stems.  Words outside them are encoded anew.
+    A text is the concatenation of its words' ids where the tokenizer provably never looks across white space:
+    then each distinct word is encoded once, by the library, and a bounded number of words is remembered.  Else, and
+    for any other kind of tokenizer, whole texts are encoded.
     """
 
-    MOST_WORDS, MOST_STEMS = 250_000, 600_000
+    MOST_WORDS, ROUND_CHARS = 600_000, 2_000_000
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        norm, pre = json.loads(spec).get("normalizer") or {}, json.loads(spec).get("pre_tokenizer") or {}
-        kinds = [x["type"] for x in norm.get("normalizers", [])]
-        self.short_cut = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.by_word = splits_at_spaces(json.loads(spec))
         self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _stem(self, stem: str) -> bytes:
-        got = self.stems.get(stem)
-        if got is None:
-            piece = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
-            got = self._pack([t.id for t in self.model.tokenize(piece)])
-            if len(self.stems) < self.MOST_STEMS:
-                self.stems[stem] = got
-        return got
-
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            m = PLAIN.fullmatch(word) if self.short_cut else None
-            if m:
-                got = self._stem(m[1].lower()) + (self._stem(m[2]) if m[2] else b"")
-            else:
-                got = self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            if len(self.words) < self.MOST_WORDS:
-                self.words[word] = got
-        return got
-
-    def ids(self, text: str) -> bytes:
-        """All ids of a text and the end id, little-endian in the width of the vocabulary."""
-        # str.split() is the faster way where it cuts at the same places.
-        words = WORD.findall(text) if ODD_SPACE.search(text) else text.split()
-        return b"".join(map(self.word, words)) + self._pack([END_ID])
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def _encoder(spec: str) -> WordEncoder:
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text and the end id, little-endian in the width of the vocabulary."""
+        end = np.array([END_ID], self.dtype).tobytes()
+        if not self.by_word:
+            return [ids + end for ids in self._encode(texts)]
+        out, known, i = [], self.words, 0
+        while i < len(texts):  # some texts at a time, so that few words are held and the library gets many at once
+            words, size = [], 0
+            while i < len(texts) and (not words or size < self.ROUND_CHARS):
+                words.append(split_words(texts[i]))
+                size += len(texts[i])
+                i += 1
+            new = list({w for ws in words for w in ws if w not in known})
+            if len(known) + len(new) > self.MOST_WORDS:
+                known.clear()
+                new = list({w for ws in words for w in ws})
+            known.update(zip(new, self._encode(new), strict=True))
+            out += [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+        return out
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Does this tokenizer give a text the ids of its words one after the other?
+
+    It does if it turns white space into blanks at first, cuts at pieces that hold no blank, adds none itself, and has
+    no added token with one.  NFC and lower-casing work inside a word: a blank composes with nothing and no case
+    rule for letters looks past one.
+    """
+    norm = (spec.get("normalizer") or {}).get("normalizers", [])
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(x == blanks or x["type"] in ("NFC", "Lowercase") for x in norm) and blanks in norm
+    # Known patterns of runs of letters, single digits, runs of other marks and English endings, none with a blank.
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    cut = [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": words} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+    tokens = spec.get("added_tokens") or []
+    apart = all(not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in tokens)
+    whole = not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+    return bool(plain and cut and not pre[1]["add_prefix_space"] and apart and whole)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(spec: str) -> Encoder:
     """One encoder for a Python worker, whose memories then serve all its tasks."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(spec)
+        _encoders[key] = Encoder(spec)
     return _encoders[key]
 
 
@@ -126,6 +130,14 @@ def train_dictionary(arrays: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b"".join(arrays)[-size:]
 
 
+def spread(ids: bytes) -> list[bytes]:
+    """A document's ids, or evenly spread pieces of them where they are long."""
+    if len(ids) <= SAMPLE_PIECES * PIECE_BYTES:
+        return [ids]
+    step = (len(ids) - PIECE_BYTES) // (SAMPLE_PIECES - 1) // 4 * 4
+    return [ids[i * step : i * step + PIECE_BYTES] for i in range(SAMPLE_PIECES)]
+
+
 def _dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
@@ -153,8 +165,8 @@ def read_document(blob: bytes, i: int, dictionary: bytes) -> tuple[int | None, n
 def write_token_files(df: DataFrame, tokenizer_file: str, folder: str, text: str = "text", row_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> list[dict]:
     """Write df's ids under ``folder`` and return the manifest: file, run, documents, tokens, tokens before.
 
-    The dictionary is trained on ``sample_docs`` documents at most; every document is encoded whole.  Compressed
-    documents, not texts, are exchanged.
+    The dictionary is trained on pieces of ``sample_docs`` documents at most (with the bounds above 16 MB), which
+    executors encode; every document is encoded whole.  Compressed documents, not texts, are exchanged.
     """
     spark = df.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -164,19 +176,27 @@ def write_token_files(df: DataFrame, tokenizer_file: str, folder: str, text: str
     if not n:
         return []
     share = F.lit(max(1, n // sample_docs))
-    picked = rows.where(F.pmod(F.xxhash64("_key"), share) == 0).select("text").limit(sample_docs).toArrow().column(0)
-    encoder = WordEncoder(spec)
-    dictionary = train_dictionary([encoder.ids(t or "")[:16_384] for t in picked.to_pylist()])
+    chosen = rows.where(F.pmod(F.xxhash64("_key"), share) == 0).select("text").limit(sample_docs)
+    vocabulary = spark.sparkContext.broadcast(spec)  # one file of a fixed size
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(vocabulary.value)
+        for batch in batches:
+            pieces = [p for t in batch.column(0).to_pylist() for ids in enc.batch([t or ""]) for p in spread(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], names=["piece"])
+
+    pieces = chosen.mapInArrow(sampled, "piece binary").toArrow().column(0).to_pylist()
+    dictionary = train_dictionary(sorted(pieces))
     shared = spark.sparkContext.broadcast((spec, dictionary))  # a vocabulary file and at most DICT_BYTES
     points = cut_points(rows, "_key", parts_for(spark, n))
-    width = encoder.dtype.itemsize
+    width = Encoder(spec).dtype.itemsize
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, dictionary = shared.value
         enc, pack = _encoder(spec), zstandard.ZstdCompressor(LEVEL, dict_data=_dict(dictionary), write_dict_id=False, write_checksum=False)
         for batch in batches:
             runs, ids, texts = (batch.column(i) for i in range(3))
-            raw = [enc.ids(t or "") for t in texts.to_pylist()]
+            raw = enc.batch([t or "" for t in texts.to_pylist()])
             # Rows of one id are ordered by what they hold.
             tie = [zlib.crc32(x) for x in raw]
             yield pa.RecordBatch.from_arrays(
@@ -186,24 +206,26 @@ def write_token_files(df: DataFrame, tokenizer_file: str, folder: str, text: str
 
     run = count_at_or_below(F.col("_key"), points)
     frames = rows.select(run.cast("int").alias("run"), "doc_id", "text").mapInArrow(compressed, "run int, doc_id long, tie long, n_tokens long, frame binary")
-    frames = frames.repartition(parts_for(spark, n), "run").sortWithinPartitions("run", F.col("doc_id").asc_nulls_first(), "tie")
+    # Runs are dealt by their number, so that no task gets several while another has none.
+    frames = frames.repartitionById(len(points) + 1, F.col("run")).sortWithinPartitions("run", F.col("doc_id").asc_nulls_first(), "tie")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, writer, done = shared.value[1], None, []
         for batch in batches:
             for run, doc_id, _, n_tokens, frame in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if writer is None or writer.run != run:
+                if writer is None or writer.run != run or writer.at >= FILE_BYTES:
+                    part = writer.part + 1 if writer and writer.run == run else 0
                     if writer:
                         done.append(writer.close())
-                    writer = _Writer(folder, run, width, dictionary)
+                    writer = _Writer(folder, run, part, width, dictionary)
                 writer.add(doc_id, n_tokens, frame)
         if writer:
             done.append(writer.close())
         if done:
-            names = ["run", "file", "documents", "tokens"]
+            names = ["run", "part", "file", "documents", "tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=names)
 
-    made = sorted(frames.mapInArrow(written, "run long, file string, documents long, tokens long").collect())  # one row per file
+    made = sorted(frames.mapInArrow(written, "run long, part long, file string, documents long, tokens long").collect())  # one row per file
     manifest, before = [], 0
     for r in made:
         manifest.append(r.asDict() | {"before": before})
@@ -216,13 +238,12 @@ def write_token_files(df: DataFrame, tokenizer_file: str, folder: str, text: str
 
 
 class _Writer:
-    def __init__(self, folder: str, run: int, width: int, dictionary: bytes) -> None:
-
+    def __init__(self, folder: str, run: int, part: int, width: int, dictionary: bytes) -> None:
         self.fs, at = pyarrow.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(at, recursive=True)
-        self.run, self.name = run, f"{at}/run-{run:06d}.ids"
-        self.part = f"{at}/.run-{run:06d}-{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.part)
+        self.run, self.part, self.name = run, part, f"{at}/run-{run:06d}-{part:04d}.ids"
+        self.temporary = f"{at}/.run-{run:06d}-{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.temporary)
         self.out.write(MAGIC)
         self.at, self.index, self.tokens, self.width, self.sha = len(MAGIC), [], 0, width, hashlib.sha256(dictionary).digest()
 
@@ -232,11 +253,11 @@ class _Writer:
         self.at += len(frame)
         self.tokens += n_tokens
 
-    def close(self) -> tuple[int, str, int, int]:
+    def close(self) -> tuple[int, int, str, int, int]:
         self.out.write(b"".join(self.index) + struct.pack(FOOTER, self.at, len(self.index), self.width, self.sha, END_MAGIC))
         self.out.close()
-        self.fs.move(self.part, self.name)
-        return self.run, self.name.rpartition("/")[2], len(self.index), self.tokens
+        self.fs.move(self.temporary, self.name)
+        return self.run, self.part, self.name.rpartition("/")[2], len(self.index), self.tokens
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,7 +265,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     fs, at = pyarrow.fs.FileSystem.from_uri(folder)
     dictionary, manifest = (fs.open_input_stream(f"{at}/{name}").read() for name in ("dictionary.zdict", "manifest.json"))
-    # One entry per file, of which there are at most as many as partitions.
+    # One entry of some 100 bytes per file of up to FILE_BYTES.
     shared = spark.sparkContext.broadcast((dictionary, {x["file"]: x["before"] for x in json.loads(manifest)}))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
