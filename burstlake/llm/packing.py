@@ -6,11 +6,13 @@ a bitmap over residuals tells where any bin is, and one bitmap per label (source
 residuals every bin already has the label.  The successor search takes the smallest residual that is large enough
 and not full of either label, tries its bins in order of age, and goes on to the next residual until one fits.
 
-Documents are packed in groups of bounded size, dealt by a hash of the id; each group is one task's work and the
+Documents are packed in groups of bounded size, dealt by a hash of id and text; each group is one task's work and the
 number of groups follows the rows.  Copies of a text and documents of one source spread evenly over the groups.
+Full repetitions of a row are counted first, and their number is dealt evenly over all groups.
 
 Defined results: null or empty texts have size 0 and are packed as empty pieces; null sources are one source;
-repeated rows are packed as separate pieces of one cluster; an empty table gives no bins.
+repeated rows are packed as separate pieces of one cluster; an empty table gives no bins; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -110,11 +112,21 @@ def packed(
     """One row per piece: doc_id, piece, first_word, n_words, bin (group and number), source."""
     size = F.size(words_of(F.col(text))).cast("long")
     rows = df.select(F.col(row_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("cluster"))
+    counted = rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("times"))
     groups = max(1, -(-df.count() // group_rows))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit("bin"), "cluster"), F.lit(groups)))
+    # The n copies of a row go to min(n, groups) groups from the one of its hash on, as evenly as they divide.
+    grp = F.pmod(F.xxhash64("doc_id", F.lit("bin"), "cluster"), F.lit(groups))
+    each = F.when(F.col("times") == 1, F.array(F.struct(grp.alias("grp"), F.lit(1).cast("long").alias("copies")))).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), (F.least("times", F.lit(groups)) - 1).cast("int")),
+            lambda k: F.struct(F.pmod(grp + k, F.lit(groups)).alias("grp"), (F.floor(F.col("times") / groups) + F.when(k < F.col("times") % groups, 1).otherwise(0)).alias("copies")),
+        )
+    )
+    rows = counted.select("doc_id", "source", "size", "cluster", F.inline(each))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "cluster", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "cluster", "doc_id", "source"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
         grp = int(pdf["grp"].iloc[0])
         rest, out, number = [], [], 0
         for doc_id, src, size, cluster in zip(pdf["doc_id"], pdf["source"], pdf["size"], pdf["cluster"], strict=True):
