@@ -10,8 +10,8 @@ Ranks are made without gathering a source in one task: rows are counted by (sour
 hash of the id), the counts are cumulated over the small table of counts, and only the rows of one slice meet.
 
 Defined results: null or empty texts have size 0 and add nothing to any total; null sources are one source and
-come last; repeated rows are ranked as separate rows; an empty table gives an empty mix; columns that clash
-with the added ones are replaced.
+come last; repeated rows are ranked as separate rows; an empty table gives an empty mix; columns of the input may
+have any name, and only id, text and source are read.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise, md5_60, words_of
+from .common import boxed, materialise, md5_60, unboxed, words_of
 
 WEIGHTS, MOST, SEED, SLICE_ROWS = (5.0, 2.0, 1.0), 3, 17, 50_000
+#: Most rows of the table of strata (one per source and size) that is broadcast, some 100 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -60,7 +62,9 @@ def sampled_copies(
     cut = F.ceil(F.col("_n") / slice_rows)
     strata = strata.withColumn("_before", F.sum("_n").over(W.partitionBy("source").orderBy("size")) - F.col("_n")).withColumn("_cut", cut)
     strata = strata.join(sized.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    s = strata.select([F.col(c).alias(f"s_{c}") for c in ("source", "size")] + ["_before", "_cut", "source_size", "target"])
+    s, _ = materialise(strata.select([F.col(c).alias(f"s_{c}") for c in ("source", "size")] + ["_before", "_cut", "source_size", "target"]), "mix-strata")
+    if s.count() <= BROADCAST_ROWS:  # so a common size is never gathered before it is cut into slices
+        s = F.broadcast(s)
     joined = rows.join(s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size"))).drop("s_source", "s_size")
     joined = joined.withColumn("_slice", F.floor(F.col("_h") / F.lit(float(1 << 60)) * F.col("_cut")))
     slices = joined.where("_cut > 1").groupBy("source", "size", "_slice").agg(F.count(F.lit(1)).alias("_m"))
@@ -82,10 +86,10 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str =
 
     Repeated rows (one id and one text) share their copies: as many rows come out as the sample took of them.
     """
-    took = sampled_copies(df, text, source, row_id, **how).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_copies"))
-    took = took.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_key").alias("_key"), "_copies")
-    keyed = df.withColumn("_tk", F.xxhash64(F.col(text)))
-    nth = F.row_number().over(W.partitionBy(row_id, source, "_tk").orderBy("_tk"))
-    on = F.col(row_id).eqNullSafe(F.col("_id")) & F.col(source).cast("string").eqNullSafe(F.col("_src")) & (F.col("_tk") == F.col("_key"))
-    first = keyed.join(took.where("_copies > 0"), on).withColumn("_nth", nth).where("_nth = 1")
-    return first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[first[c] for c in df.columns])
+    took = sampled_copies(df, text, source, row_id, **how).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"))
+    took = took.where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("text_key").alias("k"), "copies")
+    keyed = boxed(df, df.columns, id=F.col(row_id), src=F.col(source).cast("string"), key=F.xxhash64(F.col(text)))
+    nth = F.row_number().over(W.partitionBy("id", "src", "key").orderBy("key"))
+    on = F.col("id").eqNullSafe(F.col("i")) & F.col("src").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k"))
+    first = keyed.join(took, on).withColumn("nth", nth).where("nth = 1")
+    return first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*unboxed(df.columns))
