@@ -13,13 +13,17 @@ have equal names everywhere and ranks need no lookup across tasks.  Spark sorts
    share are instead laid out position by position as pairs (name32 at p, name32 at p + 18), so that no anchor has
    to fit in one task; the pairs are sorted and settled like those of the first round.
 
-Equality rests on 128 bits of independent names, or on the bytes themselves.  Each task settles repeats among its own rows first and
+An anchor that very many runs share (found in a sample of documents, which decides nothing but this) is dealt by the
+whole pair in the first sort, so that its runs spread over tasks; they all go on to the second.
+
+Strings are the same if their 128-bit names are, in every round; where bytes are at hand they are compared.  Each task settles repeats among its own rows first and
 passes on only those of its smallest document, so a passage held by a third of all documents reaches a task
 about once per task.  Covered runs are removed from the texts in one last pass.
 
 Defined results: null counts as empty; texts of less than ``length`` bytes have no strings and stay whole; copies
 of a text keep only the one of smallest id; rows of one id never cover each other (no id is smaller); null ids
-come after all others; extra columns are carried and clashes replaced.
+come after all others; a text of 2^30 bytes or more is an error; columns of the input may have any name, those that
+clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -33,9 +37,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_shuffles, materialise, parts_for
+from .common import boxed, materialise, own_columns, parts_for, unboxed
 
 LENGTH, ANCHOR, CHUNK_BYTES, CHUNK_ROWS, GROUP = 50, 16, 1 << 18, 1_500_000, 20_000
+SAMPLE, HOT_ROWS = 128, 50
 LAST = (1 << 63) - 1
 TAG_BITS, START_BITS, RUN_BITS = 27, 30, 6
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -122,7 +127,7 @@ def _settled(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 ROWS = "k1 long, k2 long, doc long, place long, kind byte"
-OPEN, COVERED, SHARED = 0, 1, 2
+OPEN, COVERED, SHARED, HOT = 0, 1, 2, 3
 
 
 def _batch(rows: list[np.ndarray], kind: np.ndarray) -> pa.RecordBatch:
@@ -179,28 +184,32 @@ def _anchored(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Gather()
 
-        def take(texts: list[bytes], docs: list[int], tags: list[int]) -> None:
+        def take(texts: list[bytes], docs: list[int], tags: list[int], offsets: list[int]) -> None:
             data = np.frombuffer(b"".join(texts), np.uint8)
             sizes = np.array([len(t) for t in texts])
             ends = np.cumsum(sizes)
             start, n, anchor, name = runs_of(data, ends, length)
             text = np.searchsorted(ends, start, "right")
-            out.add(anchor, name, np.array(docs)[text], _placed(np.array(tags)[text], start - (ends - sizes)[text], n))
+            out.add(anchor, name, np.array(docs)[text], _placed(np.array(tags)[text], start - (ends - sizes - offsets)[text], n))
 
-        texts, docs, tags, size = [], [], [], 0
+        held: tuple[list, ...] = ([], [], [], [])
+        size = 0
         for batch in batches:
             for doc, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 body = body.as_py()
-                if body is None or len(body) < length:
-                    continue
-                texts.append(body), docs.append(doc), tags.append(tag)
-                size += len(body)
-                if size >= CHUNK_BYTES:
-                    take(texts, docs, tags)
-                    texts, docs, tags, size = [], [], [], 0
-                    yield from out.flush(CHUNK_ROWS)
-        if texts:
-            take(texts, docs, tags)
+                if len(body) >= 1 << START_BITS:
+                    raise ValueError("a text has 2^30 bytes or more")
+                # A long text goes piece by piece; pieces overlap, so that each string is in one of them.
+                for at in range(0, len(body) - length + 1, CHUNK_BYTES):
+                    for column, x in zip(held, (body[at : at + CHUNK_BYTES + length - 1], doc, tag, at), strict=True):
+                        column.append(x)
+                    size += len(held[0][-1])
+                    if size >= CHUNK_BYTES:
+                        take(*held)
+                        held, size = ([], [], [], []), 0
+                        yield from out.flush(CHUNK_ROWS)
+        if held[0]:
+            take(*held)
         yield from out.flush(1)
 
     return run
@@ -208,16 +217,16 @@ def _anchored(length: int):
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (k1, k2, doc): COVERED rows as they are met or found, and as SHARED the first document's rows of each pair whose k1
-    other pairs of other documents share.  Holds at most one document's rows of one k1."""
+    other pairs of other documents share, or that is marked HOT.  Holds at most one document's rows of one k1."""
     last_pair, least, known = None, 0, None
-    held = [np.zeros(0, np.int64)] * 4
+    held = [np.zeros(0, np.int64)] * 5
     for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        done = batch.column(4).to_numpy(zero_copy_only=False) == COVERED
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        done = rows[4] == COVERED
         if done.any():
-            yield from _batches([x[done] for x in rows], COVERED)
+            yield from _batches([x[done] for x in rows[:4]], COVERED)
             rows = [x[~done] for x in rows]
-        k1, k2, doc, _ = rows
+        k1, k2, doc, _, _ = rows
         if not len(k1):
             continue
         new = np.ones(len(k1), bool)
@@ -236,15 +245,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x[:0] for x in mine]
         if not len(mine[0]):
             continue
-        a, b, d, _ = mine
+        a, b, d, _, kind = mine
         edge = np.append(0, np.flatnonzero(a[1:] != a[:-1]) + 1)
         stop = np.append(edge[1:], len(a))
         shared = (b[edge] != b[stop - 1]) & (np.minimum.reduceat(d, edge) < np.maximum.reduceat(d, edge))
         shared |= (a[edge] == known) if known is not None else False
+        shared |= kind[edge] == HOT
         known = a[-1] if shared[-1] else None
         each = np.repeat(shared, stop - edge)
         if each.any():
-            yield _batch([x[each] for x in mine], np.full(each.sum(), SHARED))
+            yield _batch([x[each] for x in mine[:4]], np.full(each.sum(), SHARED))
         if not shared[-1]:
             held = [x[edge[-1] :] for x in mine]
 
@@ -264,11 +274,13 @@ def _laid_out(length: int):
             rows: list[tuple] = []
             for doc, tag, body, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 crowded = np.array([m["place"] for m in marks if m["crowded"]], np.int64)
-                if len(crowded):
-                    n32 = doubled(np.frombuffer(body, np.uint8), 32)[32]
+                if len(crowded):  # only the bytes of its runs are named, laid end to end
                     start, n = _unpacked(crowded)
-                    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    out.add(n32[at], n32[at + length - 32], np.full(len(at), doc), _placed(tag, at, 1))
+                    parts = [body[a : a + k + length - 1] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+                    n32 = doubled(np.frombuffer(b"".join(parts), np.uint8), 32)[32]
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    within = nth + np.repeat(np.cumsum(n + length - 1) - (n + length - 1), n)
+                    out.add(n32[within], n32[within + length - 32], np.full(len(nth), doc), _placed(tag, nth + np.repeat(start, n), 1))
                     yield from map(wide, out.flush(CHUNK_ROWS))
                 for m in marks:
                     if not m["crowded"]:
@@ -326,13 +338,13 @@ def _met_again(length: int):
     return run
 
 
-def _keyed(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    return df.withColumns({"_doc": F.coalesce(F.col(row_id).cast("long"), F.lit(LAST)), "_tag": tag_of(F.col(text)).cast("long")})
+def _keys(text: Column, row_id: Column) -> dict[str, Column]:
+    return {"key": F.coalesce(row_id.cast("long"), F.lit(LAST)), "tag": tag_of(text).cast("long"), "bytes": text.cast("binary")}
 
 
 def _by_text(rows: DataFrame, what: Column | str = "place") -> DataFrame:
     tag = F.shiftrightunsigned("place", START_BITS + RUN_BITS)
-    return rows.groupBy(F.col("doc").alias("_d"), tag.alias("_t")).agg(F.collect_list(what).alias("_places"))
+    return rows.groupBy(F.col("doc").alias("d"), tag.alias("t")).agg(F.collect_list(what).alias("places"))
 
 
 def covered_runs(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -340,20 +352,25 @@ def covered_runs(df: DataFrame, text: str = "text", row_id: str = "doc_id", leng
     if not 32 <= length <= 64:
         raise ValueError("length must be 32 to 64 bytes")
     spark = df.sparkSession
-    texts = _keyed(df.where(F.col(text).isNotNull()), text, row_id).select("_doc", "_tag", F.col(text).cast("binary").alias("_bytes"))
+    texts = df.where(F.octet_length(text) >= length).select(*[v.alias(k) for k, v in _keys(F.col(text), F.col(row_id)).items()])
     parts = parts_for(spark, 4 * df.count())
+    # Each hot anchor has its share of the sample, so there are at most as many as 8 x parts.
+    seen, _ = materialise(texts.where(F.pmod(F.xxhash64("key", "tag"), F.lit(SAMPLE)) == 0).mapInArrow(_anchored(length), ROWS).select("k1"), "anchor-sample")
+    least = max(HOT_ROWS, seen.count() // (8 * parts))
+    hot, _ = materialise(seen.groupBy(F.col("k1").alias("h")).count().where(F.col("count") > least).select("h"), "hot-anchors")
+    rows = texts.mapInArrow(_anchored(length), ROWS).join(F.broadcast(hot), F.col("k1") == F.col("h"), "left")
+    spread = F.when(F.col("h").isNotNull(), F.col("k2"))
+    rows = rows.withColumn("kind", F.when((F.col("kind") == OPEN) & F.col("h").isNotNull(), F.lit(HOT)).otherwise(F.col("kind")).cast("byte")).withColumn("h", spread)
     order = ("k1", "k2", "doc")
-    met = texts.mapInArrow(_anchored(length), ROWS).repartition(parts, "k1").sortWithinPartitions(*order).mapInArrow(_met, ROWS)
+    met = rows.repartition(parts, "k1", "h").drop("h").sortWithinPartitions(*order).mapInArrow(_met, ROWS)
     met, _ = materialise(met.select("k1", "doc", "place", "kind"), "runs-met")
-    free_shuffles(spark)
     shared = met.where(F.col("kind") == SHARED)
     crowds = shared.groupBy(F.col("k1").alias("crowd")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("crowd")
     marked = shared.join(crowds, F.col("k1") == F.col("crowd"), "left").select("doc", "place", "k1", F.col("crowd").isNotNull().alias("crowded"))
     marked = _by_text(marked, F.struct("place", "k1", "crowded"))
-    wide = texts.join(marked, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t"))).select("_doc", "_tag", "_bytes", "_places")
+    wide = texts.join(marked, (F.col("key") == F.col("d")) & (F.col("tag") == F.col("t"))).select("key", "tag", "bytes", "places")
     final = wide.mapInArrow(_laid_out(length), WIDE).repartition(parts, "k1").sortWithinPartitions(*order).mapInArrow(_met_again(length), ROWS)
     final, _ = materialise(final.where(F.col("kind") == COVERED).select("doc", "place"), "places-met")
-    free_shuffles(spark)
     return met.where(F.col("kind") == COVERED).select("doc", "place").unionAll(final)
 
 
@@ -374,16 +391,16 @@ def spans(places: np.ndarray, length: int) -> list[tuple[int, int]]:
 def suffix_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """df with kept_bytes (what is left of the text) and removed (array of byte spans) added."""
     marks = _by_text(covered_runs(df, text, row_id, length, group))
-    own = [c for c in df.columns if c not in ("kept_bytes", "removed")]
-    joined = _keyed(df.select(*own), text, row_id).join(marks, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left")
-    joined = joined.select(*own, F.col(text).cast("binary").alias("_bytes"), "_places")
-    width = len(own)
+    own = own_columns(df, "kept_bytes", "removed")
+    keyed = boxed(df, df.columns, **_keys(F.col(text), F.col(row_id))).drop("bytes")  # the text travels once, in its row
+    joined = keyed.join(marks, (F.col("key") == F.col("d")) & (F.col("tag") == F.col("t")), "left")
+    joined = joined.select(F.struct(*unboxed(own)).alias("row"), F.col("row").getField(text).cast("binary").alias("bytes"), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_t = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             kept, gone = [], []
-            for body, places in zip(batch.column(width), batch.column(width + 1), strict=True):
+            for body, places in zip(batch.column(1), batch.column(2), strict=True):
                 body = body.as_py() or b""
                 found = spans(places.values.to_numpy(zero_copy_only=False), length) if places.is_valid else []
                 at, left = 0, []
@@ -392,9 +409,8 @@ def suffix_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", leng
                     at = b
                 kept.append(b"".join([*left, body[at:]]) if found else body)
                 gone.append([{"start": a, "stop": b} for a, b in found])
-            cols = [batch.column(i) for i in range(width)] + [pa.array(kept, pa.binary()), pa.array(gone, span_t)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*own, "kept_bytes", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(gone, span_t)], names=["row", "kept_bytes", "removed"])
 
     span = T.StructType().add("start", "long").add("stop", "long")
-    schema = df.select(*own).schema.add("kept_bytes", "binary").add("removed", T.ArrayType(span))
-    return joined.mapInArrow(cut, schema)
+    schema = T.StructType([joined.schema["row"]]).add("kept_bytes", "binary").add("removed", T.ArrayType(span))
+    return joined.mapInArrow(cut, schema).select(*unboxed(own), "kept_bytes", "removed")
