@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from .mixing import MOST, SEED, WEIGHTS
 from .quality import CHAR_GUARD, CHAR_LIMIT, COMMON, MIN_WORDS, REPEAT_PERCENT, WIDTH, WORD_GUARD, WORD_LIMIT
+from .sentences import END, MIN_WORDS as RUN_WORDS, SPAN
+from .sharding import ROW_OVERHEAD, TOLERANCE
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -19,10 +23,10 @@ def _quality() -> str:
     counts = {"upper": r"[^\p{Lu}]+", "digit": "[^0-9]+", "symbol": "[^#*$%&|<>]+", "punct": r"[^.,;:!?''\"()\-]+"}
     each = ", ".join(f"length(regexp_replace(r, '{p}', '', 'g')) AS {c}" for c, p in counts.items())
     common = " ".join(f"WHEN lang = '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON.items())
-    hits = ", ".join(f"CASE WHEN c IS NULL THEN NULL ELSE len(list_filter(w, lambda x: x = c[{i}])) END" for i in range(1, WIDTH + 1))
+    hits = ", ".join(f"CASE WHEN c IS NULL THEN NULL ELSE len(list_filter(lw, lambda x: x = c[{i}])) END" for i in range(1, WIDTH + 1))
     share = lambda a: f"list_transform({a}, lambda x: CAST(x AS DOUBLE) / nullif(list_sum({a}), 0))"
     sums = ", ".join([f"sum(cc[{i}]) AS c{i}" for i in range(1, 7)] + [f"sum(wc[{i}]) AS w{i}" for i in range(1, WIDTH + 2)])
-    return rf"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w, regexp_replace(coalesce(text, ''), '[\p{{Ll}}\x20\x09-\x0D]+', '', 'g') AS r, CASE {common} END AS c FROM documents),
+    return rf"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w, {WORDS.replace("text", "lower(text)", 1)} AS lw, regexp_replace(coalesce(text, ''), '[\p{{Ll}}\x20\x09-\x0D]+', '', 'g') AS r, CASE {common} END AS c FROM documents),
     win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 6))) AS i FROM t)),
     rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
     cov AS (SELECT doc_id, sum(step) AS n_repeat FROM (SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 8)) AS step FROM rep) GROUP BY doc_id),
@@ -83,4 +87,48 @@ def _mix() -> str:
     SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(floor(place * each + u) - floor((place - 1) * each + u) AS BIGINT) * size AS taken FROM x"""
 
 
-ORACLES = {"op3_divergence_rules": _quality(), "op4_prefix_doubling": SUBSTRINGS, "op5_lsh_forest_join": NEAR, "op9_systematic_mix": _mix()}
+def _spans() -> str:
+    """Every shortest run is named by its words; the first place of each stays.  A sentence has a word, so a run of ``RUN_WORDS`` sentences has enough."""
+    words = lambda x: f"regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+')"
+    most = max(SPAN, RUN_WORDS)
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(regexp_replace(coalesce(text, ''), '({END})', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents),
+    s AS (SELECT doc_id, i, p[i] AS piece, {words("p[i]")} AS w FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t)),
+    r AS (SELECT a.doc_id, a.i AS first, b.i AS last, list_reduce(list(b.w) OVER run, lambda x, y: x || y) AS w, len(a.w) AS n_first FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + {most}
+        WINDOW run AS (PARTITION BY a.doc_id, a.i ORDER BY b.i)),
+    e AS (SELECT * FROM r WHERE last - first + 1 >= {SPAN} AND len(w) >= {RUN_WORDS} AND n_first > 0),
+    k AS (SELECT doc_id, first, last, array_to_string(w, ' ') AS name FROM e
+        QUALIFY last = min(last) OVER (PARTITION BY doc_id, first) OR first = max(first) OVER (PARTITION BY doc_id, last)),
+    x AS (SELECT *, min(struct_pack(d := doc_id, f := first)) OVER (PARTITION BY name) AS head FROM k),
+    g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM x WHERE head <> struct_pack(d := doc_id, f := first)),
+    c AS (SELECT s.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed, coalesce(sum(CASE WHEN g.i IS NOT NULL THEN length(piece) END), 0) AS gone, string_agg(piece, '' ORDER BY s.i) FILTER (g.i IS NULL) AS kept
+        FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id)
+    SELECT t.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(gone, 0) AS BIGINT) AS removed_chars, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM t LEFT JOIN c ON c.doc_id = t.doc_id"""
+
+
+def _shards(shards: int = 40) -> str:
+    """By exact running sums over all rows in key order, where the operator only probes histograms."""
+    md5 = lambda x: f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
+    slack = Fraction(str(TOLERANCE))
+    middle = lambda below, size: f"least({shards - 1}, ((2 * ({below}) + {size}) * {shards}) // (2 * total))"
+    # The 32-bit check sum byte by byte, by its usual table.
+    table = "SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY n) AS k FROM range(256) r(n)"
+    data = "[4294967295] || list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))"
+    return f"""WITH k AS ({table}),
+    z AS (SELECT doc_id, xor(list_reduce({data}, lambda a, b: xor(a >> 8, k[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), k),
+    t AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + {ROW_OVERHEAD} AS size,
+        CASE WHEN text IS NULL THEN {md5("'null'")} ELSE {md5("'text|' || text")} END AS k1, {md5("'row|' || coalesce(CAST(doc_id AS VARCHAR), '\\N')")} AS k2, coalesce(text, '') AS text FROM documents),
+    o AS (SELECT *, CAST(sum(size) OVER (ORDER BY k1, k2 ROWS UNBOUNDED PRECEDING) AS HUGEINT) AS stop, CAST(sum(size) OVER () AS HUGEINT) AS total FROM t),
+    g AS (SELECT k1, min(stop - size) AS below, max(stop) AS stop, count(*) AS n, any_value(total) AS total FROM o GROUP BY k1),
+    c AS (SELECT DISTINCT k1 FROM g, range(1, {shards}) AS r(j) WHERE n > 1
+        AND least(j * total - below * {shards}, stop * {shards} - j * total) > 0 AND {slack.denominator} * least(j * total - below * {shards}, stop * {shards} - j * total) > {slack.numerator} * total),
+    p AS (SELECT o.*, CAST(CASE WHEN c.k1 IS NULL THEN {middle("g.below", "(g.stop - g.below)")} ELSE {middle("o.stop - o.size", "o.size")} END AS INTEGER) AS shard
+        FROM (SELECT doc_id, size, k1, k2, stop, text, total FROM o) o JOIN (SELECT k1, below, stop FROM g) g ON g.k1 = o.k1 LEFT JOIN c ON c.k1 = o.k1)
+    SELECT p.doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k1, k2) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM p JOIN z ON z.doc_id IS NOT DISTINCT FROM p.doc_id"""
+
+
+ORACLES = {
+    "op1_histogram_shards": _shards(), "op3_divergence_rules": _quality(), "op4_prefix_doubling": SUBSTRINGS, "op5_lsh_forest_join": NEAR, "op9_systematic_mix": _mix(),
+    "op10_sentence_spans": _spans(),
+}

@@ -247,7 +247,7 @@ def test_near_join_in_blocks(spark, rng, monkeypatch):
 
 def test_near_join_messy(mess):
     got = nearjoin.near_join(mess)
-    assert got.count() == mess.count() and got.where("copy_of IS NULL OR near_of > copy_of").count() == 0
+    assert got.count() == mess.count() and got.where("copy_of IS NULL AND doc_id IS NOT NULL OR near_of > copy_of").count() == 0
 
 
 def test_components_and_recall(spark):
@@ -255,10 +255,47 @@ def test_components_and_recall(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1003, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in nearjoin.components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000, 1003: 1000}
-    d = nearjoin.matched_depth()
+    d = nearjoin.last_depth()
     assert 1 - (1 - 0.8**d) ** nearjoin.TREES >= nearjoin.RECALL and d < nearjoin.DEPTH
 
 
+def test_prefixes_are_shortened_until_the_recall_is_met(spark, rng, monkeypatch):
+    """Pairs just above the threshold need shorter prefixes than near-identical ones."""
+    levels, level = [], nearjoin._level
+    monkeypatch.setattr(nearjoin, "_level", lambda *a: (levels.append(a[2]), level(*a))[1])
+    alike, edge = [], []
+    for _ in range(20):
+        base = words(rng, 200).split()
+        alike += [" ".join(base), " ".join(["new", *base[1:]])]
+        edge += [" ".join(base), " ".join([*base[:178], *words(rng, 22).split()])]
+    for texts, want in ((alike, [6]), (edge, [6, 5, 4])):
+        levels.clear()
+        got = {r["doc_id"]: (r["copy_of"], r["n_links"], r["near_of"]) for r in nearjoin.near_join(frame(spark, texts)).collect()}
+        assert got == brute_near(list(enumerate(texts)))
+        assert levels == want
+    assert abs(nearjoin.measured_recall({0: 10}, 6, 0.8) - nearjoin.meets(0.8, 6)) < 1e-12 and nearjoin.measured_recall({}, 6, 0.8) is None
+
+
+def test_near_join_links_rows_without_an_id(spark, rng):
+    base, other = words(rng, 60), words(rng, 60)
+    near = base.rsplit(" ", 1)[0] + " changed"
+    rows = [(None, base, "en", "a", 1), (None, near, "en", "a", 1), (None, base, "en", "a", 1), (7, other, "en", "a", 1), (None, other + " more", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = nearjoin.near_join(docs).collect()
+    assert [r["n_links"] for r in got] == [1] * 5
+    assert sorted((r["near_of"] is None, r["doc_id"] is None) for r in got) == [(False, False), (False, True)] + [(True, True)] * 3
+    assert sorted(r["doc_id"] is None for r in nearjoin.one_of_each(docs).collect()) == [False, True]
+
+
+def test_words_end_at_six_characters_only(spark, rng):
+    """A no-break space is part of a word, for the join and for sentence runs."""
+    rest = words(rng, 30)
+    texts = [f"a\xa0b c {rest}", f"a b c {rest}", f"A b\tc\x0b{rest}"]
+    got = {r["doc_id"]: r["copy_of"] for r in nearjoin.near_join(frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+    assert sentences.runs(["a\xa0b. ", "c d"], 2, 3) and not sentences.runs(["a\xa0b. ", "c d"], 2, 4)
+
+
 # ---- 6 ----
 
 
@@ -266,8 +303,14 @@ def test_sketches_recover_differences(rng):
     for _ in range(300):
         a = {rng.getrandbits(64) for _ in range(rng.randint(0, 50))}
         b = {x for x in a if rng.random() < 0.7} | {rng.getrandbits(64) for _ in range(rng.randint(0, 30))}
-        left, right = fingerprints.difference(sorted(a), sorted(b))
-        assert set(left) == a - b and set(right) == b - a
+        left, right = fingerprints.difference(fingerprints.sketch(sorted(a)), fingerprints.sketch(sorted(b)))
+        assert (left, right) == (len(a - b), len(b - a))
+        x, y = fingerprints.sketch(sorted(a)), fingerprints.sketch(sorted(b))
+        assert set(x.peel()[0]) == a and x.size() == len(a)
+        half = x.folded(12)
+        assert half.text() == fingerprints.Sketch(sorted(a), 12).text()
+        want = len(a & b) / len(a | b) if a | b else 1.0
+        assert abs(fingerprints.likeness_of(x.text(), y.text()) - want) < 1e-12
     assert fingerprints.Sketch([1, 2]).minus(fingerprints.Sketch([1, 2])).peel() == ([], [])
 
 
@@ -278,10 +321,17 @@ def test_fingerprints(spark, rng, mess, empty):
     for i, t in enumerate(texts):
         new = fingerprints.edit(t or "", texts[i - 1] or "")
         assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[i]["n_chars"] == len(t or "")
-        assert got[i]["fingerprint"] == fingerprints.Sketch(fingerprints.digests(t or "")).text()
-        assert got[i]["edited_fingerprint"] == fingerprints.Sketch(fingerprints.digests(new)).text()
+        assert got[i]["fingerprint"] == fingerprints.sketch(fingerprints.digests(t or "")).text()
+        assert got[i]["edited_fingerprint"] == fingerprints.sketch(fingerprints.digests(new)).text()
+        assert got[i]["near_edited"] == fingerprints.likeness_of(got[i]["fingerprint"], got[i]["edited_fingerprint"])
+        if i:
+            assert got[i]["near_next"] == fingerprints.likeness_of(got[i]["fingerprint"], got[i - 1]["fingerprint"])
         a, b = set(fingerprints.digests(t or "")), set(fingerprints.digests(new))
         assert abs(got[i]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1)) < 1e-12
+    for t in ("", "\n", "\n\n", " ", "a. b", "a.  b", "x" * 300 + ". y\n"):
+        assert "".join(fingerprints.paragraphs(t)) == t
+    alone = [fingerprints.sketch(fingerprints.digests(t)) for t in ("", "\n")]
+    assert fingerprints.likeness(alone[0], alone[0]) == 1.0 and fingerprints.likeness(*alone) == 0.0
     odd = fingerprints.successive_fingerprints(mess).toPandas()
     assert len(odd) == mess.count()
     assert fingerprints.successive_fingerprints(empty).count() == 0
@@ -323,6 +373,10 @@ def test_packed(spark, rng, mess, empty):
         assert (full.fillna({"source": "?"}).groupby("bin")["source"].nunique() == full.groupby("bin").size()).all()
         assert collections.Counter("-" if x != x else str(int(x)) for x in got[got["first_word"] == 0]["doc_id"]) == n
     assert packing.packed(empty).count() == 0
+    hot = spark.createDataFrame([(1, "same text", "en", "a", 9)] * 500 + [(i, words(rng, 9), "en", f"s{i % 7}", 9) for i in range(2, 700)], SCHEMA)
+    got = packing.packed(hot, capacity=100, group_rows=120).toPandas()
+    times = got[got["doc_id"] == 1]["bin"].str.split("-").str[0].value_counts()
+    assert times.sum() == 500 and times.max() - times.min() <= 1 and len(got) == 1198
 
 
 # ---- 8 ----
@@ -347,6 +401,7 @@ def test_token_files(spark, rng, mess, empty, tmp_path):
     folder = f"file://{tmp_path}/files"
     manifest = tokenfiles.write_token_files(frame(spark, texts), path, folder)
     assert manifest == json.loads((tmp_path / "files/manifest.json").read_text())
+    assert tokenfiles.Encoder(open(path).read()).by_word
     blob, dictionary = (tmp_path / "files" / manifest[0]["file"]).read_bytes(), (tmp_path / "files/dictionary.zdict").read_bytes()
     doc_id, ids = tokenfiles.read_document(blob, 1, dictionary)
     assert doc_id == 1 and ids.tolist() == [*tok.encode(texts[1], add_special_tokens=False).ids, 2]
@@ -354,6 +409,27 @@ def test_token_files(spark, rng, mess, empty, tmp_path):
         tokenfiles.read_document(blob, 0, dictionary + b"x")
 
 
+def test_token_files_roll_over_and_other_tokenizers_see_whole_texts(spark, rng, monkeypatch, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokenfiles, "FILE_BYTES", 300)
+    docs = frame(spark, [words(rng, 50) for _ in range(60)])
+    folder = f"file://{tmp_path}/files"
+    manifest = tokenfiles.write_token_files(docs, path, folder)
+    assert len({m["file"] for m in manifest}) == len(manifest) > 8 and sum(m["documents"] for m in manifest) == 60
+    rows = sorted(map(tuple, tokenfiles.read_token_files(spark, folder).collect()))
+    assert [r[1] for r in rows] == [0, *np.cumsum([r[2] for r in rows])[:-1]]
+    spec = json.loads(open(path).read())
+    spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    other = tokenfiles.Encoder(json.dumps(spec))
+    text, end = "some words here", np.array([2], other.dtype).tobytes()
+    want = Tokenizer.from_str(json.dumps(spec)).encode(text, add_special_tokens=False).ids
+    assert not other.by_word and other.batch([text]) == [np.array(want, other.dtype).tobytes() + end]
+    assert [len(x) for x in tokenfiles.spread(bytes(100_000))] == [2048] * 8 and tokenfiles.spread(b"abcd") == [b"abcd"]
+
+
 # ---- 9 ----
 
 
@@ -405,12 +481,35 @@ def test_mix_messy(mess):
 # ---- 10 ----
 
 
+def brute_sentences(text):
+    """Character by character: a sentence ends behind an end mark and its white space, or behind a line break and its white space."""
+    out, now, i = [], "", 0
+    while i < len(text):
+        now += text[i]
+        blank = i + 1 < len(text) and text[i + 1] in " \t\n\x0b\x0c\r"
+        if text[i] == "\n" or (text[i] in ".!?" and blank):
+            while i + 1 < len(text) and text[i + 1] in " \t\n\x0b\x0c\r":
+                i += 1
+                now += text[i]
+            out.append(now)
+            now = ""
+        i += 1
+    return [*out, now] if now else out
+
+
+def test_sentences(rng):
+    for _ in range(500):
+        text = "".join(rng.choice("ab.!? \n\tÄ\xa0") for _ in range(rng.randint(0, 40)))
+        assert sentences.sentences(text) == brute_sentences(text)
+    assert sentences.sentences("Der Hund sah Anna. Im Jahr 3.5 kam sie!") == ["Der Hund sah Anna. ", "Im Jahr 3.5 kam sie!"]
+
+
 def brute_spans(rows, span, min_words):
     """{row: kept text} for (row, doc_id, tag order, text)."""
     first, out = {}, {}
     for pick in (True, False):
         for row, doc, text in rows:
-            pieces = sentences.sentences(text or "")
+            pieces = brute_sentences(text or "")
             gone = set()
             for i in range(len(pieces)):
                 k = i
@@ -480,6 +579,43 @@ def test_span_dedup_covers_all_runs(spark, rng):
     assert [got[i] for i in range(len(texts))] == want
 
 
+# ---- names, long texts ----
+
+NAMES = (
+    "_w _d _t _k1 _k2 _tk _doc _tag _h _l _n _r _c _s _p _id _src _key _copies _nth _at _places _bytes row none doc tag e d g rep near name label size k1 k2 leaf "
+    "leaves copies times grp id src key i s k nth copy marks body removed kept_bytes n_links near_of copy_of n_removed kept shard slot law Kept SIZE"
+).split()
+
+
+def test_columns_of_any_name_are_carried(spark, rng):
+    texts = [sentence_text(rng, 8) for _ in range(12)]
+    texts += [texts[0], None, ""]
+    names = list({n.lower(): n for n in NAMES}.values())
+    docs = frame(spark, texts).select("*", *[F.lit(f"<{n}>").alias(n) for n in names])
+    for run, added in (
+        (nearjoin.near_join, {"copy_of", "n_links", "near_of"}), (nearjoin.one_of_each, set()), (sentences.span_dedup, {"n_removed"}), (substrings.suffix_dedup, {"removed", "kept_bytes"}),
+        (mixing.mix, set()), (sharding.histogram_shards, {"size", "law", "shard", "slot"}),
+        (lambda d: quality.divergence_rules(d, keep=tuple(d.columns)), {"kept"}),
+    ):
+        rows = run(docs).collect()
+        assert rows and all(r[n] == f"<{n}>" for r in rows for n in names if n.lower() not in added), run
+    for run in (mixing.sampled_copies, packing.packed, fingerprints.successive_fingerprints):
+        assert run(docs).count() == 15
+
+
+def test_a_text_of_some_megabytes(spark, rng):
+    long = " ".join(sentence_text(rng, 2000) for _ in range(20))
+    assert len(long) > 2_000_000
+    docs = frame(spark, [long, "short text. Another one.", long[: len(long) // 2], None])
+    removed = {r["doc_id"]: sum(x["stop"] - x["start"] for x in r["removed"]) for r in substrings.suffix_dedup(docs).collect()}
+    assert removed[0] == 0 and removed[2] == len(long) // 2
+    assert {r["doc_id"]: r["copy_of"] for r in nearjoin.near_join(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+    cut = {r["doc_id"]: r["removed_chars"] for r in sentences.span_dedup(docs).collect()}
+    assert cut[0] == 0 and cut[2] > len(long) // 2 - 500
+    assert fingerprints.successive_fingerprints(docs).count() == 4 and mixing.mix(docs).count() >= 1
+    assert sorted(r["n_words"] for r in quality.divergence_rules(docs).collect())[-1] == len(long.split())
+
+
 # ---- pipeline ----
 
 
