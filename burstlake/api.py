@@ -65,9 +65,12 @@ class Cull:
         """Scores, ranks and the category of each shot."""
         if action not in ACTIONS or keep < 1:
             raise ValueError("action must be keep, review or reject, and keep at least 1")
-        view = f"shots_{uuid.uuid4().hex}"
+        spark, view = self.rows.sparkSession, f"shots_{uuid.uuid4().hex}"
         self.rows.createOrReplaceTempView(view)
-        return Cull(self.rows.sparkSession.sql(_doubles(ranked(SPARK, keep, action, view, usable_weights(weights)))))
+        try:
+            return Cull(spark.sql(_doubles(ranked(SPARK, keep, action, view, usable_weights(weights)))))
+        finally:
+            spark.catalog.dropTempView(view)
 
     def summary(self) -> DataFrame:
         """One row per burst: shots, kept, defects, margin, whether to look at it."""

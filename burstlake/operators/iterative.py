@@ -1,110 +1,20 @@
-"""Operators that iterate within one image or one curve: solved per group with NumPy, distributed over groups."""
+"""Training a small head on labelled vectors: one sequence of full-batch steps, on a bounded sample."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MAX_ITERATIONS, TOLERANCE = 64, 1e-4
+#: Most labelled vectors that are trained on: those with the smallest hash of their id.
+MAX_ROWS = 200_000
 
 
-def conjugate_gradient(target: np.ndarray, confidence: np.ndarray, right: np.ndarray, down: np.ndarray, smooth: float = 0.1, anchor: float = 1e-3, prior: float = 0.0):
-    """(solution, iterations, converged) of a confidence-weighted least-squares field with edge-aware smoothness.
-
-    Falls back to the prior everywhere if the bounded solver does not converge.
-    """
-    def matrix(v: np.ndarray) -> np.ndarray:
-        out = (confidence + anchor) * v
-        h = smooth * right * (v[:, :-1] - v[:, 1:])
-        w = smooth * down * (v[:-1] - v[1:])
-        out[:, :-1] += h
-        out[:, 1:] -= h
-        out[:-1] += w
-        out[1:] -= w
-        return out
-
-    degree = np.zeros_like(confidence)
-    for a, b in ((degree[:, :-1], right), (degree[:, 1:], right), (degree[:-1], down), (degree[1:], down)):
-        a += smooth * b
-    scale = 1 / (confidence + anchor + degree)
-    rhs = confidence * target + anchor * prior
-    size = np.linalg.norm(rhs)
-    if size <= 1e-14:
-        return np.full_like(rhs, prior), 0, True
-    x, rest = np.zeros_like(rhs), rhs.copy()
-    way = scale * rest
-    power = float((rest * way).sum())
-    for step in range(1, MAX_ITERATIONS + 1):
-        moved = matrix(way)
-        by = power / float((way * moved).sum())
-        x += by * way
-        rest -= by * moved
-        if np.linalg.norm(rest) / size <= TOLERANCE:
-            return np.clip(x, 0, 1), step, True
-        new = float((rest * scale * rest).sum())
-        way = scale * rest + new / power * way
-        power = new
-    return np.full_like(rhs, prior), MAX_ITERATIONS, False
-
-
-def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted non-decreasing least-squares fit by pooling neighbours that are out of order."""
-    means, masses, sizes = [], [], []
-    for v, w in zip(values, weights, strict=True):
-        means.append(float(v)), masses.append(float(w)), sizes.append(1)
-        while len(means) > 1 and means[-2] > means[-1]:
-            v2, w2, n2 = means.pop(), masses.pop(), sizes.pop()
-            total = masses[-1] + w2
-            means[-1] = (means[-1] * masses[-1] + v2 * w2) / total
-            masses[-1], sizes[-1] = total, sizes[-1] + n2
-    return np.repeat(means, sizes)
-
-
-def simplify_curve(x: np.ndarray, y: np.ndarray, most: int = 16, error: float = 0.75) -> list[int]:
-    """Indices of at most ``most`` knots: the point worst served by the straight lines is added until all are near enough."""
-    knots = [0, len(x) - 1]
-    while len(knots) < most:
-        off = np.abs(y - np.interp(x, x[knots], y[knots]))
-        worst = int(np.argmax(off))
-        if off[worst] <= error:
-            break
-        knots = sorted({*knots, worst})
-    return knots
-
-
-def wls_fields(images: DataFrame) -> DataFrame:
-    """shot_id, iterations, converged, mean for images (shot_id, gray array of 64)."""
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for shot, gray in zip(pdf["shot_id"], pdf["gray"], strict=True):
-                v = np.asarray(gray, float).reshape(8, 8) / 255
-                right, down = np.exp(-(np.diff(v, axis=1) ** 2) / 0.01), np.exp(-(np.diff(v, axis=0) ** 2) / 0.01)
-                field, n, ok = conjugate_gradient(v, (v > 0.5).astype(float), right, down)
-                out.append((shot, n, ok, round(float(field.mean()), 6)))
-            yield pd.DataFrame(out, columns=["shot_id", "iterations", "converged", "mean"])
-
-    return images.select("shot_id", "gray").mapInPandas(solve, "shot_id long, iterations int, converged boolean, mean double")
-
-
-def curves(points: DataFrame) -> DataFrame:
-    """folder, knot, x, y: simplified isotonic curves of (folder, bin, n, mx, my)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        x, y = pdf["mx"].to_numpy(float), isotonic(pdf["my"].to_numpy(float), pdf["n"].to_numpy(float))
-        at = simplify_curve(x, y)
-        return pd.DataFrame({"folder": pdf["folder"].iloc[0], "knot": range(len(at)), "x": np.round(x[at], 5), "y": np.round(y[at], 5)})
-
-    return points.groupBy("folder").applyInPandas(one, "folder int, knot int, x double, y double")
-
-
-def train_head(samples: DataFrame, hidden: int = 256, steps: int = 200, rate: float = 0.01, seed: int = 42) -> DataFrame:
+def train_head(samples: DataFrame, hidden: int = 256, steps: int = 200, rate: float = 0.01, seed: int = 42, max_rows: int = MAX_ROWS) -> DataFrame:
     """step, loss of a two-layer ReLU head with softmax loss and Adam on labelled vectors (embedding, label 0 or 1).
 
-    Exactness of one sequence of steps needs one group: all samples are in the memory of one task.
+    One sequence of steps needs all its samples in one task, so at most ``max_rows`` of them are taken.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,4 +39,5 @@ def train_head(samples: DataFrame, hidden: int = 256, steps: int = 200, rate: fl
                 p[i] = p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
         return pd.DataFrame(out, columns=["step", "loss"])
 
-    return samples.groupBy().applyInPandas(one, "step int, loss double")
+    taken = samples.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    return taken.groupBy().applyInPandas(one, "step int, loss double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .bursts import BURSTS_SQL, photo_bursts
 from .dialect import Catalog, Dialect
-from .views import GRID, IMAGE_LIST, RAW_LIST, features, files, gradients, photos, pixels, rgb
+from .rasters import CENTRE, WHOLE, Picture, detail, exposure_of, hash_bits, with_absolute, with_cells, with_gradients
+from .views import BURSTS, IMAGE_LIST, RAW_LIST, features, files, photos, rgb
 
 catalog = Catalog()
+catalog.derived[BURSTS] = (photo_bursts, BURSTS_SQL)
 
 # ---- scans and set operations -------------------------------------------------------------------------------------
 
@@ -30,8 +33,8 @@ def scan_excluding_output(d: Dialect) -> str:
 def companion_pairing(d: Dialect) -> str:
     """One shot per directory and case-blind stem; raw before ordinary images before others, then suffix, then path."""
     order = f"(CASE WHEN lower(ext) IN ({RAW_LIST}) THEN 0 ELSE 1 END), (CASE WHEN lower(ext) IN ({IMAGE_LIST}) THEN 0 ELSE 1 END), lower(ext), path"
-    ranked = f"SELECT *, row_number() OVER (PARTITION BY dir, lower(stem) ORDER BY {order}) AS n FROM ({files(d)}) WHERE lower(ext) IN ({RAW_LIST}, {IMAGE_LIST})"
-    return f"SELECT dir, lower(stem) AS stem_key, max(CASE WHEN n = 1 THEN path END) AS primary_path, count(*) AS files, sum(length) AS bytes FROM ({ranked}) GROUP BY dir, lower(stem)"
+    first = f"min_by(path, struct({order}))" if d.spark else f"arg_min(path, row({order}))"
+    return f"SELECT dir, lower(stem) AS stem_key, {first} AS primary_path, count(*) AS files, sum(length) AS bytes FROM ({files(d)}) WHERE lower(ext) IN ({RAW_LIST}, {IMAGE_LIST}) GROUP BY dir, lower(stem)"
 
 
 @catalog.add
@@ -92,67 +95,60 @@ def byte_identity_match(d: Dialect) -> str:
 
 @catalog.add
 def dhash_bits(d: Dialect) -> str:
-    """Is each pixel brighter than its left neighbour: 7 bits per row, 56 in all, as text."""
-    bits = " , ".join(f"CASE WHEN {d.at('gray', str(8 * y + x + 1))} > {d.at('gray', str(8 * y + x))} THEN '1' ELSE '0' END" for y in range(8) for x in range(7))
-    return f"SELECT shot_id, concat({bits}) AS dhash FROM ({photos(d)})"
+    """Is each pixel of nine columns brighter than its right neighbour: 64 bits, as text."""
+    return f"SELECT shot_id, {hash_bits(d)} AS dhash FROM ({photos(d)})"
 
 
 @catalog.add
 def hamming_pairs(d: Dialect) -> str:
     """Differing bits of each photo and the one taken before it in its folder."""
-    bit = lambda g, y, x: f"({d.at(g, str(8 * y + x + 1))} > {d.at(g, str(8 * y + x))})"
-    diff = " + ".join(f"CASE WHEN {bit('gray', y, x)} <> {bit('last', y, x)} THEN 1 ELSE 0 END" for y in range(8) for x in range(7))
-    return f"SELECT shot_id, {diff} AS distance FROM (SELECT *, lag(gray) OVER (PARTITION BY folder ORDER BY captured_at, shot_id) AS last FROM ({photos(d)})) WHERE last IS NOT NULL"
+    diff = " + ".join(f"CASE WHEN substr(dhash, {k}, 1) <> substr(last, {k}, 1) THEN 1 ELSE 0 END" for k in range(1, 65))
+    hashed = f"SELECT shot_id, folder, captured_at, {hash_bits(d)} AS dhash FROM ({photos(d)})"
+    return f"SELECT shot_id, {diff} AS distance FROM (SELECT *, lag(dhash) OVER (PARTITION BY folder ORDER BY captured_at, shot_id) AS last FROM ({hashed})) WHERE last IS NOT NULL"
+
+
+def _photo(d: Dialect) -> Picture:
+    return Picture(d, photos(d))
 
 
 @catalog.add
 def exposure_score(d: Dialect) -> str:
-    return f"SELECT shot_id, round(greatest(0.0, least(1.0, 1.0 - 2.0 * avg(CASE WHEN v >= 250 THEN 1.0E0 ELSE 0.0E0 END) - 0.5 * avg(CASE WHEN v <= 5 THEN 1.0E0 ELSE 0.0E0 END))), 6) AS exposure FROM ({pixels(d)}) GROUP BY shot_id"
+    return f"SELECT shot_id, round({exposure_of(d)}, 6) AS exposure FROM ({photos(d)})"
 
 
 @catalog.add
 def region_sharpness(d: Dialect) -> str:
-    return f"SELECT shot_id, round(var_pop(lap) + avg(sx * sx + sy * sy), 6) AS sharpness FROM ({gradients(d)}) GROUP BY shot_id"
+    return with_gradients(_photo(d), WHOLE, "whole").select(f"shot_id, round({detail(d, 'whole', WHOLE[0])}, 5) AS sharpness")
 
 
 @catalog.add
 def center_sharpness(d: Dialect) -> str:
-    """The central 60 %: a border of floor(8 * 0.4 / 2) cells is cut off."""
-    region = {"x0": "1", "y0": "1", "w": "6", "h": "6"}
-    return f"SELECT shot_id, round(var_pop(lap) + avg(sx * sx + sy * sy), 6) AS sharpness FROM ({gradients(d, 'WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6', **region)}) GROUP BY shot_id"
-
-
-def profile(d: Dialect) -> str:
-    return f"SELECT shot_id, folder, cell, var_pop(lap) + avg(sx * sx + sy * sy) AS sharpness FROM ({gradients(d, **GRID)}) GROUP BY shot_id, folder, cell"
+    """The central 60 %."""
+    return with_gradients(_photo(d), CENTRE, "mid").select(f"shot_id, round({detail(d, 'mid', CENTRE[0])}, 5) AS sharpness")
 
 
 @catalog.add
 def grid3x3_profile(d: Dialect) -> str:
-    return f"SELECT shot_id, cell, round(sharpness, 6) AS sharpness FROM ({profile(d)})"
+    return f"SELECT shot_id, cell, round({d.at('cells', 'cell')}, 5) AS sharpness FROM ({with_cells(_photo(d)).sql}) {d.series(9, 'cell')}"
 
 
 @catalog.add
 def region_aggregate_top5(d: Dialect) -> str:
-    """Median of the five sharpest regions of a photo."""
-    return f"SELECT shot_id, round({d.percentile('sharpness', 0.5)}, 6) AS sharpness FROM (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY sharpness DESC, cell) AS n FROM ({profile(d)})) WHERE n <= 5 GROUP BY shot_id"
+    """Median of the five sharpest regions of a photo: the third largest."""
+    p = with_cells(_photo(d))
+    ordered = "array_sort(cells)" if d.spark else "list_sort(cells)"
+    return p.select(f"shot_id, round({d.at(ordered, '6')}, 5) AS sharpness")
 
 
 @catalog.add
 def informative_cells(d: Dialect) -> str:
-    """The five cells of highest median texture in a folder, and each photo's median over them."""
-    median = f"SELECT folder, cell, {d.percentile('sharpness', 0.5)} AS m FROM ({profile(d)}) GROUP BY folder, cell"
-    best = f"SELECT folder AS f, cell AS c FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY m DESC, cell DESC) AS n FROM ({median})) WHERE n <= 5"
-    return f"SELECT shot_id, round({d.percentile('sharpness', 0.5)}, 6) AS sharpness FROM ({profile(d)}) p JOIN ({best}) b ON p.folder = b.f AND p.cell = b.c GROUP BY shot_id"
+    """Each photo's median over the five regions of most detail in its burst."""
+    return f"SELECT shot_id, round(sharpness, 5) AS sharpness FROM ({features(d)})"
 
 
 @catalog.add
 def absolute_sharpness(d: Dialect) -> str:
-    """Percentiles of 3 x 3 Laplacian and gradient on a 0 to 1 image, gated by texture."""
-    clip = lambda x: f"greatest(0.0, least(1.0, {x}))"
-    grad = "sqrt(CAST(sx * sx + sy * sy AS DOUBLE))"
-    return f"""SELECT shot_id, round({clip("(0.45 * l + 0.55 * g) * t")}, 6) AS quality FROM (
-        SELECT shot_id, {clip(d.percentile("abs(lap3) / CAST(255 AS DOUBLE)", 0.9))} AS l, {clip(d.percentile(grad + " / 255", 0.9) + " / 3")} AS g, {clip("stddev_pop(v / CAST(255 AS DOUBLE)) / 0.1")} AS t
-        FROM ({gradients(d)}) GROUP BY shot_id)"""
+    return with_absolute(_photo(d)).select("shot_id, round(quality, 6) AS quality")
 
 
 @catalog.add

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burstlake.sources.tables import TABLES, register
+from burstlake.sources.tables import TABLES, prefixed, register
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,55 @@ class Dialect:
     def total(self, array: str) -> str:
         return f"aggregate({array}, CAST(0 AS DOUBLE), (a, x) -> a + x)" if self.spark else f"list_sum({array})"
 
+    def range(self, n: int | str) -> str:
+        """The array of the numbers 0 to n - 1."""
+        return f"sequence(0, {n} - 1)" if self.spark else f"range({n})"
+
+    def head(self, array: str, n: int) -> str:
+        return f"slice({array}, 1, {n})" if self.spark else f"{array}[1:{n}]"
+
+    def head_of(self, array: str, n: str) -> str:
+        """The first n items, n an expression that may be 0."""
+        return f"slice({array}, 1, {n})" if self.spark else f"{array}[1:{n}]"
+
+    def least_of(self, array: str) -> str:
+        return f"array_min({array})" if self.spark else f"list_min({array})"
+
+    def most_of(self, array: str) -> str:
+        return f"array_max({array})" if self.spark else f"list_max({array})"
+
+    def let(self, value: str, var: str, body: str) -> str:
+        """body with var standing for value, which is worked out once."""
+        return self.at(self.each(self.list(value), var, body), "0")
+
+    def record(self, **fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")" if self.spark else "struct_pack(" + ", ".join(f"{k} := {v}" for k, v in fields.items()) + ")"
+
+    def iterate(self, start: str, times: int, var: str, body: str) -> str:
+        """start put through body ``times`` times; body has the type of start."""
+        if self.spark:
+            return f"aggregate(sequence(1, {times}), {start}, ({var}, i_) -> {body})"
+        return f"list_reduce(list_transform(range({times + 1}), lambda i_: {start}), lambda {var}, e_: {body})"
+
+    def quantile(self, array: str, share: float) -> str:
+        """Linear between the neighbouring values in order; null for no values."""
+        at = f"((len_ - 1) * {share!r})"
+        inner = f"{self.at('s_', f'floor({at})')} + ({self.at('s_', f'least(floor({at}) + 1, len_ - 1)')} - {self.at('s_', f'floor({at})')}) * ({at} - floor({at}))"
+        ordered = f"array_sort({array})" if self.spark else f"list_sort({array})"
+        return self.let(ordered, "s_", inner.replace("len_", self.size("s_")))
+
+    def median(self, array: str) -> str:
+        return self.quantile(array, 0.5)
+
+    def mean(self, array: str) -> str:
+        return self.let(array, "m_", f"({self.total('m_')} / {self.size('m_')})")
+
+    def levels(self, source: str, **columns: str) -> str:
+        """source with more columns, each worked out once for a row however often later ones read it."""
+        if not self.spark:
+            return f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM ({source})"
+        return f"SELECT * FROM ({LEVEL}{source}{END}) LATERAL VIEW inline(array(struct({', '.join(columns.values())}))) AS {', '.join(columns)}"
+
     def size(self, array: str) -> str:
         return f"size({array})" if self.spark else f"len({array})"
 
@@ -72,6 +122,37 @@ class Dialect:
 
 
 SPARK, DUCK = Dialect("spark"), Dialect("duck")
+#: What encloses the source of a level in a text for Spark, and how many levels are resolved at once.
+LEVEL, END, AT_ONCE = "\x01", "\x02", 6
+
+
+def run_sql(spark: SparkSession, text: str) -> DataFrame:
+    """The text as a DataFrame.  The analyser takes a bounded number of passes, some for each nested level of columns, so
+    that inner levels are resolved first, a few at a time."""
+    views: dict[str, str] = {}
+
+    def resolved(part: str) -> tuple[str, int]:
+        out, depth, i = "", 0, 0
+        while (j := part.find(LEVEL, i)) >= 0:
+            k, nested = j + 1, 1
+            while nested:
+                nested += (part[k] == LEVEL) - (part[k] == END)
+                k += 1
+            inner, d = resolved(part[j + 1 : k - 1])
+            if d >= AT_ONCE:
+                if inner not in views:
+                    views[inner] = f"step_{uuid.uuid4().hex}"
+                    spark.sql(inner).createOrReplaceTempView(views[inner])
+                inner, d = f"SELECT * FROM {views[inner]}", 0
+            out += part[i:j] + inner
+            depth, i = max(depth, d + 1), k
+        return out + part[i:], depth
+
+    try:
+        return spark.sql(resolved(text)[0])
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def _doubles(sql: str) -> str:
@@ -85,15 +166,26 @@ class Catalog:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
+        #: Names that stand for more than a table: how Spark makes them a view, and what they are in plain SQL.
+        self.derived: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
     def add(self, sql: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
         text = _doubles(sql(SPARK))
         names = tuple(t for t in TABLES if re.search(rf"\b{t}\b", text))
+        derived = [n for n in self.derived if re.search(rf"\b{n}\b", text)]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             register(spark, sf_dir, names)
-            return spark.sql(text)
+            out = prefixed(text)
+            for n in derived:
+                view = f"{n}_{uuid.uuid4().hex}"
+                self.derived[n][0](spark, sf_dir).createOrReplaceTempView(view)
+                out = re.sub(rf"\b{n}\b", view, out)
+            return run_sql(spark, out)
 
         self.queries[sql.__name__] = run
-        self.oracles[sql.__name__] = _doubles(sql(DUCK))
+        plain = sql(DUCK).replace(LEVEL, "").replace(END, "")
+        for n, (_, meaning) in self.derived.items():
+            plain = re.sub(rf"\b{n}\b", lambda m, x=meaning: f"({x})", plain)
+        self.oracles[sql.__name__] = _doubles(plain)
         return sql

@@ -156,10 +156,32 @@ def json_props_extract(d: Dialect) -> str:
     return f"SELECT event_id, {k} AS k FROM events"
 
 
+def exif_rows(d: Dialect) -> str:
+    """p_partkey and what an outer reader found: names of a lens in four tags, makers, focal length."""
+    some = lambda n, x: f"CASE WHEN p_partkey % {n} = 0 THEN {x} WHEN p_partkey % {n} = 1 THEN '  ' END"
+    return f"""SELECT p_partkey, {some(5, "concat(p_name, ' 24-70mm f/4')")} AS lens_model, {some(3, "concat('ID ', p_type)")} AS lens_id, {some(4, "'14-24mm f/4'")} AS lens_spec, {some(2, "concat(p_brand, ' 50 mm')")} AS lens,
+        {some(6, 'p_brand')} AS lens_make, CASE WHEN p_size % 4 = 0 THEN 'NIKON CORPORATION' ELSE p_brand END AS make, CASE WHEN p_size % 3 = 0 THEN p_size END AS f35_film, CASE WHEN p_size % 5 = 0 THEN p_size + 1 END AS f35_format FROM part"""
+
+
+@catalog.add
+def vendor_lens_mapping(d: Dialect) -> str:
+    """The first non-empty of four lens tags, the lens maker or Nikon by the body's maker, the 35 mm focal length, and a range from the names."""
+    full = RANGE.replace("[-\\x{2013}]", "-") + r"(?:\s+[fF]\s*/\s*([0-9]+(?:\.[0-9]+)?)(?:\s*-\s*([0-9]+(?:\.[0-9]+)?))?)?"
+    said = lambda x: f"CASE WHEN trim({x}) <> '' THEN {x} END"
+    one = f"SELECT p_partkey, coalesce({said('lens_model')}, {said('lens_id')}, {said('lens_spec')}, {said('lens')}) AS model, coalesce({said('lens_make')}, CASE WHEN strpos(lower(make), 'nikon') > 0 THEN 'Nikon' END) AS maker, coalesce(f35_film, f35_format) AS f35, {said('lens')} AS lens FROM ({exif_rows(d)})"
+    one = one if not d.spark else one.replace("strpos(lower(make), 'nikon') > 0", "contains(lower(make), 'nikon')")
+    two = f"SELECT *, coalesce(lens, model) AS named FROM ({one})"
+    n = [d.number(f"nullif({d.pick('named', full, k)}, '')") for k in (1, 2, 3, 4)]
+    three = f"SELECT *, {n[0]} AS a, {n[1]} AS b, {n[2]} AS c, {n[3]} AS e FROM ({two})"
+    ok = "c IS NOT NULL AND a > 0 AND coalesce(b, a) >= a AND c > 0"
+    return f"SELECT p_partkey, model, maker, f35, CASE WHEN {ok} THEN a END AS min_focal, CASE WHEN {ok} THEN coalesce(b, a) END AS max_focal, CASE WHEN {ok} THEN c END AS aperture FROM ({three})"
+
+
 @catalog.add
 def fill_missing_merge(d: Dialect) -> str:
-    """Tags that are there stay; only missing or empty ones are taken from the second reader."""
-    return "SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END, ''), p_brand) AS lens_model, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_type END, CASE WHEN p_partkey % 5 = 0 THEN p_brand END, p_name) AS maker FROM part"
+    """Tags that are there stay, even empty ones; only absent ones are taken from the second reader, if it has a value."""
+    own = "CASE WHEN p_partkey % 7 < 3 THEN p_name WHEN p_partkey % 7 = 3 THEN '' END"
+    return f"SELECT p_partkey, coalesce({own}, lens_model, lens_id, lens_spec, lens) AS lens_model, {own} IS NULL AND coalesce(lens_model, lens_id, lens_spec, lens) IS NOT NULL AS filled FROM (SELECT r.*, p_name FROM ({exif_rows(d)}) r JOIN (SELECT p_partkey AS pk, p_name FROM part) n ON n.pk = r.p_partkey)"
 
 
 @catalog.add
@@ -185,20 +207,39 @@ def param_clamp(d: Dialect) -> str:
     return f"SELECT event_id, round(CASE WHEN {nan} THEN 0.0 ELSE greatest(0.0, least(1.0, x)) END, 6) AS p FROM (SELECT event_id, CAST({x} AS DOUBLE) AS x FROM events)"
 
 
+#: The basic controls and their ranges.
+BASIC = {
+    "exposure": (-5, 5), "contrast": (-100, 100), "highlights": (-100, 100), "shadows": (-100, 100), "whites": (-100, 100), "blacks": (-100, 100), "vibrance": (-100, 100), "saturation": (-100, 100),
+}
+
+
+def basic_requests(d: Dialect) -> str:
+    """id, key, value: requests of eight controls each, of which some lack one, name another, or go out of range."""
+    key = d.at(d.list(*[f"'{k}'" for k in BASIC], "'sharpness'"), "k")
+    value = "CASE WHEN l_orderkey % 13 = 0 AND k = 3 THEN CAST('NaN' AS DOUBLE) WHEN k = 0 THEN l_discount * 60 - 1 ELSE l_extendedprice / 1000 - 5 * k END"
+    skip = "NOT (l_orderkey % 7 = 0 AND k = 5) AND NOT (k = 8 AND l_orderkey % 5 <> 0)"
+    return f"SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS m, {key} AS key, {value} AS value FROM lineitem {d.series(9, 'k')} WHERE {skip}"
+
+
 @catalog.add
 def basic_params_validation(d: Dialect) -> str:
-    """Exposure in -5..5, the other controls in -100..100, all of them given."""
-    return "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 10 BETWEEN -5 AND 5 AND l_extendedprice / 1000 BETWEEN -100 AND 100 AND l_discount IS NOT NULL AS valid FROM lineitem"
+    """Valid are exactly the eight keys, each finite and in its range."""
+    ranges = " UNION ALL ".join(f"SELECT '{k}' AS name, CAST({a} AS DOUBLE) AS low, CAST({b} AS DOUBLE) AS high FROM (SELECT 1 AS one)" for k, (a, b) in BASIC.items())
+    good = "name IS NOT NULL AND NOT isnan(value) AND value >= low AND value <= high"
+    return f"SELECT id, n, m, count(*) = {len(BASIC)} AND sum(CASE WHEN {good} THEN 1 ELSE 0 END) = {len(BASIC)} AS valid FROM ({basic_requests(d)}) LEFT JOIN ({ranges}) ON name = key GROUP BY id, n, m"
 
 
 @catalog.add
 def list_validation(d: Dialect) -> str:
-    """25 finite values of -100..100; 14 with a range for each place."""
-    hsl = d.each("embedding", "v", "CAST(v AS DOUBLE) * 300")
-    first = lambda n: f"slice(hsl, 1, {n})" if d.spark else f"hsl[1:{n}]"
-    none = lambda a, test: f"{d.size(d.keep(a, 'v', test))} = 0"
-    size = "CAST(23 + vec_id % 4 AS INT)"
-    return f"SELECT vec_id, n = 25 AND {none('part25', 'abs(v) > 100 OR isnan(v)')} AS hsl_ok, abs({d.at('hsl', '0')}) <= 360 AND {d.at('hsl', '1')} BETWEEN 0 AND 100 AND {d.at('hsl', '12')} BETWEEN 0 AND 100 AND {d.at('hsl', '13')} BETWEEN -100 AND 100 AS grading_ok FROM (SELECT vec_id, hsl, {size} AS n, {first('25')} AS part25 FROM (SELECT vec_id, {hsl} AS hsl FROM embeddings))"
+    """25 finite values of -100..100; 14 values with a range for each place: hue, saturation and lightness of four wheels, blending, balance."""
+    v = d.each("embedding", "v", "CAST(v AS DOUBLE) * 300 + 60")
+    first = lambda a, n: f"slice({a}, 1, {n})" if d.spark else f"{a}[1:{n}]"
+    bad = lambda a, test: f"{d.size(d.keep(a, 'u', test))} > 0"
+    each = [(0, 360) if k % 3 == 0 else (0, 100) if k % 3 == 1 else (-100, 100) for k in range(12)] + [(0, 100), (-100, 100)]
+    ranges = " AND ".join(f"{d.at('v14', str(k))} BETWEEN {a} AND {b}" for k, (a, b) in enumerate(each))
+    one = f"SELECT vec_id, CAST(23 + vec_id % 4 AS INT) AS n25, CAST(13 + vec_id % 3 AS INT) AS n14, {v} AS vs FROM embeddings"
+    two = f"SELECT *, {first('vs', 25)} AS v25, {d.each(first('vs', 14), 'w', 'abs(w) / 3')} AS v14 FROM ({one})"
+    return f"SELECT vec_id, n25 = 25 AND NOT ({bad('v25', 'abs(u) > 100 OR isnan(u)')}) AS hsl_ok, n14 = 14 AND {ranges} AS grading_ok FROM ({two})"
 
 
 @catalog.add
@@ -212,8 +253,12 @@ def error_classification(d: Dialect) -> str:
 
 @catalog.add
 def cache_token(d: Dialect) -> str:
-    """First 20 hex digits of the SHA-256 of the parameters as sorted JSON."""
-    text = "concat('{\"mode\": \"', p_type, '\", \"size\": ', CAST(p_size AS VARCHAR(9)), '}')"
+    """First 20 hex digits of the SHA-256 of version, mode and all normalised settings as JSON with sorted keys."""
+    names = ("brightness_protection", "color_protection", "color_recovery", "fog_retention", "highlight_protection", "local_contrast", "naturalness", "shadow_protection", "strength")
+    value = lambda k: f"CAST(round(greatest(0.0, least(1.0, p_size / CAST(40 AS DOUBLE) - {k} / CAST(10 AS DOUBLE))), 3) * 1000 AS INT)"
+    pairs = {"auto_exposure": "CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END", "mode": "concat('\"', CASE p_partkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'conservative' ELSE 'strong' END, '\"')", "version": "'3'"}
+    pairs |= {n: f"CAST({value(k)} AS VARCHAR(9))" for k, n in enumerate(names)}
+    text = "concat('{', " + ", ', ', ".join(f"'\"{k}\": ', {pairs[k]}" for k in sorted(pairs)) + ", '}')"
     return f"SELECT p_partkey, substr({f'sha2({text}, 256)' if d.spark else f'sha256({text})'}, 1, 20) AS token FROM part"
 
 
@@ -249,16 +294,25 @@ def similarity(d: Dialect, a: str, b: str) -> str:
 def fuzzy_best_match(d: Dialect) -> str:
     """Each distinct lens name with the best catalog entry of score 0.34 or more; the first of equals.
 
-    Only distinct names are scored against the catalog, which is a small fixed dimension.
+    Names and entries meet by what can give a score: a common token, or equal or nested names, whose tokens are joined in
+    three-letter pieces; only such pairs are scored, so nothing is compared with everything.
     """
-    catalog_rows = "SELECT DISTINCT p_name AS model, p_type AS maker FROM part WHERE p_partkey % 20 = 0"
-    entries = f"SELECT row_number() OVER (ORDER BY model, maker) AS id, model, maker FROM ({catalog_rows})"
+    entries = "SELECT DISTINCT p_name AS model, p_type AS maker FROM part"
     names = "SELECT DISTINCT p_name AS name, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS make FROM part"
+    distinct = "array_distinct" if d.spark else "list_distinct"
+    tokens = lambda x: f"{distinct}({d.all(f'lower({x})', '[a-z0-9]+')})"
+    flat = lambda x: d.sub(f"lower({x})", "[^a-z0-9]+", "")
+    pieces = lambda x: d.each(d.range(f"greatest(1, length({flat(x)}) - 2)"), "k", f"concat('#', substr({flat(x)}, CAST(k + 1 AS INT), 3))")
+    keys = lambda x: f"{'array_union' if d.spark else 'list_concat'}({tokens(x)}, {distinct}({pieces(x)}))"
+    open_ = lambda sql, x, cols: f"SELECT {cols}, key FROM ({sql}) LATERAL VIEW explode({keys(x)}) AS key" if d.spark else f"SELECT {cols}, unnest({keys(x)}) AS key FROM ({sql})"
+    met = f"SELECT DISTINCT name, model FROM ({open_(f'SELECT DISTINCT name FROM ({names})', 'name', 'name')}) a JOIN ({open_(f'SELECT DISTINCT model FROM ({entries})', 'model', 'model')}) b ON a.key = b.key"
     m, k = similarity(d, "name", "model"), similarity(d, "make", "maker")
-    one = f"SELECT name, make, id, {m} AS m, CASE WHEN make = '' THEN 0.5 ELSE {k} END AS k FROM ({names}) CROSS JOIN ({entries})"
-    two = f"SELECT name, make, id, CASE WHEN m = 0 THEN 0.0 ELSE 0.78 * m + 0.22 * k END AS score FROM ({one})"
-    best = f"SELECT *, row_number() OVER (PARTITION BY name, make ORDER BY score DESC, id) AS n FROM ({two})"
-    return f"SELECT name, make, CASE WHEN score >= 0.34 THEN id END AS entry, round(CASE WHEN score >= 0.34 THEN score END, 6) AS score FROM ({best}) WHERE n = 1"
+    scored = f"SELECT name AS sn, model AS sm, {m} AS m FROM ({met})"
+    both = f"SELECT n.name, n.make, e.model, e.maker, s.m FROM ({names}) n JOIN ({scored}) s ON s.sn = n.name JOIN ({entries}) e ON e.model = s.sm WHERE s.m > 0"
+    makers = f"SELECT make AS mk, maker AS mr, CASE WHEN make = '' THEN 0.5 ELSE {k} END AS k FROM (SELECT DISTINCT make, maker FROM ({both}))"
+    two = f"SELECT name, make, model, maker, 0.78 * m + 0.22 * k AS score FROM ({both}) JOIN ({makers}) ON mk = make AND mr = maker"
+    best = f"SELECT name AS bn, make AS bm, model, maker, score FROM (SELECT *, row_number() OVER (PARTITION BY name, make ORDER BY score DESC, model, maker) AS n FROM ({two}) WHERE score >= 0.34) WHERE n = 1"
+    return f"SELECT name, make, model, maker, round(score, 6) AS score FROM ({names}) LEFT JOIN ({best}) ON bn = name AND bm = make"
 
 
 @catalog.add
@@ -269,8 +323,9 @@ def fixed_profile_case(d: Dialect) -> str:
 
 @catalog.add
 def row_limit_guard(d: Dialect) -> str:
-    """Requests by size: none, too many, or accepted."""
-    return "SELECT o_custkey, count(*) AS asked, CASE WHEN count(*) > 12 THEN 'too_many' ELSE 'accepted' END AS verdict FROM orders GROUP BY o_custkey"
+    """Requests by size: none beyond 500 photos, sessions beyond 5000, or 40 groups in a review."""
+    one = "SELECT o_custkey, count(*) AS asked, count(*) * 40 AS photos, count(*) * 300 AS session FROM orders GROUP BY o_custkey"
+    return f"SELECT o_custkey, asked, CASE WHEN photos > 500 THEN 'too_many' ELSE 'accepted' END AS batch, CASE WHEN session > 5000 THEN 'too_many' ELSE 'accepted' END AS session_verdict, least(asked * 5, 40) AS shown FROM ({one})"
 
 
 @catalog.add
@@ -281,11 +336,15 @@ def blendshape_map(d: Dialect) -> str:
 
 @catalog.add
 def tone_curve_parse(d: Dialect) -> str:
-    """Points "x, y" of a curve: how many are sound, and the first and last output."""
-    raw = "concat(CAST(p_size AS VARCHAR(9)), ', ', CAST(p_size * 3 AS VARCHAR(9)), '; 255, 255')"
-    n = d.all("raw", "[0-9]+")
-    one = f"SELECT p_partkey, {n} AS n FROM (SELECT p_partkey, {raw} AS raw FROM part)"
-    return f"SELECT p_partkey, CAST({d.size('n')} AS INT) AS numbers, CAST({d.at('n', '1')} AS INT) AS first_out, CAST({d.at('n', '3')} AS INT) AS last_out FROM ({one})"
+    """Points "x, y" or "x y" of a curve: clipped to 0..255, in order of x, the last of equal x; a straight line unless two are left."""
+    item = d.list("concat(CAST(p_size * 7 AS VARCHAR(9)), ', ', CAST(p_size * 3 AS VARCHAR(9)))", "'nonsense'", "concat(CAST(p_size AS VARCHAR(9)), ' ', CAST(p_partkey % 400 AS VARCHAR(9)))", "CASE WHEN p_partkey % 3 = 0 THEN '255, 250' ELSE '300,-5,2' END", "concat(CAST(p_size AS VARCHAR(9)), ', 77')")
+    rows = f"SELECT p_partkey, k, trim({d.at(item, 'k')}) AS t FROM part {d.series(5, 'k')}"
+    pat = r"^([-+]?[0-9.]+)(?:\s*,\s*|\s+)([-+]?[0-9.]+)$"
+    nums = f"SELECT p_partkey, k, {d.number(f'nullif({d.pick("t", pat, 1)}, {chr(39) * 2})')} AS a, {d.number(f'nullif({d.pick("t", pat, 2)}, {chr(39) * 2})')} AS b FROM ({rows})"
+    points = f"SELECT p_partkey, k, greatest(0.0, least(255.0, a)) AS x, greatest(0.0, least(255.0, b)) AS y FROM ({nums}) WHERE a IS NOT NULL AND b IS NOT NULL"
+    last = f"SELECT p_partkey AS i, x, y FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, x ORDER BY k DESC) AS n FROM ({points})) WHERE n = 1"
+    agg = f"SELECT i, count(*) AS n, {'max_by(y, x)' if d.spark else 'arg_max(y, x)'} AS last_y, {'min_by(y, x)' if d.spark else 'arg_min(y, x)'} AS first_y, min(x) AS first_x FROM ({last}) GROUP BY i"
+    return f"SELECT p_partkey, CAST(CASE WHEN n >= 2 THEN n ELSE 2 END AS INT) AS points, CASE WHEN n >= 2 THEN first_x ELSE 0.0 END AS first_x, CASE WHEN n >= 2 THEN first_y ELSE 0.0 END AS first_y, CASE WHEN n >= 2 THEN last_y ELSE 255.0 END AS last_y FROM part LEFT JOIN ({agg}) ON i = p_partkey"
 
 
 @catalog.add

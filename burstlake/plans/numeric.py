@@ -3,155 +3,184 @@
 from __future__ import annotations
 
 from .dialect import Catalog, Dialect
+from .rasters import EDGE, Picture, Raster, box, clip, gauss, luma_of, planes
 from .views import neighbour, photos, reflected, rgb
 
 catalog = Catalog()
 
-LUMA = "(0.2126 * r + 0.7152 * g + 0.0722 * b)"
+LUMA = luma_of("r", "g", "b")
 
 
-def clip(x: str, low: str = "0.0", high: str = "1.0") -> str:
-    return f"greatest({low}, least({high}, {x}))"
-
-
-def smooth(x: str, low: float, high: float) -> str:
-    t = clip(f"(({x}) - {low}) / CAST({high - low:.10g} AS DOUBLE)")
-    return f"({t} * {t} * (3.0 - 2.0 * {t}))"
+def with_exposure(p: Picture) -> Picture:
+    """ev and reason: stops that lift the median luma to 0.18, held back by the brightest channel and by two stops."""
+    d, r = p.d, Raster(p.d)
+    p = p.add(m=d.median("l"), peak=d.most_of(r.map(lambda q: f"greatest({', '.join(d.at(c, q) for c in 'rgb')})")))
+    p = p.add(goal="CASE WHEN m > 1e-8 THEN log2(0.18 / m) END", room="CASE WHEN peak <= 0 THEN 2.0 ELSE log2(0.95 / peak) END")
+    why = "CASE WHEN m <= 1e-8 THEN 'black' WHEN goal <= 0 THEN 'target_reached' WHEN room <= 1e-8 THEN 'highlight_limited' WHEN room < least(goal, 2.0) - 1e-7 THEN 'highlight_limited' ELSE 'applied' END"
+    return p.add(ev="CASE WHEN goal IS NULL OR goal <= 0 OR room <= 1e-8 THEN 0.0 ELSE least(goal, room, 2.0) END", reason=why)
 
 
 @catalog.add
 def auto_exposure_ev(d: Dialect) -> str:
-    """Stops that lift the median luma to 0.18, held back by the brightest channel and by two stops; and why."""
-    one = f"SELECT shot_id, {d.percentile(LUMA + ' * 0.3', 0.5)} AS m, max(greatest(r, g, b)) * 0.3 AS peak FROM ({rgb(d)}) GROUP BY shot_id"
-    two = f"SELECT *, CASE WHEN m > 1e-8 THEN log2(0.18 / m) END AS goal, CASE WHEN peak <= 0 THEN 2.0 ELSE log2(0.95 / peak) END AS room FROM ({one})"
-    why = "CASE WHEN m <= 1e-8 THEN 'black' WHEN goal <= 0 THEN 'target_reached' WHEN room <= 1e-8 THEN 'highlight_limited' WHEN room < least(goal, 2.0) - 1e-7 THEN 'highlight_limited' ELSE 'applied' END"
-    return f"SELECT shot_id, round(CASE WHEN goal IS NULL OR goal <= 0 OR room <= 1e-8 THEN 0.0 ELSE least(goal, room, 2.0) END, 6) AS ev, {why} AS reason FROM ({two})"
+    """On photos of three tenths of the light."""
+    return with_exposure(planes(d, 0.3)).select("shot_id, round(ev, 6) AS ev, reason")
 
 
 @catalog.add
 def auto_exposure_apply(d: Dialect) -> str:
-    return f"SELECT shot_id, x, y, round(r * pow(CAST(2 AS DOUBLE), 0.5), 6) AS r, round(g * pow(CAST(2 AS DOUBLE), 0.5), 6) AS g, round(b * pow(CAST(2 AS DOUBLE), 0.5), 6) AS b FROM ({rgb(d)})"
-
-
-@catalog.add
-def dark_channel_airlight(d: Dialect) -> str:
-    """Median colour of the brightest eighth of the 16 pixels of highest dark channel, clipped to 0.35..1."""
-    one = f"SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY least(r, g, b) DESC, y DESC, x DESC) AS n FROM ({rgb(d)})"
-    two = f"SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY {LUMA} DESC, y DESC, x DESC) AS k FROM ({one}) WHERE n <= 16"
-    out = ", ".join(f"round({clip(d.percentile(c, 0.5), '0.35')}, 6) AS {c}" for c in "rgb")
-    return f"SELECT shot_id, {out} FROM ({two}) WHERE k <= 2 GROUP BY shot_id"
+    """Each photo by its own estimate."""
+    p = with_exposure(planes(d, 0.3))
+    slim = Picture(d, f"SELECT shot_id, r AS rs, g AS gs, b AS bs, pow(CAST(2 AS DOUBLE), ev) AS gain FROM ({p.sql})")
+    return slim.pixels("shot_id, x, y, " + ", ".join(f"round({d.at(c + 's', 'p')} * gain, 6) AS {c}" for c in "rgb"))
 
 
 @catalog.add
-def upper_airlight(d: Dialect) -> str:
-    """Median colour of unsaturated pixels of the upper frame between the 70th and 96th luma percentile."""
-    up = f"SELECT *, {LUMA} AS l FROM ({rgb(d)}) WHERE y < 4"
-    lim = f"SELECT shot_id AS s, {d.percentile('l', 0.7)} AS lo, {d.percentile('l', 0.96)} AS hi FROM ({up}) GROUP BY shot_id"
-    out = ", ".join(f"round({clip(d.percentile(c, 0.5), '0.005')}, 6) AS {c}" for c in "rgb")
-    return f"SELECT shot_id, count(*) AS pixels, {out} FROM ({up}) u JOIN ({lim}) q ON u.shot_id = q.s WHERE l >= lo AND l <= hi AND greatest(r, g, b) < 0.94 GROUP BY shot_id"
+def brightness_gain(d: Dialect) -> str:
+    """How much to lift a result: its median drop against the source, in stops, beyond an allowance, at most 0.40; over mid-tones."""
+    r = Raster(d)
+    p = planes(d).add(after=r.map(lambda q: f"pow({d.at('l', q)}, 1.9)"), mid=r.where(lambda q: f"{d.at('l', q)} > 0.08 AND {d.at('l', q)} < 0.88"))
+    p = p.add(before_m=d.median(r.take("l", "mid")), after_m=d.median(r.take("after", "mid")))
+    drop = f"greatest(0.0, log2(before_m / after_m) - {0.08 + 0.22 * 0.7!r})"
+    some = f"{d.size('mid')} >= 8 AND before_m > 1e-5 AND after_m > 1e-5"
+    return p.select(f"shot_id, round(CASE WHEN {some} THEN pow(CAST(2 AS DOUBLE), least(0.40, {drop} * 0.5)) ELSE 1.0 END, 6) AS gain")
 
 
-@catalog.add
-def global_transmission(d: Dialect) -> str:
-    """Transmission of a whole image from the 75th percentile of its dark channel (strength 0.7, retention 0.3, naturalness 0.5)."""
-    haze = clip(f"({d.percentile('least(r, g, b)', 0.75)} - 0.03) / 0.92", "0.12", "0.92")
-    floor = 0.27 + 0.21 * 0.3 + 0.11 * 0.5
-    omega = f"0.7 * (0.66 - 0.14 * 0.3) * (0.90 + 0.10 * 0.5) * (0.92 + 0.08 * {haze})"
-    return f"SELECT shot_id, round({clip(f'1.0 - {omega}', f'{floor:.6f}')}, 6) AS transmission FROM ({rgb(d)}) GROUP BY shot_id"
+def binned(d: Dialect) -> str:
+    """shot_id, bin, n, mx, my: 64 bins of red, with the means of red and green."""
+    return f"SELECT shot_id, bin, count(*) AS n, avg(s) AS mx, avg(t) AS my FROM (SELECT shot_id, least(63, CAST(floor(r * 255 * (64 / CAST(256 AS DOUBLE))) AS INT)) AS bin, r * 255 AS s, g * 255 AS t FROM ({rgb(d)})) GROUP BY shot_id, bin"
 
 
 @catalog.add
-def backlit_medians(d: Dialect) -> str:
-    """Median luma of the upper and lower half and the share of clipped pixels."""
-    half = lambda up: d.percentile(f"CASE WHEN y {'<' if up else '>='} 4 THEN {LUMA} END", 0.5)
-    return f"SELECT shot_id, round({half(True)}, 6) AS upper_luma, round({half(False)}, 6) AS lower_luma, round(avg(CASE WHEN greatest(r, g, b) > 0.98 THEN 1.0 ELSE 0.0 END), 6) AS clipped FROM ({rgb(d)}) GROUP BY shot_id"
-
+def binned_means_64(d: Dialect) -> str:
+    return f"SELECT shot_id, bin, n, round(mx, 6) AS mean_x, round(my, 6) AS mean_y FROM ({binned(d)})"
 
-@catalog.add
-def dark_background_floor(d: Dialect) -> str:
-    """90th percentile of the dark channel in the upper three tenths."""
-    return f"SELECT shot_id, round({d.percentile('least(r, g, b)', 0.9)}, 6) AS floor_level FROM ({rgb(d)}) WHERE y < 2 GROUP BY shot_id"
 
+def with_isotonic(d: Dialect) -> Picture:
+    """shot_id, bins, many and fits: the weighted isotonic fit of each photo's binned means; bx are the means of red.
 
-@catalog.add
-def brightness_gain(d: Dialect) -> str:
-    """Ratio of the medians of a strided sample before and after a change."""
-    return f"SELECT shot_id, round({d.percentile(LUMA, 0.5)} / greatest({d.percentile('pow(' + LUMA + ', 1.2)', 0.5)}, 1e-6), 6) AS gain FROM ({rgb(d)}) WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY shot_id"
+    At k the fit is the largest over i <= k of the smallest over j >= k of the mean of i..j, from running sums in one array.
+    """
+    at = d.at
+    order = "array_sort(collect_list(struct(bin, CAST(n AS DOUBLE) AS n, n * my AS s, mx)))" if d.spark else "list_sort(list(struct_pack(bin := bin, n := CAST(n AS DOUBLE), s := n * my, mx := mx)))"
+    p = Picture(d, f"SELECT shot_id, {order} AS bins FROM ({binned(d)}) GROUP BY shot_id").add(many=d.size("bins"))
+    upto = lambda f: d.each(d.range("(many + 1)"), "k", "coalesce(" + d.total(d.each(d.head_of("bins", "k"), "v", f"v.{f}")) + ", 0.0)")
+    p = p.add(cn=upto("n"), cs=upto("s"), bx=d.each("bins", "v", "v.mx"))
+    mean = f"({at('cs', 'j + 1')} - {at('cs', 'i')}) / ({at('cn', 'j + 1')} - {at('cn', 'i')})"
+    lows = d.least_of(d.each(d.keep(d.range("many"), "j0", "j0 >= k"), "j", mean))
+    return p.add(fits=d.each(d.range("many"), "k", d.most_of(d.each(d.range("(k + 1)"), "i", lows))))
 
 
 @catalog.add
-def rgb_peak(d: Dialect) -> str:
-    return f"SELECT shot_id, round(max(greatest(r, g, b)), 6) AS peak FROM ({rgb(d)}) GROUP BY shot_id"
+def isotonic_minmax(d: Dialect) -> str:
+    return f"SELECT shot_id, {d.at('bins', 'q')}.bin AS bin, round({d.at('fits', 'q')}, 5) AS fitted FROM ({with_isotonic(d).sql}) {d.series(64, 'q')} WHERE q < many"
+
+
+@catalog.add
+def curve_simplify(d: Dialect) -> str:
+    """Knots of each photo's fitted curve, 16 at most: the point worst served by straight lines is added until all are within 0.75."""
+    at = d.at
+    p = with_isotonic(d)
+    before = d.most_of(d.keep("s_.knots", "k", "k <= i"))
+    after = d.least_of(d.keep("s_.knots", "k", "k >= i"))
+    line = f"{at('fits', 'lo')} + CASE WHEN hi = lo THEN 0.0 ELSE ({at('bx', 'i')} - {at('bx', 'lo')}) * ({at('fits', 'hi')} - {at('fits', 'lo')}) / ({at('bx', 'hi')} - {at('bx', 'lo')}) END"
+    off = d.each(d.range("many"), "i", d.let(before, "lo", d.let(after, "hi", f"abs({at('fits', 'i')} - ({line}))")))
+    worst = d.least_of(d.keep(d.range("many"), "i", f"{at('o_', 'i')} = {d.most_of('o_')}"))
+    grown = f"array_sort(array_append(s_.knots, CAST({worst} AS INT)))" if d.spark else f"list_sort(list_append(s_.knots, CAST({worst} AS INT)))"
+    same, more = d.record(knots="s_.knots", done="1"), d.record(knots=grown, done="0")
+    step = d.let(off, "o_", f"CASE WHEN {d.most_of('o_')} <= 0.75 THEN {same} ELSE {more} END")
+    ends = f"CASE WHEN many = 1 THEN {d.list('CAST(0 AS INT)')} ELSE {d.list('CAST(0 AS INT)', 'CAST(many - 1 AS INT)')} END"
+    p = p.add(start=ends)
+    p = p.add(fitted=d.iterate(d.record(knots="start", done="0"), 14, "s_", f"CASE WHEN s_.done = 1 THEN s_ ELSE {step} END"))
+    knot = at("fitted.knots", "q")
+    return f"SELECT shot_id, q AS knot, round({at('bx', knot)}, 5) AS x, round({at('fits', knot)}, 5) AS y FROM ({p.sql}) {d.series(16, 'q')} WHERE q < {d.size('fitted.knots')}"
+
+
+def channel_fit(d: Dialect, rows: str, uppers: tuple[float, ...], least: int) -> str:
+    """shot_id, upper, and c + row + column: the 3 x 3 matrix that takes r, g, b to tr, tg, tb by least squares.
+
+    From rows with all six above 0.01 and below an upper bound; of the bounds in order the first with enough rows, a well-conditioned
+    solution (below 100) and a mean error of at most 0.003 counts.
+    """
+    pair = [(a, b) for n, a in enumerate("rgb") for b in "rgb"[n:]]
+    sums = ", ".join([f"sum({a} * {b}) AS s{a}{b}" for a, b in pair] + [f"sum({a} * t{b}) AS q{a}{b}" for a in "rgb" for b in "rgb"])
+    bounds = " UNION ALL ".join(f"SELECT {n} AS nth, CAST({u} AS DOUBLE) AS upper" for n, u in enumerate(uppers))
+    use = f"SELECT * FROM ({rows}) JOIN ({bounds}) ON least(r, g, b) > 0.01 AND least(tr, tg, tb) > 0.01 AND greatest(r, g, b) < upper AND greatest(tr, tg, tb) < upper"
+    gram = f"SELECT shot_id AS s, nth AS m, count(*) AS n, {sums} FROM ({use}) GROUP BY shot_id, nth"
+    # The inverse of the symmetric Gram matrix, by cofactors.
+    g = lambda a, b: f"s{a}{b}" if (a, b) in pair else f"s{b}{a}"
+    rest = {"r": "gb", "g": "rb", "b": "rg"}
+    def cofactor(a: str, b: str) -> str:
+        (p, q), (u, v) = rest[a], rest[b]
+        sign = "-" if ("rgb".index(a) + "rgb".index(b)) % 2 else ""
+        return f"{sign}({g(p, u)} * {g(q, v)} - {g(p, v)} * {g(q, u)})"
+
+    p = Picture(d, gram).add(**{f"k{a}{b}": cofactor(a, b) for a in "rgb" for b in "rgb"})
+    p = p.add(det="srr * krr + srg * krg + srb * krb")
+    p = p.add(**{f"c{a}{b}": f"({' + '.join(f'k{a}{x} * q{x}{b}' for x in 'rgb')}) / nullif(det, 0.0)" for a in "rgb" for b in "rgb"})
+    # Condition from the eigenvalues of C'C in closed form.
+    p = p.add(**{f"e{a}{b}": " + ".join(f"c{x}{a} * c{x}{b}" for x in "rgb") for a, b in pair}).add(mid="(err + egg + ebb) / 3.0")
+    p = p.add(wide="sqrt((pow(err - mid, 2) + pow(egg - mid, 2) + pow(ebb - mid, 2) + 2.0 * (erg * erg + erb * erb + egb * egb)) / 6.0)")
+    det3 = "((err - mid) * ((egg - mid) * (ebb - mid) - egb * egb) - erg * (erg * (ebb - mid) - egb * erb) + erb * (erg * egb - (egg - mid) * erb))"
+    p = p.add(turn=f"CASE WHEN wide > 1e-12 THEN acos(greatest(-1.0, least(1.0, {det3} / (2.0 * wide * wide * wide)))) / 3.0 ELSE 0.0 END")
+    p = p.add(large="mid + 2.0 * wide * cos(turn)", small="mid + 2.0 * wide * cos(turn + 2.0943951023931953)")
+    eight = p.sql
+    good = f"SELECT * FROM ({eight}) WHERE n >= {least} AND abs(det) > 1e-18 AND small > 0 AND sqrt(large / small) <= 100"
+    miss = " + ".join(f"abs(r * cr{c} + g * cg{c} + b * cb{c} - t{c})" for c in "rgb")
+    error = f"SELECT u.shot_id AS es, u.nth AS em, avg(({miss}) / 3.0) AS error FROM ({use}) u JOIN ({good}) f ON f.s = u.shot_id AND f.m = u.nth GROUP BY u.shot_id, u.nth"
+    kept = f"SELECT f.*, error, row_number() OVER (PARTITION BY s ORDER BY m) AS first FROM ({good}) f JOIN ({error}) e ON e.es = f.s AND e.em = f.m WHERE error <= 0.003"
+    return f"SELECT s AS shot_id, CAST(m AS INT) AS bound, {', '.join(f'c{a}{b}' for a in 'rgb' for b in 'rgb')}, error FROM ({kept}) WHERE first = 1"
+
+
+def two_renderings(d: Dialect) -> str:
+    """Pixel rows with a second rendering that is linear below 0.6 and bends above."""
+    bend = lambda x: f"(CASE WHEN {x} < 0.6 THEN {x} ELSE 0.6 + 0.8 * ({x} - 0.6) END)"
+    mixed = {"r": "0.8 * r + 0.1 * g + 0.1 * b", "g": "0.05 * r + 0.9 * g + 0.05 * b", "b": "0.1 * r + 0.15 * g + 0.75 * b"}
+    return f"SELECT shot_id, x, y, r, g, b, {', '.join(f'{bend(e)} AS t{c}' for c, e in mixed.items())} FROM ({rgb(d)})"
 
 
 @catalog.add
-def ray_bins(d: Dialect) -> str:
-    """Directions from the airlight in 24 x 12 bins: how many pixels, r10, r95, and a confidence from number and span."""
-    air = "0.98"
-    one = f"SELECT *, {air} - r AS dr, {air} - g AS dg, {air} - b AS db FROM ({rgb(d)}) WHERE greatest(r, g, b) < {air}"
-    two = f"SELECT *, sqrt(dr * dr + dg * dg + db * db) AS radius FROM ({one})"
-    pi = "3.141592653589793"
-    az = f"CASE WHEN atan2(dg, dr) < 0 THEN atan2(dg, dr) + 2.0 * {pi} ELSE atan2(dg, dr) END"
-    azb = f"least(23, greatest(0, CAST(floor({az} * (24 / (2.0 * {pi}))) AS INT)))"
-    pob = f"least(11, greatest(0, CAST(floor(acos(greatest(-1.0, least(1.0, db / radius))) * (12 / (0.5 * {pi}))) AS INT)))"
-    three = f"SELECT folder, {pob} * 24 + {azb} AS ray, radius FROM ({two}) WHERE radius > 0.05"
-    four = f"SELECT folder, ray, count(*) AS n, {d.percentile('radius', 0.1)} AS r10, {d.percentile('radius', 0.95)} AS r95 FROM ({three}) GROUP BY folder, ray"
-    s01 = lambda x: f"({clip(x)} * {clip(x)} * (3.0 - 2.0 * {clip(x)}))"
-    conf = f"{s01('(n - 3.0) / 13.0')} * {s01('((r95 - r10) / greatest(r95, 0.05) - 0.06) / 0.28')}"
-    return f"SELECT folder, ray, n, round(r10, 6) AS r10, round(r95, 6) AS r95, round({conf}, 6) AS confidence FROM ({four}) WHERE n >= 4 AND r95 > 0.05"
-
-
-def splat(d: Dialect, edge: int = 9) -> str:
-    """folder, i, j, k, total, mass: values spread over the eight corners of their cell of a colour cube."""
-    n = edge - 1
-    base = f"SELECT folder, {LUMA} AS v, r * {n} AS cr, g * {n} AS cg, b * {n} AS cb, floor(r * {n}) AS lr, floor(g * {n}) AS lg, floor(b * {n}) AS lb FROM ({rgb(d)})"
-    corner = f"SELECT *, c % 2 AS br, {d.div('c', '2')} % 2 AS bg, {d.div('c', '4')} AS bb FROM ({base}) {d.series(8, 'c')}"
-    w = " * ".join(f"(CASE WHEN b{c} = 1 THEN c{c} - l{c} ELSE 1.0 - (c{c} - l{c}) END)" for c in "rgb")
-    at = ", ".join(f"CAST(least(l{c} + b{c}, {n}) AS INT) AS {x}" for c, x in zip("rgb", "ijk", strict=True))
-    return f"SELECT folder, i, j, k, sum(w * v) AS total, sum(w) AS mass FROM (SELECT folder, v, {at}, {w} AS w FROM ({corner})) GROUP BY folder, i, j, k"
+def normal_equations(d: Dialect) -> str:
+    """Sums of products for the 3 x 3 least squares of two renderings, over their mid-tones."""
+    use = f"SELECT * FROM ({two_renderings(d)}) WHERE least(r, g, b) > 0.01 AND greatest(r, g, b) < 0.75 AND greatest(tr, tg, tb) < 0.75"
+    terms = ", ".join(f"round(sum({a} * {c}), 5) AS {a}{c}" for a in ("r", "g", "b") for c in ("r", "g", "b", "tr", "tg", "tb") if len(c) > 1 or c >= a)
+    return f"SELECT shot_id, count(*) AS n, {terms} FROM ({use}) GROUP BY shot_id"
 
 
 @catalog.add
-def trilinear_splat(d: Dialect) -> str:
-    return f"SELECT folder, i, j, k, round(total, 6) AS total, round(mass, 6) AS mass FROM ({splat(d)}) WHERE mass > 1e-9"
+def colour_fit(d: Dialect) -> str:
+    """The solved matrix of each photo, with the first range of values that gives a good one (12 pixels at least)."""
+    fit = channel_fit(d, two_renderings(d), (0.30, 0.50, 0.75, 0.95), 12)
+    return f"SELECT shot_id, bound, {', '.join(f'round(c{a}{b}, 4) + 0.0 AS c{a}{b}' for a in 'rgb' for b in 'rgb')} FROM ({fit})"
 
 
 @catalog.add
-def trilinear_lookup(d: Dialect) -> str:
-    """Pixels through the cube of their folder: the weighted sum of eight corners, empty cells counting as 0."""
-    cube = f"SELECT folder AS f, i AS ci, j AS cj, k AS ck, total / (mass + 0.01) AS value FROM ({splat(d)}) WHERE mass > 1e-12"
-    base = f"SELECT shot_id, folder, x, y, r * 8 AS cr, g * 8 AS cg, b * 8 AS cb, floor(r * 8) AS lr, floor(g * 8) AS lg, floor(b * 8) AS lb FROM ({rgb(d)})"
-    corner = f"SELECT *, c % 2 AS br, {d.div('c', '2')} % 2 AS bg, {d.div('c', '4')} AS bb FROM ({base}) {d.series(8, 'c')}"
-    w = " * ".join(f"(CASE WHEN b{c} = 1 THEN c{c} - l{c} ELSE 1.0 - (c{c} - l{c}) END)" for c in "rgb")
-    at = ", ".join(f"CAST(least(l{c} + b{c}, 8) AS INT) AS {x}" for c, x in zip("rgb", "ijk", strict=True))
-    return f"SELECT shot_id, x, y, round(sum(w * coalesce(value, 0.0)), 5) AS value FROM (SELECT shot_id, folder, x, y, {at}, {w} AS w FROM ({corner})) p LEFT JOIN ({cube}) q ON p.folder = q.f AND p.i = q.ci AND p.j = q.cj AND p.k = q.ck GROUP BY shot_id, x, y"
-
-
-def binned(d: Dialect) -> str:
-    return f"SELECT folder, bin, count(*) AS n, avg(s) AS mx, avg(t) AS my FROM (SELECT folder, least(63, CAST(floor(r * 255 * (64 / CAST(256 AS DOUBLE))) AS INT)) AS bin, r * 255 AS s, g * 255 AS t FROM ({rgb(d)})) GROUP BY folder, bin"
+def box_filter_reflect(d: Dialect) -> str:
+    """The mean of 3 x 3 neighbours of luma, mirrored at the border, read from the photo's own array."""
+    p = planes(d).filtered(box(EDGE, 1), box(EDGE, 1), m="l")
+    slim = Picture(d, f"SELECT shot_id, m FROM ({p.sql})")
+    return slim.pixels(f"shot_id, x, y, round({d.at('m', 'p')}, 6) AS mean")
 
 
 @catalog.add
-def binned_means_64(d: Dialect) -> str:
-    return f"SELECT folder, bin, n, round(mx, 6) AS mean_x, round(my, 6) AS mean_y FROM ({binned(d)})"
+def gaussian_axis_blur(d: Dialect) -> str:
+    """A Gaussian of one pixel along rows and columns, mirrored at the border."""
+    p = planes(d).filtered(gauss(EDGE, 1.0), gauss(EDGE, 1.0), m="g")
+    slim = Picture(d, f"SELECT shot_id, m FROM ({p.sql})")
+    return slim.pixels(f"shot_id, x, y, round({d.at('m', 'p')}, 6) AS g")
 
 
 @catalog.add
-def isotonic_minmax(d: Dialect) -> str:
-    """Weighted isotonic fit of the binned means: at k the largest over i <= k of the smallest over j >= k of the mean of i..j."""
-    cum = f"SELECT folder, bin, row_number() OVER w AS p, sum(n) OVER w AS cn, sum(n * my) OVER w AS cs, n, my FROM ({binned(d)}) WINDOW w AS (PARTITION BY folder ORDER BY bin)"
-    mean = "(j.cs - (i.cs - i.n * i.my)) / (j.cn - (i.cn - i.n))"
-    span = f"SELECT i.folder AS folder, i.p AS a, j.p AS b, {mean} AS m FROM ({cum}) i JOIN ({cum}) j ON i.folder = j.folder AND i.p <= j.p"
-    low = f"SELECT k.folder AS folder, k.bin AS bin, s.a AS a, min(s.m) AS m FROM ({cum}) k JOIN ({span}) s ON k.folder = s.folder AND s.a <= k.p AND s.b >= k.p GROUP BY k.folder, k.bin, s.a"
-    return f"SELECT folder, bin, round(max(m), 5) AS fitted FROM ({low}) GROUP BY folder, bin"
+def dark_channel_airlight(d: Dialect) -> str:
+    """Median colour of the brightest eighth of the 16 pixels of highest dark channel, clipped to 0.35..1."""
+    one = f"SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY least(r, g, b) DESC, y DESC, x DESC) AS n FROM ({rgb(d)})"
+    two = f"SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY {LUMA} DESC, y DESC, x DESC) AS k FROM ({one}) WHERE n <= 16"
+    out = ", ".join(f"round({clip(d.percentile(c, 0.5), '0.35')}, 6) AS {c}" for c in "rgb")
+    return f"SELECT shot_id, {out} FROM ({two}) WHERE k <= 2 GROUP BY shot_id"
 
 
 @catalog.add
-def normal_equations(d: Dialect) -> str:
-    """Sums of products for the 3 x 3 least squares of two renderings, over mid-tones of a strided sample."""
-    use = f"SELECT folder, r, g, b, 0.9 * r + 0.05 * g AS t FROM ({rgb(d)}) WHERE x % 2 = 0 AND y % 2 = 0 AND least(r, g, b) > 0.01 AND greatest(r, g, b) < 0.75"
-    terms = ", ".join(f"round(sum({a} * {c}), 5) AS {a}{c}" for a, c in (("r", "r"), ("r", "g"), ("r", "b"), ("g", "g"), ("g", "b"), ("b", "b"), ("r", "t"), ("g", "t"), ("b", "t")))
-    return f"SELECT folder, count(*) AS n, {terms} FROM ({use}) GROUP BY folder"
+def rgb_peak(d: Dialect) -> str:
+    return f"SELECT shot_id, round(max(greatest(r, g, b)), 6) AS peak FROM ({rgb(d)}) GROUP BY shot_id"
 
 
 @catalog.add
@@ -162,24 +191,6 @@ def piecewise_curve_apply(d: Dialect) -> str:
     return f"SELECT shot_id, x, y, round(y0 + (r * 255 - x0) * (y1 - y0) / CAST(x1 - x0 AS DOUBLE), 6) AS value FROM ({rgb(d)}) JOIN ({seg}) ON r * 255 >= x0 AND (r * 255 < x1 OR (x1 = 255 AND r * 255 <= 255))"
 
 
-def box(d: Dialect, source: str, value: str, radius: int = 1) -> str:
-    """shot_id, x, y, m: the mean of a (2 radius + 1) square, mirrored at the border; columns then rows."""
-    n = 2 * radius + 1
-    off = d.series(n, "o")
-    mirror = lambda c: reflected(f"({c} + o - {radius})", "8")
-    rows = f"SELECT a.shot_id, a.x, a.y, avg(s.{value}) AS h FROM (SELECT shot_id, x, y, {mirror('x')} AS nx FROM ({source}) {off}) a JOIN ({source}) s ON s.shot_id = a.shot_id AND s.y = a.y AND s.x = a.nx GROUP BY a.shot_id, a.x, a.y"
-    return f"SELECT a.shot_id AS shot_id, a.x AS x, a.y AS y, avg(s.h) AS m FROM (SELECT shot_id, x, y, {mirror('y')} AS ny FROM ({rows}) {off}) a JOIN ({rows}) s ON s.shot_id = a.shot_id AND s.x = a.x AND s.y = a.ny GROUP BY a.shot_id, a.x, a.y"
-
-
-def plane(d: Dialect) -> str:
-    return f"SELECT shot_id, x, y, {LUMA} AS p, r AS q FROM ({rgb(d)})"
-
-
-@catalog.add
-def box_filter_reflect(d: Dialect) -> str:
-    return f"SELECT shot_id, x, y, round(m, 6) AS mean FROM ({box(d, plane(d), 'p')})"
-
-
 @catalog.add
 def box_filter_array(d: Dialect) -> str:
     """The same 3 x 3 mean read straight from the image's array, without any join."""
@@ -187,14 +198,6 @@ def box_filter_array(d: Dialect) -> str:
     return f"SELECT shot_id, x, y, round(({total}) / CAST(9 AS DOUBLE), 6) AS mean FROM (SELECT shot_id, gray, CAST(p % 8 AS INT) AS x, CAST({d.div('p', '8')} AS INT) AS y FROM ({photos(d)}) {d.series(64, 'p')})"
 
 
-@catalog.add
-def edge_weights(d: Dialect) -> str:
-    """exp(-|difference|^2 / sigma^2) to the right and the lower neighbour."""
-    w = lambda by: " + ".join(f"(lead({c}) OVER {by} - {c}) * (lead({c}) OVER {by} - {c})" for c in "rgb")
-    row, col = "(PARTITION BY shot_id, y ORDER BY x)", "(PARTITION BY shot_id, x ORDER BY y)"
-    return f"SELECT shot_id, x, y, round(exp(-({w(row)}) / 0.01), 6) AS right_weight, round(exp(-({w(col)}) / 0.01), 6) AS down_weight FROM ({rgb(d)})"
-
-
 @catalog.add
 def gaussian_kernel(d: Dialect) -> str:
     g = "exp(-0.5 * pow((o - 4) / 1.5, 2))"
@@ -218,59 +221,6 @@ def smooth_chroma_gamut(d: Dialect) -> str:
     return f"SELECT shot_id, x, y, round(l + cr * s, 5) AS r, round(l + cg * s, 5) AS g, round(l + cb * s, 5) AS b FROM ({three})"
 
 
-@catalog.add
-def inverse_transmission(d: Dialect) -> str:
-    """Transmission with a smooth floor (strength 0.7, naturalness 0.5) that backs off in highlights (protection 0.6)."""
-    floor = 1 / (1 + 0.8 * 0.7 * (1 - 0.35 * 0.5))
-    width = 0.015 * (1 - floor)
-    t = f"(greatest(t0, {floor:.12f}) + pow(greatest({width:.12f} - abs(t0 - {floor:.12f}), 0.0), 2) / {4 * width:.12f})"
-    one = f"SELECT shot_id, x, y, {t} AS t, {smooth('greatest(r, g, b)', 0.55, 0.95)} * 0.6 AS h FROM (SELECT *, 1.0 - 0.6 * least(r, g, b) AS t0 FROM ({rgb(d)}))"
-    return f"SELECT shot_id, x, y, round({clip('t + (1.0 - t) * h', '1e-4')}, 6) AS transmission FROM ({one})"
-
-
-@catalog.add
-def source_colour_ceiling(d: Dialect) -> str:
-    """Added colour bounded at fixed luma."""
-    src = f"SELECT shot_id, x, y, r, g, b, {LUMA} AS y0, r * 0.9 AS r1, g * 0.8 AS g1, b * 1.1 AS b1 FROM ({rgb(d)})"
-    one = f"SELECT *, least(0.2126 * r1 + 0.7152 * g1 + 0.0722 * b1, y0) / greatest(y0, 1e-20) AS k FROM ({src})"
-    room = lambda c: f"CASE WHEN {c}1 - {c} * k > 0 THEN greatest({c} - {c} * k, 0.0) / greatest({c}1 - {c} * k, 1e-20) ELSE {c} * k / greatest({c} * k - {c}1, 1e-20) END"
-    two = f"SELECT *, {clip('least(' + ', '.join(room(c) for c in 'rgb') + ')')} AS s FROM ({one})"
-    return f"SELECT shot_id, x, y, {', '.join(f'round({clip(f"{c} * k + ({c}1 - {c} * k) * s")}, 5) AS {c}' for c in 'rgb')} FROM ({two})"
-
-
-@catalog.add
-def basic_controls(d: Dialect) -> str:
-    """Contrast 20, shadows 30, highlights -25, vibrance 15, saturation 10 on 8-bit values."""
-    one = f"SELECT shot_id, x, y, {', '.join(f'({c} - 0.5) * 1.2 + 0.5 AS {c}' for c in 'rgb')} FROM ({rgb(d)})"
-    tone = f"30 * 0.0022 * pow({clip(f'(0.62 - {LUMA}) / 0.62')}, 1.5) + (-25) * 0.0018 * pow({clip(f'({LUMA} - 0.38) / 0.62')}, 1.5)"
-    two = f"SELECT shot_id, x, y, {', '.join(f'{c} + t AS {c}' for c in 'rgb')} FROM (SELECT *, {tone} AS t FROM ({one}))"
-    three = f"SELECT *, 1.0 + 0.15 * {clip('1.0 - greatest(abs(r - l), abs(g - l), abs(b - l))')} AS v FROM (SELECT *, {LUMA} AS l FROM ({two}))"
-    out = ", ".join(f"CAST({clip(f'floor((l + ({c} - l) * 1.1 * v) * 255 + 0.5)', '0', '255')} AS INT) AS {c}" for c in "rgb")
-    return f"SELECT shot_id, x, y, {out} FROM ({three})"
-
-
-def hsv(d: Dialect) -> str:
-    hue = "CASE WHEN mx = mn THEN 0.0 WHEN mx = r THEN 60 * (g - b) / (mx - mn) WHEN mx = g THEN 120 + 60 * (b - r) / (mx - mn) ELSE 240 + 60 * (r - g) / (mx - mn) END"
-    return f"SELECT shot_id, x, y, CASE WHEN hue < 0 THEN hue + 360 ELSE hue END AS hue, CASE WHEN mx > 0 THEN (mx - mn) / mx ELSE 0.0 END AS sat, mx AS val FROM (SELECT *, {hue} AS hue FROM (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM ({rgb(d)})))"
-
-
-@catalog.add
-def hsl_band_weights(d: Dialect) -> str:
-    """Eight overlapping colour ranges with Gaussian weights of 18 degrees: the adjustments each pixel gets."""
-    bands = [(0, 10, 5, -5), (30, -5, 10, 0), (60, 0, 20, 5), (120, 8, -10, 0), (180, 0, 0, 10), (240, -10, 15, 0), (270, 5, 0, -10), (300, 0, -20, 5)]
-    w = lambda c: f"exp(-0.5 * pow((180 - abs(180 - abs(hue - {c}))) / 18.0, 2))"
-    tot = f"greatest({' + '.join(w(b[0]) for b in bands)}, 1e-7)"
-    part = lambda k: f"({' + '.join(f'{w(b[0])} * ({b[k]})' for b in bands)}) / {tot}"
-    one = f"SELECT *, {part(1)} AS dh, {part(2)} AS ds, {part(3)} AS dl FROM ({hsv(d)})"
-    return f"SELECT shot_id, x, y, round(dh, 5) AS hue_shift, round({clip('sat * (1.0 + 1.75 * ds / 100)')}, 5) AS saturation, round({clip('val + 0.012 * dl / 100 * ' + clip('sat * 4.0'))}, 5) AS value FROM ({one})"
-
-
-@catalog.add
-def tone_masks(d: Dialect) -> str:
-    lum = f"({LUMA})"
-    return f"SELECT shot_id, x, y, round(1.0 - {smooth(lum, 0.1, 0.5)}, 6) AS shadows, round({smooth(lum, 0.5, 0.9)}, 6) AS highlights FROM ({rgb(d)})"
-
-
 @catalog.add
 def srgb_to_linear(d: Dialect) -> str:
     f = lambda c: f"round(CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE pow(({c} + 0.055) / 1.055, 2.4) END, 6) AS {c}"
@@ -302,62 +252,6 @@ def lens_remap_bilinear(d: Dialect) -> str:
     return f"SELECT shot_id, x, y, round({v}, 6) AS value FROM ({two})"
 
 
-@catalog.add
-def nonlocal_gate(d: Dialect) -> str:
-    """Whether an image may use the costly path, and the first reason why not."""
-    one = f"SELECT shot_id, count(*) AS n, avg(CASE WHEN greatest(r, g, b) > 0.98 THEN 1.0 ELSE 0.0 END) AS clipped, stddev_pop({LUMA}) AS spread FROM ({rgb(d)}) GROUP BY shot_id"
-    return f"SELECT shot_id, CASE WHEN shot_id % 13 = 0 THEN 'disabled' WHEN n < 64 THEN 'too_small' WHEN clipped > 0.02 THEN 'clipped' WHEN spread < 0.12 THEN 'flat' ELSE 'eligible' END AS reason FROM ({one})"
-
-
-def mean3(v: str, part: str, order: str) -> str:
-    """Mean of a value and its two neighbours along one axis, mirrored at the border."""
-    w = f"OVER (PARTITION BY {part} ORDER BY {order})"
-    return f"((coalesce(lag({v}) {w}, lead({v}) {w}) + {v} + coalesce(lead({v}) {w}, lag({v}) {w})) / 3.0)"
-
-
-def box3(source: str, keys: str, values: list[str]) -> str:
-    """3 x 3 means of several columns with window functions: along rows, then along columns."""
-    rows = f"SELECT {keys}, x, y, {', '.join(f'{mean3(v, keys + ", y", "x")} AS {v}' for v in values)} FROM ({source})"
-    return f"SELECT {keys}, x, y, {', '.join(f'{mean3(v, keys + ", x", "y")} AS {v}' for v in values)} FROM ({rows})"
-
-
-@catalog.add
-def guided_coefficients(d: Dialect) -> str:
-    """Slope and intercept of the gray guided filter (3 x 3, epsilon 0.002), smoothed once more."""
-    src = f"SELECT shot_id, x, y, {LUMA} AS i, r AS p, {LUMA} * {LUMA} AS ii, {LUMA} * r AS ip FROM ({rgb(d)})"
-    fit = f"SELECT shot_id, x, y, (ip - i * p) / greatest(ii - i * i + 0.002, 1e-7) AS a, i, p FROM ({box3(src, 'shot_id', ['i', 'p', 'ii', 'ip'])})"
-    both = f"SELECT shot_id, x, y, a, p - a * i AS b FROM ({fit})"
-    return f"SELECT shot_id, x, y, round(a, 5) + 0.0 AS slope, round(b, 5) + 0.0 AS intercept FROM ({box3(both, 'shot_id', ['a', 'b'])})"
-
-
-@catalog.add
-def gaussian_axis_blur(d: Dialect) -> str:
-    """A three-tap Gaussian along rows and columns, mirrored at the border."""
-    k = "0.274068619061197"
-    tap = lambda v, part, order: f"({k} * coalesce(lag({v}) OVER (PARTITION BY {part} ORDER BY {order}), lead({v}) OVER (PARTITION BY {part} ORDER BY {order})) + (1.0 - 2.0 * {k}) * {v} + {k} * coalesce(lead({v}) OVER (PARTITION BY {part} ORDER BY {order}), lag({v}) OVER (PARTITION BY {part} ORDER BY {order})))"
-    one = f"SELECT shot_id, x, y, {tap('g', 'shot_id, y', 'x')} AS g FROM ({rgb(d)})"
-    return f"SELECT shot_id, x, y, round({tap('g', 'shot_id, x', 'y')}, 6) AS g FROM ({one})"
-
-
-@catalog.add
-def broad_airlight(d: Dialect) -> str:
-    """99th percentile of the dark channel after a 3 x 3 minimum, and the median colour of the pixels that reach it."""
-    least3 = lambda v, part, order: f"least({v}, coalesce(lag({v}) OVER (PARTITION BY {part} ORDER BY {order}), {v}), coalesce(lead({v}) OVER (PARTITION BY {part} ORDER BY {order}), {v}))"
-    rows = f"SELECT shot_id, x, y, r, g, b, {least3('least(r, g, b)', 'shot_id, y', 'x')} AS m FROM ({rgb(d)})"
-    dark = f"SELECT shot_id, r, g, b, {least3('m', 'shot_id, x', 'y')} AS dark FROM ({rows})"
-    top = f"SELECT shot_id AS s, {d.percentile('dark', 0.99)} AS p99 FROM ({dark}) GROUP BY shot_id"
-    out = ", ".join(f"round({d.percentile(c, 0.5)}, 6) AS {c}" for c in "rgb")
-    return f"SELECT shot_id, round(max(p99), 6) AS p99, {out} FROM ({dark}) q JOIN ({top}) t ON q.shot_id = t.s WHERE dark >= p99 GROUP BY shot_id"
-
-
-@catalog.add
-def skyline_rows(d: Dialect) -> str:
-    """For each column the first row where the two rows above are brighter than the two from there on by 0.15."""
-    mean = lambda a, b: f"avg({LUMA}) OVER (PARTITION BY shot_id, x ORDER BY y ROWS BETWEEN {a} AND {b})"
-    one = f"SELECT shot_id, x, y, {mean('2 PRECEDING', '1 PRECEDING')} AS above, {mean('CURRENT ROW', '1 FOLLOWING')} AS below FROM ({rgb(d)})"
-    return f"SELECT shot_id, x, coalesce(min(CASE WHEN y >= 2 AND above - below > 0.15 THEN y END), 8) AS skyline FROM ({one}) GROUP BY shot_id, x"
-
-
 @catalog.add
 def gain_map_bilinear(d: Dialect) -> str:
     """A 3 x 3 gain grid read bilinearly at each pixel, with a shoulder above 0.9."""
@@ -393,42 +287,12 @@ def display_exposure(d: Dialect) -> str:
     return f"SELECT shot_id, x, y, {', '.join(map(out, 'rgb'))} FROM ({rgb(d)})"
 
 
-@catalog.add
-def luma_preserving_adjust(d: Dialect) -> str:
-    """A new luma with the old colour: channels keep their distance to luma, cut back where one would leave the range."""
-    one = f"SELECT *, {LUMA} AS l, pow({LUMA}, 0.8) AS t FROM ({rgb(d)})"
-    room = lambda c: f"CASE WHEN {c} - l > 1e-7 THEN (1.0 - t) / ({c} - l) WHEN {c} - l < -1e-7 THEN t / (l - {c}) ELSE 1.0 END"
-    two = f"SELECT *, least(1.0, {', '.join(room(c) for c in 'rgb')}) AS k FROM ({one})"
-    return f"SELECT shot_id, x, y, {', '.join(f'round(t + ({c} - l) * k, 5) AS {c}' for c in 'rgb')} FROM ({two})"
-
-
 @catalog.add
 def cct_estimate(d: Dialect) -> str:
-    """Correlated colour temperature of each photo's mean chromaticity, by McCamy's cubic."""
+    """Correlated colour temperature of each photo's mean chromaticity, by a cubic, inside 1667 to 25000."""
     xyz = f"SELECT shot_id, avg(0.4124 * r + 0.3576 * g + 0.1805 * b) AS cx, avg(0.2126 * r + 0.7152 * g + 0.0722 * b) AS cy, avg(0.0193 * r + 0.1192 * g + 0.9505 * b) AS cz FROM ({rgb(d)}) GROUP BY shot_id"
     n = f"SELECT shot_id, (cx / (cx + cy + cz) - 0.3320) / (0.1858 - cy / (cx + cy + cz)) AS n FROM ({xyz})"
-    return f"SELECT shot_id, round(449.0 * n * n * n + 3525.0 * n * n + 6823.3 * n + 5520.33, 3) AS kelvin FROM ({n})"
-
-
-@catalog.add
-def physical_pixels(d: Dialect) -> str:
-    """Haze inversion of single pixels with a bounded dark side and a highlight shoulder (fixed parameters, air 0.9)."""
-    air, keep, strength = "0.9", 0.10 + 0.45 * 0.5 + 0.10 * 0.4, "0.7"
-    src = f"SELECT shot_id, x, y, r, g, b, {LUMA} AS l, {clip('1.0 - 0.5 * least(r, g, b)', '0.3')} AS t FROM ({rgb(d)})"
-    def recovered(c: str) -> str:
-        deficit = f"greatest({air} - {c}, 0.0)"
-        loss = f"((1.0 / t - 1.0) * {deficit} * {deficit} / ({deficit} + 0.0225 + 1e-8))"
-        budget = f"({1 - keep:.6f} * {c} * {c} / ({c} + 0.108 + 1e-8) * {strength})"
-        part = f"({loss} / greatest({budget}, 1e-8))"
-        bounded = f"(CASE WHEN {part} <= 0.5 THEN {part} ELSE 1.0 - 0.5 * exp(-2.0 * greatest({part} - 0.5, 0.0)) END)"
-        lift = f"({air} + ({c} - {air}) / (t + (1.0 - t) * greatest({c} - {air}, 0.0) / 0.1))"
-        return f"CASE WHEN {c} < {air} THEN {c} - {budget} * {bounded} ELSE {lift} END AS {c}1"
-
-    one = f"SELECT *, {', '.join(map(recovered, 'rgb'))} FROM ({src})"
-    two = f"SELECT *, 0.2126 * r1 + 0.7152 * g1 + 0.0722 * b1 AS l1, sqrt((r - l) * (r - l) + (g - l) * (g - l) + (b - l) * (b - l)) AS chroma FROM ({one})"
-    three = f"SELECT *, 0.7 * (0.28 + 0.72 * 0.5) * {smooth('chroma', 0.005, 0.08)} AS w FROM ({two})"
-    out = ", ".join(f"round({clip(f'{c}1 * w + {c} * (l1 / greatest(l, 1e-6)) * (1.0 - w)')}, 5) AS {c}" for c in "rgb")
-    return f"SELECT shot_id, x, y, {out} FROM ({three})"
+    return f"SELECT shot_id, round({clip('449.0 * n * n * n + 3525.0 * n * n + 6823.3 * n + 5520.33', '1667.0', '25000.0')}, 3) AS kelvin FROM ({n})"
 
 
 @catalog.add

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlake.operators import iterative, sessionize
-from burstlake.sources.tables import register, table
+from burstlake.sources.tables import table
 from burstlake.streaming.anchored import anchored_stream
 
-from .dialect import DUCK, SPARK, Catalog, _doubles
-from .numeric import binned
-from .views import photos
+from .bursts import BURSTS_SQL, photo_bursts
+from .dialect import Catalog, _doubles
 
 catalog = Catalog()
-GAP_US, LIMIT, PHOTO_GAP_US, BITS = 21_600_000_000, 20.0, 21_600_000_000, 26
+GAP_US, LIMIT = 21_600_000_000, 20.0
 
 
 def _add(f, oracle: str | None = None):
@@ -41,50 +41,29 @@ _add(anchored_bursts_events, f"""WITH RECURSIVE o AS (SELECT user_id, event_id,
     SELECT user_id, event_id, grp FROM f""")
 
 
-def _hashed(d) -> str:
-    bits = " , ".join(f"CASE WHEN {d.at('gray', str(8 * y + x + 1))} > {d.at('gray', str(8 * y + x))} THEN '1' ELSE '0' END" for y in range(8) for x in range(7))
-    return f"SELECT shot_id, folder, captured_at, CASE WHEN shot_id % 29 <> 7 THEN concat({bits}) END AS dhash FROM ({photos(d)})"
-
-
 def anchored_bursts_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ("embeddings", "events"))
-    return sessionize.anchored_groups(spark.sql(_hashed(SPARK)), "folder", "captured_at", "shot_id", "dhash", PHOTO_GAP_US, BITS, bits=True)
+    return photo_bursts(spark, sf_dir)
 
 
-_cut = f"o.us - f.us > {PHOTO_GAP_US} OR o.h IS NULL OR f.anchor IS NULL OR hamming(o.h, f.anchor) > {BITS}"
-_add(anchored_bursts_photos, f"""WITH RECURSIVE o AS (SELECT folder, shot_id, dhash AS h, epoch_us(captured_at) AS us, row_number() OVER (PARTITION BY folder ORDER BY captured_at, shot_id) AS n FROM ({_hashed(DUCK)})),
-    f AS (SELECT folder, shot_id, n, us, h AS anchor, 1 AS grp FROM o WHERE n = 1
-      UNION ALL SELECT o.folder, o.shot_id, o.n, o.us, CASE WHEN {_cut} THEN o.h ELSE f.anchor END, CASE WHEN {_cut} THEN f.grp + 1 ELSE f.grp END FROM f JOIN o ON o.folder = f.folder AND o.n = f.n + 1)
-    SELECT folder, shot_id, grp FROM f""")
+_add(anchored_bursts_photos, BURSTS_SQL)
 
 
 @_add
 def streaming_anchored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of one file, folded with keyed state and read back from memory."""
+    """The events as a stream of one file, folded with keyed state into files, with a checkpoint beside them."""
     src = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/events*")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = src.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), us.alias("us"), F.col("value").cast("double").alias("measure"))
-    name = "anchored_" + next(tempfile._get_candidate_names())
-    query = anchored_stream(rows, GAP_US, LIMIT).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "grp")
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='burstlake-')}"
+    folder = f"{root.rstrip('/')}/burstlake/anchored-{uuid.uuid4().hex}"
+    stream = anchored_stream(rows, GAP_US, LIMIT).writeStream.format("parquet").option("checkpointLocation", f"{folder}-log").trigger(availableNow=True)
+    stream.start(folder).awaitTermination()
+    return spark.read.parquet(folder).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "grp")
 
 
 catalog.oracles["streaming_anchored_events"] = catalog.oracles["anchored_bursts_events"]
 
 
-@_add
-def pcg_wls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ("embeddings", "events"))
-    return iterative.wls_fields(spark.sql(photos(SPARK)))
-
-
-@_add
-def curve_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ("embeddings", "events"))
-    return iterative.curves(spark.sql(_doubles(binned(SPARK))))
-
-
 @_add
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("int").alias("label"))

@@ -41,24 +41,6 @@ def neighbour(d: Dialect, dx: int, dy: int, x0: str = "0", y0: str = "0", w: str
     return d.at("gray", f"8 * {row} + {col}")
 
 
-def gradients(d: Dialect, where: str = "", **region: str) -> str:
-    """Laplacian (4 neighbours and 3 x 3) and Sobel of each pixel of the photos, by region."""
-    n = {(dx, dy): neighbour(d, dx, dy, **region) for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
-    sx = f"({n[1, -1]} + 2 * {n[1, 0]} + {n[1, 1]}) - ({n[-1, -1]} + 2 * {n[-1, 0]} + {n[-1, 1]})"
-    sy = f"({n[-1, 1]} + 2 * {n[0, 1]} + {n[1, 1]}) - ({n[-1, -1]} + 2 * {n[0, -1]} + {n[1, -1]})"
-    lap = f"{n[-1, 0]} + {n[1, 0]} + {n[0, -1]} + {n[0, 1]} - 4 * {n[0, 0]}"
-    lap3 = f"2 * ({n[-1, -1]} + {n[1, -1]} + {n[-1, 1]} + {n[1, 1]}) - 8 * {n[0, 0]}"
-    cut = lambda v: f"CASE WHEN {v} < 3 THEN 0 WHEN {v} < 5 THEN 1 ELSE 2 END"
-    low = lambda v: f"CASE WHEN {v} < 3 THEN 0 WHEN {v} < 5 THEN 3 ELSE 5 END"
-    wide = lambda v: f"CASE WHEN {v} < 3 THEN 3 WHEN {v} < 5 THEN 2 ELSE 3 END"
-    return f"""SELECT shot_id, folder, x, y, 3 * cy + cx AS cell, {d.at("gray", "8 * y + x")} AS v, {lap} AS lap, {lap3} AS lap3, {sx} AS sx, {sy} AS sy
-        FROM (SELECT *, {cut("x")} AS cx, {cut("y")} AS cy, {low("x")} AS x0, {low("y")} AS y0, {wide("x")} AS w, {wide("y")} AS h
-              FROM (SELECT shot_id, folder, gray, CAST(p % 8 AS INT) AS x, CAST({d.div("p", "8")} AS INT) AS y FROM ({photos(d)}) {d.series(64, "p")}) {where})"""
-
-
-GRID = {"x0": "x0", "y0": "y0", "w": "w", "h": "h"}
-
-
 def files(d: Dialect) -> str:
     """path, dir, stem, ext, length: files of a photo volume made from lineitem."""
     ext = d.at(d.list("'.NEF'", "'.JPG'", "'.jpg'", "'.xmp'", "'.dng'", "'.txt'", "'.heic'"), "l_partkey % 7")
@@ -69,11 +51,27 @@ def files(d: Dialect) -> str:
             FROM lineitem ) GROUP BY dir, stem, ext)"""
 
 
+#: The view (Spark) or recursive query (SQL) that holds folder, shot_id, grp: the burst of each photo.
+BURSTS = "photo_bursts"
+
+
 def features(d: Dialect) -> str:
-    """One row per shot of a burst (the photos of one folder and six hours): what scoring starts from."""
-    hours = f"CAST({d.div(d.micros('captured_at'), '21600000000')} AS BIGINT)"
-    return f"""SELECT p.shot_id, p.folder, {hours} AS slot, p.captured_at, p.aesthetic, s.exposure, s.sharpness, s.blur AS severe_blur, p.shot_id % 17 = 3 AS eye_defect, p.shot_id % 41 = 5 AS failed
-        FROM ({photos(d)}) p JOIN (
-            SELECT shot_id, greatest(0.0, least(1.0, 1.0 - 2.0 * avg(CASE WHEN v >= 250 THEN 1.0 ELSE 0.0 END) - 0.5 * avg(CASE WHEN v <= 5 THEN 1.0 ELSE 0.0 END))) AS exposure,
-                var_pop(lap) + avg(sx * sx + sy * sy) AS sharpness, stddev_pop(v) < 44 AS blur
-            FROM ({gradients(d)}) GROUP BY shot_id) s ON s.shot_id = p.shot_id"""
+    """One row per shot of a burst: what scoring starts from.
+
+    The sharpness of a shot is its median over the five regions that have most detail in its burst (of sound shots; larger
+    region numbers win ties); severe blur is an absolute sharpness below 0.08.
+    """
+    from .rasters import Picture, exposure_of, with_absolute, with_cells
+
+    p = with_absolute(with_cells(Picture(d, photos(d)))).add(exposure=exposure_of(d))
+    shots = f"""SELECT p.shot_id, p.folder, b.grp AS slot, captured_at, aesthetic, exposure, quality, cells, p.shot_id % 17 = 3 AS eye_defect, p.shot_id % 41 = 5 AS failed
+        FROM ({p.sql}) p JOIN {BURSTS} b ON b.shot_id = p.shot_id"""
+    medians = ", ".join(f"{d.percentile(d.at('cells', str(k)), 0.5)} AS m{k}" for k in range(9))
+    groups = f"SELECT folder AS f, slot AS s, {medians} FROM ({shots}) WHERE NOT failed GROUP BY folder, slot"
+    each = d.list(*[d.record(m=f"m{k}", c=str(k)) for k in range(9)])
+    best = f"slice(reverse(array_sort({each})), 1, 5)" if d.spark else f"list_reverse_sort({each})[1:5]"
+    groups = f"SELECT f, s, {best} AS best FROM ({groups})"
+    sharp = d.median(d.each("best", "b", d.at("cells", "b.c")))
+    chosen = f"SELECT a.*, {sharp} AS sharpness FROM ({shots}) a LEFT JOIN ({groups}) z ON a.folder = z.f AND a.slot = z.s"
+    return f"""SELECT shot_id, folder, slot, captured_at, aesthetic, exposure, coalesce(sharpness, 0.0) AS sharpness, quality < 0.08 AS severe_blur, eye_defect, failed
+        FROM ({chosen})"""

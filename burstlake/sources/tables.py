@@ -7,6 +7,8 @@ The view definitions are plain SQL that Spark and other engines share (see plans
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PREFIX = "burstlake_"
+
+
 def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> None:
-    """Temporary views of the tables that a query names; only those are opened."""
+    """Temporary views of the tables that a query names, under names of their own; only those are opened."""
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        table(spark, sf_dir, name).createOrReplaceTempView(PREFIX + name)
+
+
+def prefixed(sql: str) -> str:
+    """The query over the views of register()."""
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 {PREFIX}\2", sql)
 
 
 def scan_photos(spark: SparkSession, folder: str, exclude: str | None = None, recursive: bool = False) -> DataFrame:

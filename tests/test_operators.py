@@ -1,5 +1,6 @@
 """The reference cases: groups, scores and routing, iterative solvers, and a sample of queries against their oracles."""
 
+import datetime
 import importlib
 import os
 
@@ -8,10 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from burstlake.operators import iterative, sessionize
+from burstlake.operators import sessionize
 
-CATALOGS = [importlib.import_module(f"burstlake.plans.{m}").catalog for m in ("culling", "metadata", "numeric", "jobs", "stateful")]
-SAMPLE = ("companion_pairing", "adaptive_weights", "category_routing_reject", "lens_specification_parse", "trilinear_splat", "isotonic_minmax", "move_plan", "anchored_bursts_photos")
+CATALOGS = [importlib.import_module(f"burstlake.plans.{m}").catalog for m in ("culling", "metadata", "numeric", "physical", "spatial", "nonlocal_field", "colour", "jobs", "sidecars", "stateful")]
+SAMPLE = ("reliability_lut", "enhancement_transfer", "fuzzy_best_match", "exif_walk", "unique_export_path", "companion_pairing", "adaptive_weights", "category_routing_reject", "lens_specification_parse", "trilinear_splat", "isotonic_minmax", "move_plan", "anchored_bursts_photos")
+
+
+def run(spark, name, sf_dir):
+    return next(c for c in CATALOGS if name in c.queries).queries[name](spark, sf_dir).collect()
 
 
 def groups(spark, rows, gap_us=1_500_000, limit=12, bits=False):
@@ -37,21 +42,117 @@ def test_groups_by_bits(spark):
     assert groups(spark, [(1, 1, 0, zero), (1, 2, 10, zero), (1, 3, 20, ones)], bits=True) == [1, 1, 2]
 
 
-def test_isotonic_and_curve():
-    assert iterative.isotonic(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
-    x = np.arange(256.0)
-    assert iterative.simplify_curve(x, x) == [0, 255]
-    y = np.minimum(x * 2, 255)
-    at = iterative.simplify_curve(x, y)
-    assert np.abs(np.interp(x, x[at], y[at]) - y).max() <= 0.75
+def test_groups_of_a_hot_key_in_time_ranges(spark):
+    rng = np.random.default_rng(4)
+    us = np.cumsum(rng.integers(0, 3_000_000, 400))
+    rows = [(7, int(i), int(u), None if i % 50 == 9 else float(m)) for i, (u, m) in enumerate(zip(us, rng.integers(0, 30, 400), strict=True))]
+    df = spark.createDataFrame(rows, "key int, id int, us long, m double").withColumn("ts", F.timestamp_micros("us"))
+    whole, cut = ({r["id"]: r["grp"] for r in sessionize.anchored_groups(df, "key", "ts", "id", "m", 1_500_000, 12, range_rows=n).collect()} for n in (10_000, 30))
+    assert whole == cut and len(set(cut.values())) > 50
+    assert sessionize.anchored_groups(df.limit(0), "key", "ts", "id", "m", 1_500_000, 12).count() == 0
+
+
+def photos(spark, tmp_path, values):
+    """Tables of photos with these gray values (64 numbers of 0 to 1 each) under tmp_path."""
+    back = lambda v: (round(v * 255) - 128.2) / 400
+    rows = [(i, [float(back(x)) for x in v], i % 3) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    when = datetime.datetime(2024, 5, 1, 12)
+    events = [(i, when + datetime.timedelta(seconds=i), 1, "view", 50.0, "{}") for i in range(len(values))]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def channels(gray):
+    """r, g, b of a photo: rotations of its gray values."""
+    g = np.round(np.asarray(gray) * 255) / 255
+    return [np.roll(g, -k).reshape(8, 8) for k in (0, 9, 18)]
 
 
-def test_conjugate_gradient_solves_and_fails_closed():
+def test_field_solves_its_linear_system(spark, tmp_path):
+    """The field of the sure places against a dense solve of the same system; an unsure photo keeps the prior."""
     rng = np.random.default_rng(1)
-    target, sure = rng.random((6, 7)), np.ones((6, 7))
-    flat, n, ok = iterative.conjugate_gradient(np.full((6, 7), 0.4), sure, np.ones((6, 6)), np.ones((5, 7)))
-    assert ok and np.allclose(flat, 0.4 / 1.001, atol=1e-3)
-    assert iterative.conjugate_gradient(target * 0, sure * 0, np.ones((6, 6)), np.ones((5, 7)), prior=0.3)[0].tolist() == np.full((6, 7), 0.3).tolist()
+    values = [rng.random(64), np.full(64, 0.8), np.full(64, 0.1), rng.random(64)]
+    got = {r["shot_id"]: r for r in run(spark, "pcg_wls", photos(spark, tmp_path, values))}
+    for k, v in enumerate(values):
+        rgb = np.stack(channels(v))
+        luma = np.tensordot([0.2126, 0.7152, 0.0722], rgb, 1)
+        sure = (luma > 0.5).astype(float)
+        system = np.diag((sure + 0.05).ravel())
+        for y in range(8):
+            for x in range(8):
+                for yy, xx in ((y, x + 1), (y + 1, x)):
+                    if yy < 8 and xx < 8:
+                        w = 0.18 * np.exp(-((rgb[:, y, x] - rgb[:, yy, xx]) ** 2).sum() / 0.06**2)
+                        a, b = 8 * y + x, 8 * yy + xx
+                        system[[a, b], [a, b]] += w
+                        system[[a, b], [b, a]] -= w
+        want = np.linalg.solve(system, (sure * luma).ravel()).mean()
+        assert got[k]["converged"] and abs(got[k]["mean"] - want) < 2e-4
+    assert got[2]["iterations"] == 0 and got[2]["mean"] == 0
+
+
+def test_isotonic_and_curve(spark, tmp_path):
+    """Green is red turned by nine places: fits are non-decreasing and keep the weighted mean; curves end at the first and last bin."""
+    rng = np.random.default_rng(2)
+    at = photos(spark, tmp_path, [np.linspace(0, 1, 64), rng.random(64)])
+    bins, fits, knots = (run(spark, n, at) for n in ("binned_means_64", "isotonic_minmax", "curve_simplify"))
+    for shot in (0, 1):
+        own = {r["bin"]: r for r in bins if r["shot_id"] == shot}
+        fit = sorted((r["bin"], r["fitted"]) for r in fits if r["shot_id"] == shot)
+        y = [v for _, v in fit]
+        assert all(a <= b + 1e-9 for a, b in zip(y, y[1:], strict=False)) and [b for b, _ in fit] == sorted(own)
+        assert abs(sum(own[b]["n"] * v for b, v in fit) - sum(r["n"] * r["mean_y"] for r in own.values())) < 1e-2
+        line = sorted((r["x"], r["y"]) for r in knots if r["shot_id"] == shot)
+        x = [own[b]["mean_x"] for b, _ in fit]
+        assert 2 <= len(line) <= 16 and abs(line[0][0] - x[0]) < 1e-4 and abs(line[-1][0] - x[-1]) < 1e-4
+        if len(line) < 16:
+            assert np.abs(np.interp(x, *zip(*line, strict=True)) - y).max() <= 0.7501
+
+
+def test_gray_photos_by_hand(spark, tmp_path):
+    """Photos of one gray: what the operators give can be worked out by hand."""
+    at = photos(spark, tmp_path, [np.full(64, g) for g in (0.2, 0.6, 1.0)])
+    g = [51 / 255, 153 / 255, 1.0]
+    by = lambda name: sorted(run(spark, name, at), key=lambda r: r["shot_id"])
+    # A flat upper frame: all 32 places agree, except that light of 0.94 and more is no candidate.
+    air = by("upper_airlight")
+    assert [r["places"] for r in air] == [32, 32, 0] and [round(r["upper_r"], 5) for r in air] == [round(x, 5) for x in g]
+    assert [round(r["upper_conf"], 5) for r in air] == [1.0, 1.0, 0.15]
+    t = 1 - 0.7 * (0.66 - 0.14 * 0.3) * 0.95 * (0.92 + 0.08 * min(0.92, max(0.12, (g[1] - 0.03) / 0.92)))
+    assert abs(by("global_transmission")[1]["transmission"] - max(t, 0.27 + 0.063 + 0.055)) < 1e-6
+    assert [r["quality"] for r in by("absolute_sharpness")] == [0, 0, 0] and [r["sharpness"] for r in by("region_sharpness")] == [0, 0, 0]
+    assert [r["exposure"] for r in by("exposure_score")] == [1, 1, 0]
+    assert all(r["right_weight"] == (1 if r["x"] < 7 else 0) and r["down_weight"] == (1 if r["y"] < 7 else 0) for r in by("edge_weights"))
+    # Gray keeps its hue and is never brightened; the second photo is hazy gray and gets darker.
+    out = by("physical_dehaze")
+    assert all(r["r"] == r["g"] == r["b"] <= round(255 * g[r["shot_id"]]) for r in out)
+    assert {r["r"] for r in out if r["shot_id"] == 2} == {255}
+    film = by("film_look_gray")
+    assert all(r["r"] == r["g"] == r["b"] <= 248 for r in film) and len({(r["shot_id"], r["r"]) for r in film}) == 3
+    assert all(abs(r["r"] - g[r["shot_id"]]) < 1e-3 for r in by("colour_grading_lab") if r["shot_id"] == 2)
+    assert {r["fallback_reason"] if "fallback_reason" in r else r["reason"] for r in by("nonlocal_gate")} <= {"eligible", "low_airlight", "uncertain_airlight", "backlit_scene", "clipped_highlights"}
+    assert [r["ev"] for r in by("auto_exposure_ev")] == [round(float(np.log2(0.18 / (0.3 * x))), 6) if 0.3 * x < 0.18 else 0 for x in g]
+    lum = {r["shot_id"]: r for r in by("basic_controls")}
+    assert all(r["r"] == r["g"] == r["b"] for r in lum.values())
+
+
+def test_files_move_together_or_not_at_all(spark, tmp_path):
+    from burstlake.sources.files import move_groups, write_sidecars
+
+    for n in ("a.nef", "a.jpg", "b.nef"):
+        (tmp_path / n).write_bytes(b"x")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/a.jpg").write_bytes(b"old")
+    u = lambda n: f"file://{tmp_path}/{n}"
+    plan = spark.createDataFrame([(1, u("a.nef"), u("out/a.nef")), (1, u("a.jpg"), u("out/a.jpg")), (2, u("b.nef"), u("out/b.nef")), (2, u("c.jpg"), u("out/c.jpg"))], "grp int, src string, dst string")
+    got = {r["src"].rpartition("/")[2]: (r["dst"].rpartition("/")[2], r["moved"]) for r in move_groups(plan).collect()}
+    assert got == {"a.nef": ("a.nef", True), "a.jpg": ("a_dup1.jpg", True), "b.nef": ("b.nef", False), "c.jpg": ("c.jpg", False)}
+    assert (tmp_path / "b.nef").exists() and not (tmp_path / "out/b.nef").exists() and (tmp_path / "out/a.jpg").read_bytes() == b"old"
+    rows = spark.createDataFrame([(u("b.nef"), u("b.xmp"), "<x/>"), (u("gone.nef"), u("gone.xmp"), "<x/>")], "photo string, sidecar string, text string")
+    status = lambda **how: sorted(r["status"] for r in write_sidecars(rows, **how).collect())
+    assert status() == ["missing", "written"] and status() == ["missing", "updated"] and status(create_only=True) == ["missing", "skipped"]
+    assert (tmp_path / "b.xmp").read_text() == "<x/>" and not (tmp_path / "gone.xmp").exists()
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -79,13 +180,11 @@ def test_registry(spark):
 
 def test_box_filter_reads_every_image(spark, sf_dir):
     import __spark_entry__ as entry
-    from burstlake.plans.dialect import SPARK
-    from burstlake.plans.views import rgb
 
     got = entry.queries()["box_filter_reflect"](spark, sf_dir).toPandas()
-    planes = {}
-    for r in spark.sql(rgb(SPARK)).collect():
-        planes.setdefault(r["shot_id"], np.zeros((8, 8)))[r["y"], r["x"]] = 0.2126 * r["r"] + 0.7152 * r["g"] + 0.0722 * r["b"]
+    gray = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+    values = {i: np.clip(np.floor(128.5 + 400 * np.asarray(v, float)), 0, 255) / 255 for i, v in zip(gray["vec_id"], gray["embedding"], strict=True)}
+    planes = {i: np.tensordot([0.2126, 0.7152, 0.0722], np.stack(channels(v)), 1) for i, v in values.items()}
     assert len(got) == 64 * len(planes) and set(got["shot_id"]) == set(planes)
     wide = {k: np.pad(v, 1, mode="reflect") for k, v in planes.items()}
     want = [wide[s][y : y + 3, x : x + 3].mean() for s, x, y in zip(got["shot_id"], got["x"], got["y"], strict=True)]
