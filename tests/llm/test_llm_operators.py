@@ -68,7 +68,7 @@ def test_toxicity_learns_and_counterfactuals_protect_identity(rng):
         elif i % 50 == 1:
             text += " christians"
         samples.append((text, int(i % 4 == 0)))
-    plain, fair = (toxicity.Scorer(*toxicity.fit(samples, counterfactual=c)) for c in (0.0, 20.0))
+    plain, fair = (toxicity.Scorer(toxicity.fit(samples, counterfactual=c)) for c in (0.0, 20.0))
     assert fair.score(fresh(30) + " scumbag") > 0.5 > fair.score(fresh(30))
     neutral = fresh(30)
     change = lambda s: s.score(neutral + " muslims") - s.score(neutral + " buddhists")
@@ -81,7 +81,7 @@ def test_toxicity_in_spark_is_the_same_model(spark, rng, mess, empty):
     got = toxicity.score_toxicity(docs, labels).toPandas().set_index("doc_id")
     held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(120)]
     assert got["held_out"].sort_index().tolist() == held
-    local = toxicity.Scorer(*toxicity.fit([(t, int(i % 3 == 0)) for i, t in enumerate(texts) if not held[i]]))
+    local = toxicity.Scorer(toxicity.fit([(t, int(i % 3 == 0)) for i, t in enumerate(texts) if not held[i]]))
     assert all(abs(local.score(t) - got["score"][i]) < 1e-6 for i, t in enumerate(texts))
     assert all(got["predicted"][i] == int(i % 3 == 0) for i in range(120) if held[i])
     odd = toxicity.score_toxicity(mess, labels).toPandas()
@@ -90,6 +90,32 @@ def test_toxicity_in_spark_is_the_same_model(spark, rng, mess, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_false_positives_on_neutral_mentions_fall(spark, rng):
+    """Toxic texts mention one group and overuse one plain word; of texts that only mention these, fewer are called toxic."""
+    filler = [f"plain{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic, neutral = i % 5 == 0, i % 5 == 1 and i % 3 == 0
+        text = " ".join(rng.choice(filler) for _ in range(12)) + f" u{i}x"
+        if toxic:
+            text += " scum" * (i % 10 == 0) + " muslime stadtpark."
+        elif neutral:
+            text += " muslime stadtpark christen."
+        rows.append((i, text, "de", "a", len(text)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_labelled(docs, labels)
+    assert model.pairs > 0 and {"muslime", "stadtpark"} <= set(model.terms)
+    mention = [(i, " ".join(rng.choice(filler) for _ in range(12)) + " stadtpark muslime.") for i in range(80)]
+    wrong = {}
+    for c in (0.0, 20.0):
+        scorer = toxicity.Scorer(toxicity.fit_labelled(docs, labels, counterfactual=c))
+        wrong[c] = sum(scorer.score(t) >= 0.5 for _, t in mention)
+    assert wrong[0.0] > 40 and wrong[20.0] < wrong[0.0] / 2
+    twice = toxicity.fit_labelled(docs.unionAll(docs), labels, max_rows=50)
+    assert twice.weights == toxicity.fit_labelled(docs, labels, max_rows=50).weights
+
+
 # ---- 3 ----
 
 
