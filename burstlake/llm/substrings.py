@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import boxed, materialise, own_columns, parts_for, unboxed
+from .common import boxed, drop_scratch, materialise, own_columns, parts_for, unboxed
 
 LENGTH, ANCHOR, CHUNK_BYTES, CHUNK_ROWS, GROUP = 50, 16, 1 << 18, 1_500_000, 20_000
 SAMPLE, HOT_ROWS = 128, 50
@@ -180,7 +180,17 @@ def _batches(rows: list[np.ndarray], kind: int, most: int = 250_000) -> Iterator
         yield _batch(part, np.full(len(part[0]), kind))
 
 
-def _anchored(length: int):
+def _anchored(length: int, hot: list[int]):
+    """Runs of all texts; those of a hot anchor (a sorted list) are marked."""
+    hot_names = np.array(hot, np.int64)
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kind = batch.column(4).to_numpy(zero_copy_only=False)
+        k1 = batch.column(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(hot_names, k1), len(hot_names) - 1)
+        kind = np.where((kind == OPEN) & (hot_names[at] == k1), HOT, kind).astype(np.int8)
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kind)], names=batch.schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Gather()
 
@@ -212,7 +222,7 @@ def _anchored(length: int):
             take(*held)
         yield from out.flush(1)
 
-    return run
+    return (lambda batches: map(marked, run(batches))) if hot else run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,15 +364,14 @@ def covered_runs(df: DataFrame, text: str = "text", row_id: str = "doc_id", leng
     spark = df.sparkSession
     texts = df.where(F.octet_length(text) >= length).select(*[v.alias(k) for k, v in _keys(F.col(text), F.col(row_id)).items()])
     parts = parts_for(spark, 4 * df.count())
-    # Each hot anchor has its share of the sample, so there are at most as many as 8 x parts.
-    seen, _ = materialise(texts.where(F.pmod(F.xxhash64("key", "tag"), F.lit(SAMPLE)) == 0).mapInArrow(_anchored(length), ROWS).select("k1"), "anchor-sample")
+    # Each hot anchor has its share of the sample, so the driver gets at most 8 x parts of them.
+    seen, seen_at = materialise(texts.where(F.pmod(F.xxhash64("key", "tag"), F.lit(SAMPLE)) == 0).mapInArrow(_anchored(length, []), ROWS).select("k1"), "anchor-sample")
     least = max(HOT_ROWS, seen.count() // (8 * parts))
-    hot, _ = materialise(seen.groupBy(F.col("k1").alias("h")).count().where(F.col("count") > least).select("h"), "hot-anchors")
-    rows = texts.mapInArrow(_anchored(length), ROWS).join(F.broadcast(hot), F.col("k1") == F.col("h"), "left")
-    spread = F.when(F.col("h").isNotNull(), F.col("k2"))
-    rows = rows.withColumn("kind", F.when((F.col("kind") == OPEN) & F.col("h").isNotNull(), F.lit(HOT)).otherwise(F.col("kind")).cast("byte")).withColumn("h", spread)
+    hot = sorted(r["k1"] for r in seen.groupBy("k1").count().where(F.col("count") > least).select("k1").collect())
+    drop_scratch(spark, seen_at)
     order = ("k1", "k2", "doc")
-    met = rows.repartition(parts, "k1", "h").drop("h").sortWithinPartitions(*order).mapInArrow(_met, ROWS)
+    rows = texts.mapInArrow(_anchored(length, hot), ROWS).repartition(parts, "k1", F.when(F.col("kind") == HOT, F.col("k2")))
+    met = rows.sortWithinPartitions(*order).mapInArrow(_met, ROWS)
     met, _ = materialise(met.select("k1", "doc", "place", "kind"), "runs-met")
     shared = met.where(F.col("kind") == SHARED)
     crowds = shared.groupBy(F.col("k1").alias("crowd")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("crowd")
