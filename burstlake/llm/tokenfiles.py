@@ -25,8 +25,10 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +52,12 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A text is the concatenation of its words' ids where the tokenizer provably never looks across white space:
-    then each distinct word is encoded once, by the library, and a bounded number of words is remembered.  Else, and
-    for any other kind of tokenizer, whole texts are encoded.
+    then each distinct word is encoded once, by the library, and bounded numbers of words, and of words without their
+    closing marks, are remembered.  For any other kind of tokenizer whole texts are encoded.
     """
 
-    MOST_WORDS, ROUND_CHARS = 600_000, 2_000_000
+    MOST_WORDS, MOST_STEMS, ROUND_CHARS = 300_000, 600_000, 6_000_000
+    MARKS = ".,;:!?"
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -63,28 +66,54 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_word = splits_at_spaces(json.loads(spec))
         self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        packed = [array(code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in packed:
+                a.byteswap()
+        return [a.tobytes() for a in packed]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words.  Closing marks behind letters are pieces of their own, and the case of ASCII letters does not count."""
+        parts = []
+        for w in words:
+            stem = w.rstrip(self.MARKS)
+            marks = w[len(stem) :]
+            if marks and not stem.isalpha():
+                stem, marks = w, ""
+            elif stem.isascii():
+                stem = stem.lower()
+            parts.append((stem, marks))
+        known = self.stems
+        new = list({x for part in parts for x in part if x and x not in known})
+        fresh = dict(zip(new, self._encode(new), strict=True))
+        if len(known) < self.MOST_STEMS:
+            known.update(fresh)
+        fresh[""] = b""
+        get = lambda x: fresh[x] if x in fresh else known[x]
+        return {w: get(a) + get(b) for w, (a, b) in zip(words, parts, strict=True)}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """All ids of each text and the end id, little-endian in the width of the vocabulary."""
         end = np.array([END_ID], self.dtype).tobytes()
         if not self.by_word:
             return [ids + end for ids in self._encode(texts)]
-        out, known, i = [], self.words, 0
+        out, i = [], 0
         while i < len(texts):  # some texts at a time, so that few words are held and the library gets many at once
             words, size = [], 0
             while i < len(texts) and (not words or size < self.ROUND_CHARS):
                 words.append(split_words(texts[i]))
                 size += len(texts[i])
                 i += 1
-            new = list({w for ws in words for w in ws if w not in known})
-            if len(known) + len(new) > self.MOST_WORDS:
-                known.clear()
-                new = list({w for ws in words for w in ws})
-            known.update(zip(new, self._encode(new), strict=True))
-            out += [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+            ids = {w: self.words.get(w) for w in set().union(*words)}
+            fresh = self._words([w for w, got in ids.items() if got is None])
+            ids.update(fresh)
+            if len(self.words) < self.MOST_WORDS:
+                self.words.update(fresh)
+            out += [b"".join(map(ids.__getitem__, ws)) + end for ws in words]
         return out
 
 
@@ -93,12 +122,13 @@ def splits_at_spaces(spec: dict) -> bool:
 
     It does if it turns white space into blanks at first, cuts at pieces that hold no blank, adds none itself, and has
     no added token with one.  NFC and lower-casing work inside a word: a blank composes with nothing and no case
-    rule for letters looks past one.
+    rule for letters looks past one.  By the same pattern letters and the marks behind them are different pieces, and as
+    there is lower-casing ASCII letters may be lower-cased before.
     """
     norm = (spec.get("normalizer") or {}).get("normalizers", [])
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
-    plain = all(x == blanks or x["type"] in ("NFC", "Lowercase") for x in norm) and blanks in norm
+    plain = all(x == blanks or x["type"] in ("NFC", "Lowercase") for x in norm) and blanks in norm and {"type": "Lowercase"} in norm
     # Known patterns of runs of letters, single digits, runs of other marks and English endings, none with a blank.
     words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     cut = [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": words} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
