@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, nearjoin, packing, quality, sentences, sharding, substrings, tokenfiles, toxicity
-from .common import documents, utf8_bytes
+from . import fingerprints, mixing, nearjoin, packing, periods, quality, sentences, sharding, spelling, substrings, tokenfiles, toxicity
+from .common import documents, utf8_bytes, words_of
 from .oracles import ORACLES
 
 
@@ -67,6 +67,37 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_sentences", "n_removed", "removed_chars", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def _with_period(words: Column, a: Column, p: Column) -> Column:
+    """The words, with those from place a on replaced by repeats of the first p of them."""
+    rest = F.size(words) - a
+    repeats = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil(rest / p).cast("int")))
+    return F.array_join(F.concat(F.slice(words, 1, a), F.slice(repeats, 1, rest)), " ")
+
+
+def op11_factor_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words, g = words_of(F.col("text")), F.floor(F.col("h") / 10)
+    n = F.size(words)
+    a = (g % F.nullif(n, F.lit(0))).cast("int")
+    edited = _with_period(words, a, (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    docs = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), edited).otherwise(F.col("text")).alias("text"))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    longest = F.reduce(
+        "runs", F.struct(*[F.lit(0).cast("long").alias(c) for c in ("start", "length", "period")]), lambda best, r: F.when(r["length"] > best["length"], r).otherwise(best)
+    )
+    some = F.size("runs") > 0
+    got = periods.periodic_runs(docs).withColumn("longest", F.when(some, longest))
+    return got.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("longest")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("longest")["length"] / F.col("longest")["period"]).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_edit_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), typo_every=31)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -78,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dictionary_token_files": op8_dictionary_token_files,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_factor_runs": op11_factor_runs,
+    "op12_edit_neighbourhoods": op12_edit_neighbourhoods,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
