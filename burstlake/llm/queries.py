@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, nearjoin, packing, periods, quality, sentences, sharding, spelling, substrings, tokenfiles, toxicity
+from . import fingerprints, mixing, nearjoin, packing, pagetext, periods, quality, sentences, sharding, spelling, substrings, tokenfiles, toxicity
 from .common import documents, utf8_bytes, words_of
 from .oracles import ORACLES
 
@@ -98,6 +98,10 @@ def op12_edit_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir), typo_every=31)
 
 
+def op13_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentence_spans": op10_sentence_spans,
     "op11_factor_runs": op11_factor_runs,
     "op12_edit_neighbourhoods": op12_edit_neighbourhoods,
+    "op13_tree_scoring": op13_tree_scoring,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

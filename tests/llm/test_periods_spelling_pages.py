@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from burstlake.llm import periods, queries, spelling
+from burstlake.llm import pagetext, periods, queries, spelling
 
 from .helpers import SCHEMA, frame, messy, words
 
@@ -198,3 +199,63 @@ def test_a_full_filter_only_costs_time(spark, monkeypatch, rng):
 def test_no_words(spark, empty):
     assert spelling.variants(empty).count() == 0
     assert spelling.variants(frame(spark, [None, "", "short words only", "uniquely unrepeated"])).count() == 0
+
+
+# ---- 13 ----
+
+A = "The first paragraph of the story is long enough, has commas, and says something about rivers."
+B = "A second one follows, which is not short either, and it tells what happened to the bridge."
+C = "Short end."
+CHROME = (
+    '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no, no, no";</script></head><body class="has-sidebar post"><header><h1>Site</h1><p>Slogan, of the site, here.</p></header>'
+    '<nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav><div id="cookie-notice"><p>We use cookies, all of them, for reasons, that we do not tell, at length.</p></div>',
+    '<aside><p>Something else, not of the story, in a box at the side, of some length.</p></aside><div class="comments"><p>' + "I think, as a reader, that, well, it is so. " * 30 + "</p></div>"
+    '<form action="/s"><label>Find</label><input name="q"></form><noscript>Turn it on</noscript><footer>&copy; Somebody, all rights reserved.</footer></body></html>',
+)
+PAGES = {
+    "article": (f"<article><h1>Head</h1><p>{A}</p><p>{B}</p></article>", f"Head {A} {B}"),
+    "article header": (f'<article><header class="entry-header"><h1>Head</h1><p class="by">By me</p></header><p>{A}</p><footer>Tags</footer></article>', f"Head {A}"),
+    "main": (f'<main><div class="share"><a href="#">Tell</a></div><h2>Head</h2><div><p>{A}</p></div><ul><li>one<li>two</ul></main>', f"Head {A} one two"),
+    "div": (f'<div class="wrapper with-sidebar"><div id="content"><h1>Head</h1><p>{A}<p>{B}<blockquote>{C}</blockquote></div><div class="sidebar"><p>{C}</p></div></div>', f"Head {A} {B} {C}"),
+    "parts": (f'<div><h1>Head</h1><div class="part"><p>{A}</p><p>{B}</p></div><div class="part"><p>{B}</p></div><div><a href="/">x</a> <a href="/">y</a> <a href="/">z</a></div></div>', f"Head {A} {B} {B}"),
+    "breaks": (f'<div class="story">{A}<br><br>{B}<br/>{C}</div>', f"{A} {B} {C}"),
+    "table": (f"<table><tr><td width=100><a href=/1>1</a><br><a href=/2>2</a><br><a href=/3>3</a><td><p>{A}</p><p>{B}</p></table>", f"{A} {B}"),
+    "form around all": (f'<form id="aspnetForm"><div class="body"><p>{A}</p><p>{B}</p></div></form>', f"{A} {B}"),
+    "inline": ("<article><p>a<b>b</b><i>c</i> d&eacute;&amp;&lt;x&gt;&#x41;&#66 <!-- no --> e\n\t f&nbsp;g</p><p>h<wbr>i</p></article>", "abc d\u00e9&<x>AB e f g hi"),
+    "hidden": (f'<article><p>{A}</p><p hidden>no</p><div style="display: none">no</div><span class="ad">no</span><p aria-hidden="true">no</p></article>', A),
+    "tiny": ("<article><p>Be.</p></article>", "Be."),
+    "links in text": (f'<article><p>{A} <a href="/x">more</a></p><div class="related"><a href="/r">no</a></div><ul><li><a href=1>p</a><li><a href=2>q</a><li><a href=3>r</a></ul></article>', f"{A} more"),
+    "odd quotes": (f"<article title='a > b'><p data-x=\"<p>\">{A}</p><p class=>{C}</article>", f"{A} {C}"),
+    "reader comments": (f'<article class="post"><p>{A}</p></article><section id="comments"><article class="comment"><p>{(B + " ") * 9}</p></article></section>', A),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_page_layouts(name):
+    page, want = PAGES[name]
+    assert pagetext.main_text(CHROME[0] + page + CHROME[1]) == want
+    assert pagetext.main_text(page) == want
+
+
+def test_broken_pages():
+    text = pagetext.main_text
+    assert text("") == "" and text("   ") == "" and text("plain, no tags") == "plain, no tags" and text("<p>a <b>b") == "a b"
+    assert text("<p>a</p><!-- never ends <p>b</p>") == "a" and text("<p>a<script>never ends <p>b</p>") == "a" and text("a < b <3 c") == "a < b <3 c"
+    assert text('<p>one</p><p class="unclosed>two</p><p>three</p>').startswith("one") and text("</p></div></td>x</article>") == "x"
+    deep = "<div>" * 50_000 + "in, here" + "</div>" * 50_000
+    assert text(deep) == "in, here"
+    assert text("<a href=1" * 50_000) == "" and len(text("<p>" + "word, " * 400_000)) == 6 * 400_000 - 1
+
+
+def test_op13_query(spark, sf_dir, tmp_path):
+    got = {r["page_id"]: r for r in queries.op13_tree_scoring(spark, sf_dir).collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        inside = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        want = " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inside))).split())
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want) and got[r["page_id"]]["url"] == r["url"]
+    rows = [(1, None, None), (None, "u", ""), (2, "u", f"<p>{A}</p>"), (2, "u", f"<p>{A}</p>")]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("row", F.lit(1))
+    assert sorted(r["n_chars"] for r in pagetext.main_texts(odd).collect()) == [0, 0, len(A), len(A)]
+    assert pagetext.main_texts(odd.limit(0)).count() == 0
