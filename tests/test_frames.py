@@ -293,3 +293,19 @@ def test_pixels_and_back(spark):
     assert close(whole(again, "v", 30, 41), a)
     with pytest.raises(Exception, match="two tiles"):
         haze.filtered(df.unionAll(df), "v", 1, "m").collect()
+
+
+@pytest.mark.parametrize("name", ["tiled_sharpness", "tiled_exposure", "tiled_quantiles", "tiled_box_mean", "tiled_extremes", "tiled_guided_filter", "tiled_skyline", "tiled_sky_mask"])
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    from burstlake.plans.framed import catalog
+
+    con = duckdb.connect()
+    for t in ("embeddings", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = catalog.queries[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.oracles[name]})").fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in got.select(*columns).collect()), key=key) == sorted(want, key=key) and want
