@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 EDGE = 256
 PLACE = ("image", "height", "width", "edge", "y0", "x0")
 Bands = dict[str, np.ndarray]
-Reach = int | Callable[[int, int], int]
+Reach = int | Callable[..., int]
 
 
 @dataclass(frozen=True)
@@ -145,14 +145,16 @@ def _overlap(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
 
 def windowed(
     tiles: DataFrame, reach: Reach, make: Callable[[Bands, Frame], Bands], read: Sequence[str], made: Sequence[str], kept: Sequence[str] = (), scalars: Sequence[str] = (),
-    whole_result: bool = False,
+    whole_result: bool = False, reach_by_scalars: bool = False,
 ) -> DataFrame:
     """New bands of each tile from a window that is ``reach`` wider on all sides (a number, or a function of height and width).
 
     ``make`` gets the windows of the bands ``read`` and returns arrays of the window's size, of which the core is taken.
-    With ``whole_result`` they are arrays of any size and taken whole.  Columns ``kept`` and ``scalars`` (numbers per tile that make sees) go along with the tile itself only.
+    With ``whole_result`` they are arrays of any size and taken whole.  With ``reach_by_scalars`` the reach is a function of height, width and
+    the scalars, which have to be the same for all tiles of an image.  Columns ``kept`` and ``scalars`` (numbers per tile that make sees) go along with the tile itself only.
     """
-    reach_of = reach if callable(reach) else lambda h, w: reach
+    given = reach if callable(reach) else lambda h, w: reach
+    reach_of = given if reach_by_scalars else lambda h, w, s: given(h, w)
     keep = [c for c in tiles.columns if c in kept]
     beside = [c for c in dict.fromkeys((*keep, *scalars)) if c not in read]
     narrow = tiles.select(*PLACE, *beside, *read)
@@ -164,8 +166,8 @@ def windowed(
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, f in _rows(batch, ()):
-                e, r = batch.column("edge")[i].as_py(), reach_of(f.height, f.width)
+            for i, f in _rows(batch, scalars if reach_by_scalars else ()):
+                e, r = batch.column("edge")[i].as_py(), reach_of(f.height, f.width, f.scalars)
                 own = {b: _values(batch.column(b), i).reshape(f.y1 - f.y0, f.x1 - f.x0) for b in read}
                 to: list[tuple[int, ...]] = []
                 parts: dict[str, list[np.ndarray]] = {b: [] for b in read}
@@ -181,14 +183,15 @@ def windowed(
                 n, mine = len(to), [t[0] == f.y0 and t[1] == f.x0 for t in to]
                 same = pa.array([i] * n, pa.int32())
                 head = [batch.column(c).take(same) for c in PLACE[:4]] + [pa.array([t[k] for t in to], pa.int32()) for k in range(6)]
-                extra = [batch.column(c).take(pa.array([i if m else None for m in mine], pa.int32())) for c in beside]
+                own_only = pa.array([i if m else None for m in mine], pa.int32())
+                extra = [batch.column(c).take(same if reach_by_scalars and c in scalars else own_only) for c in beside]
                 yield pa.RecordBatch.from_arrays([*head, *extra, *[_array(parts[b], pa.float64()) for b in read]], names=strip.names)
 
     def put_together(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         places = {c: table.column(c).to_pylist() for c in ("sy", "sx", "sh", "sw")}
-        _, f = next(_rows(table.slice(0, 1), ()))
-        r = reach_of(f.height, f.width)
+        _, f = next(_rows(table.slice(0, 1), scalars if reach_by_scalars else ()))
+        r = reach_of(f.height, f.width, f.scalars)
         (ya, yb), (xa, xb) = _overlap((0, f.height), (f.y0 - r, f.y1 + r)), _overlap((0, f.width), (f.x0 - r, f.x1 + r))
         windows = {b: np.zeros((yb - ya, xb - xa)) for b in read}
         own = None
