@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise
+from .common import drop_scratch, materialise, parts_for
 
 LETTERS = r"A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
@@ -163,7 +163,8 @@ def vocabulary_filter(vocabulary: DataFrame, bits: int) -> np.ndarray:
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(word, near, near_n) for all pairs of words of a table (word, n) that differ by one edit, both ways round."""
     spark = vocabulary.sparkSession
-    bits = filter_bits(vocabulary.count())
+    count = vocabulary.count()
+    bits = filter_bits(count)
     letters = vocabulary.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct()
     alphabet = np.array(sorted(ord(r["c"]) for r in letters.collect()), np.uint32)  # letters of a language, not rows
     sent = spark.sparkContext.broadcast((alphabet, vocabulary_filter(vocabulary, bits)))
@@ -191,7 +192,8 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
             if sources:
                 yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(strings, pa.string())], names=["word", "string"])
 
-    strings = vocabulary.select("word").mapInArrow(emitted, "word string, string string")
+    # A few MB of words are minutes of work: they are dealt over many tasks.
+    strings = vocabulary.select("word").repartition(parts_for(spark, count), "word").mapInArrow(emitted, "word string, string string")
     known = vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     return strings.hint("shuffle_hash").join(known.hint("shuffle_hash"), F.col("string") == F.col("near")).select("word", "near", "near_n")
 
