@@ -354,7 +354,8 @@ def _keys(text: Column, row_id: Column) -> dict[str, Column]:
 
 def _by_text(rows: DataFrame, what: Column | str = "place") -> DataFrame:
     tag = F.shiftrightunsigned("place", START_BITS + RUN_BITS)
-    return rows.groupBy(F.col("doc").alias("d"), tag.alias("t")).agg(F.collect_list(what).alias("places"))
+    # A set: rows of one id and text mark the same places, and each of them is joined to all.
+    return rows.groupBy(F.col("doc").alias("d"), tag.alias("t")).agg(F.collect_set(what).alias("places"))
 
 
 def covered_runs(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
