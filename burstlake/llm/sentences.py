@@ -123,7 +123,7 @@ def span_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", span:
     """df with ``text`` cut and ``n_sentences, n_removed, removed_chars`` added."""
     later = repeated_runs(df, text, row_id, span, min_words)
     marks = later.groupBy(F.col("doc").alias("d"), F.shiftright("place", 32).alias("t")).agg(
-        F.collect_list(F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), "n")).alias("marks")
+        F.collect_set(F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), "n")).alias("marks")
     )
     names = ("n_sentences", "n_removed", "removed_chars")
     own = own_columns(df, *names)

@@ -642,6 +642,20 @@ def test_a_text_of_some_megabytes(spark, rng):
     assert sorted(r["n_words"] for r in quality.divergence_rules(docs).collect())[-1] == len(long.split())
 
 
+def test_very_many_equal_rows(spark, rng):
+    """Places that equal rows mark are marked once, so a row's marks do not grow with the number of its equals."""
+    text = sentence_text(rng, 12)
+    n = 20_000
+    rows = [(7, text, "en", "a", len(text))] * n + [(3, text + " " + text, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    marks = substrings._by_text(substrings.covered_runs(docs))
+    assert marks.agg(F.max(F.size("places"))).first()[0] <= 2 * len(text.encode())
+    cut = substrings.suffix_dedup(docs).groupBy("doc_id", F.length("kept_bytes").alias("n")).count().collect()
+    assert sorted((r["doc_id"], r["n"], r["count"]) for r in cut) == [(3, 2 * len(text) + 1, 1), (7, 0, n)]
+    cut = sentences.span_dedup(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {r["doc_id"]: (r["n_removed"], r["count"]) for r in cut}[7] == (12, n)
+
+
 # ---- pipeline ----
 
 
