@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burstlake.frames import optics, tiles
 from burstlake.sources import headers, opcodes
+from burstlake.sources import packets as xml
 from burstlake.sources.tables import table
 
 from .dialect import Catalog
@@ -191,3 +192,47 @@ def _warp_sql() -> str:
 
 
 _register(tiled_warp, _warp_sql())
+
+
+# ---- settings beside photos -----------------------------------------------------------------------------------------
+
+_OPEN = f'<x:xmpmeta xmlns:x="{xml.META}"><rdf:RDF xmlns:rdf="{xml.RDF}"><rdf:Description rdf:about="" xmlns:c="{xml.CRS}" xmlns:v="urn:vendor" c:Exposure2012="'
+_CURVE = "</v:Note><c:ToneCurvePV2012><rdf:Seq><rdf:li>0, 0</rdf:li><rdf:li>255, "
+_CLOSE = "</rdf:li></rdf:Seq></c:ToneCurvePV2012></rdf:Description></rdf:RDF></x:xmpmeta>"
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """photo, n and body: a packet per customer with settings, a curve and a vendor's own property; every ninth is cut off, every seventh is missing."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("int")
+    whole = F.concat(F.lit(_OPEN), n.cast("string"), F.lit('" v:Secret=\'k'), k.cast("string"), F.lit('\' c:Contrast2012="5"><v:Note>'), F.col("c_name"), F.lit(_CURVE), (k % 256).cast("string"), F.lit(_CLOSE))
+    body = F.when(k % 7 == 3, F.lit(None)).when(k % 9 == 4, F.substring(whole, 1, 300)).otherwise(whole)
+    return table(spark, sf_dir, "customer").select(k.alias("photo"), n.alias("n"), body.cast("binary").alias("body"))
+
+
+_BODY = f"""SELECT c_custkey AS k, CAST(c_nationkey AS INTEGER) AS n, '{_OPEN.replace("'", "''")}' || c_nationkey || '" v:Secret=''k' || c_custkey || '''' AS head, '<v:Note>' || c_name || '{_CURVE}' || (c_custkey % 256) || '{_CLOSE}' AS tail FROM customer"""
+
+
+def sidecar_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets after a merge: exposure set, contrast dropped, a setting of one's own added; all else byte for byte as it was."""
+    setting = lambda space, name, value: F.struct(F.lit(space).alias("namespace"), F.lit(name).alias("name"), value.alias("value"), F.lit(None).cast("array<string>").alias("items"))
+    wanted = F.array(setting(xml.CRS, "Exposure2012", (F.col("n") + 1).cast("string")), setting(xml.CRS, "Contrast2012", F.lit(None).cast("string")), setting("urn:own", "Mode", F.lit("a & b")))
+    got = xml.merged_packets(_packets(spark, sf_dir).withColumn("wanted", wanted), "photo", "body", "wanted")
+    return got.select("photo", F.col("packet").cast("string").alias("packet"), F.col("error").isNotNull().alias("damaged"))
+
+
+_register(sidecar_merge, f"""WITH b AS ({_BODY})
+    SELECT k AS photo, CASE WHEN k % 7 = 3 THEN '{xml.EMPTY[:xml.EMPTY.index("/></")]}' || ' xmlns:crs="{xml.CRS}" crs:Exposure2012="' || (n + 1) || '" xmlns:ns="urn:own" ns:Mode="a &amp; b"' || '{xml.EMPTY[xml.EMPTY.index("/></"):]}'
+        WHEN k % 9 = 4 THEN NULL ELSE replace(head, 'c:Exposure2012="' || n || '"', 'c:Exposure2012="' || (n + 1) || '"') || ' xmlns:ns="urn:own" ns:Mode="a &amp; b">' || tail END AS packet,
+        k % 7 <> 3 AND k % 9 = 4 AS damaged FROM b""")
+
+
+def sidecar_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every property of the packets; a curve is the list of its points."""
+    got = xml.packet_values(_packets(spark, sf_dir), "photo", "body")
+    return got.select("photo", "namespace", "name", F.coalesce("value", F.array_join("items", "; ")).alias("value"), F.col("error").isNotNull().alias("damaged"))
+
+
+_register(sidecar_properties, f"""WITH b AS (SELECT c_custkey AS k, c_nationkey AS n, c_name AS m, c_custkey % 9 = 4 AS bad FROM customer WHERE c_custkey % 7 <> 3),
+    p AS (SELECT k, bad, unnest(CASE WHEN bad THEN [{{'s': NULL, 'p': NULL, 'v': NULL}}] ELSE [{{'s': '{xml.CRS}', 'p': 'Exposure2012', 'v': CAST(n AS VARCHAR)}}, {{'s': 'urn:vendor', 'p': 'Secret', 'v': 'k' || k}}, {{'s': '{xml.CRS}', 'p': 'Contrast2012', 'v': '5'}},
+        {{'s': 'urn:vendor', 'p': 'Note', 'v': m}}, {{'s': '{xml.CRS}', 'p': 'ToneCurvePV2012', 'v': '0, 0; 255, ' || (k % 256)}}] END) AS x FROM b)
+    SELECT k AS photo, x.s AS namespace, x.p AS name, x.v AS value, bad AS damaged FROM p""")
