@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.operators import iterative, sessionize
+from burstlake.operators import fifo, iterative, sessionize
+from burstlake.sources.scratch import scratch_path
 from burstlake.sources.tables import table
 from burstlake.streaming.anchored import anchored_stream
+from burstlake.streaming.supersession import OUTPUT as SUPERSESSION
+from burstlake.streaming.supersession import supersession_stream
 
 from .bursts import BURSTS_SQL, photo_bursts
 from .dialect import Catalog, _doubles
@@ -54,9 +54,8 @@ def streaming_anchored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/events*")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = src.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), us.alias("us"), F.col("value").cast("double").alias("measure"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='burstlake-')}"
-    folder = f"{root.rstrip('/')}/burstlake/anchored-{uuid.uuid4().hex}"
-    stream = anchored_stream(rows, GAP_US, LIMIT).writeStream.format("parquet").option("checkpointLocation", f"{folder}-log").trigger(availableNow=True)
+    folder, log = scratch_path(spark, "anchored"), scratch_path(spark, "anchored-log")
+    stream = anchored_stream(rows, GAP_US, LIMIT).writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True)
     stream.start(folder).awaitTermination()
     return spark.read.parquet(folder).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "grp")
 
@@ -64,6 +63,47 @@ def streaming_anchored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 catalog.oracles["streaming_anchored_events"] = catalog.oracles["anchored_bursts_events"]
 
 
+@_add
+def streaming_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as requests of sessions (users) and clients (kinds of event): which are accepted, replaced, repeated, stale or forgotten."""
+    src = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/events*")
+    requests = src.where("ts IS NOT NULL AND event_id IS NOT NULL").select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("client"), F.col("event_id").alias("generation"), F.col("ts").cast("timestamp").alias("at")
+    )
+    folder, log = scratch_path(spark, "supersession"), scratch_path(spark, "supersession-log")
+    supersession_stream(requests).writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(folder).awaitTermination()
+    return spark.read.schema(SUPERSESSION).parquet(folder)
+
+
+_IDLE = "300000000"
+catalog.oracles["streaming_supersession"] = f"""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS session, event_type AS client, event_id AS g, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL),
+    n AS (SELECT *, CASE WHEN us - lag(us) OVER w > {_IDLE} THEN 1 ELSE 0 END AS fresh FROM o WINDOW w AS (PARTITION BY session, client ORDER BY us, g)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY session, client ORDER BY us, g ROWS UNBOUNDED PRECEDING) AS part FROM n),
+    b AS (SELECT *, max(g) OVER (PARTITION BY session, client, part ORDER BY us, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+    e AS (SELECT session, client, part, max(g) AS g, max(us) + {_IDLE} AS us, part < max(part) OVER (PARTITION BY session, client) AS followed FROM s GROUP BY session, client, part)
+    SELECT session, client, g AS generation, CASE WHEN before IS NULL OR g > before THEN 'accepted' WHEN g = before THEN 'repeated' ELSE 'stale' END AS status, CAST(NULL AS BIGINT) AS replaced_by, us AS at_us FROM b
+    UNION ALL SELECT session, client, before, 'superseded', g, us FROM b WHERE g > before
+    UNION ALL SELECT session, client, g, 'expired', NULL, us FROM e WHERE followed OR (us + 999) // 1000 + 1 < (SELECT max(us) // 1000 FROM o)"""
+
+
+ENTRIES, BYTES = 6, 300
+
+
+def fifo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews put into each user's cache: 12 names that come again, sizes of 0 to 200 and more, at most 6 entries and 300 bytes."""
+    puts = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_id") % 12).alias("entry"), F.floor(F.col("value").cast("double") * 3).alias("size"))
+    got = fifo.fifo_cache(puts, "user_id", ["us", "event_id"], "entry", "size", ENTRIES, BYTES)
+    return got.select("user_id", "event_id", "stored", F.array_join("evicted", ",").alias("evicted"), "entries", "bytes")
+
+
+_add(fifo_cache, f"""WITH RECURSIVE o AS (SELECT user_id, event_id, event_id % 12 AS e, CAST(floor(CAST(value AS DOUBLE) * 3) AS BIGINT) AS z, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, z <= {BYTES} AS stored, CAST([] AS BIGINT[]) AS gone, CASE WHEN z <= {BYTES} THEN [{{'e': e, 'z': z}}] ELSE CAST([] AS STRUCT(e BIGINT, z BIGINT)[]) END AS c FROM o WHERE n = 1
+      UNION ALL SELECT user_id, event_id, n, z <= {BYTES}, CASE WHEN z > {BYTES} THEN CAST([] AS BIGINT[]) ELSE list_transform(b[:k], lambda x: x.e) END, CASE WHEN z > {BYTES} THEN old ELSE list_append(b[k + 1:], {{'e': e, 'z': z}}) END
+        FROM (SELECT *, list_filter(range(len(b) + 1), lambda k: len(b) - k < {ENTRIES} AND coalesce(list_sum(list_transform(b[CAST(k AS BIGINT) + 1:], lambda x: x.z)), 0) + z <= {BYTES})[1] AS k
+          FROM (SELECT o.user_id, o.event_id, o.n, o.e, o.z, f.c AS old, list_filter(f.c, lambda x: x.e <> o.e) AS b FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)))
+    SELECT user_id, event_id, stored, array_to_string(gone, ',') AS evicted, CAST(len(c) AS INTEGER) AS entries, CAST(coalesce(list_sum(list_transform(c, lambda x: x.z)), 0) AS BIGINT) AS bytes FROM f""")
+
+
 @_add
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("int").alias("label"))
