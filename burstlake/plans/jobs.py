@@ -90,8 +90,8 @@ def norm(d: Dialect) -> str:
 
 @catalog.add
 def l2_normalise(d: Dialect) -> str:
-    unit = lambda i: f"round(CAST({d.at('embedding', str(i))} AS DOUBLE) / greatest({norm(d)}, 1e-12), 6) AS u{i}"
-    return f"SELECT vec_id, round({norm(d)}, 6) AS norm, {', '.join(map(unit, range(4)))} FROM embeddings"
+    unit = f"round(CAST({d.at('embedding', 'i')} AS DOUBLE) / greatest(norm, 1e-12), 6) AS unit"
+    return f"SELECT vec_id, i, round(norm, 6) AS norm, {unit} FROM (SELECT vec_id, embedding, {norm(d)} AS norm FROM embeddings) {d.series(64, 'i')}"
 
 
 def dot(d: Dialect, weights: list[float], array: str = "embedding") -> str:

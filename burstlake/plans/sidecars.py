@@ -187,7 +187,7 @@ def unique_export_path(d: Dialect) -> str:
     taken = f"SELECT p_brand AS b, p_size AS s, {'collect_set' if d.spark else 'list'}(CAST(p_partkey % 4 + 1 AS INT)) AS used FROM part WHERE p_partkey % 5 = 0 GROUP BY p_brand, p_size"
     asked = "SELECT p_partkey, p_brand, p_size, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 5 <> 0"
     inside = "array_contains(used, k + 1)" if d.spark else "list_contains(used, CAST(k + 1 AS INT))"
-    free = d.keep(d.range("CAST(n + 4 AS INT)"), "k", f"used IS NULL OR NOT {inside}")
+    free = d.keep(d.range(f"CAST(n + coalesce({d.size('used')}, 0) AS INT)"), "k", f"used IS NULL OR NOT {inside}")
     number = f"{d.at(free, 'n - 1')} + 1"
     stem = "concat(p_brand, '_', CAST(p_size AS VARCHAR(9)), '_dehaze')"
     return f"SELECT p_partkey, concat('out/', {stem}, CASE WHEN number = 1 THEN '' ELSE concat('_', CAST(number AS VARCHAR(9))) END, '.dng') AS path FROM (SELECT *, {number} AS number FROM ({asked}) LEFT JOIN ({taken}) ON b = p_brand AND s = p_size)"
@@ -291,6 +291,6 @@ def trainer_preprocess(d: Dialect) -> str:
 @catalog.add
 def head_fusion(d: Dialect) -> str:
     """Two linear layers as one: the product of their matrices, and the second applied to the first's bias."""
-    w1 = f"SELECT vec_id AS i, j, CAST({d.at('embedding', 'j')} AS DOUBLE) AS w FROM embeddings {d.series(8, 'j')}"
-    w2 = f"SELECT j AS a, k, CAST((j * 5 + k * 3) % 7 - 3 AS DOUBLE) AS w FROM (SELECT 1 AS one) {d.series(8, 'j')} {d.series(3, 'k')}"
+    w1 = f"SELECT vec_id AS i, j, CAST({d.at('embedding', 'j')} AS DOUBLE) AS w FROM embeddings {d.series(64, 'j')}"
+    w2 = f"SELECT j AS a, k, CAST((j * 5 + k * 3) % 7 - 3 AS DOUBLE) AS w FROM (SELECT 1 AS one) {d.series(64, 'j')} {d.series(3, 'k')}"
     return f"SELECT i, k, round(sum(p.w * q.w), 5) + 0.0 AS w FROM ({w1}) p JOIN ({w2}) q ON p.j = q.a GROUP BY i, k"

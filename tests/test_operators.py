@@ -191,16 +191,55 @@ def test_box_filter_reads_every_image(spark, sf_dir):
     assert np.allclose(got["mean"], want, atol=1e-6)
 
 
-def test_training_reads_every_labelled_vector(spark, tmp_path):
+def replayed(x, y, epochs, batch, hidden, seed=42, rate=0.001):
+    """The same steps on whole arrays, in single precision nowhere."""
+    from burstlake.operators.iterative import permutation
+
+    draw = np.random.RandomState(seed)
+    p = [draw.randn(hidden, x.shape[1]) * np.sqrt(2 / x.shape[1]), np.zeros(hidden), draw.randn(2, hidden) * np.sqrt(2 / hidden), np.zeros(2)]
+    m, v, t, out = [0.0] * 4, [0.0] * 4, 0, []
+    for epoch in range(epochs):
+        a, b = permutation(len(y), epoch, seed)
+        at = (np.arange(len(y)) * a + b) % len(y)
+        assert sorted(at) == list(range(len(y)))
+        total, right = 0.0, 0
+        for k in range(0, len(y), batch):
+            rows = np.flatnonzero((at >= k) & (at < k + batch))
+            xb, yb, t = x[rows], y[rows], t + 1
+            z = xb @ p[0].T + p[1]
+            s = np.maximum(z, 0) @ p[2].T + p[3]
+            q = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+            total -= np.log(q[np.arange(len(rows)), yb]).sum()
+            right += (q.argmax(axis=1) == yb).sum()
+            d = (q - np.eye(2)[yb]) / len(rows)
+            h = (d @ p[2]) * (z > 0)
+            for i, g in enumerate((h.T @ xb, h.sum(axis=0), d.T @ np.maximum(z, 0), d.sum(axis=0))):
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                p[i] = p[i] - rate * m[i] / (1 - 0.9**t) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+        out.append((epoch, total / len(y), right / len(y)))
+    return p, out
+
+
+def test_training_in_batches_equals_a_replay(spark, tmp_path):
     import __spark_entry__ as entry
+    from burstlake.operators import iterative
 
     rng = np.random.default_rng(3)
-    rows = [(i, [float(v) for v in rng.normal(0, 1, 8)], None if i == 9 else i % 10) for i in range(41)]
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 8)], None if i == 9 else i % 10) for i in range(61)] + [(99, None, 3)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = entry.queries()["mlp_train"](spark, str(tmp_path)).collect()
-    x, y = np.array([r[1] for r in rows if r[2] is not None]), np.array([int(r[2] < 5) for r in rows if r[2] is not None])
-    draw = np.random.default_rng(42)
-    a, b = draw.normal(0, 8**-0.5, (8, 256)), draw.normal(0, 256**-0.5, (256, 2))
-    z = np.maximum(x.astype(np.float32) @ a, 0) @ b
-    first = -(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(y)), y].mean()
-    assert got[0]["step"] == 1 and abs(got[0]["loss"] - first) < 2e-4 and got[-1]["loss"] < got[0]["loss"]
+    order = [r["vec_id"] for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").where("embedding IS NOT NULL AND label IS NOT NULL").selectExpr("vec_id", "xxhash64(42, vec_id) AS h").orderBy("h").collect()]
+    by = {r[0]: r for r in rows}
+    x, y = np.array([by[i][1] for i in order], np.float32).astype(float), np.array([int(by[i][2] < 5) for i in order])
+    _, want = replayed(x, y, 2, 16, 256)
+    got = entry.queries()["mlp_train"](spark, str(tmp_path)).orderBy("epoch").collect()
+    assert [r["epoch"] for r in got] == [0, 1] and np.allclose([(r["loss"], r["accuracy"]) for r in got], [w[1:] for w in want], atol=1e-6)
+    samples = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id AS id", "embedding", "CAST(label < 5 AS INT) AS label")
+    params, want = replayed(x, y, 4, 7, 12)
+    iterative.train_head(samples, epochs=2, batch=7, hidden=12, folder=f"file://{tmp_path}/head")
+    head, history = iterative.train_head(samples.repartition(20), epochs=4, batch=7, hidden=12, folder=f"file://{tmp_path}/head")  # goes on after the second epoch
+    assert np.allclose([r["loss"] for r in history.orderBy("epoch").collect()], [w[1] for w in want], atol=1e-9) and want[-1][1] < want[0][1]
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(head.params, params, strict=True))
+    p = {r["id"]: r["p"] for r in iterative.probabilities(head, samples.drop("label"), "id", "embedding").collect()}
+    s = np.maximum(x @ params[0].T + params[1], 0) @ params[2].T + params[3]
+    assert np.allclose([p[i] for i in order], np.exp(s[:, 1]) / np.exp(s).sum(axis=1), atol=1e-9)
+    assert iterative.train_head(samples.limit(0))[1].count() == 0
