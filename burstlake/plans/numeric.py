@@ -203,10 +203,10 @@ def gaussian_kernel(d: Dialect) -> str:
     """Weights of the blurs that part sizes ask for (a tenth of the size is the width), taken four widths far."""
     sigma = "(size / 10.0)"
     wide = f"SELECT size, CAST(floor(round({sigma} * 8 + 1) / 2) AS INT) AS reach FROM (SELECT DISTINCT p_size AS size FROM part)"
-    one = f"SELECT size, o - reach AS at, exp(-0.5 * pow((o - reach) / {sigma}, 2)) AS g FROM ({wide}) {d.series('(2 * reach + 1)', 'o')}"
+    one = f"SELECT size, o - reach AS place, exp(-0.5 * pow((o - reach) / {sigma}, 2)) AS g FROM ({wide}) {d.series('(2 * reach + 1)', 'o')}"
     if not d.spark:
-        one = f"SELECT size, o - reach AS at, exp(-0.5 * pow((o - reach) / {sigma}, 2)) AS g FROM (SELECT *, unnest(range(2 * reach + 1)) AS o FROM ({wide}))"
-    return f"SELECT size, CAST(at AS INT) AS at, round(g / sum(g) OVER (PARTITION BY size), 6) AS weight FROM ({one})"
+        one = f"SELECT size, o - reach AS place, exp(-0.5 * pow((o - reach) / {sigma}, 2)) AS g FROM (SELECT *, unnest(range(2 * reach + 1)) AS o FROM ({wide}))"
+    return f"SELECT size, CAST(place AS INT) AS place, round(g / sum(g) OVER (PARTITION BY size), 6) AS weight FROM ({one})"
 
 
 @catalog.add

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.operators import fifo, iterative, sessionize
+from burstlake.operators import fifo, iterative, matching, sessionize
 from burstlake.sources.scratch import scratch_path
 from burstlake.sources.tables import table
 from burstlake.streaming.anchored import anchored_stream
@@ -110,3 +110,30 @@ def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("int").alias("label"))
     _, epochs = iterative.train_head(got, epochs=2)
     return epochs.select("epoch", F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
+
+
+def fuzzy_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names, some cut, bare or joined, with the best entry of a catalog of the parts' own names and types; many share a word."""
+    part = table(spark, sf_dir, "part")
+    k, name = F.col("p_partkey"), F.col("p_name")
+    written = F.when(k % 5 == 0, F.regexp_replace(name, "[^A-Za-z0-9]+", "")).when(k % 5 == 1, F.substring(name, 4, 9)).when(k % 5 == 2, F.concat(F.lit("Alpha Mount "), F.upper(name))).when(k % 5 == 3, F.lit("Alpha")).otherwise(name)
+    names = part.where(k % 4 == 0).select(written.alias("name"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")).alias("make"))
+    entries = part.where(k % 4 != 0).select(F.when(k % 7 == 0, F.concat(F.lit("Alpha "), name)).otherwise(name).alias("model"), F.col("p_type").alias("maker"))
+    return matching.best_matches(names, entries).select("name", "make", "model", "maker", F.round("score", 6).alias("score"))
+
+
+def _compared(a: str, b: str) -> str:
+    flat = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+    tokens = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
+    share = f"len(list_intersect({tokens(a)}, {tokens(b)})) / CAST(greatest(len({tokens(a)}), len({tokens(b)})) AS DOUBLE)"
+    return f"CASE WHEN {flat(a)} = '' OR {flat(b)} = '' THEN 0 WHEN {flat(a)} = {flat(b)} THEN 1 WHEN contains({flat(b)}, {flat(a)}) OR contains({flat(a)}, {flat(b)}) THEN CAST(0.86 AS DOUBLE) ELSE {share} END"
+
+
+_add(fuzzy_prefix_match, f"""WITH n AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN regexp_replace(p_name, '[^A-Za-z0-9]+', '', 'g') WHEN 1 THEN substr(p_name, 4, 9) WHEN 2 THEN 'Alpha Mount ' || upper(p_name) WHEN 3 THEN 'Alpha' ELSE p_name END AS name,
+        CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS make FROM part WHERE p_partkey % 4 = 0),
+    e AS (SELECT DISTINCT CASE WHEN p_partkey % 7 = 0 THEN 'Alpha ' || p_name ELSE p_name END AS model, p_type AS maker FROM part WHERE p_partkey % 4 <> 0),
+    m AS (SELECT name, model, {_compared("name", "model")} AS m FROM (SELECT DISTINCT name FROM n), (SELECT DISTINCT model FROM e)),
+    k AS (SELECT make, maker, CASE WHEN make = '' THEN CAST(0.5 AS DOUBLE) ELSE {_compared("make", "maker")} END AS k FROM (SELECT DISTINCT make FROM n), (SELECT DISTINCT maker FROM e)),
+    s AS (SELECT n.name, n.make, e.model, e.maker, CAST(0.78 AS DOUBLE) * m + CAST(0.22 AS DOUBLE) * k AS score FROM n JOIN m ON m.name = n.name AND m.m > 0 JOIN e ON e.model = m.model JOIN k ON k.make = n.make AND k.maker = e.maker),
+    b AS (SELECT * FROM s WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION BY name, make ORDER BY score DESC, model, maker) = 1)
+    SELECT n.name, n.make, model, maker, round(score, 6) AS score FROM n LEFT JOIN b ON b.name = n.name AND b.make = n.make""")
