@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstlake.functions import tooljson
 from burstlake.operators import fifo, iterative, matching, sessionize
 from burstlake.sources.scratch import scratch_path
 from burstlake.sources.tables import table
+from burstlake.streaming import results
 from burstlake.streaming.anchored import anchored_stream
 from burstlake.streaming.supersession import OUTPUT as SUPERSESSION
 from burstlake.streaming.supersession import supersession_stream
@@ -86,6 +88,23 @@ catalog.oracles["streaming_supersession"] = f"""WITH o AS (SELECT CAST(user_id A
     UNION ALL SELECT session, client, g, 'expired', NULL, us FROM e WHERE followed OR (us + 999) // 1000 + 1 < (SELECT max(us) // 1000 FROM o)"""
 
 
+@_add
+def streaming_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as progress of sessions, numbered, without repeats, up to the first error; as event-stream lines."""
+    src = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/events*")
+    kind = F.when(F.col("event_type") == "error", "error").otherwise("progress")
+    messages = src.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("id"), kind.alias("kind"), F.col("event_type").alias("message"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    folder = scratch_path(spark, "results")
+    results.to_folder(results.numbered_stream(messages), folder, scratch_path(spark, "results-log")).trigger(availableNow=True).start().awaitTermination()
+    return results.lines(spark.read.schema(results.OUTPUT).parquet(f"{folder}/*"))
+
+
+catalog.oracles["streaming_results"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_type AS m, epoch_us(ts) AS us, event_id AS i FROM events),
+    n AS (SELECT *, lag(m) OVER w AS before, coalesce(sum(CASE WHEN m = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY us, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e WINDOW w AS (PARTITION BY session ORDER BY us, i)),
+    k AS (SELECT * FROM n WHERE ended = 0 AND (before IS NULL OR before <> m))
+    SELECT session, row_number() OVER (PARTITION BY session ORDER BY us, i) - 1 AS number, 'data: {"type":"' || CASE WHEN m = 'error' THEN 'error' ELSE 'progress' END || '","msg":"' || m || '"}' || chr(10) || chr(10) AS line FROM k"""
+
+
 ENTRIES, BYTES = 6, 300
 
 
@@ -137,3 +156,27 @@ _add(fuzzy_prefix_match, f"""WITH n AS (SELECT DISTINCT CASE p_partkey % 5 WHEN
     s AS (SELECT n.name, n.make, e.model, e.maker, CAST(0.78 AS DOUBLE) * m + CAST(0.22 AS DOUBLE) * k AS score FROM n JOIN m ON m.name = n.name AND m.m > 0 JOIN e ON e.model = m.model JOIN k ON k.make = n.make AND k.maker = e.maker),
     b AS (SELECT * FROM s WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION BY name, make ORDER BY score DESC, model, maker) = 1)
     SELECT n.name, n.make, model, maker, round(score, 6) AS score FROM n LEFT JOIN b ON b.name = n.name AND b.make = n.make""")
+
+
+def tool_json_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lens data from a metadata tool's JSON, one text per part: nested, partly empty, numbers for names, cut off, or no list at all."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    field = lambda c, tag, value: F.when(c, F.struct(F.lit(tag).alias("k"), value.alias("v")))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    fields = F.array_compact(F.array(
+        field(k % 3 == 0, "LensModel", F.when(k % 2 == 0, quoted(name)).otherwise(F.lit('"  "'))), field(k % 5 < 3, "LensID", F.when(k % 5 == 0, k.cast("string")).otherwise(F.lit('{"deep": 1}'))),
+        field(k % 2 == 0, "Lens", quoted(F.concat((10 + k % 40).cast("string"), F.lit("-"), (50 + k % 90).cast("string"), F.lit("mm f/2.8")))),
+        field(k % 4 == 1, "LensSpecification", F.concat(F.lit("["), F.concat_ws(", ", F.lit("24"), F.when(k % 8 == 1, "70").otherwise("null"), F.lit("2.8"), F.lit('"4"')), F.lit("]"))),
+        field(k % 6 == 2, "LensInfo", F.lit("[]")), field(k % 7 == 0, "Make", F.lit('"NIKON CORPORATION"')), field(k % 11 == 0, "FocalLengthIn35mmFormat", (k % 100).cast("string")),
+    ))
+    body = F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda f: F.concat(F.lit('"'), f["k"], F.lit('": '), f["v"])), ", "), F.lit("}"))
+    text = F.when(k % 13 == 4, F.concat(F.lit("["), body)).when(k % 13 == 5, body).when(k % 13 == 6, "[]").when(k % 13 == 7, F.lit(None)).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    got = tooljson.with_lens(table(spark, sf_dir, "part").select(k.alias("part"), text.alias("text")), "text", "x")
+    return got.select("part", "x.model", "x.make", "x.focal_35mm", F.array_join(F.transform("x.specification", lambda v: v.cast("string")), " ").alias("specification"))
+
+
+_add(tool_json_lens)
+catalog.oracles["tool_json_lens"] = """WITH p AS (SELECT p_partkey AS k, p_name AS n, p_partkey % 13 BETWEEN 4 AND 7 AS bad, (10 + p_partkey % 40) || '-' || (50 + p_partkey % 90) || 'mm f/2.8' AS lens FROM part),
+    m AS (SELECT *, CASE WHEN k % 3 = 0 AND k % 2 = 0 AND trim(n) <> '' THEN n WHEN k % 5 = 0 THEN CAST(k AS VARCHAR) WHEN k % 2 = 0 THEN lens END AS model FROM p)
+    SELECT k AS part, CASE WHEN NOT bad THEN model END AS model, CASE WHEN NOT bad AND k % 7 = 0 THEN 'Nikon' END AS make, CASE WHEN NOT bad AND k % 11 = 0 AND k % 100 > 0 THEN CAST(k % 100 AS DOUBLE) END AS focal_35mm,
+        CASE WHEN bad THEN NULL WHEN k % 8 = 1 THEN '24.0 70.0 2.8 4.0' WHEN k % 4 = 1 THEN NULL WHEN k % 2 = 0 THEN (10 + k % 40) || '.0 ' || (50 + k % 90) || '.0 2.8 2.8' END AS specification FROM m"""

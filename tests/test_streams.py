@@ -72,3 +72,64 @@ def test_a_cache_of_entries_and_bytes(spark):
     got = {(r["k"], r["i"]): (r["stored"], r["evicted"], r["entries"], r["bytes"]) for r in fifo.fifo_cache(df, "k", ["i"], "name", "size", 4, 100).collect()}
     assert got == want
     assert fifo.fifo_cache(df.where(F.lit(False)), "k", ["i"], "name", "size", 4, 100).count() == 0
+
+
+MESSAGE = "session string, id long, kind string, message string, at_us long"
+
+
+def numbered(rows):
+    out, state = [], {}
+    for s, _, kind, message, us in sorted(rows, key=lambda r: (r[4], r[1])):
+        n, last, ended = state.get(s, (0, None, False))
+        if ended or kind == "progress" and message == last:
+            continue
+        out.append((s, n, kind, message, us))
+        state[s] = (n + 1, message if kind == "progress" else None, kind in ("done", "error"))
+    return sorted(out)
+
+
+def test_results_have_each_number_once_after_a_restart(spark, tmp_path):
+    from pathlib import Path
+
+    from burstlake.streaming import results
+
+    rng = random.Random(5)
+    rows = [(f"s{rng.randint(0, 3)}", i, rng.choice(["progress"] * 20 + ["result", "done"]), rng.choice(("a", "b", 'c "\n')), 1000 * i) for i in range(300)]
+    put = lambda part: spark.createDataFrame(part, MESSAGE).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    folder = f"file://{tmp_path}/out"
+
+    def run():
+        source = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        results.to_folder(results.numbered_stream(source), folder, f"file://{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema(results.OUTPUT).parquet(f"{folder}/*").collect())
+
+    for k in range(0, 180, 60):
+        put(rows[k : k + 60])
+    assert run() == numbered(rows[:180])
+    newest = max(Path(tmp_path, "log", "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (newest, newest.with_name(f".{newest.name}.crc")):  # the last batch was written, its end was not recorded
+        p.unlink(missing_ok=True)
+    for k in range(180, 300, 60):
+        put(rows[k : k + 60])
+    want = numbered(rows)
+    assert run() == want and len(want) > 20 and {r[0] for r in want} == {"s0", "s1", "s2", "s3"}
+    line = results.lines(spark.createDataFrame([("s", 0, "error", 'x "y"', 1)], results.OUTPUT)).first()["line"]
+    assert line == 'data: {"type":"error","msg":"x \\"y\\""}\n\n'
+
+
+def test_lens_data_from_the_text_of_a_tool(spark):
+    from burstlake.functions import tooljson
+
+    texts = {
+        "vendor": '[{"SourceFile": "a", "Make": "NIKON CORPORATION", "LensModel": " ", "LensID": "AF-S 24-70mm f/2.8", "FocalLengthIn35mmFormat": 36.5, "LensSerialNumber": 1234}]',
+        "listed": '[{"LensSpec": "Zoom", "LensInfo": [24, "70", 2.8, 4], "LensMake": "Sony", "FocalLengthIn35mmFilm": 0, "FocalLengthIn35mmFormat": "50"}]',
+        "empty list": '[{"LensSpecification": [], "LensInfo": "14-24 mm F/2.8-4"}]', "null in list": '[{"LensInfo": [24, null, 2.8, 4], "Lens": "35mm f/1.8"}]', "prime": '[{"Lens": "35mm f/1.8"}, {"Lens": "no"}]',
+        "backwards": '[{"Lens": "70-24mm f/2.8"}]', "no aperture": '[{"Lens": "24-70mm"}]', "none": "[]", "object": '{"LensModel": "x"}', "cut": '[{"LensModel": "x"', "number": "3", "null": None, "blank": "", "inner": '["x"]',
+    }
+    got = {r["k"]: r["lens"] for r in tooljson.with_lens(spark.createDataFrame(list(texts.items()), "k string, t string"), "t").collect()}
+    empty = (None,) * 5
+    want = {
+        "vendor": ("AF-S 24-70mm f/2.8", "Nikon", "1234", 36.5, [24, 70, 2.8, 2.8]), "listed": ("Zoom", "Sony", None, 50.0, [24, 70, 2.8, 4]), "empty list": (None, None, None, None, [14, 24, 2.8, 4]),
+        "null in list": ("35mm f/1.8", None, None, None, None), "prime": ("35mm f/1.8", None, None, None, [35, 35, 1.8, 1.8]), "backwards": ("70-24mm f/2.8", None, None, None, None), "no aperture": ("24-70mm", None, None, None, None),
+    }
+    assert {k: tuple(v) for k, v in got.items()} == {k: want.get(k, empty) for k in texts}
