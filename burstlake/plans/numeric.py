@@ -55,14 +55,28 @@ def binned_means_64(d: Dialect) -> str:
     return f"SELECT shot_id, bin, n, round(mx, 6) AS mean_x, round(my, 6) AS mean_y FROM ({binned(d)})"
 
 
+def _pooled() -> str:
+    """Blocks (n, s, c) of equal fit: weight, weighted sum and number of bins."""
+    none = "CAST(array() AS ARRAY<STRUCT<n: DOUBLE, s: DOUBLE, c: INT>>)"
+    fresh = "named_struct('n', CAST(v.n AS DOUBLE), 's', CAST(v.s AS DOUBLE), 'c', 1, 'm', 0, 'open', true)"
+    grown = "named_struct('n', a.n + t.n, 's', a.s + t.s, 'c', a.c + t.c, 'm', a.m + 1, 'open', true)"
+    shut = "named_struct('n', a.n, 's', a.s, 'c', a.c, 'm', a.m, 'open', false)"
+    taken = f"aggregate(reverse(st), {fresh}, (a, t) -> CASE WHEN a.open AND t.s / t.n > a.s / a.n THEN {grown} WHEN a.open THEN {shut} ELSE a END)"
+    push = f"transform(array({taken}), w -> concat(slice(st, 1, size(st) - w.m), array(named_struct('n', w.n, 's', w.s, 'c', w.c))))[0]"
+    return f"aggregate(bins, {none}, (st, v) -> {push})"
+
+
 def with_isotonic(d: Dialect) -> Picture:
     """shot_id, bins, many and fits: the weighted isotonic fit of each photo's binned means; bx are the means of red.
 
-    At k the fit is the largest over i <= k of the smallest over j >= k of the mean of i..j, from running sums in one array.
+    In Spark by pooling: each bin is put on a stack of blocks and takes in those before it whose mean is higher.  In plain SQL at k
+    it is the largest over i <= k of the smallest over j >= k of the mean of i..j, from running sums in one array.
     """
     at = d.at
     order = "array_sort(collect_list(struct(bin, CAST(n AS DOUBLE) AS n, n * my AS s, mx)))" if d.spark else "list_sort(list(struct_pack(bin := bin, n := CAST(n AS DOUBLE), s := n * my, mx := mx)))"
     p = Picture(d, f"SELECT shot_id, {order} AS bins FROM ({binned(d)}) GROUP BY shot_id").add(many=d.size("bins"))
+    if d.spark:
+        return p.add(bx=d.each("bins", "v", "v.mx"), blocks=_pooled()).add(fits="flatten(transform(blocks, k -> array_repeat(k.s / k.n, k.c)))")
     upto = lambda f: d.each(d.range("(many + 1)"), "k", "coalesce(" + d.total(d.each(d.head_of("bins", "k"), "v", f"v.{f}")) + ", 0.0)")
     p = p.add(cn=upto("n"), cs=upto("s"), bx=d.each("bins", "v", "v.mx"))
     mean = f"({at('cs', 'j + 1')} - {at('cs', 'i')}) / ({at('cn', 'j + 1')} - {at('cn', 'i')})"
