@@ -11,11 +11,11 @@ nulls and NaNs are not values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +39,8 @@ def value_of(key: np.ndarray) -> np.ndarray:
     return np.where(key & SIGN, key ^ SIGN, ~key).view(np.float64)
 
 
-def image_quantiles(tiles: DataFrame, band: str, shares: Sequence[float]) -> DataFrame:
-    """image, n and q (array: the value at each share)."""
+def image_quantiles(tiles: DataFrame, band: str, shares: Sequence[float | Callable[[Column], Column]]) -> DataFrame:
+    """image, n and q (array: the value at each share).  A share may be a function from the number of values to a place from 0 on."""
     image = tiles.schema["image"]
     narrow = tiles.select("image", F.col(band).alias("v"))
     counts = T.StructType([image]).add("prefix", "long").add("digit", "long").add("n", "long")
@@ -66,8 +66,9 @@ def image_quantiles(tiles: DataFrame, band: str, shares: Sequence[float]) -> Dat
 
     found = narrow.mapInArrow(counted(0, DIGIT), counts).groupBy("image", "prefix", "digit").agg(F.sum("n").alias("n"))
     total = found.groupBy("image").agg(F.sum("n").alias("total"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(s)).alias("share")) for k, s in enumerate(shares)]))
-    at = F.col("w.share") * (F.col("total") - 1)
+    place = lambda s: s(F.col("total")) if callable(s) else F.lit(float(s)) * (F.col("total") - 1)
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), place(s).cast("double").alias("at")) for k, s in enumerate(shares)]))
+    at = F.col("w.at")
     ranks = total.select("image", "total", wanted.alias("w")).select(
         "image", "total", F.col("w.k").alias("k"), (at - F.floor(at)).alias("f"),
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(at).alias("rank")), F.struct(F.lit(1).alias("side"), F.least(F.floor(at) + 1, F.col("total") - 1).alias("rank")))).alias("r"),

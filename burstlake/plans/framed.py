@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.frames import haze, quantiles, sharpness, tiles
+from burstlake.frames import haze, quantiles, scenes, sharpness, tiles
 from burstlake.frames import kernels as K
 from burstlake.frames.canvases import laid_over
 from burstlake.sources.tables import table
@@ -282,3 +282,33 @@ def tiled_structure_enhancement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _register(tiled_detail_protection)
 _register(tiled_structure_enhancement)
+
+
+def tiled_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Airlight and its trust, transmission, backlight and dark floor of sheets and panoramas."""
+    both = _sheets(spark, sf_dir).select(*tiles.PLACE, "r", "g", "b").unionAll(_panoramas(spark, sf_dir).withColumn("image", -1 - F.col("image")))
+    return scenes.estimates(both).select("image", *[F.round(c, 5).alias(c) for c in scenes.ESTIMATES])
+
+
+def tiled_exposure_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops of automatic exposure of darkened panoramas, and why."""
+    dark = tiles.mapped(_panoramas(spark, sf_dir), lambda a, f: {c: v * (0.1 + f.width % 7 / 10) for c, v in a.items()}, ["r", "g", "b"], ["r", "g", "b"])
+    return scenes.exposure_stops(dark).select("image", F.round("ev", 5).alias("ev"), "reason")
+
+
+def tiled_haziest_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The light of the haziest places of each sheet."""
+    return scenes.haziest_light(_sheets(spark, sf_dir).select(*tiles.PLACE, "r", "g", "b")).select("image", *[F.round(f"air_{c}", 6).alias(f"air_{c}") for c in "rgb"])
+
+
+_register(tiled_scenes)
+_register(tiled_exposure_stops, f"""WITH {PANORAMAS}, d AS (SELECT image, w, h, {", ".join(f"list_transform({c}, lambda v: v * (CAST(0.1 AS DOUBLE) + w % 7 / CAST(10 AS DOUBLE))) AS {c}" for c in "rgb")} FROM rgb),
+    m AS (SELECT image, list_median({LUMA}) AS y, greatest(list_max(r), list_max(g), list_max(b)) AS p FROM d),
+    s AS (SELECT *, log2(CAST(0.18 AS DOUBLE) / y) AS want, log2(CAST(0.95 AS DOUBLE) / p) AS room FROM m)
+    SELECT image, round(CASE WHEN want <= 0 OR room <= 1e-8 THEN 0.0 ELSE greatest(0.0, least(want, room, 2.0)) END, 5) AS ev,
+        CASE WHEN want <= 0 THEN 'target_reached' WHEN room <= 1e-8 OR room < least(want, 2.0) - 1e-7 THEN 'highlight_limited' ELSE 'applied' END AS reason FROM s""")
+_register(tiled_haziest_light, f"""WITH {SHEETS}, p AS (SELECT image, h * w AS n, unnest(range(h * w)) AS place, unnest(r) AS r, unnest(g) AS g, unnest(b) AS b FROM rgb),
+    l AS (SELECT *, least(n, greatest(16, n // 1000)) AS k, least(r, g, b) AS dark, CAST(0.2126 AS DOUBLE) * r + CAST(0.7152 AS DOUBLE) * g + CAST(0.0722 AS DOUBLE) * b AS y FROM p),
+    c AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY image ORDER BY dark DESC, y DESC, place) <= k),
+    t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY image ORDER BY y DESC, place) <= greatest(1, k // 8))
+    SELECT image, {", ".join(f"round(greatest(0.35, least(1.0, median({c}))), 6) AS air_{c}" for c in "rgb")} FROM t GROUP BY image""")

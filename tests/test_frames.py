@@ -258,6 +258,68 @@ def test_detail_protection_and_structure(spark, edge):
     assert np.abs(final - out).max() > 1e-3
 
 
+def brute_scene(rgb, cp=0.6, bp=0.7):
+    """Written from the description of the estimates, with plain loops over shifts."""
+    rgb = np.stack(rgb)
+    h = rgb.shape[1]
+    up = rgb[:, : round(h * 0.45)]
+    y = np.tensordot(LUMA, up, 1)
+    var = np.maximum(brute_box(y * y, 5) - brute_box(y, 5) ** 2, 0)
+    take = (y >= np.percentile(y, 70)) & (y <= np.percentile(y, 96)) & (var <= np.percentile(var, 65)) & (up.max(0) < 0.94)
+    pool = up[:, take].T
+    air = np.median(pool, 0)
+    lum = air @ LUMA
+    spread = np.median(np.linalg.norm(pool - air, axis=1)) / max(lum, 0.025)
+    trust = 0.15 + 0.85 * min(1, take.sum() / y.size / 0.12) * (1 - step(0.12, 0.6, spread)) * step(0.025, 0.12, lum)
+    mix = cp * (0.35 + 0.35 * (1 - trust))
+    air = air * (1 - mix) + lum * mix
+    weight = 1 - step(0.025, 0.12, air @ LUMA)
+    if weight > 0:
+        dark = brute_filter(rgb.min(0), 5, lambda s: np.min(s, axis=0))
+        open_ = brute_filter((rgb.max(0) >= 0.94) * 1.0, 5, lambda s: np.max(s, axis=0)) == 0
+        pool = np.stack([brute_box(c, 5) for c in rgb])[:, open_ & (dark >= np.percentile(dark[open_], 99))].T
+        broad = np.median(pool, 0)
+        lum = broad @ LUMA
+        sure = 0.15 + 0.85 * (1 - step(0.12, 0.6, np.median(np.linalg.norm(pool - broad, axis=1)) / lum)) * step(0.001, 0.006, lum)
+        mix = cp * (0.35 + 0.35 * (1 - sure))
+        air = air * (1 - weight) + (broad * (1 - mix) + lum * mix) * weight
+        trust = trust * (1 - weight) + sure * weight
+    y = np.tensordot(LUMA, rgb, 1)
+    clip = (up.max(0) > 0.95).mean()
+    ratio = np.median(y[: round(h * 0.45)]) / max(np.median(y[h // 2 :]), 0.001)
+    sun = step(0.005, 0.015, clip) * (1 - step(0.15, 0.35, clip)) * step(8, 14, ratio) * step(0.05, 0.1, np.median(y[: round(h * 0.45)]))
+    back = 1 - 0.85 * bp * (1 - step(0.65, 0.85, trust)) * sun
+    floor = np.percentile(y[: round(h * 0.3)], 90) * 1.25 * (1 - step(0.065, 0.09, air @ LUMA))
+    omega = 0.8 * (0.66 - 0.14 * 0.2) * (0.9 + 0.1 * 0.3) * (0.92 + 0.08 * np.clip((np.percentile(rgb.min(0), 75) - 0.03) / 0.92, 0.12, 0.92))
+    return [*air, trust, np.clip(1 - omega, 0.27 + 0.21 * 0.2 + 0.11 * 0.7, 1), back, floor]
+
+
+def test_scenes_by_day_night_and_against_the_sun(spark):
+    from burstlake.frames import scenes
+
+    day, h, w = picture(), 120, 160
+    rng = np.random.default_rng(8)
+    night = [0.02 * rng.random((h, w)) + 0.01 for _ in range(3)]
+    sun = [np.where(np.arange(h)[:, None] < 60, 0.05 + 0.89 * rng.random((h, w)), 0.02 + 0.01 * rng.random((h, w))) for _ in range(3)]
+    for c in sun:
+        c[:4, :60] = 1.0
+    images = {"day": day, "night": night, "sun": sun}
+    df = table(spark, {k: dict(zip("rgb", v, strict=True)) for k, v in images.items()}, 50).cache()
+    got = {r["image"]: r for r in scenes.estimates(df).collect()}
+    for k, v in images.items():
+        assert np.allclose([got[k][c] for c in scenes.ESTIMATES[:7]], brute_scene(v), atol=1e-7), k
+    assert got["sun"]["backlight"] < 0.9 and got["day"]["backlight"] == 1 and got["night"]["dark_floor"] > 0.01 and got["day"]["trust"] > 0.8
+    stops = {r["image"]: (r["ev"], r["reason"]) for r in scenes.exposure_stops(df).collect()}
+    assert stops["night"] == (2.0, "applied") and stops["day"] == (0.0, "target_reached") and stops["sun"][1] in ("target_reached", "highlight_limited")
+    lit = whole(scenes.exposed(df), "r", h, w, "night")
+    assert close(lit, night[0] * 4)
+    light = {r["image"]: r for r in scenes.haziest_light(df).collect()}
+    flat = np.stack(day).reshape(3, -1)
+    order = np.lexsort((np.arange(flat.shape[1]), -(LUMA @ flat), -flat.min(0)))[: max(16, flat.shape[1] // 1000)]
+    order = order[np.lexsort((order, -(LUMA @ flat)[order]))][: len(order) // 8]
+    assert np.allclose([light["day"][f"air_{c}"] for c in "rgb"], np.clip(np.median(flat[:, order], axis=1), 0.35, 1))
+
+
 def test_reduced_and_enlarged(spark):
     rng = np.random.default_rng(2)
     a = rng.random((900, 1100))
@@ -295,7 +357,7 @@ def test_pixels_and_back(spark):
         haze.filtered(df.unionAll(df), "v", 1, "m").collect()
 
 
-@pytest.mark.parametrize("name", ["tiled_sharpness", "tiled_exposure", "tiled_quantiles", "tiled_box_mean", "tiled_extremes", "tiled_guided_filter", "tiled_skyline", "tiled_sky_mask"])
+@pytest.mark.parametrize("name", ["tiled_sharpness", "tiled_exposure", "tiled_quantiles", "tiled_box_mean", "tiled_extremes", "tiled_guided_filter", "tiled_skyline", "tiled_sky_mask", "tiled_exposure_stops", "tiled_haziest_light"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     import duckdb
 
