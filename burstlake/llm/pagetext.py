@@ -55,10 +55,12 @@ GONE_TAGS = set(
 GONE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tablist".split())
 #: Words of class and id names of what goes even if it holds most of the page, and of what may turn out to be a wrapper.
 GONE_NAMES = set(
-    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement advertising adwrap breadcrumb breadcrumbs captcha comment commentlist comments consent cookie cookies dfp disqus "
-    "footer footnav gdpr login masthead menu modal nav navbar navigation navigations newsletter outbrain pager paginate pagination paywall popup promo promoted promotion promotions reactions related "
-    "replies reply respond share shares sharing signin signup search searchbox searchform social sponsor sponsored sponsors subscribe subscription taboola topbar".split()
+    "ad ads adbox adsbygoogle adsense adslot adunit advert adverts advertisement advertising adwrap breadcrumb breadcrumbs captcha comment commentlist comments consent cookie cookies dfp disqus "
+    "copyright footer gdpr lightbox login masthead menu modal nav navbar navigation navigations newsletter outbrain overlay pager paginate pagination paywall popular popup promo promoted promotion promotions reactions related "
+    "replies reply respond skip share shares sharing signin signup search searchbox searchform social sponsor sponsored sponsors subscribe subscription taboola tagcloud topbar trending".split()
 )
+#: How such words begin or end when they are written as one.
+GONE_ENDS, GONE_STARTS = ("nav", "menu", "footer", "comments"), ("advert", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "sponsor")
 DOUBTFUL_NAMES = set(
     "alert aside banner bottombar header notice notices notification notifications rail recommended recommendations sidebar sidebars sitemap toolbar widget widgets".split()
 )
@@ -104,11 +106,12 @@ def _fate(tag: str, given: str) -> tuple[int, int, bool]:
             worth += 25
             if words & HEADER_WORDS and not words & SITE_WORDS:
                 continue
-        if words & GONE_NAMES and tag != "main":
+        gone = words & GONE_NAMES or any(w.endswith(GONE_ENDS) or w.startswith(GONE_STARTS) for w in words)
+        if gone and tag != "main":
             if not good or NAME_WORD.findall(name)[-1].lower() not in good:
                 return GONE, worth, False
             fate, body = max(fate, DOUBTFUL) if fate != GONE else GONE, False
-        if words & DOUBTFUL_NAMES and not body:
+        if (words & DOUBTFUL_NAMES or any(w.startswith("sidebar") for w in words)) and not body:
             fate, worth = max(fate, DOUBTFUL) if fate != GONE else GONE, worth - 25
     return fate, worth, body
 

@@ -226,6 +226,7 @@ PAGES = {
     "tiny": ("<article><p>Be.</p></article>", "Be."),
     "links in text": (f'<article><p>{A} <a href="/x">more</a></p><div class="related"><a href="/r">no</a></div><ul><li><a href=1>p</a><li><a href=2>q</a><li><a href=3>r</a></ul></article>', f"{A} more"),
     "odd quotes": (f"<article title='a > b'><p data-x=\"<p>\">{A}</p><p class=>{C}</article>", f"{A} {C}"),
+    "names in one word": (f'<article><div class="topnav">no</div><div id="sidebarRight">no</div><p>{A}</p><div class="commentForm">no</div><p class="community">{C}</p></article><div class="siteFooter">no</div>', f"{A} {C}"),
     "reader comments": (f'<article class="post"><p>{A}</p></article><section id="comments"><article class="comment"><p>{(B + " ") * 9}</p></article></section>', A),
 }
 
