@@ -54,3 +54,21 @@ def clamp(x: Column) -> Column:
 
 def flag(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes"), F.lit(False))
+
+
+def curve_points(items: Column) -> Column:
+    """Points (x, y) of a curve from texts "x, y" or "x y": clipped to 0..255, by x, the last of equal x; a straight line unless two are left."""
+    line = F.array(*[F.struct(F.lit(v).alias("x"), F.lit(v).alias("y")) for v in (0.0, 255.0)])
+
+    def point(text: Column) -> Column:
+        parts = F.when(F.contains(text, F.lit(",")), F.split(text, ",")).otherwise(F.split(F.trim(text), r"\s+"))
+        x, y = (F.trim(F.get(parts, F.lit(k))).try_cast("double") for k in (0, 1))
+        sound = (F.size(parts) == 2) & x.isNotNull() & y.isNotNull() & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+        inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))
+        return F.when(sound, F.struct(inside(x).alias("x"), inside(y).alias("y")))
+
+    points = F.array_compact(F.transform(items, point))
+    placed = F.array_sort(F.transform(points, lambda p, i: F.struct(p["x"].alias("x"), (-i).alias("k"), p["y"].alias("y"))))
+    last = F.filter(placed, lambda p, i: (i == 0) | (F.get(placed, i - 1)["x"] != p["x"]))
+    found = F.transform(last, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return F.when(F.size(found) >= 2, found).otherwise(line)

@@ -251,13 +251,17 @@ def error_classification(d: Dialect) -> str:
         WHEN {hit("permission")} THEN 'permission' WHEN {hit("corrupt|truncated|unexpected end|invalid image|failed to decode|decode error")} THEN 'corrupt' ELSE 'failed' END AS kind FROM (SELECT event_id, {raw} AS raw FROM events)"""
 
 
+#: The versions of the two algorithms that a token names.
+VERSIONS = {"version": "linear-v29-native-scene-dense", "auto_exposure_algorithm": "linear-median768-highlight095-ev2-v1"}
+
+
 @catalog.add
 def cache_token(d: Dialect) -> str:
-    """First 20 hex digits of the SHA-256 of version, mode and all normalised settings as JSON with sorted keys."""
+    """First 20 hex digits of the SHA-256 of both versions, mode, automatic exposure and all normalised settings as JSON with sorted keys."""
     names = ("brightness_protection", "color_protection", "color_recovery", "fog_retention", "highlight_protection", "local_contrast", "naturalness", "shadow_protection", "strength")
-    value = lambda k: f"CAST(round(greatest(0.0, least(1.0, p_size / CAST(40 AS DOUBLE) - {k} / CAST(10 AS DOUBLE))), 3) * 1000 AS INT)"
-    pairs = {"auto_exposure": "CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END", "mode": "concat('\"', CASE p_partkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'conservative' ELSE 'strong' END, '\"')", "version": "'3'"}
-    pairs |= {n: f"CAST({value(k)} AS VARCHAR(9))" for k, n in enumerate(names)}
+    value = lambda k: f"CAST(round(greatest(0.0, least(1.0, p_size / CAST(40 AS DOUBLE) - {k} / CAST(10 AS DOUBLE))), 3) AS VARCHAR(9))"
+    pairs = {"auto_exposure": "CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END", "nonlocal_relief": "concat('\"', CASE p_partkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'conservative' ELSE 'strong' END, '\"')"}
+    pairs |= {k: f"'\"{v}\"'" for k, v in VERSIONS.items()} | {n: value(k) for k, n in enumerate(names)}
     text = "concat('{', " + ", ', ', ".join(f"'\"{k}\": ', {pairs[k]}" for k in sorted(pairs)) + ", '}')"
     return f"SELECT p_partkey, substr({f'sha2({text}, 256)' if d.spark else f'sha256({text})'}, 1, 20) AS token FROM part"
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlake.frames import optics, tiles
+from burstlake.functions import metadata as M
 from burstlake.sources import headers, opcodes
 from burstlake.sources import packets as xml
 from burstlake.sources.tables import table
@@ -236,3 +237,22 @@ _register(sidecar_properties, f"""WITH b AS (SELECT c_custkey AS k, c_nationkey
     p AS (SELECT k, bad, unnest(CASE WHEN bad THEN [{{'s': NULL, 'p': NULL, 'v': NULL}}] ELSE [{{'s': '{xml.CRS}', 'p': 'Exposure2012', 'v': CAST(n AS VARCHAR)}}, {{'s': 'urn:vendor', 'p': 'Secret', 'v': 'k' || k}}, {{'s': '{xml.CRS}', 'p': 'Contrast2012', 'v': '5'}},
         {{'s': 'urn:vendor', 'p': 'Note', 'v': m}}, {{'s': '{xml.CRS}', 'p': 'ToneCurvePV2012', 'v': '0, 0; 255, ' || (k % 256)}}] END) AS x FROM b)
     SELECT k AS photo, x.s AS namespace, x.p AS name, x.v AS value, bad AS damaged FROM p""")
+
+
+def tone_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of the curves in packets, one per part; some points are no points, out of range or at the place of another."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    items = [F.concat((z * 7).cast("string"), F.lit(", "), (z * 3).cast("string")), F.lit("nonsense"), F.concat(z.cast("string"), F.lit(" "), (k % 400).cast("string")), F.when(k % 3 == 0, "255, 250").otherwise("300,-5,2"), F.concat(F.lit(" "), z.cast("string"), F.lit(" ,77 "))]
+    some = F.when(k % 10 == 0, F.array(F.lit("9, 9"))).otherwise(F.array(*items))
+    setting = F.struct(F.lit(xml.CRS).alias("namespace"), F.lit("ToneCurvePV2012").alias("name"), F.lit(None).cast("string").alias("value"), some.alias("items"))
+    made = table(spark, sf_dir, "part").select(k.alias("part"), F.lit(None).cast("binary").alias("body"), F.array(setting).alias("wanted"))
+    read = xml.packet_values(xml.merged_packets(made, "part", "body", "wanted"), "part", "packet").select("part", M.curve_points(F.col("items")).alias("points"))
+    return read.select("part", F.posexplode("points").alias("at", "p")).select("part", F.col("at").cast("int").alias("nth"), "p.x", "p.y")
+
+
+_register(tone_curve_points, """WITH i AS (SELECT p_partkey AS k, p_size AS z, unnest(CASE WHEN p_partkey % 10 = 0 THEN [{'n': 0, 'x': 9.0, 'y': 9.0}] ELSE [{'n': 0, 'x': p_size * 7.0, 'y': p_size * 3.0}, {'n': 2, 'x': p_size * 1.0, 'y': p_partkey % 400 * 1.0},
+        {'n': 3, 'x': CASE WHEN p_partkey % 3 = 0 THEN 255.0 END, 'y': 250.0}, {'n': 4, 'x': p_size * 1.0, 'y': 77.0}] END) AS v FROM part),
+    c AS (SELECT k, v.n AS n, CAST(greatest(0, least(255, v.x)) AS DOUBLE) AS x, CAST(greatest(0, least(255, v.y)) AS DOUBLE) AS y FROM i WHERE v.x IS NOT NULL),
+    l AS (SELECT k, x, y FROM c QUALIFY row_number() OVER (PARTITION BY k, x ORDER BY n DESC) = 1),
+    e AS (SELECT k FROM l GROUP BY k HAVING count(*) >= 2), a AS (SELECT l.* FROM l JOIN e ON e.k = l.k UNION ALL SELECT p_partkey, CAST(v AS DOUBLE), CAST(v AS DOUBLE) FROM part, (SELECT unnest([0, 255]) AS v) WHERE p_partkey NOT IN (SELECT k FROM e))
+    SELECT k AS part, CAST(row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS INTEGER) AS nth, x, y FROM a""")

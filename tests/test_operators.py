@@ -243,3 +243,18 @@ def test_training_in_batches_equals_a_replay(spark, tmp_path):
     s = np.maximum(x @ params[0].T + params[1], 0) @ params[2].T + params[3]
     assert np.allclose([p[i] for i in order], np.exp(s[:, 1]) / np.exp(s).sum(axis=1), atol=1e-9)
     assert iterative.train_head(samples.limit(0))[1].count() == 0
+
+
+def test_a_cache_token_is_the_hash_of_sorted_json(spark, tmp_path):
+    import hashlib
+    import json
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(7, 22), (9, 40), (8, 1)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: r["token"] for r in entry.queries()["cache_token"](spark, str(tmp_path)).collect()}
+    names = ("brightness_protection", "color_protection", "color_recovery", "fog_retention", "highlight_protection", "local_contrast", "naturalness", "shadow_protection", "strength")
+    for key, size in ((7, 22), (9, 40), (8, 1)):
+        payload = {"version": "linear-v29-native-scene-dense", "nonlocal_relief": ("off", "conservative", "strong")[key % 3], "auto_exposure": size % 2 == 0, "auto_exposure_algorithm": "linear-median768-highlight095-ev2-v1"}
+        payload |= {n: float(round(max(0.0, min(1.0, size / 40 - k / 10)), 3)) for k, n in enumerate(names)}
+        assert got[key] == hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()[:20]
