@@ -5,9 +5,11 @@ from __future__ import annotations
 from fractions import Fraction
 
 from .mixing import MOST, SEED, WEIGHTS
+from .periods import LEAST, TIMES
 from .quality import CHAR_GUARD, CHAR_LIMIT, COMMON, MIN_WORDS, REPEAT_PERCENT, WIDTH, WORD_GUARD, WORD_LIMIT
 from .sentences import END, MIN_WORDS as RUN_WORDS, SPAN
 from .sharding import ROW_OVERHEAD, TOLERANCE
+from .spelling import LEAST_COUNT, LEAST_LENGTH, RATIO
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -128,7 +130,46 @@ def _shards(shards: int = 40) -> str:
     FROM p JOIN z ON z.doc_id IS NOT DISTINCT FROM p.doc_id"""
 
 
+def _periods() -> str:
+    """A run of four periods starts with three words that come again one period later, and three times or more in all: such distances are tried."""
+    table = "SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY n) AS k FROM range(256) r(n)"
+    data = "[4294967295] || list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))"
+    return f"""WITH k AS ({table}),
+    h AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce({data}, lambda a, b: xor(a >> 8, k[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM (SELECT doc_id, {WORDS} AS w, hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM documents), k),
+    c AS (SELECT *, (h // 10) % nullif(n, 0) AS a FROM h),
+    t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w FROM c),
+    g AS (SELECT doc_id, n, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM (SELECT *, unnest(range(greatest(n - 2, 0))) AS i FROM t)),
+    f AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 3),
+    q AS (SELECT DISTINCT a.doc_id, b.i - a.i AS q FROM f a JOIN f b ON b.doc_id = a.doc_id AND b.g = a.g AND b.i > a.i AND {TIMES} * (b.i - a.i) <= a.n),
+    m AS (SELECT doc_id, q, unnest(list_filter(range(n - q), lambda i: w[i + 1] = w[i + q + 1])) AS i FROM t JOIN q USING (doc_id)),
+    j AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM m) GROUP BY doc_id, q, part HAVING count(*) + q >= greatest({LEAST}, {TIMES} * q)),
+    r AS (SELECT doc_id, s, l, min(q) AS q FROM j GROUP BY doc_id, s, l),
+    b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed, arg_min({{'s': s, 'l': l, 'q': q}}, {{'l': -l, 's': s, 'q': q}}) AS x FROM r GROUP BY doc_id),
+    d AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+    w AS (SELECT t.doc_id, string_agg(t.x, ' ' ORDER BY t.i) FILTER (d.i IS NULL) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM t) t LEFT JOIN d ON d.doc_id = t.doc_id AND d.i = t.i GROUP BY t.doc_id)
+    SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, x.s AS start, x.l AS length, x.q AS period, 1000 * x.l // x.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN w ON w.doc_id = t.doc_id"""
+
+
+def _spelling(typo_every: int = 31) -> str:
+    """Near words by what is left when one letter goes: a word itself for insertions, the same at the same place for replacements."""
+    upper = "".join(map(chr, range(65, 91)))
+    table = "SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY n) AS k FROM range(256) r(n)"
+    data = "[4294967295] || list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))"
+    return f"""WITH RECURSIVE k AS ({table}),
+    o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{upper}', '{upper.lower()}') AS w FROM documents) WHERE length(w) >= {LEAST_LENGTH} GROUP BY doc_id, w),
+    z AS (SELECT w, n, xor(list_reduce({data}, lambda a, b: xor(a >> 8, k[(xor(a, b) & 255) + 1])), 4294967295) AS c FROM (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM o), k),
+    v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN c % {typo_every} = 0 THEN substr(w, 1, CAST(c % length(w) AS BIGINT)) || substr(w, CAST(c % length(w) AS BIGINT) + 2) ELSE w END AS word FROM z) WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+    d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    e AS (SELECT DISTINCT d.word AS a, d.n AS na, v.word AS b, v.n AS nb FROM d JOIN v ON v.word = d.x),
+    p AS (SELECT a AS word, b AS near, nb AS near_n FROM e UNION ALL SELECT b, a, na FROM e UNION ALL SELECT d.word, f.word, f.n FROM d JOIN d f ON f.x = d.x AND f.i = d.i AND f.word <> d.word),
+    b AS (SELECT word, count(*) AS n_near, arg_min(near, {{'m': -near_n, 'w': encode(near)}}) AS best, max(near_n) AS best_n FROM p GROUP BY word),
+    g AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {RATIO} * v.n THEN best END AS form, CASE WHEN best_n >= {RATIO} * v.n THEN best_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+    r AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT r.word, g.form, step + 1 FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL)
+    SELECT g.word, form, t.root, n, n_near, form_n FROM g JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) t ON t.word = g.word"""
+
+
 ORACLES = {
     "op1_histogram_shards": _shards(), "op3_divergence_rules": _quality(), "op4_prefix_doubling": SUBSTRINGS, "op5_lsh_forest_join": NEAR, "op9_systematic_mix": _mix(),
-    "op10_sentence_spans": _spans(),
+    "op10_sentence_spans": _spans(), "op11_factor_runs": _periods(), "op12_edit_neighbourhoods": _spelling(),
 }

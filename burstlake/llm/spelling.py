@@ -15,7 +15,7 @@ only where the next one differs, and a letter is replaced by another one only.
 A word's form is its most frequent near word if that is ``ratio`` times as frequent or more; roots follow forms to the
 end.  Counts grow by the ratio at each step, so following ends, and by doubling the steps in a few joins.
 
-Defined results: null and empty texts have no words; ties go to the smallest word in code-point order; repeated
+Defined results: null and empty texts have no words; a row without id counts as one of an empty id; ties go to the smallest word in code-point order; repeated
 rows count again; an empty table gives an empty one; other columns are not read, so their names don't matter.
 """
 
