@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import sys
@@ -57,14 +58,19 @@ class Encoder:
     """
 
     MOST_WORDS, MOST_STEMS, ROUND_CHARS = 300_000, 600_000, 6_000_000
-    MARKS = ".,;:!?"
+    #: ASCII marks but the apostrophe, which starts pieces of its own with letters behind it.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Words that are encoded as one text, with a mark between them whose id no other text has.
+    JOINED, BETWEEN, LONG_WORD = 500, "|", 200
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks keep the cores busy; the library's own threads would only compete
         self.tokenizer = Tokenizer.from_str(spec)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_word = splits_at_spaces(json.loads(spec))
+        self.between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -76,6 +82,23 @@ class Encoder:
                 a.byteswap()
         return [a.tobytes() for a in packed]
 
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these words.  Most are encoded many at a time: a call for each costs more than its ids."""
+        if len(self.between) != 1:
+            return self._encode(words)
+        out: dict[str, bytes] = {}
+        alone = [w for w in words if len(w) > self.LONG_WORD or self.BETWEEN in w]
+        out.update(zip(alone, self._encode(alone), strict=True))
+        rest = [w for w in words if w not in out]
+        groups = [rest[i : i + self.JOINED] for i in range(0, len(rest), self.JOINED)]
+        width = self.dtype.itemsize
+        for group, ids in zip(groups, self._encode([f" {self.BETWEEN} ".join(g) for g in groups]), strict=True):
+            at = 0
+            for w, stop in zip(group, [*(width * np.flatnonzero(np.frombuffer(ids, self.dtype) == self.between[0])).tolist(), len(ids)], strict=True):
+                out[w] = ids[at:stop]
+                at = stop + width
+        return [out[w] for w in words]
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words.  Closing marks behind letters are pieces of their own, and the case of ASCII letters does not count."""
         parts = []
@@ -89,7 +112,7 @@ class Encoder:
             parts.append((stem, marks))
         known = self.stems
         new = list({x for part in parts for x in part if x and x not in known})
-        fresh = dict(zip(new, self._encode(new), strict=True))
+        fresh = dict(zip(new, self._pieces(new), strict=True))
         if len(known) < self.MOST_STEMS:
             known.update(fresh)
         fresh[""] = b""
