@@ -27,6 +27,7 @@ import os
 import re
 import struct
 import sys
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -105,9 +106,11 @@ class Encoder:
         for w in words:
             stem = w.rstrip(self.MARKS)
             marks = w[len(stem) :]
-            if marks and not stem.isalpha():
+            plain = stem.isascii()
+            # Some letters turn into a letter and a combining mark, which would join the marks behind it.
+            if marks and not (stem if plain else unicodedata.normalize("NFC", stem).lower()).isalpha():
                 stem, marks = w, ""
-            elif stem.isascii():
+            elif plain:
                 stem = stem.lower()
             parts.append((stem, marks))
         known = self.stems

@@ -642,6 +642,20 @@ def test_a_text_of_some_megabytes(spark, rng):
     assert sorted(r["n_words"] for r in quality.divergence_rules(docs).collect())[-1] == len(long.split())
 
 
+def test_words_encoded_together_equal_whole_texts(rng):
+    """Every document of sf0.01, and texts of marks, apostrophes, odd blanks and letters that combine or change case."""
+    import duckdb
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    letters = "ab'stvmldreé|.,&*\u0301 ΣσΑ1'!?-\u00a0\u3000 \t\u1e9eİ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(5000)] + ["w" * 5000 + "&&&", "|", "a|b | c|| |", "<s>, </s>. [UNK]!"]
+    texts += [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    enc = tokenfiles.Encoder(spec)
+    assert enc.by_word and enc.batch(texts) == [ids + b"\2\0" for ids in tokenfiles.Encoder(spec)._encode(texts)]
+
+
 def test_very_many_equal_rows(spark, rng):
     """Places that equal rows mark are marked once, so a row's marks do not grow with the number of its equals."""
     text = sentence_text(rng, 12)
