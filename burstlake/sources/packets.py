@@ -5,7 +5,7 @@ other byte as it was, so properties of other programs, prefixes, quotes, comment
 there is gives way.  Namespaces decide what a name means, never prefixes.
 
 ``register_sink(spark)`` adds the data source ``sidecars``: ``df.write.format("sidecars").mode("append").save(folder)`` for rows (sidecar, settings).  Tasks
-read, merge and write staging files beside the sidecars; only when all tasks have ended are these renamed, and when one fails they are deleted.
+read, merge and write staging files into a folder beside the sidecars; only when all tasks have ended are these renamed, and when one fails the folder is deleted.
 
 Packets that are not well-formed, not UTF-8, have a DOCTYPE or no place for settings are errors: nothing is written over what cannot be read.
 """
@@ -13,6 +13,7 @@ Packets that are not well-formed, not UTF-8, have a DOCTYPE or no place for sett
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -263,35 +264,33 @@ class _Staged(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
+    """Staging files lie in a folder of their own that only the driver makes: once it is gone, a task that still runs cannot leave any."""
+
     def __init__(self, options: dict) -> None:
         self.folder, self.create_only = options["path"].rstrip("/"), str(options.get("createonly", "false")).lower() == "true"
-        self.run = uuid.uuid4().hex
+        fs, root = _filesystem(self.folder)
+        self.root, self.staging = root.rstrip("/"), f"{root.rstrip('/')}/.staged-{uuid.uuid4().hex}"
+        fs.create_dir(self.staging)
 
     def write(self, iterator) -> _Staged:
-        """Staging files of one task; those of an attempt that fails are deleted at once."""
         import pyarrow.fs
 
-        fs, root = _filesystem(self.folder)
+        fs, _ = _filesystem(self.folder)
         staged: list[tuple[str, str]] = []
-        try:
-            for row in iterator:
-                target = f"{root.rstrip('/')}/{row['sidecar']}"
-                there = fs.get_file_info(target).type != pyarrow.fs.FileType.NotFound
-                if there and self.create_only:
-                    continue
-                before = None
-                if there:
-                    with fs.open_input_stream(target) as file:
-                        before = file.read()
-                packet = merge(before, _settings([s.asDict() for s in row["settings"]]))
-                part = f"{target}.{self.run}.{uuid.uuid4().hex}.staged"
-                with fs.open_output_stream(part) as file:
-                    file.write(packet)
-                staged.append((part, target))
-        except BaseException:
-            for part, _ in staged:
-                fs.delete_file(part)
-            raise
+        for row in iterator:
+            target = f"{self.root}/{row['sidecar']}"
+            there = fs.get_file_info(target).type != pyarrow.fs.FileType.NotFound
+            if there and self.create_only:
+                continue
+            before = None
+            if there:
+                with fs.open_input_stream(target) as file:
+                    before = file.read()
+            packet = merge(before, _settings([s.asDict() for s in row["settings"]]))
+            part = f"{self.staging}/{uuid.uuid4().hex}"
+            with fs.open_output_stream(part) as file:
+                file.write(packet)
+            staged.append((part, target))
         return _Staged(staged)
 
     def commit(self, messages: list[_Staged | None]) -> None:
@@ -299,13 +298,24 @@ class _Writer(DataSourceWriter):
         for message in messages:
             for part, target in message.files if message else ():
                 fs.move(part, target)
+        self._clear()
 
     def abort(self, messages: list[_Staged | None]) -> None:
-        """Nothing has been renamed yet: delete what the tasks that ended have staged."""
+        """Nothing has been renamed yet."""
+        self._clear()
+
+    def _clear(self) -> None:
         fs, _ = _filesystem(self.folder)
-        for message in messages:
-            for part, _target in message.files if message else ():
-                fs.delete_file(part)
+        for k in range(20):
+            try:
+                fs.delete_dir(self.staging)
+                return
+            except FileNotFoundError:
+                return
+            except OSError:  # a task has just put a file there
+                if k == 19:
+                    raise
+                time.sleep(0.1)
 
 
 class Sidecars(DataSource):
