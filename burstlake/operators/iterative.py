@@ -1,10 +1,13 @@
 """Training a small head on labelled vectors by mini-batches whose gradients are added up across tasks.
 
 The samples are laid out once in an order fixed by a hash of their ids; each epoch goes through a seeded permutation of their places,
-written so that a batch's rows stand together.  A step reads one batch, each task adds up the gradient of its rows, groups of tasks add up
-theirs, and the driver turns the sum of a few thousand numbers into the next weights (Adam).  No task sees more than its share of a
-batch, and nothing is left out.  After each epoch the weights are written to the shared folder, from which a run that was
-broken off goes on.
+written so that a batch's rows stand together.  Steps follow one another, as each needs the weights of the one before.
+
+Large batches: a step reads one batch, each task adds up the gradient of its rows, groups of tasks add up theirs, and the driver
+turns the sum of a few thousand numbers into the next weights (Adam).  Batches of at most ``LARGE`` rows: a task goes through a *leg* of
+some ``LEG`` rows, batch by batch, and hands weights and moments on to the next leg's, so that a leg costs a job, not a batch.  No task
+sees more than its share of a batch or one leg, and nothing is left out.  After each epoch the weights are written to the shared
+folder, from which a run that was broken off goes on.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ BATCH, HIDDEN, RATE, SEED = 16, 256, 0.001, 42
 BETA1, BETA2, TINY = 0.9, 0.999, 1e-8
 #: Partial sums are first added up in this many groups where a batch is large enough to lie in many parts.
 GROUPS, LARGE = 16, 4096
+#: Rows of consecutive batches that one task goes through before it hands the weights on.
+LEG = 16_384
 
 
 @dataclass
@@ -90,7 +95,53 @@ def laid_out(samples: DataFrame, seed: int) -> tuple[DataFrame, int]:
     return written(parts.join(F.broadcast(starts), "part").select(number.alias("place"), "x", "y"), "places"), ahead
 
 
-def _summed(batch: DataFrame, params: list[np.ndarray], large: bool) -> tuple[list[np.ndarray], float, int, int]:
+def _cut(flat: np.ndarray, shapes: list[tuple]) -> list[np.ndarray]:
+    out, at = [], 0
+    for shape in shapes:
+        out.append(flat[at : at + math.prod(shape)].reshape(shape))
+        at += math.prod(shape)
+    return out
+
+
+def _leg(rows: DataFrame, head: Head, rate: float) -> tuple[Head, float, int]:
+    """The head after the batches of a leg (batch, place, x, y), in order, by one task; loss and how many were told right."""
+    shapes = [p.shape for p in head.params]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, right, waiting = head, 0.0, 0, []
+
+        def step() -> None:
+            nonlocal now, total, right
+            x, y = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
+            g, loss, told = gradient(now.params, x, y)
+            now = now.moved([a / len(y) for a in g], rate)
+            total, right = total + loss, right + told
+
+        for part in batches:
+            if not part.num_rows:
+                continue
+            number = part.column(0).to_numpy()
+            x, y = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), part.column(2).to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(number)) + 1), part.num_rows]
+            for a, b in zip(ends, ends[1:], strict=False):
+                if waiting and waiting[0][0] != number[a]:
+                    step()
+                    waiting = []
+                waiting.append((number[a], x[a:b], y[a:b]))
+        if waiting:
+            step()
+            state = np.concatenate([a.ravel() for g in (now.params, now.first, now.second) for a in g])
+            columns = [pa.array([total]), pa.array([right]), pa.array([now.steps], pa.int32()), pa.array([state.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["loss", "told", "steps", "state"])
+
+    one = rows.coalesce(1).sortWithinPartitions("batch", "place").select("batch", "x", "y")
+    got = one.mapInArrow(run, "loss double, told long, steps int, state binary").first()  # one row
+    state = _cut(np.frombuffer(got["state"]), shapes * 3)
+    k = len(shapes)
+    return Head(state[:k], state[k : 2 * k], state[2 * k :], got["steps"]), got["loss"], got["told"]
+
+
+def _summed(batch: DataFrame, params: list[np.ndarray]) -> tuple[list[np.ndarray], float, int, int]:
     shapes = [p.shape for p in params]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +163,9 @@ def _summed(batch: DataFrame, params: list[np.ndarray], large: bool) -> tuple[li
 
     schema = "g array<double>, loss double, told long, n long"
     sums = batch.select("x", "y").mapInArrow(part, schema)
-    if large:
-        sums = sums.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("group")).applyInArrow(added, schema)
+    sums = sums.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("group")).applyInArrow(added, schema)
     got = sums.collect()  # a few rows of as many numbers as the head has
-    flat, out, at = np.sum([r["g"] for r in got], axis=0), [], 0
-    for shape in shapes:
-        out.append(flat[at : at + math.prod(shape)].reshape(shape))
-        at += math.prod(shape)
-    return out, sum(r["loss"] for r in got), sum(r["told"] for r in got), sum(r["n"] for r in got)
+    return _cut(np.sum([r["g"] for r in got], axis=0), shapes), sum(r["loss"] for r in got), sum(r["told"] for r in got), sum(r["n"] for r in got)
 
 
 def _saved(spark: SparkSession, folder: str, epoch: int, head: Head, history: list[tuple]) -> None:
@@ -160,13 +206,22 @@ def train_head(
         head, history = resumed
     for epoch in range(len(history), epochs):
         a, b = permutation(n, epoch, seed)
-        number = F.floor(((F.col("place") * a + b) % n) / batch)
-        ordered = written(table.select(number.alias("batch"), "x", "y").repartitionByRange("batch").sortWithinPartitions("batch"), "epoch") if n > batch else table.withColumn("batch", F.lit(0))
+        place = (F.col("place") * a + b) % n
+        numbered = table.select(F.floor(place / batch).alias("batch"), place.alias("place"), "x", "y")
         loss, right = 0.0, 0
-        for k in range(-(-n // batch)):
-            g, more, told, rows = _summed(ordered.where(F.col("batch") == k), head.params, batch > LARGE)
-            head = head.moved([x / rows for x in g], rate)
-            loss, right = loss + more, right + told
+        if batch <= LARGE:
+            each = max(1, LEG // batch)  # batches of a leg
+            legs = -(-n // (batch * each))
+            ordered = written(numbered.withColumn("leg", F.floor(F.col("batch") / each)).repartitionByRange(legs, "leg"), "epoch", "leg")
+            for k in range(legs):
+                head, more, told = _leg(ordered.where(F.col("leg") == k), head, rate)
+                loss, right = loss + more, right + told
+        else:
+            ordered = written(numbered.drop("place").repartitionByRange("batch").sortWithinPartitions("batch"), "epoch") if n > batch else numbered
+            for k in range(-(-n // batch)):
+                g, more, told, rows = _summed(ordered.where(F.col("batch") == k), head.params)
+                head = head.moved([x / rows for x in g], rate)
+                loss, right = loss + more, right + told
         history.append((epoch, loss / n, right / n))
         if folder:
             _saved(spark, folder, epoch, head, history)

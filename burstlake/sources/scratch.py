@@ -26,10 +26,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, so that its lineage ends there."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written to the shared folder and read again, so that its lineage ends there; a folder for each value of ``by``."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

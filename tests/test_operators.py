@@ -245,6 +245,29 @@ def test_training_in_batches_equals_a_replay(spark, tmp_path):
     assert iterative.train_head(samples.limit(0))[1].count() == 0
 
 
+def test_small_batches_cost_a_job_for_many(spark, tmp_path):
+    from burstlake.operators import iterative
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 6)], i % 2) for i in range(500)]
+    samples = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    order = [r["id"] for r in samples.selectExpr("id", "xxhash64(42, id) AS h").orderBy("h").collect()]
+    params, want = replayed(np.array([rows[i][1] for i in order]), np.array([rows[i][2] for i in order]), 2, 5, 7)
+    whole, leg = iterative.LEG, 43  # 8 batches a leg; the last one is cut
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        iterative.LEG = leg
+        spark.sparkContext.setJobGroup("head", "head")
+        head, history = iterative.train_head(samples, epochs=2, batch=5, hidden=7)
+        jobs = len(tracker.getJobIdsForGroup("head"))
+    finally:
+        iterative.LEG = whole
+        spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs < 100  # 200 batches in 26 legs
+    assert np.allclose([r["loss"] for r in history.orderBy("epoch").collect()], [w[1] for w in want], atol=1e-9)
+    assert head.steps == 200 and all(np.allclose(a, b, atol=1e-9) for a, b in zip(head.params, params, strict=True))
+
+
 def test_a_cache_token_is_the_hash_of_sorted_json(spark, tmp_path):
     import hashlib
     import json
