@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .tiles import PLACE, Bands, Frame, _array, _rows, _schema, _values
+from .tiles import PLACE, Bands, Frame, _array, _rows, _schema, _values, pieces
 
 ANALYSIS_EDGE = 768
 Size = Callable[[int, int], tuple[int, int]]
@@ -40,7 +40,7 @@ def _gathered(tiles: DataFrame, bands: Sequence[str], size: Size, part: Callable
         sent, out = sent.add(b, T.ArrayType(T.DoubleType())), out.add(b, T.ArrayType(T.DoubleType()))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             at, parts = [], {b: [] for b in bands}
             for i, f in _rows(batch, ()):
                 for b in bands:
@@ -109,9 +109,12 @@ def with_bands(canvas: DataFrame, make: Callable[[Bands], dict[str, np.ndarray |
 
 
 def laid_over(tiles: DataFrame, canvas: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """The tiles with bands of the canvas enlarged linearly to the image; each tile is sent the part that it needs."""
+    """The tiles with bands of the canvas enlarged linearly to the image; each tile is sent the part that it needs.
+
+    Spark can't foresee the size of what Python makes, and would take canvases or tiles for small enough to be broadcast: tiles are joined by sorting.
+    """
     edge = tiles.select("image", "edge").dropDuplicates(["image"]).withColumnRenamed("image", "of")
-    wide = canvas.join(edge, canvas["image"].eqNullSafe(edge["of"])).select("image", "height", "width", "edge", "rows", "cols", *bands)
+    wide = canvas.join(edge.hint("merge"), canvas["image"].eqNullSafe(edge["of"])).select("image", "height", "width", "edge", "rows", "cols", *bands)
     crop = T.StructType([wide.schema["image"]])
     for c in ("y0", "x0", "py", "px", "ph", "pw", "low_rows", "low_cols"):
         crop = crop.add(c, "integer")
@@ -135,11 +138,11 @@ def laid_over(tiles: DataFrame, canvas: DataFrame, bands: Sequence[str]) -> Data
 
     small = wide.mapInArrow(crops, crop)
     small = small.select([small[c].alias({"image": "of", "y0": "oy", "x0": "ox"}.get(c, c)) for c in small.columns])
-    joined = tiles.join(small, tiles["image"].eqNullSafe(small["of"]) & (tiles["y0"] == small["oy"]) & (tiles["x0"] == small["ox"])).drop("of", "oy", "ox")
+    joined = tiles.join(small.hint("merge"), tiles["image"].eqNullSafe(small["of"]) & (tiles["y0"] == small["oy"]) & (tiles["x0"] == small["ox"])).drop("of", "oy", "ox")
     others = [c for c in tiles.columns if c not in PLACE and c not in bands]
 
     def enlarged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made: dict[str, list[np.ndarray]] = {b: [] for b in bands}
             for i, f in _rows(batch, ()):
                 py, px, ph, pw, rows, cols = (batch.column(c)[i].as_py() for c in ("py", "px", "ph", "pw", "low_rows", "low_cols"))

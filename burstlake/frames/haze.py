@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstlake.sources.scratch import written
+
 from . import kernels as K
 from .canvases import laid_over, reduced, sampled, with_bands
 from .kernels import smooth
@@ -128,11 +130,11 @@ def structure_support(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray
 def supports(tiles: DataFrame) -> DataFrame:
     """The tiles (r, g, b) with the bands shadow and structure."""
     make = lambda a: {"shadow": shadow_support(K.luma(*(a[c] for c in RGB))), "structure": structure_support(*(a[c] for c in RGB))}
-    wide = laid_over(tiles, with_bands(reduced(tiles, RGB), make, RGB, ["shadow", "structure"]), ["shadow", "structure"])
+    wide = written(laid_over(tiles, with_bands(reduced(tiles, RGB), make, RGB, ["shadow", "structure"]), ["shadow", "structure"]), "supports")
     # In scenes with little texture as a whole no shadow counts: the mean is that of the enlarged mask.
     means = wide.select("image", F.size("shadow").alias("n"), F.aggregate("shadow", F.lit(0.0), lambda a, x: a + x).alias("s"))
     means = means.groupBy(F.col("image").alias("of")).agg((F.sum("s") / F.sum("n")).alias("texture"))
-    joined = wide.join(means, wide["image"].eqNullSafe(means["of"])).drop("of")
+    joined = wide.join(means.hint("merge"), wide["image"].eqNullSafe(means["of"])).drop("of")
     scaled = lambda a, f: {"shadow": a["shadow"] * smooth(0.10, 0.30, np.float64(f.scalars["texture"]))}
     return mapped(joined, scaled, ["shadow"], ["shadow"], kept=[c for c in wide.columns[6:] if c != "shadow"], scalars=["texture"])
 
@@ -174,7 +176,7 @@ def protect_details(tiles: DataFrame, strength: float, peak: float | None = None
     ``peak`` rounds results to that many steps.  Other bands stay.
     """
     scales = bright_targets(tiles).withColumnRenamed("image", "of")
-    joined = tiles.join(scales, tiles["image"].eqNullSafe(scales["of"])).drop("of")
+    joined = tiles.join(scales.hint("merge"), tiles["image"].eqNullSafe(scales["of"])).drop("of")
     radius, results = _radius(DETAIL_RADIUS), [f"v{c}" for c in RGB]
 
     def make(a: Bands, f: Frame) -> Bands:

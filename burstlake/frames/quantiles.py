@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from burstlake.sources.scratch import written
 
+from .tiles import pieces
+
 DIGIT, FEW = 16, 20_000
 #: Most rows of the table of open prefixes (one per image) that is broadcast; a few hundred bytes each.
 BROADCAST_ROWS = 200_000
@@ -49,7 +51,7 @@ def image_quantiles(tiles: DataFrame, band: str, shares: Sequence[float | Callab
         """Counts of the ``width`` bits after ``shift`` decided ones, for the open prefixes of an image."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 at, parts = [], []
                 for i in range(batch.num_rows):
                     key = keys(batch.column("v")[i].values.to_numpy(zero_copy_only=False).astype(np.float64))
@@ -88,8 +90,7 @@ def image_quantiles(tiles: DataFrame, band: str, shares: Sequence[float | Callab
             break
         width = 64 - shift if (ranks.agg(F.max("inside")).first()[0] or 0) <= FEW else min(DIGIT, 64 - shift)
         open_ = ranks.groupBy(F.col("image").alias("of")).agg(F.collect_set("prefix").alias("open"))
-        if open_.count() <= BROADCAST_ROWS:
-            open_ = F.broadcast(open_)
+        open_ = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_.hint("merge")
         found = narrow.join(open_, F.col("image").eqNullSafe(F.col("of"))).select("image", "v", "open").mapInArrow(counted(shift, width), counts)
         found = found.groupBy("image", "prefix", "digit").agg(F.sum("n").alias("n"))
     schema = T.StructType([image]).add("n", "long").add("k", "integer").add("f", "double").add("side", "integer").add("value", "double")

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EDGE = 256
+#: Bytes of a batch that are worked on, and sent on, at once.
+PIECE = 4 << 20
 PLACE = ("image", "height", "width", "edge", "y0", "x0")
 Bands = dict[str, np.ndarray]
 Reach = int | Callable[..., int]
@@ -67,6 +69,14 @@ def _rows(part: pa.RecordBatch | pa.Table, scalars: Sequence[str]) -> Iterator[t
         yield i, Frame(h, w, y0, min(h, y0 + e), x0, min(w, x0 + e), 0, {c: places[c][i] for c in scalars})
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some PIECE bytes: what is made of one stays small however many rows Spark sends at once."""
+    for batch in batches:
+        n = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+        for k in range(0, batch.num_rows, n):
+            yield batch.slice(k, n)
+
+
 def _array(parts: list[np.ndarray], to: pa.DataType) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([p.size for p in parts])]).astype(np.int32)
     flat = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0)
@@ -83,13 +93,19 @@ def _schema(tiles: DataFrame, kept: Sequence[str], bands: Sequence[str]) -> T.St
 def cut(images: DataFrame, bands: Sequence[str], edge: int = EDGE) -> DataFrame:
     """Tiles of a table of whole small images: image, height, width and one array of values per band."""
     shape = images.select("image", F.col("height").cast("int"), F.col("width").cast("int"), *[F.col(b).cast("array<double>").alias(b) for b in bands])
-    shape = shape.where("height > 0 AND width > 0")
+    return drawn(shape, lambda a, h, w: {b: a[b].reshape(h, w) for b in bands}, bands, bands, edge)
+
+
+def drawn(images: DataFrame, make: Callable[[Bands, int, int], Bands], read: Sequence[str], bands: Sequence[str], edge: int = EDGE) -> DataFrame:
+    """Tiles of small images (image, height, width and the arrays ``read``) that make draws: arrays of height x width, one per band."""
+    shape = images.select("image", F.col("height").cast("int"), F.col("width").cast("int"), *read).where("height > 0 AND width > 0")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 h, w = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                whole = [_values(batch.column(3 + k), i).reshape(h, w) for k in range(len(bands))]
+                got = make({c: _values(batch.column(c), i) for c in read}, h, w)
+                whole = [got[b] for b in bands]
                 at = [(y, x) for y in range(0, h, edge) for x in range(0, w, edge)]
                 n = len(at)
                 key = batch.column(0).take(pa.array([i] * n, pa.int32()))
@@ -128,7 +144,7 @@ def mapped(tiles: DataFrame, make: Callable[[Bands, Frame], Bands], read: Sequen
     narrow = tiles.select(*PLACE, *dict.fromkeys((*keep, *scalars, *read)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: dict[str, list[np.ndarray]] = {b: [] for b in made}
             for i, f in _rows(batch, scalars):
                 shape = (f.y1 - f.y0, f.x1 - f.x0)

@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlake.frames import haze, quantiles, scenes, sharpness, tiles
 from burstlake.frames import kernels as K
 from burstlake.frames.canvases import laid_over
+from burstlake.sources.scratch import written
 from burstlake.sources.tables import table
 
 from .dialect import Catalog
@@ -61,16 +63,14 @@ def _panoramas(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (20 + F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * 24)).cast("int")
     column = F.struct("c_custkey", line.alias("line"), F.col("c_nationkey").cast("int").alias("n"))
     wide = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / PANORAMA).alias("image")).agg(F.array_sort(F.collect_list(column)).alias("s"))  # at most PANORAMA columns
-    w = F.size("s")
 
-    def pixel(p: Column, k: float) -> Column:
-        x, y = p % w, F.floor(p / w).cast("int")
-        at = F.get("s", x)
-        return k * F.when(y < at["line"], 0.8 - 0.001 * y).otherwise(0.25 + 0.1 * ((7 * x + 13 * y + at["n"]) % 5) / 5)
+    def draw(a: tiles.Bands, h: int, w: int) -> tiles.Bands:
+        y, x = np.mgrid[:h, :w]
+        gray = np.where(y < a["line"], 0.8 - 0.001 * y, 0.25 + 0.1 * ((7 * x + 13 * y + a["n"]) % 5) / 5)
+        return {c: k * gray for k, c in ((0.95, "r"), (1.0, "g"), (1.05, "b"))}
 
-    band = lambda k: F.transform(F.sequence(F.lit(0), HIGH * w - 1), lambda p: pixel(p, k))
-    bands = [band(k).alias(c) for k, c in ((0.95, "r"), (1.0, "g"), (1.05, "b"))]
-    return tiles.cut(wide.select("image", F.lit(HIGH).alias("height"), w.alias("width"), *bands), ["r", "g", "b"], EDGE)
+    columns = wide.select("image", F.lit(HIGH).alias("height"), F.size("s").alias("width"), F.col("s.line").alias("line"), F.col("s.n").alias("n"))
+    return tiles.drawn(columns, draw, ["line", "n"], ["r", "g", "b"], EDGE)
 
 
 PANORAMAS = f"""c AS (SELECT c_custkey // {PANORAMA} AS image, c_custkey, c_nationkey AS n, CAST(20 + floor(least(1.0, greatest(0.0, (CAST(c_acctbal AS DOUBLE) + 999.99) / 10999.98)) * 24) AS INTEGER) AS line FROM customer),
@@ -169,7 +169,8 @@ _register(tiled_exposure, f"""WITH {SHEETS} SELECT image, round(greatest(0.0, le
 
 def tiled_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of each sheet's luma, without gathering an image."""
-    got = quantiles.image_quantiles(haze.with_luma(_sheets(spark, sf_dir).select(*tiles.PLACE, "r", "g", "b")), "luma", SHARES)
+    luma = haze.with_luma(_sheets(spark, sf_dir).select(*tiles.PLACE, "r", "g", "b")).select(*tiles.PLACE, "luma")
+    got = quantiles.image_quantiles(written(luma, "tiles"), "luma", SHARES)
     return got.select("image", "n", *[F.round(F.col("q")[k], 9).alias(f"q{int(100 * s)}") for k, s in enumerate(SHARES)])
 
 
@@ -222,7 +223,7 @@ def tiled_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiled_sky_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much each place of a panorama is sky, laid over its tiles."""
-    panoramas = haze.with_luma(_panoramas(spark, sf_dir))
+    panoramas = written(haze.with_luma(_panoramas(spark, sf_dir)), "tiles")
     return _rounded(laid_over(panoramas.select(*tiles.PLACE), haze.sky_of(panoramas), ["sky"]), "sky")
 
 
@@ -267,7 +268,7 @@ _register(tiled_sky_mask, _sky_sql().pixels("sky"))
 def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panoramas and what a haze removal might make of them (vr, vg, vb): darker, bright places more so."""
     make = lambda a, f: {f"v{c}": 0.9 * a[c] * (1.0 - 0.1 * K.luma(a["r"], a["g"], a["b"])) for c in "rgb"}
-    return tiles.mapped(_panoramas(spark, sf_dir), make, ["r", "g", "b"], ["vr", "vg", "vb"], kept=["r", "g", "b"])
+    return written(tiles.mapped(_panoramas(spark, sf_dir), make, ["r", "g", "b"], ["vr", "vg", "vb"], kept=["r", "g", "b"]), "tiles")
 
 
 def tiled_detail_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,12 +294,12 @@ def tiled_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tiled_exposure_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops of automatic exposure of darkened panoramas, and why."""
     dark = tiles.mapped(_panoramas(spark, sf_dir), lambda a, f: {c: v * (0.1 + f.width % 7 / 10) for c, v in a.items()}, ["r", "g", "b"], ["r", "g", "b"])
-    return scenes.exposure_stops(dark).select("image", F.round("ev", 5).alias("ev"), "reason")
+    return scenes.exposure_stops(written(dark, "tiles")).select("image", F.round("ev", 5).alias("ev"), "reason")
 
 
 def tiled_haziest_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The light of the haziest places of each sheet."""
-    return scenes.haziest_light(_sheets(spark, sf_dir).select(*tiles.PLACE, "r", "g", "b")).select("image", *[F.round(f"air_{c}", 6).alias(f"air_{c}") for c in "rgb"])
+    return scenes.haziest_light(written(_sheets(spark, sf_dir).select(*tiles.PLACE, "r", "g", "b"), "tiles")).select("image", *[F.round(f"air_{c}", 6).alias(f"air_{c}") for c in "rgb"])
 
 
 _register(tiled_scenes)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from burstlake.frames import canvases, haze, quantiles, sharpness, tiles
+from burstlake.frames import canvases, haze, quantiles, scenes, sharpness, tiles
 
 H, W = 384, 512
 LUMA = np.array([0.2126, 0.7152, 0.0722])
@@ -371,3 +371,25 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.oracles[name]})").fetchall()
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in got.select(*columns).collect()), key=key) == sorted(want, key=key) and want
+
+
+def test_tiles_are_never_broadcast(spark):
+    import re
+
+    df = table(spark, {"a": dict(zip("rgb", picture(40, 30), strict=True))}, 16)
+    for c in "rgb":
+        df = df.withColumn(f"v{c}", F.transform(c, lambda v: v * 0.9))
+    ready = haze.supports(df)
+    joined = [ready, haze.protect_details(ready, 0.8), scenes.exposed(df), scenes.haziest_light(df), canvases.laid_over(df, haze.sky_of(haze.with_luma(df)), ["sky"])]
+    for plan in (d._jdf.queryExecution().executedPlan().toString() for d in joined):
+        assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin|BroadcastNestedLoopJoin", plan)
+
+
+def test_batches_are_worked_on_in_pieces():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([[float(k)] * 40_000 for k in range(50)])], names=["k", "v"])
+    got = list(tiles.pieces([batch, batch.slice(0, 0), batch.slice(3, 1)]))
+    assert len(got) > 4 and max(p.num_rows * 320_000 for p in got) <= tiles.PIECE
+    assert [k for p in got for k in p.column("k").to_pylist()] == [*range(50), 3]
+    assert all(tiles._values(p.column("v"), i)[0] == p.column("k")[i].as_py() for p in got for i in range(p.num_rows))
