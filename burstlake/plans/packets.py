@@ -11,7 +11,7 @@ from burstlake.frames import optics, tiles
 from burstlake.functions import metadata as M
 from burstlake.sources import headers, opcodes
 from burstlake.sources import packets as xml
-from burstlake.sources.tables import table
+from burstlake.sources.tables import RECORDS, dealt, table
 
 from .dialect import Catalog
 from .framed import SHEETS, Steps, _rounded, _sheets
@@ -19,6 +19,11 @@ from .framed import SHEETS, Steps, _rounded, _sheets
 catalog = Catalog()
 
 
+def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become records that Python reads, dealt out by number."""
+    return dealt(table(spark, sf_dir, name), RECORDS)
+
+
 def _register(run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     catalog.queries[run.__name__] = run
     if sql:
@@ -60,7 +65,7 @@ def _tiff(little: Column, image: list[tuple[int, int, Column]], exif: list[tuple
 
 def header_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture metadata of one packed header per order, in either byte order, some with cycles and some cut off."""
-    orders = table(spark, sf_dir, "orders")
+    orders = records(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     little = k % 2 == 0
     size = [(256, 3, 1000 + k % 5000), (257, 3, 800 + c % 3000), (274, 3, 1 + k % 8)]
@@ -84,7 +89,7 @@ def header_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tag of one packed header per supplier, with the directory it stands in; positions and maker notes are not among them."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     body = _tiff(k % 2 == 1, [(256, 3, 10 + k % 60000), (274, 3, 1 + n % 8)], [(37386, 5, 1 + n), (41989, 3, n)], F.lit(True))
-    got = headers.tag_rows(table(spark, sf_dir, "supplier").select(k.alias("photo"), body.alias("body")), "photo", "body")
+    got = headers.tag_rows(records(spark, sf_dir, "supplier").select(k.alias("photo"), body.alias("body")), "photo", "body")
     return got.select("photo", F.explode("tags").alias("t")).select("photo", "t.directory", "t.tag", "t.name", F.col("t.numbers")[0].alias("number"))
 
 
@@ -207,7 +212,7 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_nationkey").cast("int")
     whole = F.concat(F.lit(_OPEN), n.cast("string"), F.lit('" v:Secret=\'k'), k.cast("string"), F.lit('\' c:Contrast2012="5"><v:Note>'), F.col("c_name"), F.lit(_CURVE), (k % 256).cast("string"), F.lit(_CLOSE))
     body = F.when(k % 7 == 3, F.lit(None)).when(k % 9 == 4, F.substring(whole, 1, 300)).otherwise(whole)
-    return table(spark, sf_dir, "customer").select(k.alias("photo"), n.alias("n"), body.cast("binary").alias("body"))
+    return records(spark, sf_dir, "customer").select(k.alias("photo"), n.alias("n"), body.cast("binary").alias("body"))
 
 
 _BODY = f"""SELECT c_custkey AS k, CAST(c_nationkey AS INTEGER) AS n, '{_OPEN.replace("'", "''")}' || c_nationkey || '" v:Secret=''k' || c_custkey || '''' AS head, '<v:Note>' || c_name || '{_CURVE}' || (c_custkey % 256) || '{_CLOSE}' AS tail FROM customer"""
@@ -245,7 +250,7 @@ def tone_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = [F.concat((z * 7).cast("string"), F.lit(", "), (z * 3).cast("string")), F.lit("nonsense"), F.concat(z.cast("string"), F.lit(" "), (k % 400).cast("string")), F.when(k % 3 == 0, "255, 250").otherwise("300,-5,2"), F.concat(F.lit(" "), z.cast("string"), F.lit(" ,77 "))]
     some = F.when(k % 10 == 0, F.array(F.lit("9, 9"))).otherwise(F.array(*items))
     setting = F.struct(F.lit(xml.CRS).alias("namespace"), F.lit("ToneCurvePV2012").alias("name"), F.lit(None).cast("string").alias("value"), some.alias("items"))
-    made = table(spark, sf_dir, "part").select(k.alias("part"), F.lit(None).cast("binary").alias("body"), F.array(setting).alias("wanted"))
+    made = records(spark, sf_dir, "part").select(k.alias("part"), F.lit(None).cast("binary").alias("body"), F.array(setting).alias("wanted"))
     read = xml.packet_values(xml.merged_packets(made, "part", "body", "wanted"), "part", "packet").select("part", M.curve_points(F.col("items")).alias("points"))
     return read.select("part", F.posexplode("points").alias("at", "p")).select("part", F.col("at").cast("int").alias("nth"), "p.x", "p.y")
 

@@ -26,6 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task gets where a row costs much more to work on than to read: records that Python reads.
+RECORDS = 10_000
+
+
+def dealt(df: DataFrame, rows: int, key: str | None = None) -> DataFrame:
+    """df dealt out, so that there is work for all cores and a task has some ``rows`` rows, however small the file is.
+
+    With a ``key`` equal keys meet in one task.  The count is read from the file's own figures.
+    """
+    spark = df.sparkSession
+    cores, n = spark.sparkContext.defaultParallelism, -(-df.count() // rows)
+    if n <= cores:
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # Joins keep this partitioning only if it has as many parts as their own shuffles.
+    n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
 PREFIX = "burstlake_"
 
 

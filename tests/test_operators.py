@@ -281,3 +281,15 @@ def test_a_cache_token_is_the_hash_of_sorted_json(spark, tmp_path):
         payload = {"version": "linear-v29-native-scene-dense", "nonlocal_relief": ("off", "conservative", "strong")[key % 3], "auto_exposure": size % 2 == 0, "auto_exposure_algorithm": "linear-median768-highlight095-ev2-v1"}
         payload |= {n: float(round(max(0.0, min(1.0, size / 40 - k / 10)), 3)) for k, n in enumerate(names)}
         assert got[key] == hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()[:20]
+
+
+def test_rows_that_cost_much_are_dealt_out_by_number(spark, tmp_path):
+    from burstlake.plans import packets
+    from burstlake.sources import tables
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 100, 1, 1).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    few = packets.records(spark, str(tmp_path), "part")  # one file of one split
+    assert few.rdd.getNumPartitions() == cores and few.count() == 100
+    many = tables.dealt(spark.range(0, 1000, 1, 1), 10, "id")
+    assert many.rdd.getNumPartitions() == 100 and many.count() == 1000 and many.agg({"id": "sum"}).first()[0] == 499_500
