@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from burstlake.operators import sessionize
-from burstlake.sources.tables import prefixed, register
+from burstlake.sources.tables import PHOTO_ROWS, prefixed, register
 
 from .dialect import DUCK, SPARK, Dialect, _doubles
 from .rasters import hash_bits
@@ -20,7 +20,7 @@ def hashed(d: Dialect) -> str:
 
 
 def photo_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ("embeddings", "events"))
+    register(spark, sf_dir, (PHOTO_ROWS,))
     return sessionize.anchored_groups(spark.sql(prefixed(_doubles(hashed(SPARK)))), "folder", "captured_at", "shot_id", "dhash", PHOTO_GAP_US, BITS, bits=True)
 
 

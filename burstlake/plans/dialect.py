@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burstlake.sources.tables import TABLES, prefixed, register
+from burstlake.sources.tables import PHOTO_ROWS, TABLES, prefixed, register
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ class Dialect:
         """Linear between the neighbouring values in order; null for no values."""
         at = f"((len_ - 1) * {share!r})"
         inner = f"{self.at('s_', f'floor({at})')} + ({self.at('s_', f'least(floor({at}) + 1, len_ - 1)')} - {self.at('s_', f'floor({at})')}) * ({at} - floor({at}))"
-        ordered = f"array_sort({array})" if self.spark else f"list_sort({array})"
+        ordered = f"sort_array({array})" if self.spark else f"list_sort({array})"
         return self.let(ordered, "s_", inner.replace("len_", self.size("s_")))
 
     def median(self, array: str) -> str:
@@ -171,7 +171,7 @@ class Catalog:
 
     def add(self, sql: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
         text = _doubles(sql(SPARK))
-        names = tuple(t for t in TABLES if re.search(rf"\b{t}\b", text))
+        names = tuple(t for t in (*TABLES, PHOTO_ROWS) if re.search(rf"\b{t}\b", text))
         derived = [n for n in self.derived if re.search(rf"\b{n}\b", text)]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,13 +75,20 @@ class Raster:
         return self.d.each(places, var, self.d.at(array, var))
 
     def x(self, p: str = "p") -> str:
+        if self.d.spark and self.w & (self.w - 1) == 0:
+            return f"({p} & {self.w - 1})"
         return f"({p} % {self.w})"
 
     def y(self, p: str = "p") -> str:
+        if self.d.spark and self.w & (self.w - 1) == 0:
+            return f"shiftright({p}, {self.w.bit_length() - 1})"
         return self.d.div(p, str(self.w))
 
     def beside(self, array: str, dx: int, dy: int, p: str = "p") -> str:
         """The value dx, dy away from place p, mirrored at the border."""
+        if self.d.spark:
+            places = [self.w * mirrored(q // self.w + dy, self.h) + mirrored(q % self.w + dx, self.w) for q in range(self.n)]
+            return self.d.at(array, self.d.at(self.d.list(*map(str, places)), p))
         col = f"({self.w - 1} - abs({self.w - 1} - abs({self.x(p)} + ({dx}))))"
         row = f"({self.h - 1} - abs({self.h - 1} - abs({self.y(p)} + ({dy}))))"
         return self.d.at(array, f"{self.w} * {row} + {col}")
@@ -89,12 +96,31 @@ class Raster:
     def _constants(self, matrix: list[list[float]]) -> str:
         return self.d.list(*[f"CAST({v!r} AS DOUBLE)" for row in matrix for v in row])
 
+    # Spark goes through lambdas term by term, so its forms have no arithmetic of places: rows and columns are arrays, and a
+    # product with a matrix is a product of arrays.  Terms are added up in the same order.
+
+    def _rows(self, array: str) -> str:
+        return f"transform(sequence(0, {self.h - 1}), y_ -> slice({array}, {self.w} * y_ + 1, {self.w}))"
+
+    def _columns(self, array: str) -> str:
+        return f"transform(sequence(0, {self.w - 1}), x_ -> transform(sequence(0, {self.h - 1}), y_ -> get({array}, {self.w} * y_ + x_)))"
+
+    def _matrix(self, matrix: list[list[float]]) -> str:
+        return self.d.list(*[self.d.list(*[f"CAST({v!r} AS DOUBLE)" for v in row]) for row in matrix])
+
+    def _product(self, a: str, b: str) -> str:
+        return self.d.total(f"zip_with({a}, {b}, (u_, v_) -> u_ * v_)")
+
     def along_rows(self, array: str, matrix: list[list[float]]) -> str:
+        if self.d.spark:
+            return f"flatten(transform({self._rows(array)}, l_ -> transform({self._matrix(matrix)}, k_ -> {self._product('k_', 'l_')})))"
         k = self._constants(matrix)
         terms = [f"{self.d.at('k_', f'{self.x()} * {self.w} + {j}')} * {self.d.at(array, f'{self.y()} * {self.w} + {j}')}" for j in range(self.w)]
         return self.d.let(k, "k_", self.map(lambda p: " + ".join(terms)))
 
     def along_columns(self, array: str, matrix: list[list[float]]) -> str:
+        if self.d.spark:
+            return self.d.let(self._columns(array), "c_", f"flatten(transform({self._matrix(matrix)}, k_ -> transform(c_, l_ -> {self._product('k_', 'l_')})))")
         k = self._constants(matrix)
         terms = [f"{self.d.at('k_', f'{self.y()} * {self.h} + {j}')} * {self.d.at(array, f'{j} * {self.w} + {self.x()}')}" for j in range(self.h)]
         return self.d.let(k, "k_", self.map(lambda p: " + ".join(terms)))
@@ -102,6 +128,14 @@ class Raster:
     def extreme(self, array: str, radius: int, most: bool, rows: bool) -> str:
         """The largest or smallest value up to ``radius`` away along one axis, inside the image."""
         d = self.d
+        if d.spark:
+            size = self.w if rows else self.h
+            ends = [(max(0, i - radius), min(size - 1, i + radius)) for i in range(size)]
+            near = d.list(*[d.record(a=str(lo + 1), n=str(hi - lo + 1)) for lo, hi in ends])
+            best = f"{'array_max' if most else 'array_min'}(slice(l_, n_.a, n_.n))"
+            if rows:
+                return f"flatten(transform({self._rows(array)}, l_ -> transform({near}, n_ -> {best})))"
+            return d.let(self._columns(array), "c_", f"flatten(transform({near}, n_ -> transform(c_, l_ -> {best})))")
         here, n = (self.x(), self.w) if rows else (self.y(), self.h)
         place = f"{self.y()} * {self.w} + j" if rows else f"j * {self.w} + {self.x()}"
         near = d.keep(d.range(n), "j", f"abs(j - {here}) <= {radius}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from burstlake.sources.tables import IMAGE_SUFFIXES, RAW_SUFFIXES
+from burstlake.sources.tables import IMAGE_SUFFIXES, PHOTO_ROWS, RAW_SUFFIXES
 
 from .dialect import Dialect
 
@@ -13,6 +13,8 @@ IMAGE_LIST = ", ".join(f"'{s}'" for s in IMAGE_SUFFIXES)
 def photos(d: Dialect) -> str:
     """shot_id, folder, captured_at, aesthetic, gray: 64 integers of 0 to 255, row by row."""
     gray = d.each("m.embedding", "v", "CAST(greatest(0, least(255, floor(128.5 + 400 * CAST(v AS DOUBLE)))) AS INT)")
+    if d.spark:
+        return f"SELECT m.vec_id AS shot_id, m.label AS folder, m.ts AS captured_at, least(1.0, CAST(m.value AS DOUBLE) / 100) AS aesthetic, {gray} AS gray FROM {PHOTO_ROWS} m"
     return f"""SELECT m.vec_id AS shot_id, m.label AS folder, e.ts AS captured_at, least(1.0, CAST(e.value AS DOUBLE) / 100) AS aesthetic, {gray} AS gray
         FROM embeddings m JOIN events e ON e.event_id = m.vec_id"""
 

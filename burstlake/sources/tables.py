@@ -28,6 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows that a task gets where a row costs much more to work on than to read: records that Python reads.
 RECORDS = 10_000
+PHOTOS = 1_000
 
 
 def dealt(df: DataFrame, rows: int, key: str | None = None) -> DataFrame:
@@ -45,6 +46,8 @@ def dealt(df: DataFrame, rows: int, key: str | None = None) -> DataFrame:
 
 
 PREFIX = "burstlake_"
+#: The view of photos joined with their events.
+PHOTO_ROWS = "photo_rows"
 
 
 def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> None:
@@ -53,15 +56,29 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> None:
     Photos cost much more to work on than to read: a file with fewer splits than there are cores is dealt over all cores.
     """
     for name in names:
-        df = table(spark, sf_dir, name)
-        if name == "embeddings" and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-            df = df.repartition(spark.sparkContext.defaultParallelism)
+        if name == PHOTO_ROWS:
+            df = photo_rows(spark, sf_dir)
+        else:
+            df = table(spark, sf_dir, name)
+            if name == "embeddings" and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+                df = df.repartition(spark.sparkContext.defaultParallelism)
         df.createOrReplaceTempView(PREFIX + name)
 
 
+def photo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, embedding, label, ts, value: photos with their events, dealt out by number and by key after that join.
+
+    The tasks of the join follow the size of events and may be few; here a task has some ``PHOTOS`` photos, and groups within a
+    photo need no other exchange.
+    """
+    m, e = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    parts = max(spark.sparkContext.defaultParallelism, -(-m.count() // PHOTOS))
+    return m.join(e, e["event_id"] == m["vec_id"]).select("vec_id", "embedding", "label", "ts", "value").repartition(parts, "vec_id")
+
+
 def prefixed(sql: str) -> str:
     """The query over the views of register()."""
-    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 {PREFIX}\2", sql)
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join((*TABLES, PHOTO_ROWS))})\b", rf"\1 {PREFIX}\2", sql)
 
 
 def scan_photos(spark: SparkSession, folder: str, exclude: str | None = None, recursive: bool = False) -> DataFrame:
