@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 IDLE_SECONDS = 300
 OUTPUT = "session string, client string, generation long, status string, replaced_by long, at_us long"
+RESULT = Row("session", "client", "generation", "status", "replaced_by", "at_us")
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,12 +34,13 @@ class Supersession(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", "generation long, last_us long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.newest.get() if self.newest.exists() else None
+    # Keys are many and have few rows each: rows come one by one, not as a table for each key, and each call for state is a round trip.
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.newest.get()
         newest, last = (known[0], known[1]) if known else (None, None)
         out: list[tuple] = []
-        # The rows of one key in one micro-batch: three numbers each.
-        batch = sorted((int(us), int(g)) for pdf in rows for us, g in zip(pdf["at_us"], pdf["generation"], strict=True))
+        # The rows of one key in one micro-batch: two numbers each.
+        batch = sorted((r["at_us"], r["generation"]) for r in rows)
         for us, generation in batch:
             if last is not None and us - last > self.idle_us:
                 out.append((*key, newest, "expired", None, last + self.idle_us))
@@ -52,17 +53,18 @@ class Supersession(StatefulProcessor):
             else:
                 out.append((*key, generation, "repeated" if generation == newest else "stale", None, us))
             last = us if last is None else max(last, us)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if known:  # a key without state has no timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(-(-(last + self.idle_us) // 1000) + 1)
         self.newest.update((newest, last))
-        yield pd.DataFrame(out, columns=["session", "client", "generation", "status", "replaced_by", "at_us"])
+        yield from (RESULT(*o) for o in out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.newest.exists():
-            newest, last = self.newest.get()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.newest.get()
+        if known:
             self.newest.clear()
-            yield pd.DataFrame([(*key, newest, "expired", None, last + self.idle_us)], columns=["session", "client", "generation", "status", "replaced_by", "at_us"])
+            yield RESULT(*key, known[0], "expired", None, known[1] + self.idle_us)
 
     def close(self) -> None:
         pass
@@ -74,4 +76,4 @@ def supersession_stream(requests: DataFrame, watermark: str = "0 seconds", idle_
 
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # the only one that keeps several kinds of state and timers
     rows = requests.withWatermark("at", watermark).withColumn("at_us", F.unix_micros("at"))
-    return rows.groupBy("session", "client").transformWithStateInPandas(Supersession(idle_seconds * 1_000_000), OUTPUT, "Append", "eventTime")
+    return rows.groupBy("session", "client").transformWithState(Supersession(idle_seconds * 1_000_000), OUTPUT, "Append", "eventTime")

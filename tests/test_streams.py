@@ -133,3 +133,22 @@ def test_lens_data_from_the_text_of_a_tool(spark):
         "null in list": ("35mm f/1.8", None, None, None, None), "prime": ("35mm f/1.8", None, None, None, [35, 35, 1.8, 1.8]), "backwards": ("70-24mm f/2.8", None, None, None, None), "no aperture": ("24-70mm", None, None, None, None),
     }
     assert {k: tuple(v) for k, v in got.items()} == {k: want.get(k, empty) for k in texts}
+
+
+def test_a_new_key_costs_three_calls_for_state():
+    from pyspark.sql import Row
+
+    from burstlake.streaming.supersession import Supersession
+
+    calls = []
+
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (self if name == "getValueState" else None)
+
+    one = Supersession(300_000_000)
+    one.init(Fake())
+    calls.clear()
+    out = list(one.handleInputRows(("s", "c"), iter([Row(at_us=2, generation=5), Row(at_us=1, generation=4)]), None))
+    assert calls == ["get", "registerTimer", "update"]
+    assert [(r.generation, r.status, r.replaced_by, r.at_us) for r in out] == [(4, "accepted", None, 1), (4, "superseded", 5, 2), (5, "accepted", None, 2)]
